@@ -143,12 +143,8 @@ def period_breakdown(
     """
     names = [dimensions] if isinstance(dimensions, str) else list(dimensions)
     members = [F.struct(F.lit(n).alias("dimension"), _member(df, n).alias("dimension_value")) for n in names]
-    if len(members) == 1:
-        keep = [members[0].getField("dimension").alias("dimension"), members[0].getField("dimension_value").alias("dimension_value")]
-    else:
-        keep = [F.inline(F.array(*members))]
     sums = (
-        _two_months(df, baseline, current, metric, date_col, keep)
+        _two_months(df, baseline, current, metric, date_col, [F.inline(F.array(*members))])
         .groupBy("dimension", "dimension_value")
         .agg(F.sum("baseline").alias("baseline"), F.sum("current").alias("current"))
     )
