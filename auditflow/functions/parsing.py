@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import date
 
@@ -9,9 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import (
     DateType,
     DecimalType,
-    DoubleType,
     NumericType,
-    StringType,
     TimestampNTZType,
     TimestampType,
 )
@@ -25,7 +24,7 @@ DATE_FORMATS = ("yyyy-MM-dd",)
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 LEADING_ZERO_PATTERN = r"^0[0-9]+$"
 
-_RATIO = DecimalType(38, 10)
+_RATIO = "decimal(38,10)"
 
 
 def is_missing(c: Column) -> Column:
@@ -43,27 +42,49 @@ def is_number(c: Column) -> Column:
 
 def parse_double(c: Column) -> Column:
     """Text to double; a comma is a decimal comma, anything unreadable is null."""
-    return F.when(is_number(c), F.trim(_dotted(c)).try_cast(DoubleType()))
+    return F.when(is_number(c), F.trim(_dotted(c)).try_cast("double"))
 
 
 def parse_number(c: Column, dtype: DecimalType = MONEY) -> Column:
     """Text to an exact decimal; anything unreadable is null."""
-    return F.when(is_number(c), F.trim(_dotted(c)).try_cast(dtype))
+    return F.when(is_number(c), F.trim(_dotted(c)).try_cast(dtype.simpleString()))
 
 
 def as_amount(df: DataFrame, name: str, dtype: DecimalType = MONEY) -> Column:
     """Column ``name`` as an exact amount, with missing and unreadable cells as 0."""
     c = F.col(f"`{name}`")
     if isinstance(df.schema[name].dataType, NumericType):
-        parsed = c.try_cast(dtype)
+        parsed = c.try_cast(dtype.simpleString())
     else:
-        parsed = parse_number(c.cast(StringType()), dtype)
-    return F.coalesce(parsed, F.lit(0).cast(dtype))
+        parsed = parse_number(c.cast("string"), dtype)
+    return F.coalesce(parsed, F.lit(0).cast(dtype.simpleString()))
+
+
+def _shape(date_format: str) -> str | None:
+    """A pattern for texts that can fit an all-digits date format; None for other formats."""
+    shape = ""
+    for run in re.finditer(r"([A-Za-z])\1*|[^A-Za-z]", date_format):
+        token = run.group()
+        if not token[0].isalpha():
+            shape += re.escape(token)
+        elif token in ("yyyy", "MM", "dd", "HH", "mm", "ss"):
+            shape += r"\d{%d}" % len(token)
+        else:
+            return None
+    return f"^{shape}$"
 
 
 def parse_date(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """Text to a date by the first format that fits; impossible days are null."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast(DateType()) for f in formats])
+    """Text to a date by the first format that fits; impossible days are null.
+
+    A failed parse is costly, so cells that do not look like a date are not parsed.
+    """
+    attempts = []
+    for date_format in formats:
+        parsed = F.try_to_timestamp(c, F.lit(date_format)).cast("date")
+        shape = _shape(date_format)
+        attempts.append(parsed if shape is None else F.when(c.rlike(shape), parsed))
+    return attempts[0] if len(attempts) == 1 else F.coalesce(*attempts)
 
 
 def as_date(df: DataFrame, name: str, formats: Sequence[str] = DATE_FORMATS) -> Column:
@@ -71,7 +92,7 @@ def as_date(df: DataFrame, name: str, formats: Sequence[str] = DATE_FORMATS) ->
     dtype = df.schema[name].dataType
     c = F.col(f"`{name}`")
     if isinstance(dtype, (DateType, TimestampType, TimestampNTZType)):
-        return c.cast(DateType())
+        return c.cast("date")
     return parse_date(c, formats)
 
 
@@ -88,21 +109,23 @@ def is_whole(c: Column) -> Column:
 
 
 def round_to(c: Column, places: int) -> Column:
-    """Half-up rounding to double, by way of a decimal so that ties are exact."""
-    return F.coalesce(
-        F.round(c.try_cast(_RATIO), places).cast(DoubleType()),
-        F.round(c.cast(DoubleType()), places),
-    )
+    """Half-up rounding of a double, by way of a decimal so that ties are exact."""
+    return F.round(c.try_cast(_RATIO), places).cast("double")
+
+
+def round_amount(c: Column, places: int = 2) -> Column:
+    """Half-up rounding of an exact amount, which leaves as a double."""
+    return F.round(c, places).cast("double")
 
 
 def ratio(num: Column, den: Column, places: int = 2) -> Column:
     """``num / den`` rounded, 0.0 where the denominator is zero."""
-    quotient = num.cast(DoubleType()) / den.cast(DoubleType())
+    quotient = num.cast("double") / den.cast("double")
     return F.when(den != 0, round_to(quotient, places)).otherwise(F.lit(0.0))
 
 
 def percent(num: Column, den: Column, places: int = 2) -> Column:
-    quotient = num.cast(DoubleType()) / den.cast(DoubleType()) * 100
+    quotient = num.cast("double") / den.cast("double") * 100
     return F.when(den != 0, round_to(quotient, places)).otherwise(F.lit(0.0))
 
 
@@ -113,7 +136,7 @@ def percent_of_rows(num: Column, rows: Column, places: int = 2) -> Column:
 
 def known_member(c: Column) -> Column:
     """Dimension member with null as ``Unclassified``; blanks stay as they are."""
-    return F.coalesce(c.cast(StringType()), F.lit(UNKNOWN_MEMBER))
+    return F.coalesce(c.cast("string"), F.lit(UNKNOWN_MEMBER))
 
 
 def fill_unknown_members(df: DataFrame) -> DataFrame:

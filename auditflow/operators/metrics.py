@@ -21,7 +21,7 @@ from auditflow.functions.parsing import (
     next_month_start,
     percent,
     ratio,
-    round_to,
+    round_amount,
 )
 from auditflow.operators.joins import salted_lookup
 from auditflow.operators.ledger import CLEAN_DATE
@@ -32,11 +32,11 @@ FORECAST_MIN_PERIODS = 12
 
 
 def _amount_or_zero(df: DataFrame, name: str) -> Column:
-    return as_amount(df, name) if name in df.columns else F.lit(0).cast(MONEY)
+    return as_amount(df, name) if name in df.columns else F.lit(0).cast(MONEY.simpleString())
 
 
 def _zero_if_null(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0).cast(MONEY))
+    return F.coalesce(c, F.lit(0).cast(MONEY.simpleString()))
 
 
 def _month(date_col: str) -> Column:
@@ -53,11 +53,11 @@ def metric_summary(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_orders"),
     )
     return sums.select(
-        round_to(F.col("net_sales"), 2).alias("net_sales"),
-        round_to(F.col("gross_sales"), 2).alias("gross_sales"),
+        round_amount(F.col("net_sales")).alias("net_sales"),
+        round_amount(F.col("gross_sales")).alias("gross_sales"),
         F.col("units").cast("long").alias("total_units"),
         F.col("total_orders"),
-        round_to(F.col("discount_amount"), 2).alias("total_discounts"),
+        round_amount(F.col("discount_amount")).alias("total_discounts"),
         ratio(F.col("net_sales"), F.greatest(F.col("total_orders"), F.lit(1))).alias("avg_order_value"),
     )
 
@@ -77,8 +77,8 @@ def monthly_trend(df: DataFrame, *, date_col: str = CLEAN_DATE) -> DataFrame:
         _monthly_sums(df, date_col)
         .select(
             month_key(F.col("month")).alias("period"),
-            round_to(F.col("net_sales"), 2).alias("net_sales"),
-            round_to(F.col("gross_sales"), 2).alias("gross_sales"),
+            round_amount(F.col("net_sales")).alias("net_sales"),
+            round_amount(F.col("gross_sales")).alias("gross_sales"),
             F.col("units").cast("long").alias("units"),
             F.col("order_count"),
             ratio(F.col("net_sales"), F.col("order_count")).alias("avg_order_value"),
@@ -93,7 +93,7 @@ def _two_months(
     """Rows of the two months only, the metric split into a column for each."""
     in_baseline, in_current = in_month(df, date_col, baseline), in_month(df, date_col, current)
     amount = as_amount(df, metric)
-    zero = F.lit(0).cast(MONEY)
+    zero = F.lit(0).cast(MONEY.simpleString())
     return df.where(in_baseline | in_current).select(
         *keep,
         F.when(in_baseline, amount).otherwise(zero).alias("baseline"),
@@ -162,16 +162,16 @@ def period_breakdown(
         F.lit(metric).alias("metric"),
         F.lit(baseline).alias("baseline_period"),
         F.lit(current).alias("current_period"),
-        round_to(F.col("baseline"), 2).alias("baseline_value"),
-        round_to(F.col("current"), 2).alias("current_value"),
-        round_to(change, 2).alias("absolute_change"),
+        round_amount(F.col("baseline")).alias("baseline_value"),
+        round_amount(F.col("current")).alias("current_value"),
+        round_amount(change).alias("absolute_change"),
         percent(change, F.col("baseline")).alias("percentage_change"),
         percent(change, total_change).alias("contribution_to_total_change"),
-        round_to(F.col("total_baseline"), 2).alias("total_baseline"),
-        round_to(F.col("total_current"), 2).alias("total_current"),
-        round_to(total_change, 2).alias("total_change"),
+        round_amount(F.col("total_baseline")).alias("total_baseline"),
+        round_amount(F.col("total_current")).alias("total_current"),
+        round_amount(total_change).alias("total_change"),
         percent(total_change, F.col("total_baseline")).alias("total_percentage_change"),
-        round_to(difference, 4).alias("reconciliation_diff"),
+        round_amount(difference, 4).alias("reconciliation_diff"),
         (difference < RECONCILED_BELOW).alias("is_reconciled"),
     )
 
@@ -195,7 +195,7 @@ def customer_dynamics(
     anonymous = is_missing(F.col("customer").cast("string"))
     flagged = per_unit.withColumn("is_new", F.coalesce((F.col("unit") == first) & ~anonymous, F.lit(False)))
     is_new = F.col("is_new")
-    zero = F.lit(0).cast(MONEY)
+    zero = F.lit(0).cast(MONEY.simpleString())
     monthly = flagged.groupBy(F.trunc("unit", "MM").alias("month")).agg(
         F.sum(F.when(is_new, F.col("sales")).otherwise(zero)).alias("new_sales"),
         F.sum(F.when(is_new, zero).otherwise(F.col("sales"))).alias("recurring_sales"),
@@ -205,11 +205,11 @@ def customer_dynamics(
     )
     return monthly.select(
         month_key(F.col("month")).alias("period"),
-        round_to(F.col("new_sales"), 2).alias("new_customers_sales"),
-        round_to(F.col("recurring_sales"), 2).alias("recurring_customers_sales"),
+        round_amount(F.col("new_sales")).alias("new_customers_sales"),
+        round_amount(F.col("recurring_sales")).alias("recurring_customers_sales"),
         "new_customers_orders",
         "recurring_customers_orders",
-        round_to(F.col("total_sales"), 2).alias("total_sales"),
+        round_amount(F.col("total_sales")).alias("total_sales"),
     ).orderBy("period")
 
 
@@ -299,7 +299,7 @@ def concentration(
     share_before = F.when(F.col("total") != 0, F.col("before").cast("double") / F.col("total").cast("double") * 100).otherwise(0.0)
     return ranked.select(
         F.col("key").alias(key),
-        round_to(F.col("value"), 2).alias("value"),
+        round_amount(F.col("value")).alias("value"),
         percent(F.col("value"), F.col("total"), 4).alias("share"),
         percent(F.col("cumulative"), F.col("total"), 4).alias("cumulative_share"),
         F.when(share_before < a_share, "A").when(share_before < b_share, "B").otherwise("C").alias("abc_class"),
@@ -317,7 +317,7 @@ def month_pivot(
     )
     return pivoted.select(
         month_key(F.col("month")).alias("period"),
-        *[round_to(_zero_if_null(F.col(f"`{v}`")), 2).alias(v) for v in values],
+        *[round_amount(_zero_if_null(F.col(f"`{v}`"))).alias(v) for v in values],
     ).orderBy("period")
 
 
@@ -325,7 +325,7 @@ def filtered_totals(df: DataFrame, condition: Column | None = None, *, metric: s
     """Total and row count of a slice."""
     rows = df if condition is None else df.where(condition)
     return rows.agg(
-        round_to(_zero_if_null(F.sum(_amount_or_zero(df, metric))), 2).alias("total_value"),
+        round_amount(_zero_if_null(F.sum(_amount_or_zero(df, metric)))).alias("total_value"),
         F.count(F.lit(1)).alias("row_count"),
     )
 

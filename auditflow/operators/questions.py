@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from auditflow.functions.parsing import as_amount, round_to
+from auditflow.functions.parsing import as_amount, round_amount
 from auditflow.records import MONEY
 
 # Trigger words and phrases, matched as substrings of the lower-cased
@@ -60,13 +60,28 @@ CHANNEL_KEYWORDS = {
 NO_FILTER = ""
 
 
+def _not_shadowed(needles: Sequence[str], *, by_later: bool) -> list[str]:
+    """Needles that can decide a search: those in which no other needle is contained.
+
+    With ``by_later`` false, only needles before it may stand in for one, so the
+    first match in list order is kept as it is.
+    """
+    kept = []
+    for i, needle in enumerate(needles):
+        others = needles if by_later else needles[:i]
+        if not any(other in needle and other != needle for other in others):
+            kept.append(needle)
+    return kept
+
+
 def first_contained(text: Column, needles: Sequence[str]) -> Column:
     """The first needle, in list order, that ``text`` contains; null if none."""
-    return F.coalesce(*[F.when(text.contains(n), F.lit(n)) for n in needles])
+    return F.coalesce(*[F.when(text.contains(n), F.lit(n)) for n in _not_shadowed(needles, by_later=False)])
 
 
 def contains_any(text: Column, needles: Sequence[str]) -> Column:
-    return F.coalesce(reduce(Column.__or__, [text.contains(n) for n in needles]), F.lit(False))
+    found = [text.contains(n) for n in _not_shadowed(needles, by_later=True)]
+    return F.coalesce(reduce(Column.__or__, found), F.lit(False))
 
 
 def route_questions(
@@ -83,26 +98,35 @@ def route_questions(
 
     In order: data cannot answer it; it needs a new analysis; it asks for a figure
     under filters (filters given, or both a trigger and a quantity phrase); else
-    it is about existing results. Texts are searched whole.
+    it is about existing results. Texts are searched whole, lower-cased once, and
+    each list of triggers is searched once.
     """
-    text = F.lower(F.col(text_col))
+    text = F.col("_text")
     given = F.coalesce(has_filters, F.lit(False)) if has_filters is not None else F.lit(False)
-    missing_concept = first_contained(text, unanswerable)
-    new_request = first_contained(text, new_analysis)
-    wants_figure = given | (contains_any(text, recalculate) & contains_any(text, quantities))
+    searched = questions.withColumn("_text", F.lower(F.col(text_col))).withColumns(
+        {
+            "_missing": first_contained(text, unanswerable),
+            "_new": first_contained(text, new_analysis),
+            "_recalculate": first_contained(text, recalculate),
+            "_quantity": contains_any(text, quantities),
+        }
+    )
+    wants_figure = given | (F.col("_recalculate").isNotNull() & F.col("_quantity"))
     query_type = (
-        F.when(missing_concept.isNotNull(), UNANSWERABLE)
-        .when(new_request.isNotNull(), NEW_ANALYSIS)
+        F.when(F.col("_missing").isNotNull(), UNANSWERABLE)
+        .when(F.col("_new").isNotNull(), NEW_ANALYSIS)
         .when(wants_figure, RECALCULATE)
         .otherwise(EXPLAIN)
     )
-    trigger = F.when(missing_concept.isNotNull(), missing_concept).when(new_request.isNotNull(), new_request)
-    return questions.withColumns(
-        {
-            "query_type": query_type,
-            "matched_term": F.coalesce(trigger, F.when(wants_figure, first_contained(text, recalculate))),
-            "requires_full_run": query_type == NEW_ANALYSIS,
-        }
+    return (
+        searched.withColumn("query_type", query_type)
+        .withColumns(
+            {
+                "matched_term": F.coalesce("_missing", "_new", F.when(wants_figure, F.col("_recalculate"))),
+                "requires_full_run": F.col("query_type") == NEW_ANALYSIS,
+            }
+        )
+        .drop("_text", "_missing", "_new", "_recalculate", "_quantity")
     )
 
 
@@ -132,10 +156,11 @@ def extract_filters(
     channels: Mapping[str, str] = CHANNEL_KEYWORDS,
 ) -> DataFrame:
     """Add region and channel keywords found in the text or the filter columns, with their labels."""
-    text = F.lower(F.col(text_col))
+    text = F.col("_text")
     region = _keyword(text, F.col(region_filter) if region_filter else None, regions)
     channel = _keyword(text, F.col(channel_filter) if channel_filter else None, channels)
-    with_keywords = questions.withColumns({"region_keyword": region, "channel_keyword": channel})
+    lowered = questions.withColumn("_text", F.lower(F.col(text_col)))
+    with_keywords = lowered.withColumns({"region_keyword": region, "channel_keyword": channel}).drop("_text")
     return with_keywords.withColumns(
         {
             "region_label": _label(F.col("region_keyword"), regions),
@@ -218,7 +243,7 @@ def answer_filters(
         keyed.join(F.broadcast(answers), ["_region", "_channel"], "left")
         .withColumns(
             {
-                "total_value": round_to(F.coalesce("amount", F.lit(0).cast(MONEY)), 2),
+                "total_value": round_amount(F.coalesce("amount", F.lit(0).cast(MONEY.simpleString()))),
                 "row_count": F.coalesce("row_count", F.lit(0).cast("long")),
             }
         )

@@ -421,11 +421,9 @@ def finite_check(spark, sf_dir):
 def _breakdown_results(spark, sf_dir):
     """Breakdowns as results, and one that lost a member on the way."""
     parts = _change(_with_customers(spark, sf_dir), ["channel", "segment", "region"])
-    named = parts.withColumn("result_id", F.concat(F.lit("RES_"), F.upper("dimension")))
-    lossy = named.where((F.col("dimension") == "channel") & (F.col("dimension_value") != "5-LOW")).withColumn(
-        "result_id", F.lit("RES_CHANNEL_PARTIAL")
-    )
-    return named.unionByName(lossy)
+    own = F.concat(F.lit("RES_"), F.upper("dimension"))
+    lossy = F.when((F.col("dimension") == "channel") & (F.col("dimension_value") != "5-LOW"), F.lit("RES_CHANNEL_PARTIAL"))
+    return parts.withColumn("result_id", F.explode(F.array_compact(F.array(own, lossy))))
 
 
 @query

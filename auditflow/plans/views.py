@@ -8,6 +8,7 @@ with the tables.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from auditflow.operators.joins import safe_left_join
 from auditflow.operators.ledger import keep_usable
@@ -15,8 +16,16 @@ from auditflow.operators.periods import incomplete_period
 from auditflow.plans import methods
 
 
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table by name. Its schema is read from the files once per application."""
+    path = f"{sf_dir}/{name}.parquet"
+    known = (spark.sparkContext.applicationId, path)
+    if known not in _SCHEMAS:
+        _SCHEMAS[known] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[known]).parquet(path)
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:

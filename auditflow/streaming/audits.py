@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from auditflow.functions.parsing import as_amount, month_key, round_to
+from auditflow.functions.parsing import as_amount, month_key, round_amount
 from auditflow.operators.joins import safe_left_join
 from auditflow.operators.ledger import REASON, STEP, Cutoff, _reason, flag_exclusions, with_amounts
 from auditflow.records import MONEY
@@ -56,7 +56,7 @@ def closed_month_trend(days: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
         days.groupBy(F.trunc("day", "MM").alias("month"), *by)
         .agg(F.sum("net_sales").alias("net_sales"), F.sum("order_count").alias("order_count"))
         .where(F.last_day("month") <= last_emitted)
-        .select(month_key(F.col("month")).alias("period"), *by, round_to(F.col("net_sales"), 2).alias("net_sales"), "order_count")
+        .select(month_key(F.col("month")).alias("period"), *by, round_amount(F.col("net_sales")).alias("net_sales"), "order_count")
     )
 
 
