@@ -295,10 +295,18 @@ def join_chain(
 
     A later link may start from a column that an earlier dimension brought in.
     """
+    for _, joined in _joined_so_far(fact, tables, links, order_by):
+        fact = joined
+    return fact
+
+
+def _joined_so_far(fact, tables, links, order_by=None):
+    """Each link that applies, with the fact before it and after it."""
     for link in links:
         dim = tables.get(link.dimension)
         if dim is None or link.left_key not in fact.columns or link.right_key not in dim.columns:
             continue
+        before = fact
         fact = safe_left_join(
             fact,
             dim,
@@ -307,7 +315,31 @@ def join_chain(
             dim_name=link.dimension,
             order_by=(order_by or {}).get(link.dimension),
         )
-    return fact
+        yield (link, before), fact
+
+
+def chain_checks(
+    fact: DataFrame,
+    tables: Mapping[str, DataFrame],
+    links: Sequence[Link],
+    *,
+    metric: str | None = None,
+    left_table: str = "fact",
+    order_by: Mapping[str, Sequence[str]] | None = None,
+) -> DataFrame | None:
+    """Diagnostics of every join of a chain, each on the fact as joined until then.
+
+    Only key and metric of the joined fact are read, so joins that do not bring the
+    key drop out of the plan.
+    """
+    rows = [
+        join_diagnostics(
+            before, tables[link.dimension], link.left_key, link.right_key,
+            metric=metric, deduplicated=True, left_table=left_table, right_table=link.dimension,
+        )
+        for (link, before), _ in _joined_so_far(fact, tables, links, order_by)
+    ]
+    return reduce(DataFrame.unionByName, rows) if rows else None
 
 
 # ---------------------------------------------------------------------------

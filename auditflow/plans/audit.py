@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auditflow.functions.naming import DATE_NAME_PARTS, KEY_NAME_PARTS, columns_with, first_with, pick_fact
 from auditflow.operators import ledger, profile, quality, report, validate
-from auditflow.operators.joins import Link, join_chain, join_check, link_diagnostics, relationship
+from auditflow.operators.joins import Link, chain_checks, join_chain, join_check, link_diagnostics, relationship
 from auditflow.operators.periods import infer_cutoff
 from auditflow.plans import methods
 
@@ -69,21 +69,14 @@ def run_audit(
         cutoff = infer_cutoff(tables[fact], date_col)
 
     profiled = profile.profile_tables(tables, samples=samples)
-    diagnostics = link_diagnostics(tables, [(fact, link) for link in links])
+    diagnostics = link_diagnostics(tables, [(_owner(fact, tables, links, link), link) for link in links])
     issues = quality.audit_tables(tables, profile=profiled, samples=samples)
 
     flagged = ledger.flag_exclusions(tables[fact], date_col=date_col, cutoff=cutoff)
     usable = ledger.with_amounts(ledger.keep_usable(tables[fact], date_col=date_col, cutoff=cutoff))
     analytical = join_chain(usable, tables, links).na.fill("Unclassified")
 
-    joins = None
-    if links:
-        joins = link_diagnostics(
-            {**tables, fact: usable},
-            [(fact, link) for link in links if link.left_key in usable.columns],
-            metric=metric,
-            deduplicated=True,
-        )
+    joins = chain_checks(usable, tables, links, metric=metric, left_table=fact)
 
     plan = methods.default_plan(baseline, current, metric=metric, dimensions=dimensions)
     results = methods.run_plan(analytical, plan)
@@ -134,6 +127,12 @@ def run_audit(
     )
 
 
+def _owner(fact: str, tables: Mapping[str, DataFrame], links: Sequence[Link], link: Link) -> str:
+    """The table that a link starts from: the fact, or a dimension that brings the key in."""
+    candidates = [fact, *[other.dimension for other in links if other.dimension != link.dimension]]
+    return next(t for t in candidates if link.left_key in tables[t].columns)
+
+
 def validate_shown(shown: DataFrame, statuses: DataFrame) -> DataFrame:
     """Cards or findings whose result is approved."""
     approved = statuses.where(F.col("validation_status").isin("approved", "approved_with_warnings"))

@@ -48,20 +48,14 @@ def malformed_records(df: DataFrame, table_id: str, *, samples: int = 3) -> Data
     """An issue record if any line of the file does not fit its columns."""
     from auditflow.operators.quality import _issues
 
-    bad = F.col(CORRUPT_RECORD).isNotNull()
-    # All columns are aggregated: a scan of the corrupt-record column alone is refused.
-    first_column = F.col(f"`{df.columns[0]}`")
-    counted = df.agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(bad).alias("affected"), F.count(first_column).alias("filled")
-    ).where(F.col("affected") > 0)
-    few = df.where(bad & (first_column.isNotNull() | first_column.isNull())).select(CORRUPT_RECORD, first_column.alias("c"))
-    evidence = (
-        few.orderBy(CORRUPT_RECORD)
-        .limit(samples)
-        .agg(F.sort_array(F.collect_list(CORRUPT_RECORD)).alias("s"), F.count("c"))
-        .select("s")
-        .scalar()
-    )
+    # The reader checks a line against the columns that a plan needs, so the test
+    # must need all of them; their length is never below zero.
+    columns = [F.col(f"`{c}`") for c in df.columns if c != CORRUPT_RECORD]
+    has_columns = F.length(F.concat_ws("", *columns)) >= 0
+    bad = F.col(CORRUPT_RECORD).isNotNull() & has_columns
+    counted = df.agg(F.count(F.lit(1)).alias("total"), F.count_if(bad).alias("affected")).where(F.col("affected") > 0)
+    few = df.where(bad).select(CORRUPT_RECORD).orderBy(CORRUPT_RECORD).limit(samples)
+    evidence = few.agg(F.sort_array(F.collect_list(CORRUPT_RECORD)).alias("s")).scalar()
     return _issues(
         counted,
         issue_type="malformed_file",

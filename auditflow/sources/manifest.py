@@ -15,6 +15,11 @@ ALLOWED_EXTENSIONS = (".csv", ".xlsx")
 MAX_FILE_BYTES = 100 * 1024 * 1024
 
 
+def source_path() -> Column:
+    """Path of the file a row was read from, with the escapes of its URI undone."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def _file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)$", 1)
 
@@ -23,8 +28,8 @@ def list_files(spark: SparkSession, path: str | Sequence[str], *, recursive: boo
     """Files with name and length. Their content is not read unless it is selected."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
     return files.select(
-        F.col("_metadata.file_path").alias("path"),
-        _file_name(F.col("_metadata.file_path")).alias("file_name"),
+        source_path().alias("path"),
+        _file_name(source_path()).alias("file_name"),
         "length",
         "content",
     )
@@ -50,7 +55,7 @@ def fingerprints(files: DataFrame) -> DataFrame:
 def csv_manifest(spark: SparkSession, path: str | Sequence[str], *, multiline: bool = False) -> DataFrame:
     """Per CSV file: table name, rows, columns, length and fingerprint."""
     files = list_files(spark, path)
-    header = F.substring_index(F.substring_index(F.decode("content", F.lit("UTF-8")), "\n", 1), "\r", 1)
+    header = F.substring_index(F.substring_index(F.decode("content", "UTF-8"), "\n", 1), "\r", 1)
     fields = F.size(F.split(header, ',(?=(?:[^"]*"[^"]*")*[^"]*$)'))
     described = files.select(
         "path",
@@ -63,7 +68,7 @@ def csv_manifest(spark: SparkSession, path: str | Sequence[str], *, multiline: b
     records = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
     counts = (
         records.schema(text_schema(["first"])).csv(path)
-        .groupBy(F.col("_metadata.file_path").alias("path"))
+        .groupBy(source_path().alias("path"))
         .agg(F.count(F.lit(1)).alias("row_count"))
     )
     return described.join(counts, "path", "left").withColumn("row_count", F.coalesce("row_count", F.lit(0).cast("long")))

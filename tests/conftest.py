@@ -31,3 +31,8 @@ def rows():
         return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=repr)
 
     return collect
+
+
+def same_fields(df, schema):
+    """Names and types, whatever may be null."""
+    return [(f.name, f.dataType.simpleString()) for f in df.schema] == [(f.name, f.dataType.simpleString()) for f in schema]
