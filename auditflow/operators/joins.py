@@ -216,19 +216,22 @@ def salted_lookup(
     *,
     salt_over: int,
     salts: int = 32,
+    max_heavy: int = 1000,
     fact_counts: DataFrame | None = None,
 ) -> DataFrame:
     """Left join to a lookup with unique keys, with heavy keys spread over tasks.
 
-    Keys with more than ``salt_over`` fact rows are heavy; there can be no more
-    than ``rows / salt_over`` of them, so that list may be broadcast. Their fact
-    rows are spread by a hash of the row's content, which is the same when a lost
-    task is run again, and only their lookup rows are repeated, once per salt.
-    ``fact_counts`` may bring the rows per key (``on`` plus ``n``) if known.
+    The heaviest keys of more than ``salt_over`` fact rows, ``max_heavy`` of them at
+    most, are salted; the list is that short, so it is broadcast. Their fact rows
+    are spread by a hash of the row's content, which is the same when a lost task
+    is run again, and their lookup rows are repeated once per salt. All other keys
+    are joined as they are. ``fact_counts`` may bring the rows per key (``on`` plus
+    ``n``) if known.
     """
     if fact_counts is None:
         fact_counts = fact.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    heavy = fact_counts.where(F.col("n") > salt_over).select(*on, F.lit(True).alias("_heavy"))
+    heaviest = fact_counts.where(F.col("n") > salt_over).orderBy(F.desc("n"), *on).limit(max_heavy)
+    heavy = heaviest.select(*on, F.lit(True).alias("_heavy"))
     content = F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns])
     unmatched = reduce(Column.__or__, [F.col(f"`{c}`").isNull() for c in on])  # a null key needs no partner
     spread = F.col("_heavy") | unmatched

@@ -41,6 +41,7 @@ def column_profile(
     id_columns: Sequence[str] | None = None,
     date_formats: Sequence[str] = DATE_FORMATS,
     samples: int = 5,
+    approximate_distinct: bool = False,
 ) -> DataFrame:
     """One row per column: counts, inferred type, role and statistics.
 
@@ -49,6 +50,8 @@ def column_profile(
     cells are combined per distinct value before they meet in one row per column.
     ``id_columns`` replaces the rule that finds identifiers by name. Samples are
     the smallest distinct values; ``samples=0`` saves their pass over the table.
+    ``approximate_distinct`` counts distinct values by a sketch: for very large
+    tables, where the exact count would shuffle every distinct cell.
     """
     columns = df.columns
     cells = as_cells(df)
@@ -63,7 +66,7 @@ def column_profile(
     stats = long_form.groupBy("name").agg(
         F.count(F.lit(1)).alias("total_count"),
         F.count("value").alias("present_count"),
-        F.count_distinct("value").alias("unique_count"),
+        (F.approx_count_distinct("value") if approximate_distinct else F.count_distinct("value")).alias("unique_count"),
         F.bool_or(has_leading_zero(F.col("value"))).alias("has_leading_zeros"),
         F.count("num").alias("numbers"),
         F.count("day").alias("dates"),
@@ -92,8 +95,7 @@ def column_profile(
     number_type = F.when(F.col("all_whole"), "integer").otherwise("float")
     zero = F.lit(0).cast("long")
     profile = (
-        F.broadcast(names)
-        .join(stats, "name", "left")
+        names.join(stats, "name", "left")
         .withColumns({c: F.coalesce(F.col(c), zero) for c in ("total_count", "present_count", "unique_count", "numbers", "dates")})
         .withColumn("has_leading_zeros", F.coalesce("has_leading_zeros", F.lit(False)))
         .withColumn(

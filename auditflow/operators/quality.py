@@ -401,10 +401,9 @@ def quality_report(issues: DataFrame, tables: Mapping[str, DataFrame]) -> DataFr
     ]
     if dated:
         covered = reduce(DataFrame.unionByName, dated)
-        start = covered.agg(F.min("first")).scalar()
-        end = covered.agg(F.max("last")).scalar()
+        span = covered.agg(F.struct(F.min("first").alias("first"), F.max("last").alias("last")).alias("span")).scalar()
     else:
-        start = end = F.lit(None)
+        span = F.struct(F.lit(None).alias("first"), F.lit(None).alias("last"))
     incomplete = F.col("issue_type") == "incomplete_period"
     rolled = issues.agg(
         F.count(F.lit(1)).alias("issue_count"),
@@ -412,4 +411,5 @@ def quality_report(issues: DataFrame, tables: Mapping[str, DataFrame]) -> DataFr
         F.coalesce(F.bool_or(incomplete), F.lit(False)).alias("is_last_period_incomplete"),
         F.max(F.when(incomplete, F.col("description"))).alias("incomplete_period_details"),
     )
-    return conform(rolled.withColumns({"coverage_start": start, "coverage_end": end}), QUALITY_REPORT)
+    dates = {"coverage_start": F.col("span.first"), "coverage_end": F.col("span.last")}
+    return conform(rolled.withColumn("span", span).withColumns(dates), QUALITY_REPORT)

@@ -112,9 +112,13 @@ def chart_datasets(
 
 
 def chart_specs(points: DataFrame) -> DataFrame:
-    """One row per chart with its data as an array; a chart has one point per label and measure."""
-    packed = F.sort_array(F.collect_list(F.struct("label", "measure", "value")))
-    return points.groupBy("chart_id").agg(packed.alias("data"), F.count(F.lit(1)).alias("points"))
+    """One row per chart: how many points it has and the range of each measure.
+
+    The points themselves stay rows; a chart over a large dimension has many.
+    """
+    return points.groupBy("chart_id", "measure").agg(
+        F.count(F.lit(1)).alias("points"), F.min("value").alias("min_value"), F.max("value").alias("max_value")
+    )
 
 
 def findings(
@@ -209,9 +213,11 @@ def quality_summary(issues: DataFrame) -> DataFrame:
 
 
 def results_summary(results: DataFrame, values: DataFrame) -> DataFrame:
-    """Figures of approved results as JSON; rejected and pending ones are left out."""
-    figures = values.groupBy("result_id").agg(
-        F.to_json(F.sort_array(F.collect_list(F.struct("item", "field", "value")))).alias("values_json")
-    )
+    """Figures of approved results; those of rejected and pending ones are left out.
+
+    One row per figure, so that a result with very many is not gathered in one
+    place. The join may split the figures of such a result over tasks.
+    """
     approved = results.where(F.col("validation_status").isin("approved", "approved_with_warnings"))
-    return approved.join(figures, "result_id", "left")
+    figure = F.to_json(F.struct("item", "field", "value"))
+    return values.join(approved, "result_id").withColumn("figure_json", figure)

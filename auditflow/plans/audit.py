@@ -9,10 +9,12 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auditflow.functions.naming import DATE_NAME_PARTS, KEY_NAME_PARTS, columns_with, first_with, pick_fact
+from auditflow.functions.parsing import fill_unknown_members
 from auditflow.operators import ledger, profile, quality, report, validate
 from auditflow.operators.joins import Link, chain_checks, join_chain, join_check, link_diagnostics, relationship
 from auditflow.operators.periods import infer_cutoff
 from auditflow.plans import methods
+from auditflow.session import durable
 
 
 @dataclass
@@ -50,6 +52,7 @@ def run_audit(
     metric: str = "net_sales",
     cutoff: date | str | None = None,
     samples: int = 3,
+    keep_analytical: bool = False,
 ) -> AuditRun:
     """Audit, prepare, compute, validate and report.
 
@@ -57,8 +60,9 @@ def run_audit(
     Without ``cutoff`` one small job finds the last closed day of the fact, so that
     the cutoff is a literal in all plans that follow.
 
-    ``analytical`` feeds every metric. For several actions on one run, persist it or
-    write it out partitioned by month, and build on that.
+    ``analytical`` feeds every metric. With ``keep_analytical`` it is computed once
+    into the shared checkpoint folder, which pays off when several parts of the run
+    are used; otherwise every part reads the source tables anew.
     """
     fact = fact or pick_fact(list(tables))
     date_col = first_with(tables[fact].columns, DATE_NAME_PARTS)
@@ -74,7 +78,9 @@ def run_audit(
 
     flagged = ledger.flag_exclusions(tables[fact], date_col=date_col, cutoff=cutoff)
     usable = ledger.with_amounts(ledger.keep_usable(tables[fact], date_col=date_col, cutoff=cutoff))
-    analytical = join_chain(usable, tables, links).na.fill("Unclassified")
+    analytical = fill_unknown_members(join_chain(usable, tables, links))
+    if keep_analytical:
+        analytical = durable(analytical)
 
     joins = chain_checks(usable, tables, links, metric=metric, left_table=fact)
 

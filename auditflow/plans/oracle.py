@@ -548,6 +548,15 @@ SELECT coalesce(customer_name, 'Unclassified') AS customer_name, count(*) AS ord
 FROM dirty_orders o LEFT JOIN one c ON o.customer_id = c.customer_id GROUP BY 1"""
 
 
+CHARTS = f"""{WITH_CUSTOMERS},{_members('enriched', {**CHANNEL, **SEGMENT})},{TREND},{_dynamics('day = first_day')},
+charts AS (
+  SELECT 'CHART_TIME_SERIES' AS chart_id, period AS label, 'net_sales' AS measure, net_sales AS value FROM trend
+  UNION ALL SELECT 'CHART_TIME_SERIES', period, 'order_count', CAST(order_count AS DOUBLE) FROM trend
+  UNION ALL SELECT 'CHART_' || upper(dimension), dimension_value, 'absolute_change', absolute_change FROM breakdown
+  UNION ALL SELECT 'CHART_CUSTOMER_DYNAMICS', period, 'new_customers_sales', new_customers_sales FROM dynamics
+  UNION ALL SELECT 'CHART_CUSTOMER_DYNAMICS', period, 'recurring_customers_sales', recurring_customers_sales FROM dynamics
+)"""
+
 _MOMENT = "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')"
 
 ORACLE: dict[str, str] = {
@@ -660,11 +669,10 @@ FROM last_month""",
   count(*) AS checks_executed, count(*) FILTER (WHERE bad > 0) AS failed_checks, count(*) FILTER (WHERE bad > 0) > 0 AS can_retry
 FROM finite JOIN customer ON c_custkey = result_id GROUP BY 1""",
     "approved_only": f"WITH {FIGURES} SELECT result_id, validation_status FROM statuses WHERE validation_status <> 'rejected'",
-    "results_summary": f"""WITH {FIGURES},
-packed AS (SELECT result_id, '[' || string_agg('{{"item":' || CAST(item AS VARCHAR) || ',"field":"o_totalprice","value":'
-             || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) || '}}', ',' ORDER BY item) || ']' AS values_json
-           FROM figures WHERE NOT isnan(value) AND NOT isinf(value) GROUP BY 1)
-SELECT s.result_id, validation_status, values_json FROM statuses s LEFT JOIN packed p ON s.result_id = p.result_id WHERE validation_status <> 'rejected'""",
+    "results_summary": f"""WITH {FIGURES}
+SELECT s.result_id, validation_status, '{{"item":' || CAST(item AS VARCHAR) || ',"field":"o_totalprice","value":'
+       || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) || '}}' AS figure_json
+FROM statuses s JOIN figures f ON s.result_id = f.result_id WHERE validation_status <> 'rejected'""",
     "presentation_components": f"""WITH {COMPONENT_CHECKS}
 SELECT run_id, component_id, kind, result_id, problem, problem IS NULL AS is_valid FROM component_checks""",
     "presentation_integrity": f"""WITH {COMPONENT_CHECKS},
@@ -695,12 +703,17 @@ SELECT 'FINDING_TOTAL_CHANGE' AS id, metric || CASE WHEN absolute_change < 0 THE
 UNION ALL SELECT 'FINDING_TOP_' || upper(dimension), 'The largest change by ' || dimension || ' is ''' || dimension_value || ''' with '
        || format('{{:,.2f}}', absolute_change) || ' (' || {_percent_text('contribution_to_total_change')} || ' of the total change).',
        'RES_{methods.BREAKDOWN_CHANNEL}', dimension || '_contribution', absolute_change FROM drivers""",
-    "chart_datasets": f"""WITH {WITH_CUSTOMERS},{_members('enriched', {**CHANNEL, **SEGMENT})},{TREND},{_dynamics('day = first_day')}
-SELECT 'CHART_TIME_SERIES' AS chart_id, period AS label, 'net_sales' AS measure, net_sales AS value FROM trend
-UNION ALL SELECT 'CHART_TIME_SERIES', period, 'order_count', CAST(order_count AS DOUBLE) FROM trend
-UNION ALL SELECT 'CHART_' || upper(dimension), dimension_value, 'absolute_change', absolute_change FROM breakdown
-UNION ALL SELECT 'CHART_CUSTOMER_DYNAMICS', period, 'new_customers_sales', new_customers_sales FROM dynamics
-UNION ALL SELECT 'CHART_CUSTOMER_DYNAMICS', period, 'recurring_customers_sales', recurring_customers_sales FROM dynamics""",
+    "chart_datasets": f"WITH {CHARTS} SELECT * FROM charts",
+    "chart_specs": f"""WITH {CHARTS} SELECT chart_id, measure, count(*) AS points, min(value) AS min_value, max(value) AS max_value
+FROM charts GROUP BY 1, 2""",
+    "sample_size_check": f"""SELECT 'RES_EVENTS' AS result_id, 'Forecast_Sample_Size_Audit' AS check_name, TRUE AS passed, 'warning' AS severity, reason AS evidence
+FROM ({_forecast('events', 'ts')}) WHERE NOT eligible
+UNION ALL SELECT 'RES_ORDERS', 'Forecast_Sample_Size_Audit', TRUE, 'warning', reason FROM ({_forecast('orders', 'o_orderdate')}) WHERE NOT eligible""",
+    "join_safety": " UNION ALL ".join(
+        f"""SELECT 'Join_Safety_{name}' AS check_name, is_safe AS passed, CASE WHEN is_safe THEN 'info' ELSE 'blocking' END AS severity,
+  'Multiplication factor ' || CAST(multiplication_factor AS VARCHAR) AS evidence FROM ({_join_check(rows)})"""
+        for name, rows in (("raw_customers", "dirty_customers"), ("customers", "(SELECT DISTINCT customer_id FROM dirty_customers)"))
+    ),
     "provenance_ledger": f"""WITH {WITH_CUSTOMERS},{_members('enriched', {**CHANNEL, **SEGMENT, **REGION})},{COMPARISON},{RECONCILED},{DIRTY_ORDERS},{DIRTY_CUSTOMERS},{LEDGER},
 cards AS ({COMPARISON_CARDS}),
 last_step AS (SELECT arg_max(transformation_id, step_index) AS id FROM ledger)

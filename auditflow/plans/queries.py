@@ -267,7 +267,7 @@ def join_chain(spark, sf_dir):
         Link("campaign_id", "campaigns", "campaign_id"),
     ]
     joined = joins.join_chain(orders, tables, links, order_by={"customers": ["customer_name"]})
-    joined = joined.na.fill("Unclassified")
+    joined = parsing.fill_unknown_members(joined)
     return joined.groupBy("segment", "category_id", F.col("nations_customer_name").alias("nation")).agg(
         F.count(F.lit(1)).alias("order_lines"), F.sum("net_sales").cast("double").alias("net_sales")
     )
@@ -436,6 +436,30 @@ def _customer_statuses(spark, sf_dir):
     return validate.result_statuses(views.customer_results(spark, sf_dir), checks)
 
 
+@query
+def sample_size_check(spark, sf_dir):
+    """Events and orders as results: which history is too short to forecast from."""
+    events = views.table(spark, sf_dir, "events")
+    eligibility = metrics.forecast_eligibility(events, date_col="ts").withColumn("result_id", F.lit("RES_EVENTS"))
+    orders = metrics.forecast_eligibility(views.table(spark, sf_dir, "orders"), date_col="o_orderdate")
+    both = eligibility.unionByName(orders.withColumn("result_id", F.lit("RES_ORDERS")))
+    return validate.sample_size_checks(both)
+
+
+@query
+def join_safety(spark, sf_dir):
+    """A raw and a deduplicated join as checks of a run."""
+    raw = joins.join_diagnostics(
+        views.dirty_orders(spark, sf_dir), views.dirty_customers(spark, sf_dir), "customer_id",
+        metric="net_sales", right_table="raw_customers",
+    )
+    safe = joins.join_diagnostics(
+        views.dirty_orders(spark, sf_dir), views.dirty_customers(spark, sf_dir), "customer_id",
+        metric="net_sales", right_table="customers", deduplicated=True,
+    )
+    return validate.join_safety_checks(raw.unionByName(safe)).drop("result_id")
+
+
 @query
 def status_rollup(spark, sf_dir):
     return _customer_statuses(spark, sf_dir).select("result_id", "run_id", "failed_checks", "validation_status")
@@ -455,8 +479,8 @@ def approved_only(spark, sf_dir):
 
 @query
 def results_summary(spark, sf_dir):
-    figures = views.order_figures(spark, sf_dir).withColumn("value", F.col("value").cast("decimal(18,2)"))
-    return report.results_summary(_customer_statuses(spark, sf_dir), figures).select("result_id", "validation_status", "values_json")
+    figures = views.order_figures(spark, sf_dir).withColumn("value", F.col("value").try_cast("decimal(18,2)"))
+    return report.results_summary(_customer_statuses(spark, sf_dir), figures).select("result_id", "validation_status", "figure_json")
 
 
 @query
@@ -545,6 +569,11 @@ def chart_datasets(spark, sf_dir):
     )
 
 
+@query
+def chart_specs(spark, sf_dir):
+    return report.chart_specs(chart_datasets(spark, sf_dir))
+
+
 @query
 def provenance_ledger(spark, sf_dir):
     orders, customers = views.dirty_orders(spark, sf_dir), views.dirty_customers(spark, sf_dir)

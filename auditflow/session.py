@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app_name: str = "auditflow") -> SparkSession:
@@ -37,3 +37,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into the shared checkpoint folder and read it from there.
+
+    Later actions neither repeat the work nor depend on executors that did it.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -26,7 +26,7 @@ def run(spark, tables):
         Link("product_id", "products", "product_id"),
         Link("category_id", "categories", "category_id"),
     ]
-    return run_audit(spark, tables, baseline="2026-03", current="2026-05", links=links)
+    return run_audit(spark, tables, baseline="2026-03", current="2026-05", links=links, keep_analytical=True)
 
 
 def test_no_row_is_lost_or_repeated(run, tables):
