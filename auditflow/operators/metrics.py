@@ -23,7 +23,7 @@ from auditflow.functions.parsing import (
     ratio,
     round_amount,
 )
-from auditflow.operators.joins import salted_lookup
+from auditflow.operators.joins import safe_left_join, salted_lookup
 from auditflow.operators.ledger import CLEAN_DATE
 from auditflow.records import MONEY, UNKNOWN_MEMBER
 
@@ -136,15 +136,56 @@ def period_breakdown(
 ) -> DataFrame:
     """Additive decomposition of a metric's change by the members of each dimension.
 
-    One aggregate covers both months and all dimensions. Totals per dimension are
-    summed from its members (the shuffle is shared) and joined back; they are one
-    row per dimension. Check them against ``period_comparison`` for a total that
-    does not depend on the members.
+    One aggregate covers both months and all dimensions. A dimension which the
+    table lacks has one member, ``Unclassified``.
     """
     names = [dimensions] if isinstance(dimensions, str) else list(dimensions)
+    present = [F.col(f"`{n}`") for n in names if n in df.columns]
+    return _decompose(_two_months(df, baseline, current, metric, date_col, present), names, baseline, current, metric)
+
+
+def breakdown_through_key(
+    fact: DataFrame,
+    dim: DataFrame,
+    key: str,
+    dimensions: str | Sequence[str],
+    *,
+    baseline: str,
+    current: str,
+    metric: str = "net_sales",
+    date_col: str = CLEAN_DATE,
+    order_by: Sequence[str] | None = None,
+) -> DataFrame:
+    """``period_breakdown`` of the fact safely joined to ``dim``, without joining its rows.
+
+    The fact is summed per key before it is shuffled, and the join is between one
+    row per key on either side. A key with a large share of all rows is one row by
+    then. Dimensions may also be columns of the fact itself.
+    """
+    names = [dimensions] if isinstance(dimensions, str) else list(dimensions)
+    own = [n for n in names if n in fact.columns]
+    brought = [n for n in names if n not in own and n in dim.columns]
+    grouping = [key, *[n for n in own if n != key]]
+    per_key = (
+        _two_months(fact, baseline, current, metric, date_col, [F.col(f"`{n}`") for n in grouping])
+        .groupBy(*grouping)
+        .agg(F.sum("baseline").alias("baseline"), F.sum("current").alias("current"))
+    )
+    attributes = dim.select(*dict.fromkeys([key, *brought, *(order_by or [])]))
+    joined = safe_left_join(per_key, attributes, key, order_by=order_by)
+    return _decompose(joined, names, baseline, current, metric)
+
+
+def _decompose(df: DataFrame, names: Sequence[str], baseline: str, current: str, metric: str) -> DataFrame:
+    """Breakdown of rows that hold a ``baseline`` and a ``current`` amount.
+
+    Totals per dimension are summed from its members (the shuffle is shared) and
+    joined back; they are one row per dimension. Check them against
+    ``period_comparison`` for a total that does not depend on the members.
+    """
     members = [F.struct(F.lit(n).alias("dimension"), _member(df, n).alias("dimension_value")) for n in names]
     sums = (
-        _two_months(df, baseline, current, metric, date_col, [F.inline(F.array(*members))])
+        df.select(F.inline(F.array(*members)), "baseline", "current")
         .groupBy("dimension", "dimension_value")
         .agg(F.sum("baseline").alias("baseline"), F.sum("current").alias("current"))
     )
@@ -321,12 +362,19 @@ def month_pivot(
     ).orderBy("period")
 
 
-def filtered_totals(df: DataFrame, condition: Column | None = None, *, metric: str = "net_sales") -> DataFrame:
-    """Total and row count of a slice."""
+def counted_rows(weight: str | None) -> Column:
+    """Row count, or the sum of ``weight`` where rows stand for several rows each."""
+    return F.count(F.lit(1)) if weight is None else F.coalesce(F.sum(weight), F.lit(0).cast("long"))
+
+
+def filtered_totals(
+    df: DataFrame, condition: Column | None = None, *, metric: str = "net_sales", weight: str | None = None
+) -> DataFrame:
+    """Total and row count of a slice. ``weight`` counts the rows that a row was summed from."""
     rows = df if condition is None else df.where(condition)
     return rows.agg(
         round_amount(_zero_if_null(F.sum(_amount_or_zero(df, metric)))).alias("total_value"),
-        F.count(F.lit(1)).alias("row_count"),
+        counted_rows(weight).alias("row_count"),
     )
 
 

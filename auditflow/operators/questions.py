@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from auditflow.functions.parsing import as_amount, round_amount
+from auditflow.operators.metrics import counted_rows
 from auditflow.records import MONEY
 
 # Trigger words and phrases, matched as substrings of the lower-cased
@@ -195,19 +196,21 @@ def filter_cube(
     fact: DataFrame,
     *,
     metric: str = "net_sales",
+    weight: str | None = None,
     regions: Mapping[str, str] = REGION_KEYWORDS,
     channels: Mapping[str, str] = CHANNEL_KEYWORDS,
 ) -> DataFrame:
     """Total and rows for every pair of a region and a channel keyword, or none (``''``).
 
     The fact is reduced to its region and channel members before they are spread
-    over the keywords; the result has at most one row per pair of keywords.
+    over the keywords; the result has at most one row per pair of keywords. If the
+    fact was summed before, ``weight`` names its column of row counts.
     """
     missing = [c for c in ("region", "channel") if c not in fact.columns]
     if missing:
         raise ValueError(f"cannot filter by {missing}: not in the prepared table")
     cells = fact.groupBy("region", "channel").agg(
-        F.sum(as_amount(fact, metric)).alias("amount"), F.count(F.lit(1)).alias("n")
+        F.sum(as_amount(fact, metric)).alias("amount"), counted_rows(weight).alias("n")
     )
 
     def is_region(member: Column, keyword: str) -> Column:
@@ -226,12 +229,13 @@ def answer_filters(
     fact: DataFrame,
     *,
     metric: str = "net_sales",
+    weight: str | None = None,
     regions: Mapping[str, str] = REGION_KEYWORDS,
     channels: Mapping[str, str] = CHANNEL_KEYWORDS,
 ) -> DataFrame:
     """Answer every request (``region_keyword``, ``channel_keyword``, null for none) from one pass of the fact."""
     # One row per pair of keywords at most, whatever the size of the fact.
-    cube = filter_cube(fact, metric=metric, regions=regions, channels=channels)
+    cube = filter_cube(fact, metric=metric, weight=weight, regions=regions, channels=channels)
     keyed = requests.withColumns(
         {
             "_region": F.coalesce("region_keyword", F.lit(NO_FILTER)),

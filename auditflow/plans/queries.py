@@ -53,6 +53,13 @@ def _change(df: DataFrame, dimensions) -> DataFrame:
     return metrics.period_breakdown(df, dimensions, baseline=BASELINE, current=CURRENT, date_col="order_date")
 
 
+def _change_with_customers(spark: SparkSession, sf_dir: str, dimensions) -> DataFrame:
+    return metrics.breakdown_through_key(
+        views.prepared_sales(spark, sf_dir), views.customers(spark, sf_dir), "customer_id", dimensions,
+        baseline=BASELINE, current=CURRENT, date_col="order_date",
+    )
+
+
 def _comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.period_comparison(
         views.prepared_sales(spark, sf_dir), baseline=BASELINE, current=CURRENT, date_col="order_date"
@@ -90,12 +97,12 @@ def breakdown_channel(spark, sf_dir):
 
 @query
 def breakdown_segment(spark, sf_dir):
-    return _change(_with_customers(spark, sf_dir), "segment")
+    return _change_with_customers(spark, sf_dir, "segment")
 
 
 @query
 def breakdown_multi(spark, sf_dir):
-    return _change(_with_customers(spark, sf_dir), ["channel", "segment", "region", "campaign"])
+    return _change_with_customers(spark, sf_dir, ["channel", "segment", "region", "campaign"])
 
 
 @query
@@ -140,7 +147,7 @@ def month_channel_pivot(spark, sf_dir):
 @query
 def filtered_totals(spark, sf_dir):
     condition = questions.slice_condition(region_keyword="norte", channel_keyword="wholesale")
-    return metrics.filtered_totals(views.labelled_sales(spark, sf_dir), condition)
+    return metrics.filtered_totals(views.labelled_sales(spark, sf_dir), condition, weight="lines")
 
 
 @query
@@ -420,7 +427,7 @@ def finite_check(spark, sf_dir):
 
 def _breakdown_results(spark, sf_dir):
     """Breakdowns as results, and one that lost a member on the way."""
-    parts = _change(_with_customers(spark, sf_dir), ["channel", "segment", "region"])
+    parts = _change_with_customers(spark, sf_dir, ["channel", "segment", "region"])
     own = F.concat(F.lit("RES_"), F.upper("dimension"))
     lossy = F.when((F.col("dimension") == "channel") & (F.col("dimension_value") != "5-LOW"), F.lit("RES_CHANNEL_PARTIAL"))
     return parts.withColumn("result_id", F.explode(F.array_compact(F.array(own, lossy))))
@@ -543,7 +550,7 @@ def table_digest(spark, sf_dir):
 # Reports
 # ---------------------------------------------------------------------------
 def _drivers(spark, sf_dir):
-    return report.top_driver(_change(_with_customers(spark, sf_dir), ["channel", "segment"]))
+    return report.top_driver(_change_with_customers(spark, sf_dir, ["channel", "segment"]))
 
 
 @query
@@ -563,10 +570,9 @@ def findings(spark, sf_dir):
 
 @query
 def chart_datasets(spark, sf_dir):
-    sales = _with_customers(spark, sf_dir)
-    return report.chart_datasets(
-        metrics.monthly_trend(sales), _change(sales, ["channel", "segment"]), metrics.customer_dynamics(sales)
-    )
+    sales = views.prepared_sales(spark, sf_dir)
+    breakdowns = _change_with_customers(spark, sf_dir, ["channel", "segment"])
+    return report.chart_datasets(metrics.monthly_trend(sales), breakdowns, metrics.customer_dynamics(sales))
 
 
 @query
@@ -614,7 +620,7 @@ def filter_answers(spark, sf_dir):
         F.col("query_type") == questions.RECALCULATE
     )
     requests = questions.extract_filters(asked, "question")
-    answers = questions.answer_text(questions.answer_filters(requests, views.labelled_sales(spark, sf_dir)))
+    answers = questions.answer_text(questions.answer_filters(requests, views.labelled_sales(spark, sf_dir), weight="lines"))
     return answers.select("question_id", "filter_or_condition", "total_value", "row_count")
 
 

@@ -177,7 +177,11 @@ def untidy_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prepared sales with the region and channel names that questions use."""
+    """Prepared sales with the region and channel names that questions use.
+
+    Summed per customer and channel before customers bring their region in;
+    ``lines`` says how many sales a row stands for.
+    """
     region = (
         F.when(F.col("region") == "AFRICA", "South")
         .when(F.col("region") == "EUROPE", "North")
@@ -190,10 +194,13 @@ def labelled_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("Online / Direct")
     )
     homes = customers(spark, sf_dir).select("customer_id", region.alias("region"))
+    summed = prepared_sales(spark, sf_dir).groupBy("customer_id", "channel").agg(
+        F.sum("net_sales").alias("net_sales"), F.count(F.lit(1)).alias("lines")
+    )
     return (
-        safe_left_join(prepared_sales(spark, sf_dir), homes, "customer_id")
+        safe_left_join(summed, homes, "customer_id")
         .withColumn("channel", channel)
-        .select("order_id", "region", "channel", "net_sales")
+        .select("region", "channel", "net_sales", "lines")
     )
 
 

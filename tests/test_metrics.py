@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from auditflow.operators import metrics as m
+from auditflow.operators.joins import safe_left_join
 
 SCHEMA = "order_id int, order_date_clean date, customer_id string, channel string, units long, net_sales decimal(18,4), gross_sales decimal(18,4)"
 
@@ -69,6 +70,16 @@ def test_breakdown_shares_its_shuffle(facts):
     assert "ReusedExchange" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_breakdown_through_key_equals_breakdown_of_the_join(spark, facts, rows):
+    dim = spark.createDataFrame([("A", "retail", "x"), ("A", "other", "y"), ("B", "retail", "x"), ("", None, "z")], "customer_id string, segment string, region string")
+    periods = {"baseline": "2026-03", "current": "2026-05"}
+    names = ["segment", "channel", "region", "campaign"]
+    plain = m.period_breakdown(safe_left_join(facts, dim, "customer_id", order_by=["region"]), names, **periods)
+    keyed = m.breakdown_through_key(facts, dim, "customer_id", names, order_by=["region"], **periods)
+    assert rows(keyed) == rows(plain)
+    assert {r.dimension_value for r in keyed.where("dimension = 'segment'").collect()} == {"retail", "Unclassified"}
+
+
 def test_months_reach_the_scan(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     df = m.period_comparison(orders, baseline="2001-03", current="2001-07", metric="o_totalprice", date_col="o_orderdate")
