@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -75,14 +74,23 @@ def _not_shadowed(needles: Sequence[str], *, by_later: bool) -> list[str]:
     return kept
 
 
+def _words(needles: Sequence[str]) -> Column:
+    return F.array(*[F.lit(n) for n in needles])
+
+
 def first_contained(text: Column, needles: Sequence[str]) -> Column:
-    """The first needle, in list order, that ``text`` contains; null if none."""
-    return F.coalesce(*[F.when(text.contains(n), F.lit(n)) for n in _not_shadowed(needles, by_later=False)])
+    """The first needle, in list order, that ``text`` contains; null if none.
+
+    A search over an array of words: one test per word written out would make
+    generated code too large to compile.
+    """
+    words = _words(_not_shadowed(needles, by_later=False))
+    return F.get(F.filter(words, lambda word: F.contains(text, word)), 0)
 
 
 def contains_any(text: Column, needles: Sequence[str]) -> Column:
-    found = [text.contains(n) for n in _not_shadowed(needles, by_later=True)]
-    return F.coalesce(reduce(Column.__or__, found), F.lit(False))
+    words = _words(_not_shadowed(needles, by_later=True))
+    return F.coalesce(F.exists(words, lambda word: F.contains(text, word)), F.lit(False))
 
 
 def route_questions(
@@ -133,13 +141,10 @@ def route_questions(
 
 def _keyword(text: Column, given: Column | None, keywords: Mapping[str, str]) -> Column:
     """The first keyword contained in the text or equal to the given filter."""
-    tests = []
-    for keyword in keywords:
-        found = text.contains(keyword)
-        if given is not None:
-            found = found | F.coalesce(F.lower(given) == keyword, F.lit(False))
-        tests.append(F.when(found, F.lit(keyword)))
-    return F.coalesce(*tests)
+    if given is None:
+        return F.get(F.filter(_words(list(keywords)), lambda word: F.contains(text, word)), 0)
+    chosen = F.coalesce(F.lower(given), F.lit(""))
+    return F.get(F.filter(_words(list(keywords)), lambda word: F.contains(text, word) | (chosen == word)), 0)
 
 
 def _label(keyword: Column, keywords: Mapping[str, str]) -> Column:
