@@ -16,12 +16,12 @@ STATUS_NAMES = ("status", "estado")
 
 # What one row of a table means, by column name or table name part.
 ROW_MEANINGS = (
-    (("order_id", "orden_id"), "venta", "Transactional order/sales facts (one record per order line or order)."),
-    (("customer_id",), "cliente", "Customer dimension (one record per customer)."),
-    (("product_id",), "producto", "Product dimension (one record per product)."),
-    (("campaign_id",), "campaña", "Marketing campaign dimension."),
+    (("order_id", "orden_id"), "venta", "Sales fact: a row is an order or an order line"),
+    (("customer_id",), "cliente", "Customer dimension: a row is a customer"),
+    (("product_id",), "producto", "Product dimension: a row is a product"),
+    (("campaign_id",), "campaña", "Campaign dimension: a row is a campaign"),
 )
-GENERAL_MEANING = "General table"
+GENERAL_MEANING = "Other table"
 
 
 def has_part(name: str, parts: Iterable[str]) -> bool:

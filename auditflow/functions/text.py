@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,12 +28,6 @@ def truncate_text(
     )
 
 
-def redacted(c: Column, secrets: Sequence[str], marker: str = REDACTION_MARKER) -> Column:
-    for secret in secrets:
-        c = F.replace(c, F.lit(secret), F.lit(marker))
-    return c
-
-
 def occurrences(c: Column, needle: str) -> Column:
     """How often ``needle`` occurs in ``c``, without overlaps."""
     removed = F.length(c) - F.length(F.replace(c, F.lit(needle), F.lit("")))
@@ -50,12 +45,12 @@ def redact_text(
     secrets = [s for s in secrets if s]
     if any(s in marker for s in secrets):
         raise ValueError("a secret must not be part of the marker")
-    hits = F.lit(0).cast("long")
-    for name in text_cols:
-        for i, secret in enumerate(secrets):
-            hits = hits + occurrences(redacted(F.col(name), secrets[:i], marker), secret)
-    cleaned = {name: redacted(F.col(name), secrets, marker) for name in text_cols}
-    return df.withColumn("redaction_hits", hits).withColumns(cleaned)
+    df = df.withColumn("redaction_hits", F.lit(0).cast("long"))
+    for secret in secrets:
+        hits = reduce(Column.__add__, [occurrences(F.col(c), secret) for c in text_cols], F.col("redaction_hits"))
+        cleaned = {c: F.replace(F.col(c), F.lit(secret), F.lit(marker)) for c in text_cols}
+        df = df.withColumns({"redaction_hits": hits, **cleaned})
+    return df
 
 
 def money_text(c: Column, places: int = 0) -> Column:

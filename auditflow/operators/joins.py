@@ -135,7 +135,7 @@ def join_diagnostics(
             F.when(
                 ~F.col("is_safe"),
                 F.format_string(
-                    "Join alert: multiplication factor = %s, metric discrepancy = %s",
+                    "Rows multiply by %s and the metric changes by %s.",
                     F.col("multiplication_factor").cast(StringType()),
                     F.round(F.col("metric_after") - F.col("metric_before"), 2).cast(StringType()),
                 ),

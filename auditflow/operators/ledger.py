@@ -35,12 +35,12 @@ def _cutoff_column(cutoff: Cutoff) -> Column:
 
 
 def _reason(cutoff: Cutoff) -> Column:
-    reasons = F.when(F.col(STEP) == INVALID_DATE, F.lit("Invalid or corrupt date")).when(
-        F.col(STEP) == EXCLUDED_STATUS, F.lit("Cancelled or refunded order")
+    reasons = F.when(F.col(STEP) == INVALID_DATE, F.lit("Date is missing or not a date")).when(
+        F.col(STEP) == EXCLUDED_STATUS, F.lit("Status is excluded")
     )
     if cutoff is not None:
         late = F.concat(
-            F.lit("Record post-dates closed monthly period ("),
+            F.lit("After the cutoff ("),
             F.coalesce(_cutoff_column(cutoff).cast(StringType()), F.lit("unknown")),
             F.lit(")"),
         )
@@ -170,6 +170,8 @@ def amount_cast_counts(df: DataFrame, amount_cols: Sequence[str] = AMOUNT_COLUMN
         )
         for c in present
     ]
+    if not counts:
+        raise ValueError(f"none of {list(amount_cols)} is a column of the table")
     return df.agg(F.array(*counts).alias("counts")).select(F.inline("counts"))
 
 
@@ -225,6 +227,9 @@ def exclusion_ledger(
     if date_col and cutoff is not None:
         steps.append((AFTER_CUTOFF, "TRF_03_CUTOFF_INCOMPLETE_PERIOD", "filter_date_range", CLEAN_DATE))
 
+    if not steps:
+        return conform(flagged.sparkSession.range(0), TRANSFORMATION)
+
     def excluded(step: int) -> str:
         return f"excluded_{step}"
 

@@ -268,9 +268,7 @@ def forecast_eligibility(
     )
     eligible = F.col("periods") >= min_periods
     reason = F.concat(
-        F.lit("Insufficient historical depth: "),
-        F.col("periods").cast("string"),
-        F.lit(f" closed months available, at least {min_periods} required."),
+        F.lit("History has "), F.col("periods").cast("string"), F.lit(f" months; a forecast needs {min_periods}.")
     )
     return row.withColumn("eligible", eligible).withColumn("reason", F.when(~eligible, reason))
 

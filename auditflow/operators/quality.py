@@ -80,8 +80,8 @@ def empty_table(df: DataFrame, table_id: str) -> DataFrame:
         affected=F.lit(0),
         total=F.lit(0),
         percentage=F.lit(100.0),
-        description=f"Table {table_id} is empty.",
-        action="Upload a file with data.",
+        description=f"{table_id} has no rows.",
+        action="Provide rows for this table.",
         prefix="EMPTY",
     )
 
@@ -109,7 +109,7 @@ def duplicate_keys(df: DataFrame, table_id: str, *, key: str | None = None, samp
         affected=F.col("affected"),
         total=F.col("total"),
         samples=_samples_of(counts.where(repeated), samples),
-        description=f"Duplicate keys found in dimension {table_id} under column {key}.",
+        description=f"{key} should identify a row of {table_id}, but repeats.",
         action="Reduce the dimension to one row per key before joining it.",
         prefix="DUP_KEY",
     )
@@ -159,8 +159,8 @@ def invalid_dates(
         affected=F.col("affected"),
         total=F.col("total"),
         samples=evidence,
-        description=_text("Detected ", F.col("affected"), f" invalid or corrupt dates in {table_id}.", F.col("column"), "."),
-        action="Exclude these rows from time series and record their exclusion.",
+        description=_text(F.col("column"), f" of {table_id} has ", F.col("affected"), " filled cells that are not a date."),
+        action="Leave these rows out of monthly figures; the ledger records them.",
     )
 
 
@@ -169,7 +169,7 @@ def incomplete_last_period(
 ) -> DataFrame:
     """The last month of a fact has too few days with records to be compared."""
     last = incomplete_period(df, column, min_days=min_days).where("is_incomplete")
-    days = _text("Days recorded in ", F.col("last_month"), ": ", F.col("days_recorded"), " of ", F.col("days_in_month"))
+    days = _text(F.col("last_month"), ": ", F.col("days_recorded"), " of ", F.col("days_in_month"), " days")
     return _issues(
         last,
         issue_type="incomplete_period",
@@ -180,8 +180,7 @@ def incomplete_last_period(
         total=F.col("total_rows"),
         samples=F.array(days),
         description=_text(
-            "The final month (", F.col("last_month"), ") has records on only ", F.col("days_recorded"),
-            " days; comparing it with full months would show a false drop.",
+            "The last month ", F.col("last_month"), " has rows on ", F.col("days_recorded"), " days only, so it is not comparable.",
         ),
         action="Compare closed full months only.",
     )
@@ -210,8 +209,8 @@ def returns_and_cancellations(
         affected=F.col("affected"),
         total=F.col("total"),
         samples=F.transform("packed", lambda s: F.concat(s["status"], F.lit(": "), (-s["rank"]).cast("string"))),
-        description=_text("There are ", F.col("affected"), " orders with cancelled or refunded status."),
-        action="Keep completed orders only for actual net sales.",
+        description=_text(F.col("affected"), " rows are cancelled or refunded."),
+        action="Leave them out of sales figures.",
         id_parts=[F.lit(table_id)],
     )
 
@@ -233,8 +232,8 @@ def leading_zeros(profile: DataFrame) -> DataFrame:
         severity="info",
         affected=F.col("total_count") - F.col("null_count"),
         percentage=round_to(F.lit(100.0) - F.col("null_percentage"), 2),
-        description=_text("Column ", F.col("name"), " holds identifiers with leading zeros."),
-        action="Keep the column as text so that joins do not lose digits.",
+        description=_text("Values of ", F.col("name"), " start with zeros."),
+        action="Read the column as text; a number would drop the zeros.",
         prefix="LEADING_ZEROS",
     )
 
@@ -305,10 +304,9 @@ def orphan_records(diagnostics: DataFrame, *, samples: Column | None = None) ->
         total=F.col("left_rows"),
         samples=samples,
         description=_text(
-            "There are ", F.col("orphans_left"), " records in ", F.col("left_table"), " with a key '", F.col("left_key"),
-            "' not found in ", F.col("right_table"), ".",
+            F.col("orphans_left"), " rows of ", F.col("left_table"), " have a ", F.col("left_key"), " unknown to ", F.col("right_table"), ".",
         ),
-        action="Keep the records by a left join and mark their members as Unclassified.",
+        action="Join them as Unclassified rather than dropping them.",
         prefix="ORPHAN",
         id_parts=[F.col("left_table"), F.col("right_table"), F.col("left_key")],
     )
@@ -325,7 +323,7 @@ def many_to_many(diagnostics: DataFrame) -> DataFrame:
         affected=affected,
         total=F.col("right_rows"),
         description=_text(
-            "Key ", F.col("right_key"), " in ", F.col("right_table"), " is not unique; a direct join would multiply amounts."
+            F.col("right_table"), " has several rows for a ", F.col("right_key"), "; joining it as it is repeats fact rows."
         ),
         action="Reduce the dimension to one row per key before joining it.",
         prefix="M2M",

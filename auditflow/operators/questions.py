@@ -112,15 +112,19 @@ def route_questions(
     """
     text = F.col("_text")
     given = F.coalesce(has_filters, F.lit(False)) if has_filters is not None else F.lit(False)
-    searched = questions.withColumn("_text", F.lower(F.col(text_col))).withColumns(
-        {
-            "_missing": first_contained(text, unanswerable),
-            "_new": first_contained(text, new_analysis),
-            "_recalculate": first_contained(text, recalculate),
-            "_quantity": contains_any(text, quantities),
-        }
+    searched = (
+        questions.withColumn("_text", F.lower(F.col(text_col)))
+        .withColumns(
+            {
+                "_missing": first_contained(text, unanswerable),
+                "_new": first_contained(text, new_analysis),
+                "_may_ask": given | contains_any(text, quantities),
+            }
+        )
+        # The longest list is searched only where its result can matter.
+        .withColumn("_recalculate", F.when(F.col("_may_ask"), first_contained(text, recalculate)))
     )
-    wants_figure = given | (F.col("_recalculate").isNotNull() & F.col("_quantity"))
+    wants_figure = given | F.col("_recalculate").isNotNull()
     query_type = (
         F.when(F.col("_missing").isNotNull(), UNANSWERABLE)
         .when(F.col("_new").isNotNull(), NEW_ANALYSIS)
@@ -135,7 +139,7 @@ def route_questions(
                 "requires_full_run": F.col("query_type") == NEW_ANALYSIS,
             }
         )
-        .drop("_text", "_missing", "_new", "_recalculate", "_quantity")
+        .drop("_text", "_missing", "_new", "_may_ask", "_recalculate")
     )
 
 
@@ -271,7 +275,7 @@ def answer_text(answers: DataFrame) -> DataFrame:
     return answers.withColumn("filter_or_condition", described).withColumn(
         "answer_text",
         F.concat(
-            F.lit("Under the applied conditions ("), F.col("filter_or_condition"), F.lit("), net sales total $"),
-            F.format_number("total_value", 2), F.lit(" across "), F.col("row_count").cast("string"), F.lit(" rows."),
+            F.lit("Net sales are $"), F.format_number("total_value", 2), F.lit(" over "),
+            F.col("row_count").cast("string"), F.lit(" rows ("), F.col("filter_or_condition"), F.lit(")."),
         ),
     )

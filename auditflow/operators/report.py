@@ -94,21 +94,22 @@ def chart_points(chart_id: str, df: DataFrame, label: str, measures: list[str])
     return df.select(F.lit(chart_id).alias("chart_id"), F.col(label).alias("label"), F.inline(values))
 
 
-def chart_datasets(
-    trend: DataFrame, breakdowns: DataFrame, dynamics: DataFrame
-) -> DataFrame:
+def chart_datasets(trend: DataFrame, breakdowns: DataFrame | None, dynamics: DataFrame) -> DataFrame:
     """Data of all charts: monthly series, one bar chart per dimension, new versus recurring."""
+    series = chart_points("CHART_TIME_SERIES", trend, "period", ["net_sales", "order_count"])
+    dynamic = chart_points(
+        "CHART_CUSTOMER_DYNAMICS", dynamics, "period", ["new_customers_sales", "recurring_customers_sales"]
+    )
+    charts = series.unionByName(dynamic)
+    if breakdowns is None:
+        return charts
     bars = breakdowns.select(
         F.concat(F.lit("CHART_"), F.upper("dimension")).alias("chart_id"),
         F.col("dimension_value").alias("label"),
         F.lit("absolute_change").alias("measure"),
         F.col("absolute_change").alias("value"),
     )
-    series = chart_points("CHART_TIME_SERIES", trend, "period", ["net_sales", "order_count"])
-    dynamic = chart_points(
-        "CHART_CUSTOMER_DYNAMICS", dynamics, "period", ["new_customers_sales", "recurring_customers_sales"]
-    )
-    return series.unionByName(bars).unionByName(dynamic)
+    return charts.unionByName(bars)
 
 
 def chart_specs(points: DataFrame) -> DataFrame:

@@ -184,9 +184,9 @@ def presentation_checks(components: DataFrame, results: DataFrame, *, run: Seque
     keys = [*run, "result_id"]
     statuses = results.groupBy(*keys).agg(F.bool_or(F.col("validation_status") == "rejected").alias("is_rejected"))
     problem = (
-        F.when(F.col("is_rejected").isNull(), "references a non-existent result")
-        .when(F.col("is_rejected"), "displays a rejected result")
-        .when((F.col("kind") == "chart") & (F.coalesce("points", F.lit(0)) == 0), "has no data points")
+        F.when(F.col("is_rejected").isNull(), "cites an unknown result")
+        .when(F.col("is_rejected"), "cites a rejected result")
+        .when((F.col("kind") == "chart") & (F.coalesce("points", F.lit(0)) == 0), "is empty")
     )
     return components.join(statuses, keys, "left").select(
         *run, "component_id", "kind", "result_id", problem.alias("problem"), problem.isNull().alias("is_valid")

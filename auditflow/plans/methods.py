@@ -133,7 +133,7 @@ def _warnings(step: Step, result: DataFrame) -> Column:
         return result.agg(reasons.alias("warnings")).scalar()
     if step.category == "dimension_breakdown":
         off = F.count_if(~F.col("is_reconciled")) > 0
-        text = F.array(F.lit("Reconciliation discrepancy exceeds tolerance threshold."))
+        text = F.array(F.lit("The parts do not add up to the total."))
         return result.agg(F.when(off, text).otherwise(none).alias("warnings")).scalar()
     return none
 

@@ -168,8 +168,8 @@ components AS (
 COMPONENT_CHECKS = f"""{RUN_LOG},
 result_states AS (SELECT run_id, result_id, bool_or(validation_status = 'rejected') AS is_rejected FROM event_results GROUP BY ALL),
 component_checks AS (
-  SELECT c.*, CASE WHEN is_rejected IS NULL THEN 'references a non-existent result' WHEN is_rejected THEN 'displays a rejected result'
-                   WHEN kind = 'chart' AND coalesce(points, 0) = 0 THEN 'has no data points' END AS problem
+  SELECT c.*, CASE WHEN is_rejected IS NULL THEN 'cites an unknown result' WHEN is_rejected THEN 'cites a rejected result'
+                   WHEN kind = 'chart' AND coalesce(points, 0) = 0 THEN 'is empty' END AS problem
   FROM components c LEFT JOIN result_states r ON c.run_id = r.run_id AND c.result_id = r.result_id
 )"""
 
@@ -261,8 +261,7 @@ def _forecast(source: str, day: str, ctes: str = "") -> str:
     return f"""WITH {ctes + ',' if ctes else ''} {months}
 SELECT count(*) AS periods, strftime(min(m), '%Y-%m') AS first_period, strftime(max(m), '%Y-%m') AS last_period,
        date_diff('month', min(m), max(m)) + 1 - count(*) AS missing_periods, count(*) >= 12 AS eligible,
-       CASE WHEN count(*) < 12 THEN 'Insufficient historical depth: ' || CAST(count(*) AS VARCHAR)
-            || ' closed months available, at least 12 required.' END AS reason
+       CASE WHEN count(*) < 12 THEN 'History has ' || CAST(count(*) AS VARCHAR) || ' months; a forecast needs 12.' END AS reason
 FROM months"""
 
 
@@ -476,10 +475,10 @@ steps AS (
 ),
 ledger AS (
   SELECT 1 AS step_index, 'TRF_01_CLEAN_DATES' AS transformation_id, 'filter_invalid_dates' AS operation, total AS rows_before,
-         total - x1 AS rows_after, x1 AS rows_excluded, 'Invalid or corrupt date' AS exclusion_reason FROM steps
-  UNION ALL SELECT 2, 'TRF_02_FILTER_STATUS', 'filter_completed_orders', total - x1, total - x1 - x2, x2, 'Cancelled or refunded order' FROM steps
+         total - x1 AS rows_after, x1 AS rows_excluded, 'Date is missing or not a date' AS exclusion_reason FROM steps
+  UNION ALL SELECT 2, 'TRF_02_FILTER_STATUS', 'filter_completed_orders', total - x1, total - x1 - x2, x2, 'Status is excluded' FROM steps
   UNION ALL SELECT 3, 'TRF_03_CUTOFF_INCOMPLETE_PERIOD', 'filter_date_range', total - x1 - x2, total - x1 - x2 - x3, x3,
-         'Record post-dates closed monthly period ({DIRTY_CUTOFF})' FROM steps WHERE x3 > 0
+         'After the cutoff ({DIRTY_CUTOFF})' FROM steps WHERE x3 > 0
 )"""
 
 UNTIDY = """
@@ -591,8 +590,8 @@ SELECT order_id, n AS amount, coalesce(n, 0.0) AS amount_or_zero,
   count(*) FILTER (WHERE amount <> '' AND NOT {IS_NUMBER}) AS unreadable_cells, count(*) FILTER (WHERE amount = 'NaN') AS non_finite_cells FROM untidy""",
     "exclusion_ledger": f"WITH {DIRTY_ORDERS},{LEDGER} SELECT * FROM ledger",
     "quarantine_rows": f"""WITH {DIRTY_ORDERS}
-SELECT order_id, order_date, status, CASE WHEN day IS NULL THEN 'Invalid or corrupt date' WHEN status = 'CANCELLED' THEN 'Cancelled or refunded order'
-       ELSE 'Record post-dates closed monthly period ({DIRTY_CUTOFF})' END AS exclusion_reason
+SELECT order_id, order_date, status, CASE WHEN day IS NULL THEN 'Date is missing or not a date' WHEN status = 'CANCELLED' THEN 'Status is excluded'
+       ELSE 'After the cutoff ({DIRTY_CUTOFF})' END AS exclusion_reason
 FROM parsed_orders WHERE day IS NULL OR status = 'CANCELLED' OR day > DATE '{DIRTY_CUTOFF}'""",
     "incomplete_period": f"""WITH {LAST_MONTH}
 SELECT strftime(m, '%Y-%m') AS last_month, days AS days_recorded, CAST(day(last_day(m)) AS BIGINT) AS days_in_month, n AS rows_in_month,
@@ -625,8 +624,8 @@ UNION ALL {_match_rate('c', '', '', 'order_headers', 'order_lines')}""",
     "column_profile": f"WITH {DIRTY_CUSTOMERS},{TEXT_TABLES},{_profiles(TEXT_COLUMNS)} SELECT * FROM profile",
     "table_profiles": f"""WITH {DIRTY_CUSTOMERS},{TEXT_TABLES},{_profiles(TEXT_COLUMNS)}
 SELECT table_id, upper(table_id[1]) || table_id[2:] AS display_name, max(total_count) AS row_count, count(*) AS column_count,
-       CASE table_id WHEN 'orders' THEN 'Transactional order/sales facts (one record per order line or order).'
-                     WHEN 'customers' THEN 'Customer dimension (one record per customer).' ELSE 'General table' END AS row_semantic_meaning,
+       CASE table_id WHEN 'orders' THEN 'Sales fact: a row is an order or an order line'
+                     WHEN 'customers' THEN 'Customer dimension: a row is a customer' ELSE 'Other table' END AS row_semantic_meaning,
        coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE column_role = 'date'), '') AS date_columns,
        coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE column_role = 'id'), '') AS id_columns,
        coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE column_role = 'numeric'), '') AS numeric_columns,

@@ -22,7 +22,7 @@ _SCHEMAS: dict[tuple[str, str], StructType] = {}
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table by name. Its schema is read from the files once per application."""
     path = f"{sf_dir}/{name}.parquet"
-    known = (spark.sparkContext.applicationId, path)
+    known = (spark.conf.get("spark.app.id"), path)
     if known not in _SCHEMAS:
         _SCHEMAS[known] = spark.read.parquet(path).schema
     return spark.read.schema(_SCHEMAS[known]).parquet(path)

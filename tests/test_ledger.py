@@ -27,11 +27,11 @@ def test_split_and_ledger(orders, rows):
     assert rows(ledger.clean_rows(flagged), "order_id") == [("O1",), ("O6",), ("O7",)]
     assert rows(ledger.keep_usable(orders, cutoff=date(2026, 5, 31)), "order_id") == [("O1",), ("O6",), ("O7",)]
     assert rows(ledger.quarantined_rows(flagged, cutoff="2026-05-31"), "order_id", "exclusion_reason") == [
-        ("O2", "Invalid or corrupt date"),
-        ("O3", "Invalid or corrupt date"),
-        ("O4", "Cancelled or refunded order"),
-        ("O5", "Record post-dates closed monthly period (2026-05-31)"),
-        ("O8", "Invalid or corrupt date"),
+        ("O2", "Date is missing or not a date"),
+        ("O3", "Date is missing or not a date"),
+        ("O4", "Status is excluded"),
+        ("O5", "After the cutoff (2026-05-31)"),
+        ("O8", "Date is missing or not a date"),
     ]
     found = ledger.exclusion_ledger(flagged, cutoff=date(2026, 5, 31)).orderBy("step_index").collect()
     assert [(r.rows_before, r.rows_after, r.rows_excluded) for r in found] == [(8, 5, 3), (5, 4, 1), (4, 3, 1)]
@@ -66,6 +66,9 @@ def test_without_status_or_date(spark):
     df = spark.createDataFrame([(1,), (2,)], "id int")
     flagged = ledger.flag_exclusions(df)
     assert ledger.clean_rows(flagged).count() == 2
+    assert ledger.exclusion_ledger(flagged).count() == 0
+    with pytest.raises(ValueError):
+        ledger.amount_cast_counts(df)
 
 
 def test_amounts(orders):

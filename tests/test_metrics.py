@@ -116,7 +116,7 @@ def test_customer_dynamics(facts):
 
 def test_forecast(facts, spark):
     short = m.forecast_eligibility(facts).first()
-    assert (short.periods, short.missing_periods, short.eligible) == (3, 1, False) and "3 closed months" in short.reason
+    assert (short.periods, short.missing_periods, short.eligible) == (3, 1, False) and "3 months" in short.reason
     assert m.forecast_eligibility(facts, min_periods=3).first().eligible
     assert m.forecast_eligibility(facts.limit(0)).first().periods == 0
 

@@ -141,7 +141,7 @@ def test_fixture(spark):
     invalid = quality.invalid_dates(orders, "orders").first()
     assert (invalid.affected_rows, invalid.evidence_samples) == (2, ["2026-02-30", "CORRUPT_DATE"])
     june = quality.incomplete_last_period(orders, "orders", column="order_date").first()
-    assert june.evidence_samples == ["Days recorded in 2026-06: 4 of 30"]
+    assert june.evidence_samples == ["2026-06: 4 of 30 days"]
     customers = fixture.customers(spark)
     assert customers.count() == 81 and quality.duplicate_keys(customers, "customers").first().evidence_samples == ["00015"]
     truth = {(r.period, r.channel): r.net_sales for r in fixture.truth(orders).collect()}

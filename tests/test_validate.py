@@ -69,8 +69,8 @@ def test_presentation(spark):
     )
     checks = v.presentation_checks(components, results, run=["run_id"])
     assert {r.component_id: r.problem for r in checks.collect()} == {
-        1: None, 2: "displays a rejected result", 3: "has no data points", 4: "references a non-existent result",
-        5: "references a non-existent result",
+        1: None, 2: "cites a rejected result", 3: "is empty", 4: "cites an unknown result",
+        5: "cites an unknown result",
     }
     alignment = v.period_alignment(components, run=["run_id"])
     assert {r.run_id: r.is_aligned for r in alignment.collect()} == {"r1": False, "r2": True}
