@@ -142,8 +142,12 @@ def call_log_rollup(
     output_tokens: str = "output_tokens",
     duration: str = "duration_ms",
     percentiles: Sequence[float] = (0.5, 0.95),
+    accuracy: int = 100_000,
 ) -> DataFrame:
-    """Model calls per agent and status: calls, tokens and durations."""
+    """Model calls per agent and status: calls, tokens and durations.
+
+    Percentiles come from a sketch; they are exact for groups of up to ``accuracy`` calls.
+    """
 
     def tokens(name: str) -> Column:
         return F.coalesce(F.sum(name), F.lit(0))
@@ -154,5 +158,5 @@ def call_log_rollup(
         tokens(output_tokens).alias("output_tokens"),
         F.min(duration).alias("min_duration"),
         F.max(duration).alias("max_duration"),
-        *[F.percentile_approx(duration, p).alias(f"p{round(p * 100)}_duration") for p in percentiles],
+        *[F.percentile_approx(duration, p, accuracy).alias(f"p{round(p * 100)}_duration") for p in percentiles],
     )

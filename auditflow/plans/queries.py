@@ -690,7 +690,24 @@ def table_manifest(spark, sf_dir):
     return manifest.table_manifest({t: views.table(spark, sf_dir, t) for t in TABLES})
 
 
+LARGEST_BINARY_FILE = 2**31 - 1  # one file is one row
+TABLE_IN_PATH = r"/([^/]+)\.parquet(/|$)"
+
+
+def _fingerprints(spark, sf_dir):
+    files = manifest.list_files(spark, sf_dir, recursive=True)
+    admitted = manifest.admission(files, extensions=(".parquet",), max_bytes=LARGEST_BINARY_FILE)
+    return manifest.fingerprints(admitted.where(F.col("reject_reason").isNull()))
+
+
 @query
 def file_fingerprints(spark, sf_dir):
-    files = manifest.admission(manifest.list_files(spark, sf_dir), extensions=(".parquet",))
-    return manifest.fingerprints(files.where(F.col("reject_reason").isNull())).select("file_name", "length", "sha256")
+    return _fingerprints(spark, sf_dir).select("file_name", "length", "sha256")
+
+
+@query
+def file_manifest(spark, sf_dir):
+    named = _fingerprints(spark, sf_dir).withColumn("table_name", F.regexp_extract("path", TABLE_IN_PATH, 1))
+    return named.join(table_manifest(spark, sf_dir), "table_name").select(
+        "table_name", "file_name", "length", "sha256", "row_count", "column_count"
+    )
