@@ -224,8 +224,9 @@ def salted_lookup(
     The heaviest keys of more than ``salt_over`` fact rows, ``max_heavy`` of them at
     most, are salted; the list is that short, so it is broadcast. Their fact rows
     are spread by a hash of the row's content, which is the same when a lost task
-    is run again, and their lookup rows are repeated once per salt. All other keys
-    are joined as they are. ``fact_counts`` may bring the rows per key (``on`` plus
+    is run again, and their lookup rows are repeated once per salt. Exact copies of
+    a row share a salt; adaptive execution splits those by the task they came from.
+    All other keys are joined as they are. ``fact_counts`` may bring the rows per key (``on`` plus
     ``n``) if known.
     """
     if fact_counts is None:

@@ -1,11 +1,35 @@
-"""Append-only stores of artifacts and run events, and the reads over them."""
+"""Stores of prepared facts, artifacts and run events, and the reads over them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from auditflow.functions.parsing import month_key
+from auditflow.operators.ledger import CLEAN_DATE
 from auditflow.records import ARTIFACT, RUN_EVENT, conform
 
+PERIOD = "period"
+
+
+def write_by_month(fact: DataFrame, path: str, *, date_col: str = CLEAN_DATE) -> None:
+    """Write a prepared fact with one folder per month.
+
+    Rows are rebalanced by month first: small months do not leave many small files,
+    and a month that holds much of the table is still written by several tasks.
+    """
+    keyed = fact.withColumn(PERIOD, month_key(F.col(date_col)))
+    keyed.hint("rebalance", PERIOD).write.mode("overwrite").partitionBy(PERIOD).parquet(path)
+
+
+def read_months(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """A fact written by month; folders outside ``first`` to ``last`` are not read."""
+    stored = spark.read.parquet(path).withColumn(PERIOD, F.col(PERIOD).cast("string"))
+    if first is not None:
+        stored = stored.where(F.col(PERIOD) >= first)
+    if last is not None:
+        stored = stored.where(F.col(PERIOD) <= last)
+    return stored.drop(PERIOD)
+
 
 def as_artifacts(df: DataFrame, *, run_id: str, artifact_type: str, artifact_id: Column, created_at: Column | None = None) -> DataFrame:
     """Each row of ``df`` as one JSON document."""

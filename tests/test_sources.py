@@ -147,3 +147,17 @@ def test_fixture(spark):
     truth = {(r.period, r.channel): r.net_sales for r in fixture.truth(orders).collect()}
     assert truth["2026-05", fixture.WHOLESALE] < 0.5 * truth["2026-03", fixture.WHOLESALE]
     assert [t.count() for t in (fixture.products(spark), fixture.categories(spark), fixture.campaigns(spark))] == [8, 4, 4]
+
+
+def test_facts_by_month(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    fact = spark.range(1200).select(
+        "id", F.date_add(F.lit("2026-01-01").cast("date"), (F.col("id") % 90).cast("int")).alias("order_date_clean")
+    )
+    store.write_by_month(fact, path)
+    assert store.read_months(spark, path).count() == 1200
+    february = store.read_months(spark, path, "2026-02", "2026-02")
+    assert february.columns == ["id", "order_date_clean"]
+    assert february.count() == fact.where("month(order_date_clean) = 2").count()
+    plan = february._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(period" in plan
