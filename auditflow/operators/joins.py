@@ -209,6 +209,25 @@ def prefix_clashes(dim: DataFrame, taken: Sequence[str], dim_name: str, key: str
     return dim.withColumnsRenamed({c: f"{dim_name}_{c}" for c in dim.columns if c != key and c in taken})
 
 
+def splittable(left: Sequence[Column], right: Sequence[Column]) -> Column:
+    """Equality of keys, and of their hash, for a join whose left side may be skewed.
+
+    Adaptive execution splits a skewed partition only if both sides are shuffled
+    for the join itself. A side that was grouped by the key is not, since it lies
+    right already. The hash as a further key makes Spark shuffle it once more, and
+    a key with much of the left side no longer ends up in one task.
+    """
+    equal = reduce(Column.__and__, [a == b for a, b in zip(left, right, strict=True)])
+    return equal & (F.xxhash64(*left) == F.xxhash64(*right))
+
+
+def lookup(df: DataFrame, unique: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join to a table with one row per key, where many rows of ``df`` may share a key."""
+    renamed = unique.withColumnsRenamed({k: f"_right_{k}" for k in on})
+    condition = splittable([df[k] for k in on], [renamed[f"_right_{k}"] for k in on])
+    return df.join(renamed, condition, how).drop(*[f"_right_{k}" for k in on])
+
+
 def salted_lookup(
     fact: DataFrame,
     lookup: DataFrame,
@@ -265,8 +284,9 @@ def safe_left_join(
     """Left join to a dimension reduced to one row per key: no fact row is lost or repeated.
 
     Spark broadcasts the dimension if its size allows, else it sorts and merges,
-    and splits skewed partitions of the fact at run time. ``salt_over`` spreads
-    keys with more rows than that explicitly, see ``salted_lookup``.
+    and splits skewed partitions of the fact at run time (see ``splittable``).
+    ``salt_over`` spreads keys with more rows than that explicitly, see
+    ``salted_lookup``.
     """
     right_key = right_key or left_key
     unique = prefix_clashes(deduplicate(dim, right_key, order_by=order_by, keep=keep), fact.columns, dim_name, right_key)
@@ -281,7 +301,8 @@ def safe_left_join(
             "_key"
         )
     keyed = unique.withColumnRenamed(right_key, "_key")
-    same = F.col(f"`{left_key}`").eqNullSafe(F.col("_key")) if null_safe else F.col(f"`{left_key}`") == F.col("_key")
+    left, right = F.col(f"`{left_key}`"), F.col("_key")
+    same = left.eqNullSafe(right) if null_safe else splittable([left], [right])
     joined = fact.join(keyed, same, "left")
     if right_key != left_key and right_key not in fact.columns:
         return joined.withColumnRenamed("_key", right_key)

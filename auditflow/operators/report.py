@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from auditflow.functions.text import money_text, percent_text
+from auditflow.operators.joins import lookup
 from auditflow.records import FINDING, METRIC_CARD, conform
 
 
@@ -221,4 +222,4 @@ def results_summary(results: DataFrame, values: DataFrame) -> DataFrame:
     """
     approved = results.where(F.col("validation_status").isin("approved", "approved_with_warnings"))
     figure = F.to_json(F.struct("item", "field", "value"))
-    return values.join(approved, "result_id").withColumn("figure_json", figure)
+    return lookup(values, approved, ["result_id"], "inner").withColumn("figure_json", figure)

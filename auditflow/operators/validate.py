@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from auditflow.functions.parsing import round_to
+from auditflow.operators.joins import lookup
 from auditflow.operators.metrics import RECONCILED_BELOW
 
 RESULT_KEY = ("result_id",)
@@ -188,7 +189,7 @@ def presentation_checks(components: DataFrame, results: DataFrame, *, run: Seque
         .when(F.col("is_rejected"), "cites a rejected result")
         .when((F.col("kind") == "chart") & (F.coalesce("points", F.lit(0)) == 0), "is empty")
     )
-    return components.join(statuses, keys, "left").select(
+    return lookup(components, statuses, keys).select(
         *run, "component_id", "kind", "result_id", problem.alias("problem"), problem.isNull().alias("is_valid")
     )
 

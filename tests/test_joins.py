@@ -136,3 +136,37 @@ def test_first_per_key(spark, rows):
     assert rows(joins.first_per_key(df, ["k"], ["v"], 2)) == [("a", 0), ("a", 1), ("b", 1)]
     plan = joins.first_per_key(df, ["k"], ["v"], 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+@pytest.fixture
+def large_table_settings(spark):
+    """Settings under which small tables are joined the way large ones are."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_adaptive_execution_can_split_a_hot_key(spark, large_table_settings):
+    """A key with a third of the fact does not stay in one task of a safe join."""
+    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 997).cast("string")))
+    fact = spark.range(0, 60000, 1, 8).select("id", key.alias("k"), F.xxhash64("id").alias("payload"))
+    dim = spark.range(1500).select(
+        F.when(F.col("id") < 2, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 900).cast("string"))).alias("k"),
+        F.col("id").alias("v"),
+    )
+    joined = joins.safe_left_join(fact, dim, "k")
+    found = joined.select("id", "payload", "v").collect()
+    assert len(found) == 60000 and sum(r.v is None for r in found) == fact.join(dim, "k", "left_anti").count()
+    plan = joined.select("id", "payload", "v")
+    plan.collect()
+    assert "SortMergeJoin(skew=true)" in plan._jdf.queryExecution().executedPlan().toString()
