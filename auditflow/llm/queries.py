@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditflow.llm import exact_dedup, mixing
+from auditflow.llm import exact_dedup, license_scan, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -31,3 +31,13 @@ def op8_exact_dedup(spark, sf_dir):
 @query
 def op9_poisson_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, seed=42)
+
+
+@query
+def op7_covering_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_license_scan(spark, sf_dir):
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
