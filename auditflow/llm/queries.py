@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditflow.llm import exact_dedup, license_scan, mixing, simhash
+from auditflow.llm import exact_dedup, license_scan, mixing, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -41,3 +41,8 @@ def op7_covering_simhash(spark, sf_dir):
 @query
 def op1_license_scan(spark, sf_dir):
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
+
+
+@query
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
