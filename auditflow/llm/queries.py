@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditflow.llm import exact_dedup, license_scan, mixing, simhash, substring_dedup
+from auditflow.llm import exact_dedup, license_scan, mixing, simhash, substring_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -46,3 +46,11 @@ def op1_license_scan(spark, sf_dir):
 @query
 def op2_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@query
+def op5_warc_archive(spark, sf_dir):
+    headers, payloads = warc.write_archive(table(spark, sf_dir, "pages"))
+    return warc.catalogue(warc.read_records(headers, payloads)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
