@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditflow.llm import decontaminate, exact_dedup, license_scan, mixing, simhash, substring_dedup, warc
+from auditflow.llm import decontaminate, exact_dedup, license_scan, mixing, simhash, substring_dedup, token_output, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -64,3 +64,14 @@ def op4_decontamination(spark, sf_dir):
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"), "n_near_items",
     )
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op6_bit_plane_tokens(spark, sf_dir):
+    return token_output.token_index(spark, token_output.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path()))
