@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditflow.llm import decontaminate, exact_dedup, license_scan, mixing, simhash, substring_dedup, token_output, warc
+from auditflow.llm import decontaminate, exact_dedup, langid, license_scan, mixing, simhash, substring_dedup, token_output, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -75,3 +75,11 @@ def tokenizer_path() -> str:
 @query
 def op6_bit_plane_tokens(spark, sf_dir):
     return token_output.token_index(spark, token_output.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+@query
+def op10_language_spans(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out()))
+    found = langid.label(docs, model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
