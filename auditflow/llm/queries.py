@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditflow.llm import decontaminate, exact_dedup, langid, license_scan, mixing, simhash, substring_dedup, token_output, warc
+from auditflow.llm import decontaminate, exact_dedup, langid, license_scan, mixing, quality, simhash, substring_dedup, token_output, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -83,3 +83,9 @@ def op10_language_spans(spark, sf_dir):
     model = langid.train(docs.where(~langid.held_out()))
     found = langid.label(docs, model)
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+@query
+def op3_cotrained_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
