@@ -60,6 +60,7 @@ def page_view(text: bytes, words: list[bytes], source: str | None, lang: str | N
         "upper": share(_UPPER), "digits": share(_DIGITS), "signs": share(_SIGNS),
         # How many words repeat depends on the length, so steps of both.
         "different": f"{round(20 * different / n)}|{round(math.log2(n))}",
+        "repeats": round(20 * sum(map(bytes.__eq__, words, words[1:])) / n),
         "longest": round(2 * math.log2(1 + max(map(len, words), default=0))),
     }
     return np.fromiter((zlib.crc32(f"{k}={v}".encode()) % PAGE_BUCKETS for k, v in values.items()), np.uint16)
@@ -198,8 +199,9 @@ def _learn(views: DataFrame, models: tuple[View, View] | None) -> tuple[View, Vi
     counts = _summed(views, count, TEXT_BUCKETS + PAGE_BUCKETS).astype(float)
 
     def odds(part: np.ndarray) -> View:
-        smooth = part + 1.0
-        share = np.log(smooth / smooth.sum(axis=0))
+        # One more document, spread over the classes as all are: an unseen bucket says nothing.
+        totals = np.maximum(part.sum(axis=0), 1)
+        share = np.log((part + totals / totals.sum()) / totals)
         return View(share[:, 1] - share[:, 0])
 
     return odds(counts[:TEXT_BUCKETS]), odds(counts[TEXT_BUCKETS:])
