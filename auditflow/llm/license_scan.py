@@ -126,7 +126,12 @@ class Scanner:
         self.automaton = TemplateAutomaton(coded)
         #: By state: the phrases that end there as a whole, if the match is as long as they are.
         last = {p: self.sizes[p] - 1 for p in self.phrases}
-        self.whole = [[p for p, place in ends if last.get(p) == place] for ends in self.automaton.ends]
+        self.whole: list[set[int]] = [
+            {p for p, place in ends if last.get(p) == place and self.sizes[p] <= length}
+            for ends, length in zip(self.automaton.ends, self.automaton.length, strict=True)
+        ]
+        for state in sorted(range(1, len(self.whole)), key=self.automaton.length.__getitem__):
+            self.whole[state] |= self.whole[self.automaton.link[state]]  # what ends a longer match ends with it
         self.shortest = min([self.min_match, *(self.sizes[p] for p in self.phrases)])
 
     def statistics(self, ids: Sequence[int]) -> Iterator[tuple[int, int]]:

@@ -28,3 +28,31 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 FROM g
 """
+
+_NUMBER = "((('0x' || substr(md5({text}), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0"
+
+ORACLE["op9_poisson_mixing"] = f"""
+WITH RECURSIVE weights(source, w) AS (
+  VALUES ('src0', 0.2), ('src1', 0.1), ('src2', 0.1), ('src3', 0.05), ('__other__', 0.55)
+), d AS (
+  SELECT *, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN source ELSE '__other__' END AS g,
+         {_NUMBER.format(text="'42|' || doc_id::VARCHAR")} AS u
+  FROM documents
+), sizes AS (
+  SELECT g, sum(length(coalesce(text, '')))::DOUBLE AS n FROM d GROUP BY g
+), rates AS (
+  SELECT g, (SELECT sum(n) FROM sizes) * w / (SELECT sum(w) FROM weights) / n AS rate
+  FROM sizes JOIN weights ON g = source WHERE n > 0
+), terms(g, rate, i, term, total) AS (
+  SELECT g, rate, 0, exp(-rate), exp(-rate) FROM rates
+  UNION ALL
+  SELECT g, rate, i + 1, term * rate / (i + 1)::DOUBLE, total + term * rate / (i + 1)::DOUBLE FROM terms WHERE i < 80
+), drawn AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars,
+         (SELECT count(*) FROM terms t WHERE t.g = d.g AND d.u > t.total) AS n
+  FROM d
+), copies AS (
+  SELECT doc_id, text, lang, source, n_chars, unnest(range(n))::INTEGER AS copy FROM drawn WHERE n > 0
+)
+SELECT *, md5('order42|' || doc_id::VARCHAR || '|' || copy::VARCHAR) AS shuffle_key FROM copies
+"""
