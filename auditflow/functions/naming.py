@@ -68,7 +68,3 @@ def table_name_of(file_name: Column) -> Column:
     """File name to table name: lower-cased stem with underscores for blanks."""
     stem = F.regexp_extract(file_name, r"([^/]+?)(\.[^./]*)?$", 1)
     return F.replace(F.lower(stem), F.lit(" "), F.lit("_"))
-
-
-def display_title_of(table_name: Column) -> Column:
-    return F.initcap(F.replace(table_name, F.lit("_"), F.lit(" ")))

@@ -63,6 +63,7 @@ def join_diagnostics(
     *,
     metric: str | None = None,
     deduplicated: bool = False,
+    order_by: Sequence[str] | None = None,
     blank_is_orphan: bool = True,
     left_table: str = "fact",
     right_table: str = "dimension",
@@ -71,15 +72,15 @@ def join_diagnostics(
 
     Null keys match nothing and count neither as matched nor as orphans. Blank
     keys count as orphans unless ``blank_is_orphan`` is false; they are also
-    reported on their own. With ``deduplicated`` the dimension counts as having
-    one row per key.
+    reported on their own. With ``deduplicated`` the diagnosed join is that to
+    ``deduplicate(dim)``, whose output is counted like any other dimension.
     """
     right_key = right_key or left_key
+    if deduplicated:
+        dim = deduplicate(dim, right_key, order_by=order_by)
     profile = key_profile(fact, dim, left_key, right_key, metric=metric)
     zero = F.lit(0).cast("long")
     left_n, right_n = F.coalesce("left_n", zero), F.coalesce("right_n", zero)
-    if deduplicated:
-        right_n = F.when(right_n > 1, F.lit(1).cast("long")).otherwise(right_n)
     matches = F.greatest(right_n, F.lit(1).cast("long"))
     has_left, has_right = F.col("left_value").isNotNull(), F.col("right_value").isNotNull()
     blank = has_left & is_missing(F.col("left_value").cast(StringType()))
@@ -228,6 +229,13 @@ def lookup(df: DataFrame, unique: DataFrame, on: Sequence[str], how: str = "left
     return df.join(renamed, condition, how).drop(*[f"_right_{k}" for k in on])
 
 
+def _marked(df: DataFrame, heavy: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``df`` with ``_heavy``. Spark broadcasts the list if its size allows, else it may split the side of ``df``."""
+    renamed = heavy.withColumnsRenamed({c: f"_heavy_{c}" for c in on})
+    same = splittable([F.col(f"`{c}`") for c in on], [F.col(f"`_heavy_{c}`") for c in on])
+    return df.join(renamed, same, "left").drop(*[f"_heavy_{c}" for c in on])
+
+
 def salted_lookup(
     fact: DataFrame,
     lookup: DataFrame,
@@ -235,14 +243,12 @@ def salted_lookup(
     *,
     salt_over: int,
     salts: int = 32,
-    max_heavy: int = 1000,
     fact_counts: DataFrame | None = None,
 ) -> DataFrame:
     """Left join to a lookup with unique keys, with heavy keys spread over tasks.
 
-    The heaviest keys of more than ``salt_over`` fact rows, ``max_heavy`` of them at
-    most, are salted; the list is that short, so it is broadcast. Their fact rows
-    are spread by a hash of the row's content, which is the same when a lost task
+    All keys of more than ``salt_over`` fact rows are salted: there are at most as
+    many as that number goes into the rows of the fact. Their fact rows are spread by a hash of the row's content, which is the same when a lost task
     is run again, and their lookup rows are repeated once per salt. Exact copies of
     a row share a salt; adaptive execution splits those by the task they came from.
     All other keys are joined as they are. ``fact_counts`` may bring the rows per key (``on`` plus
@@ -250,19 +256,18 @@ def salted_lookup(
     """
     if fact_counts is None:
         fact_counts = fact.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    heaviest = fact_counts.where(F.col("n") > salt_over).orderBy(F.desc("n"), *on).limit(max_heavy)
-    heavy = heaviest.select(*on, F.lit(True).alias("_heavy"))
+    heavy = fact_counts.where(F.col("n") > salt_over).select(*on, F.lit(True).alias("_heavy"))
     content = F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns])
     unmatched = reduce(Column.__or__, [F.col(f"`{c}`").isNull() for c in on])  # a null key needs no partner
     spread = F.col("_heavy") | unmatched
     salted_fact = (
-        fact.join(F.broadcast(heavy), list(on), "left")
+        _marked(fact, heavy, on)
         .withColumn("_salt", F.when(spread, F.pmod(content, F.lit(salts))).otherwise(F.lit(0)).cast("int"))
         .drop("_heavy")
     )
     last_salt = F.when(F.col("_heavy"), F.lit(salts - 1)).otherwise(F.lit(0))
     salted_lookup_rows = (
-        lookup.join(F.broadcast(heavy), list(on), "left")
+        _marked(lookup, heavy, on)
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), last_salt)))
         .drop("_heavy")
     )
@@ -360,7 +365,7 @@ def chain_checks(
     rows = [
         join_diagnostics(
             before, tables[link.dimension], link.left_key, link.right_key,
-            metric=metric, deduplicated=True, left_table=left_table, right_table=link.dimension,
+            metric=metric, deduplicated=True, order_by=(order_by or {}).get(link.dimension), left_table=left_table, right_table=link.dimension,
         )
         for (link, before), _ in _joined_so_far(fact, tables, links, order_by)
     ]
@@ -429,6 +434,12 @@ def cited_findings(findings: DataFrame, results: DataFrame, *, on: Sequence[str]
     return findings.join(approved_only(results).select(*on), list(on), "left_semi")
 
 
+def with_citation(findings: DataFrame, results: DataFrame, *, on: Sequence[str] = ("result_id",)) -> DataFrame:
+    """Findings with ``is_cited``: whether they cite an approved result. One join gives both answers."""
+    approved = approved_only(results).select(*on).distinct().withColumn("_approved", F.lit(True))
+    return lookup(findings, approved, list(on)).withColumn("is_cited", F.coalesce("_approved", F.lit(False))).drop("_approved")
+
+
 def uncited_findings(findings: DataFrame, results: DataFrame, *, on: Sequence[str] = ("result_id",)) -> DataFrame:
     """Findings that cite a missing, pending or rejected result."""
     return findings.join(approved_only(results).select(*on), list(on), "left_anti")

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DateType, DoubleType, FloatType, IntegerType, StringType
 
 from auditflow.functions.naming import DATE_NAME_PARTS, first_with, status_column
-from auditflow.functions.parsing import DATE_FORMATS, as_amount, as_date, is_missing, is_number
-from auditflow.records import TRANSFORMATION, conform
+from auditflow.functions.parsing import DATE_FORMATS, as_amount, as_date, is_missing, parse_number
+from auditflow.records import MONEY, TRANSFORMATION, conform
 
 # Statuses which exclude a row, and the amount columns of a fact.
 EXCLUDED_STATUSES = ("CANCELLED", "REFUNDED", "CANCELADO", "DEVUELTO")
@@ -148,10 +148,12 @@ def _is_non_finite(df: DataFrame, name: str) -> Column:
 
 
 def _is_unreadable(df: DataFrame, name: str) -> Column:
+    """Cells that are no number, or one beyond the exact type; both would become 0."""
     c = F.col(f"`{name}`")
     if isinstance(df.schema[name].dataType, StringType):
-        return ~is_missing(c) & ~is_number(c)
-    return F.lit(False)
+        return ~is_missing(c) & parse_number(c).isNull()
+    too_large = c.isNotNull() & c.try_cast(MONEY.simpleString()).isNull()
+    return too_large & ~_is_non_finite(df, name)
 
 
 def amount_cast_counts(df: DataFrame, amount_cols: Sequence[str] = AMOUNT_COLUMNS) -> DataFrame:

@@ -26,9 +26,11 @@ from auditflow.functions.parsing import (
 from auditflow.operators.joins import safe_left_join, salted_lookup
 from auditflow.operators.ledger import CLEAN_DATE
 from auditflow.records import MONEY, UNKNOWN_MEMBER
+from auditflow.session import durable
 
 RECONCILED_BELOW = 0.01
 FORECAST_MIN_PERIODS = 12
+PIVOT_OTHER, PIVOT_UNKNOWN = "other", "unclassified"
 
 
 def _amount_or_zero(df: DataFrame, name: str) -> Column:
@@ -173,31 +175,34 @@ def breakdown_through_key(
     )
     attributes = dim.select(*dict.fromkeys([key, *brought, *(order_by or [])]))
     joined = safe_left_join(per_key, attributes, key, order_by=order_by)
-    return _decompose(joined, names, baseline, current, metric)
+    return _decompose(joined, names, baseline, current, metric, before_join=per_key)
 
 
-def _decompose(df: DataFrame, names: Sequence[str], baseline: str, current: str, metric: str) -> DataFrame:
+def _decompose(
+    df: DataFrame, names: Sequence[str], baseline: str, current: str, metric: str, before_join: DataFrame | None = None
+) -> DataFrame:
     """Breakdown of rows that hold a ``baseline`` and a ``current`` amount.
 
-    Totals per dimension are summed from its members (the shuffle is shared) and
-    joined back; they are one row per dimension. Check them against
-    ``period_comparison`` for a total that does not depend on the members.
+    The total comes from the amounts as they were before any join (``before_join``)
+    or before rows are spread over members; what the members of a dimension add up
+    to is one row per dimension, joined back and compared with it.
     """
+    whole = (df if before_join is None else before_join).agg(
+        _zero_if_null(F.sum("baseline")).alias("baseline"), _zero_if_null(F.sum("current")).alias("current")
+    )
+    total = whole.select(F.struct("baseline", "current")).scalar()
     members = [F.struct(F.lit(n).alias("dimension"), _member(df, n).alias("dimension_value")) for n in names]
     sums = (
         df.select(F.inline(F.array(*members)), "baseline", "current")
         .groupBy("dimension", "dimension_value")
         .agg(F.sum("baseline").alias("baseline"), F.sum("current").alias("current"))
     )
-    totals = sums.groupBy("dimension").agg(
-        F.sum("baseline").alias("total_baseline"),
-        F.sum("current").alias("total_current"),
-        F.sum(F.col("current") - F.col("baseline")).alias("sum_of_changes"),
-    )
+    added_up = sums.groupBy("dimension").agg(F.sum(F.col("current") - F.col("baseline")).alias("sum_of_changes"))
+    added_up = added_up.withColumns({"total_baseline": total["baseline"], "total_current": total["current"]})
     change = F.col("current") - F.col("baseline")
     total_change = F.col("total_current") - F.col("total_baseline")
     difference = F.abs(total_change - F.col("sum_of_changes"))
-    return sums.join(F.broadcast(totals), "dimension").select(
+    return sums.join(F.broadcast(added_up), "dimension").select(
         "dimension",
         "dimension_value",
         F.lit(metric).alias("metric"),
@@ -273,14 +278,18 @@ def forecast_eligibility(
     return row.withColumn("eligible", eligible).withColumn("reason", F.when(~eligible, reason))
 
 
-def _rank_buckets(values: DataFrame, buckets: int) -> list:
-    """Cut points that split the distinct values evenly, largest first.
+def _rank_buckets(values: DataFrame, per_bucket: int) -> list:
+    """Cut points that split the distinct values into even buckets, largest first.
 
-    Runs a job that returns at most ``buckets`` values. They enter the plan as
-    literals: every branch and every retry then sees the same buckets.
+    Runs jobs that return one number and one value per ``per_bucket`` distinct
+    values. They enter the plan as literals: every branch and every retry then sees
+    the same buckets.
     """
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = values.agg(F.percentile_approx("value", F.array(*[F.lit(s) for s in shares]), 10000).alias("cuts")).first().cuts
+    buckets = -(-values.count() // per_bucket)
+    if buckets < 2:
+        return []
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    cuts = values.agg(F.percentile_approx("value", shares, 100 * buckets).alias("cuts")).first().cuts
     return sorted(set(cuts or []), reverse=True)
 
 
@@ -291,7 +300,7 @@ def concentration(
     metric: str = "net_sales",
     a_share: float = 80.0,
     b_share: float = 95.0,
-    buckets: int = 64,
+    per_bucket: int = 200_000,
     salt_over: int = 1_000_000,
 ) -> DataFrame:
     """Share and cumulative share of each key, largest first, with its ABC class.
@@ -301,19 +310,21 @@ def concentration(
     ``b_share``, else in C.
 
     A running total over all keys would be one task. Here the distinct values are
-    cut into even buckets; each runs its own total, on top of the total of the
-    buckets before it. Ties are one row at that stage, so they cannot fill a bucket.
+    cut into even buckets of ``per_bucket``; each runs its own total, on top of the
+    total of the buckets before it. Ties are one row at that stage, so they cannot
+    fill a bucket. The sums per key are computed once, into the shared checkpoint
+    folder, when this is called; so are the cut points.
     """
-    per_key = df.groupBy(F.col(f"`{key}`").alias("key")).agg(F.sum(as_amount(df, metric)).alias("value"))
+    per_key = durable(df.groupBy(F.col(f"`{key}`").alias("key")).agg(F.sum(as_amount(df, metric)).alias("value")))
     values = per_key.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    cuts = _rank_buckets(values, buckets)
+    cuts = _rank_buckets(values, per_bucket)
     value_type = values.schema["value"].dataType
-    bucket = F.lit(len(cuts))
-    for i, cut in reversed(list(enumerate(cuts))):
-        bucket = F.when(F.col("value") >= F.lit(cut).cast(value_type), F.lit(i)).otherwise(bucket)
+    # As many cut points as are larger: values at or above the first cut are in bucket 0.
+    above = F.filter(F.array(*[F.lit(c).cast(value_type) for c in cuts]), lambda c: c > F.col("value"))
+    bucket = F.size(above) if cuts else F.lit(0)
     weighted = values.select("value", "n", (F.col("value") * F.col("n")).cast("decimal(38,4)").alias("amount"), bucket.alias("bucket"))
 
-    # At most `buckets` rows from here to `offsets`, so these windows are short.
+    # One row per bucket from here to `offsets`, so these windows are short.
     bucket_totals = weighted.groupBy("bucket").agg(F.sum("amount").alias("amount"))
     everything = Window.partitionBy(F.lit(0))
     offsets = bucket_totals.select(
@@ -348,15 +359,24 @@ def concentration(
 def month_pivot(
     df: DataFrame, dimension: str, values: Sequence[str], *, metric: str = "net_sales", date_col: str = CLEAN_DATE
 ) -> DataFrame:
-    """Months as rows and the given members as columns."""
+    """Months as rows and the given members as columns; the columns add up to the month.
+
+    ``other`` holds all members that are not given, ``unclassified`` missing ones.
+    """
+    member = F.col(f"`{dimension}`").cast("string")
+    group = (
+        F.when(member.isin(*values), member).when(is_missing(member), F.lit(PIVOT_UNKNOWN)).otherwise(F.lit(PIVOT_OTHER))
+    )
+    columns = [*values, PIVOT_OTHER, PIVOT_UNKNOWN]
     pivoted = (
-        df.groupBy(_month(date_col).alias("month"))
-        .pivot(dimension, list(values))
-        .agg(F.sum(as_amount(df, metric)))
+        df.withColumns({"_month": _month(date_col), "_member": group, "_amount": as_amount(df, metric)})
+        .groupBy("_month")
+        .pivot("_member", columns)
+        .agg(F.sum("_amount"))
     )
     return pivoted.select(
-        month_key(F.col("month")).alias("period"),
-        *[round_amount(_zero_if_null(F.col(f"`{v}`"))).alias(v) for v in values],
+        month_key(F.col("_month")).alias("period"),
+        *[round_amount(_zero_if_null(F.col(f"`{v}`"))).alias(v) for v in columns],
     ).orderBy("period")
 
 

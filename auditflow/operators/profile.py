@@ -41,7 +41,6 @@ def column_profile(
     id_columns: Sequence[str] | None = None,
     date_formats: Sequence[str] = DATE_FORMATS,
     samples: int = 5,
-    approximate_distinct: bool = False,
 ) -> DataFrame:
     """One row per column: counts, inferred type, role and statistics.
 
@@ -50,8 +49,6 @@ def column_profile(
     cells are combined per distinct value before they meet in one row per column.
     ``id_columns`` replaces the rule that finds identifiers by name. Samples are
     the smallest distinct values; ``samples=0`` saves their pass over the table.
-    ``approximate_distinct`` counts distinct values by a sketch: for very large
-    tables, where the exact count would shuffle every distinct cell.
     """
     columns = df.columns
     cells = as_cells(df)
@@ -66,7 +63,7 @@ def column_profile(
     stats = long_form.groupBy("name").agg(
         F.count(F.lit(1)).alias("total_count"),
         F.count("value").alias("present_count"),
-        (F.approx_count_distinct("value") if approximate_distinct else F.count_distinct("value")).alias("unique_count"),
+        F.count_distinct("value").alias("unique_count"),
         F.bool_or(has_leading_zero(F.col("value"))).alias("has_leading_zeros"),
         F.count("num").alias("numbers"),
         F.count("day").alias("dates"),
@@ -128,11 +125,14 @@ def column_profile(
 
 
 def smallest_values(cells: DataFrame, k: int) -> DataFrame:
-    """The ``k`` smallest distinct non-missing values per column."""
-    distinct = cells.where(~is_missing(F.col("cell"))).distinct()
-    rank = F.row_number().over(Window.partitionBy("name").orderBy("cell"))
-    few = distinct.withColumn("rank", rank).where(F.col("rank") <= k)
-    return few.groupBy("name").agg(F.sort_array(F.collect_list("cell")).alias("sample_values"))
+    """The ``k`` smallest distinct non-missing values per column.
+
+    Ranked before the shuffle as well: a task sends the first ``k`` values of each
+    column, not every distinct cell.
+    """
+    rank = F.dense_rank().over(Window.partitionBy("name").orderBy("cell"))
+    few = cells.where(~is_missing(F.col("cell"))).withColumn("rank", rank).where(F.col("rank") <= k)
+    return few.groupBy("name").agg(F.sort_array(F.collect_set("cell")).alias("sample_values"))
 
 
 def profile_tables(tables: Mapping[str, DataFrame], **options) -> DataFrame:

@@ -312,7 +312,7 @@ def orphan_records(diagnostics: DataFrame, *, samples: Column | None = None) ->
     )
 
 
-def many_to_many(diagnostics: DataFrame) -> DataFrame:
+def many_to_many(diagnostics: DataFrame, *, samples: Column | None = None) -> DataFrame:
     affected = F.col("right_rows") - F.col("right_keys")
     return _issues(
         diagnostics.where(F.col("cardinality") == "many_to_many"),
@@ -322,6 +322,7 @@ def many_to_many(diagnostics: DataFrame) -> DataFrame:
         column=F.col("right_key"),
         affected=affected,
         total=F.col("right_rows"),
+        samples=samples,
         description=_text(
             F.col("right_table"), " has several rows for a ", F.col("right_key"), "; joining it as it is repeats fact rows."
         ),
@@ -367,7 +368,10 @@ def audit_tables(
         text = {t: [f.name for f in df.schema if f.dataType.simpleString() == "string"] for t, df in tables.items()}
         found += [missing_values(profile), numeric_as_text(profile, text)]
     if diagnostics is not None:
-        found += [orphan_records(diagnostics, samples=_orphan_samples(tables, links, samples)), many_to_many(diagnostics)]
+        found += [
+            orphan_records(diagnostics, samples=_orphan_samples(tables, links, samples)),
+            many_to_many(diagnostics, samples=_repeated_samples(tables, links, samples)),
+        ]
     return reduce(DataFrame.unionByName, [f for f in found if f is not None])
 
 
@@ -389,6 +393,17 @@ def _orphan_samples(tables: Mapping[str, DataFrame], links, k: int) -> Column |
     return samples
 
 
+def _repeated_samples(tables: Mapping[str, DataFrame], links, k: int) -> Column | None:
+    if not k:
+        return None
+    samples = F.array().cast("array<string>")
+    for right, key in sorted({(link.dimension, link.right_key) for _, link in links}):
+        repeated = key_counts(tables[right], key).where((F.col("n") > 1) & F.col("key").isNotNull())
+        here = (F.col("right_table") == right) & (F.col("right_key") == key)
+        samples = F.when(here, _samples_of(repeated, k)).otherwise(samples)
+    return samples
+
+
 def quality_report(issues: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row for the whole audit: blocking issues, time coverage, incomplete last period."""
     dated = [

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from auditflow.functions.parsing import as_amount, round_amount
 from auditflow.operators.metrics import counted_rows
-from auditflow.records import MONEY
+from auditflow.records import CITATION, MONEY
 
 # Trigger words and phrases, matched as substrings of the lower-cased
 # question. The first in list order is the one reported.
@@ -264,6 +264,37 @@ def answer_filters(
     )
 
 
+# Where a figure under filters comes from.
+FIGURE_SOURCE, FIGURE_TABLE, FIGURE_RESULT = "transformed_table", "analytical_fact", "RECALC_ON_DEMAND"
+
+
+def answer_notices(routed: DataFrame) -> DataFrame:
+    """Add to routed questions what can be said without a figure: answer, limitation and the need of a full run.
+
+    Questions that ask for a figure under filters, and those about existing
+    results, have no notice here; see ``answer_filters`` and ``citations``.
+    """
+    kind, term = F.col("query_type"), F.col("matched_term")
+    answer = F.when(kind == UNANSWERABLE, F.concat(F.lit("The data of this project says nothing about '"), term, F.lit("'."))).when(
+        kind == NEW_ANALYSIS, F.lit("This needs a new analysis: a plan, prepared variables and validation. Start a run for it.")
+    )
+    limitation = F.when(kind == UNANSWERABLE, F.concat(F.lit("No table holds '"), term, F.lit("'.")))
+    return routed.withColumns({"notice": answer, "data_limitation": limitation, "requires_full_run": kind == NEW_ANALYSIS})
+
+
+def citations(answers: DataFrame, *, key: str = "question_id") -> DataFrame:
+    """A citation record for each answered figure (output of ``answer_text``)."""
+    cited = answers.select(
+        key,
+        F.lit(FIGURE_SOURCE).alias("source_type"),
+        F.lit(FIGURE_TABLE).alias("source_name"),
+        "filter_or_condition",
+        F.lit(FIGURE_RESULT).alias("result_id"),
+        F.concat(F.lit("Computed on "), F.col("row_count").cast("string"), F.lit(" prepared rows.")).alias("details"),
+    )
+    return cited.select(key, *[F.col(f.name).cast(f.dataType) for f in CITATION.fields])
+
+
 def answer_text(answers: DataFrame) -> DataFrame:
     """Answers as sentences, with the filters they were computed under."""
     filters = F.concat_ws(

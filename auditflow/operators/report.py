@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from auditflow.functions.text import money_text, percent_text
 from auditflow.operators.joins import lookup
@@ -32,6 +32,15 @@ def top_driver(breakdown: DataFrame) -> DataFrame:
     )
 
 
+def _driver_result(driver_results: Mapping[str, str] | None) -> Column:
+    """The result that a dimension's driver comes from."""
+    return reduce(
+        lambda rest, item: F.when(F.col("dimension") == item[0], F.lit(item[1])).otherwise(rest),
+        (driver_results or {}).items(),
+        F.concat(F.lit("RES_BREAKDOWN_"), F.upper("dimension")),
+    )
+
+
 def metric_cards(
     comparison: DataFrame,
     drivers: DataFrame | None = None,
@@ -69,12 +78,7 @@ def metric_cards(
         )
     )
     if drivers is not None:
-        results = driver_results or {}
-        result_id = reduce(
-            lambda rest, item: F.when(F.col("dimension") == item[0], F.lit(item[1])).otherwise(rest),
-            results.items(),
-            F.concat(F.lit("RES_BREAKDOWN_"), F.upper("dimension")),
-        )
+        result_id = _driver_result(driver_results)
         cards = cards.unionByName(
             drivers.select(
                 F.concat(F.lit("CARD_TOP_"), F.upper("dimension")).alias("id"),
@@ -89,6 +93,54 @@ def metric_cards(
     return conform(cards, METRIC_CARD)
 
 
+def chart_records(
+    points: DataFrame,
+    *,
+    baseline: str,
+    current: str,
+    trend_result: str = "RES_OP_02_TIME_AGGREGATION",
+    dynamics_result: str = "RES_OP_06_CUSTOMER_DYNAMICS",
+    driver_results: Mapping[str, str] | None = None,
+    primary: str | None = None,
+    metric: str = "net_sales",
+) -> DataFrame:
+    """A record per chart: type, result, metric, period, size, and whether it is the primary one.
+
+    ``primary`` names the dimension whose bar chart answers the objective.
+    """
+    dimension = F.lower(F.regexp_replace("chart_id", "^CHART_", ""))
+    counted = points.groupBy("chart_id").agg(F.count(F.lit(1)).alias("points")).withColumn("dimension", dimension)
+    series, dynamic = F.col("chart_id") == "CHART_TIME_SERIES", F.col("chart_id") == "CHART_CUSTOMER_DYNAMICS"
+    return counted.select(
+        "chart_id",
+        F.when(series, "line").when(dynamic, "stacked_bar").otherwise("waterfall").alias("chart_type"),
+        F.when(series, trend_result).when(dynamic, dynamics_result).otherwise(_driver_result(driver_results)).alias("result_id"),
+        F.lit(metric).alias("metric"),
+        F.when(series | dynamic, "closed history").otherwise(f"{baseline} vs {current}").alias("period"),
+        F.coalesce(~series & ~dynamic & (F.col("dimension") == F.lit(primary)), F.lit(False)).alias("is_primary_objective"),
+        "points",
+    )
+
+
+def with_status(records: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Cards or charts with the validation status of their result; null if there is no such result."""
+    known = statuses.select("result_id", "validation_status")
+    return records.drop("validation_status").join(known, "result_id", "left")
+
+
+def dashboard_components(cards: DataFrame, charts: DataFrame) -> DataFrame:
+    """Cards and charts as the rows that ``validate.presentation_checks`` and ``period_alignment`` read."""
+    as_cards = cards.select(
+        F.col("id").alias("component_id"), F.lit("card").alias("kind"), "result_id", "title", "period",
+        F.lit(False).alias("is_primary"), F.lit(None).cast("long").alias("points"),
+    )
+    as_charts = charts.select(
+        F.col("chart_id").alias("component_id"), F.lit("chart").alias("kind"), "result_id", F.col("chart_id").alias("title"), "period",
+        F.col("is_primary_objective").alias("is_primary"), "points",
+    )
+    return as_cards.unionByName(as_charts)
+
+
 def chart_points(chart_id: str, df: DataFrame, label: str, measures: list[str]) -> DataFrame:
     """A result as chart data in long form: chart, label, measure, value."""
     values = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])
@@ -128,7 +180,7 @@ def findings(
     drivers: DataFrame,
     *,
     comparison_result: str = "RES_OP_03_PERIOD_COMPARISON",
-    driver_result: str = "RES_OP_04_DIMENSION_BREAKDOWN_CHANNEL",
+    driver_results: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Sentences on the total change and on what drives it, each bound to its result."""
     change = F.col("absolute_change")
@@ -152,7 +204,7 @@ def findings(
             F.format_number(change, 2), F.lit(" ("), percent_text(F.col("contribution_to_total_change")),
             F.lit(" of the total change)."),
         ).alias("claim"),
-        F.lit(driver_result).alias("result_id"),
+        _driver_result(driver_results).alias("result_id"),
         F.concat("dimension", F.lit("_contribution")).alias("metric_name"),
         change.alias("observed_value"),
     )
@@ -161,36 +213,49 @@ def findings(
 
 def provenance(
     *,
+    fact: str,
     sources: DataFrame,
     ledger: DataFrame,
-    joins: DataFrame,
+    joins: DataFrame | None,
     results: DataFrame,
     cards: DataFrame,
+    joined: Sequence[str] = (),
 ) -> DataFrame:
     """The way from raw tables to cards as rows: node, kind, parent and a figure.
 
-    ``sources``: table_id, row_count. ``ledger``: transformation records. ``joins``:
-    join checks. ``results``: result_id, validation_status. ``cards``: metric cards.
+    The first step hangs under the ``fact`` table, each further step under the one
+    before it, joins under the last step and under each other in the order of
+    ``joined`` (right tables), results under the last join, cards under their
+    result. ``sources``: table_id, row_count. ``ledger``: transformation records.
+    ``joins``: join checks. ``results``: result_id, validation_status.
     """
-    first_source = sources.agg(F.min("table_id")).scalar()
-
     def node(df: DataFrame, node_id: Column, kind: str, parent: Column, detail: Column) -> DataFrame:
         return df.select(
             node_id.cast("string").alias("node_id"), F.lit(kind).alias("kind"),
             parent.cast("string").alias("parent_id"), detail.cast("string").alias("detail"),
         )
 
-    steps = ledger.agg(F.max_by("transformation_id", "step_index")).scalar()
-    return reduce(
-        DataFrame.unionByName,
-        [
-            node(sources, F.col("table_id"), "raw_table", F.lit(None), F.col("row_count")),
-            node(ledger, F.col("transformation_id"), "transformation", first_source, F.col("rows_excluded")),
-            node(joins, F.concat(F.lit("TRF_JOIN_"), F.upper("right_table")), "join", steps, F.col("multiplication_factor")),
-            node(results, F.col("result_id"), "result", steps, F.col("validation_status")),
-            node(cards, F.col("id"), "card", F.col("result_id"), F.col("value")),
-        ],
-    )
+    def join_id(table: Column | str) -> Column:
+        return F.concat(F.lit("TRF_JOIN_"), F.upper(F.lit(table) if isinstance(table, str) else table))
+
+    # A ledger has a row for each rule, so its window is short.
+    step_before = F.lag("transformation_id").over(Window.partitionBy(F.lit(0)).orderBy("step_index"))
+    last_step = F.coalesce(ledger.agg(F.max_by("transformation_id", "step_index")).scalar(), F.lit(fact))
+    join_before = last_step
+    for left, right in zip(joined, joined[1:]):
+        join_before = F.when(F.col("right_table") == right, join_id(left)).otherwise(join_before)
+    nodes = [
+        node(sources, F.col("table_id"), "raw_table", F.lit(None), F.col("row_count")),
+        node(
+            ledger.withColumn("_before", step_before), F.col("transformation_id"), "transformation",
+            F.coalesce("_before", F.lit(fact)), F.col("rows_excluded"),
+        ),
+        node(results, F.col("result_id"), "result", join_id(joined[-1]) if joined else last_step, F.col("validation_status")),
+        node(cards, F.col("id"), "card", F.col("result_id"), F.col("value")),
+    ]
+    if joins is not None:
+        nodes.append(node(joins, join_id(F.col("right_table")), "join", join_before, F.col("multiplication_factor")))
+    return reduce(DataFrame.unionByName, nodes)
 
 
 def catalog_summary(profile: DataFrame) -> DataFrame:
@@ -209,11 +274,6 @@ def catalog_summary(profile: DataFrame) -> DataFrame:
     )
 
 
-def quality_summary(issues: DataFrame) -> DataFrame:
-    """Issues without their samples."""
-    return issues.select("issue_type", "severity", "table_id", "affected_rows", "affected_percentage", "description")
-
-
 def results_summary(results: DataFrame, values: DataFrame) -> DataFrame:
     """Figures of approved results; those of rejected and pending ones are left out.
 

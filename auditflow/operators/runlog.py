@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -49,10 +50,12 @@ def previous_stage(
         {"_is_first": F.row_number().over(inside) == 1, "_within": F.lag(stage).over(inside)}
     )
     previous = F.when(F.col("_is_first"), F.col("_stage_before")).otherwise(F.col("_within"))
+    before = before.withColumnsRenamed({run: "_run", "_bucket": "_run_bucket"})
+    same = F.col(f"`{run}`").eqNullSafe(F.col("_run")) & (F.col("_bucket") == F.col("_run_bucket"))  # a missing run is a run, too
     return (
-        within.join(before, [run, "_bucket"])
+        within.join(before, same)
         .withColumn("previous_stage", previous)
-        .drop("_bucket", "_is_first", "_within", "_stage_before")
+        .drop("_run", "_run_bucket", "_bucket", "_is_first", "_within", "_stage_before")
     )
 
 
@@ -142,21 +145,58 @@ def call_log_rollup(
     output_tokens: str = "output_tokens",
     duration: str = "duration_ms",
     percentiles: Sequence[float] = (0.5, 0.95),
-    accuracy: int = 100_000,
+    range_width: int = 1000,
 ) -> DataFrame:
     """Model calls per agent and status: calls, tokens and durations.
 
-    Percentiles come from a sketch; they are exact for groups of up to ``accuracy`` calls.
+    Percentiles are exact at any size: the smallest duration that at least this
+    share of the calls with a duration does not exceed (see ``exact_percentiles``).
     """
 
     def tokens(name: str) -> Column:
         return F.coalesce(F.sum(name), F.lit(0))
 
-    return calls.groupBy(*by).agg(
+    rolled = calls.groupBy(*by).agg(
         F.count(F.lit(1)).alias("calls"),
         tokens(input_tokens).alias("input_tokens"),
         tokens(output_tokens).alias("output_tokens"),
         F.min(duration).alias("min_duration"),
         F.max(duration).alias("max_duration"),
-        *[F.percentile_approx(duration, p, accuracy).alias(f"p{round(p * 100)}_duration") for p in percentiles],
+    )
+    if not percentiles:
+        return rolled
+    found = exact_percentiles(calls, by, duration, percentiles, range_width=range_width)
+    renamed = found.withColumnsRenamed({c: f"_{c}" for c in by})
+    same = reduce(Column.__and__, [F.col(f"`{c}`").eqNullSafe(F.col(f"`_{c}`")) for c in by])
+    return rolled.join(renamed, same, "left").drop(*[f"_{c}" for c in by])
+
+
+def exact_percentiles(
+    df: DataFrame, by: Sequence[str], value: str, percentiles: Sequence[float], *, range_width: int = 1000
+) -> DataFrame:
+    """Exact discrete percentiles of ``value`` per group, as columns ``p50_duration`` and the like.
+
+    Rows are first counted per distinct value. Values are then cut into ranges of
+    ``range_width``: the ranges of a group get running totals, and so do the values
+    inside the one range in which a percentile lies.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = counted.withColumn("_range", F.floor(F.col("_value") / F.lit(range_width)))
+    ranges = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_in_range"))
+    group = Window.partitionBy(*by)
+    through = F.sum("_in_range").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+    ranges = ranges.withColumns({"_through": through, "_total": F.sum("_in_range").over(group)})
+
+    def rank(p: float) -> Column:
+        return F.greatest(F.ceil(F.lit(p) * F.col("_total")), F.lit(1))
+
+    holds = [(F.col("_through") >= rank(p)) & (F.col("_through") - F.col("_in_range") < rank(p)) for p in percentiles]
+    wanted = ranges.where(reduce(Column.__or__, holds)).withColumnsRenamed({c: f"_{c}" for c in [*by, "_range"]})
+    same = reduce(Column.__and__, [F.col(f"`{c}`").eqNullSafe(F.col(f"`_{c}`")) for c in by])
+    inside = Window.partitionBy(*by, "_range").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.join(wanted, same & (F.col("_range") == F.col("__range"))).withColumn(
+        "_rank", F.sum("_n").over(inside) + F.col("_through") - F.col("_in_range")
+    )
+    return placed.groupBy(*by).agg(
+        *[F.min(F.when(F.col("_rank") >= rank(p), F.col("_value"))).alias(f"p{round(p * 100)}_duration") for p in percentiles]
     )

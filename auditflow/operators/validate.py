@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from auditflow.functions.parsing import round_to
 from auditflow.operators.joins import lookup
-from auditflow.operators.metrics import RECONCILED_BELOW
 
 RESULT_KEY = ("result_id",)
 RECONCILIATION_TOLERANCE = 0.05
@@ -91,16 +90,31 @@ def reconcile(
 
 
 def reconciliation_checks(reconciled: DataFrame, *, keys: Sequence[str] = RESULT_KEY) -> DataFrame:
-    return _checks(
-        reconciled,
-        keys,
-        F.concat(F.lit("Reconciliation_"), F.col(keys[-1]).cast("string")),
-        F.col("is_reconciled"),
-        "blocking",
+    """One check per result; one that has no total to compare with passes with a warning."""
+    passed = F.col("is_reconciled")
+    return reconciled.select(
+        *keys,
+        F.concat(F.lit("Reconciliation_"), F.col(keys[-1]).cast("string")).alias("check_name"),
+        passed.alias("passed"),
+        F.when(~passed, "blocking").when(F.col("expected_change").isNull(), "warning").otherwise("info").alias("severity"),
         F.concat(
             F.lit("Sum of changes "), F.format_number("sum_of_changes", 2),
             F.lit(", expected "), F.coalesce(F.format_number("expected_change", 2), F.lit("unknown")),
-        ),
+        ).alias("evidence"),
+    )
+
+
+def source_amount_checks(results: DataFrame, cast_counts: DataFrame) -> DataFrame:
+    """Whether the stored amounts behind the results are finite; one that is not rejects all of them.
+
+    ``cast_counts`` comes from ``ledger.amount_cast_counts`` on the table as stored:
+    the cast to exact amounts turns NaN and infinity into 0, so results can't show them.
+    """
+    bad = cast_counts.agg(F.coalesce(F.sum("non_finite_cells"), F.lit(0))).scalar()
+    counted = results.select("result_id").withColumn("bad", bad)
+    return _checks(
+        counted, RESULT_KEY, F.concat(F.lit("Finite_Source_Amounts_"), F.col("result_id")), F.col("bad") == 0, "blocking",
+        F.concat(F.col("bad").cast("string"), F.lit(" stored amounts are not finite.")),
     )
 
 
@@ -238,26 +252,17 @@ def plan_gate(
     """Every proposed step with whether it may run, and why not.
 
     ``steps``: the plan columns, ``step_key``, step_id, columns (array of the
-    columns it names). ``registry``: step_id. ``catalog``: column_name in lower case.
+    columns it names). ``registry``: step_id. ``catalog``: column_name. Both are
+    short lists; they enter as one array each, so no step is shuffled.
     """
     keys = [*plan, step_key]
-    known = catalog.select(F.lower("column_name").alias("column_name")).distinct()
-    unknown = (
-        steps.select(*keys, F.explode("columns").alias("column"))
-        .select(*keys, F.lower("column").alias("column_name"))
-        .join(known, "column_name", "left_anti")
-        .groupBy(*keys)
-        .agg(F.count_distinct("column_name").alias("unknown_columns"))
-    )
-    registered = registry.select("step_id", F.lit(True).alias("is_registered")).distinct()
-    verdict = F.when(F.col("is_registered").isNull(), "unregistered_step").when(
-        F.col("unknown_columns") > 0, "unknown_column"
-    )
-    return (
-        steps.join(registered, "step_id", "left")
-        .join(unknown, keys, "left")
-        .select(*keys, "step_id", verdict.alias("rejection"), verdict.isNull().alias("is_valid"))
-    )
+    known = catalog.agg(F.collect_set(F.lower("column_name"))).scalar()
+    registered = registry.agg(F.collect_set("step_id")).scalar()
+    named = F.transform(F.coalesce("columns", F.array().cast("array<string>")), lambda c: F.lower(c))
+    is_registered = F.coalesce(F.array_contains(registered, F.col("step_id")), F.lit(False))
+    has_unknown = F.size(F.array_except(F.array_compact(named), known)) > 0
+    verdict = F.when(~is_registered, "unregistered_step").when(has_unknown, "unknown_column")
+    return steps.select(*keys, "step_id", verdict.alias("rejection")).withColumn("is_valid", F.col("rejection").isNull())
 
 
 def gated_plans(gated: DataFrame, *, plan: Sequence[str] = ("plan_id",), min_valid: int = MIN_VALID_STEPS) -> DataFrame:
@@ -269,6 +274,26 @@ def gated_plans(gated: DataFrame, *, plan: Sequence[str] = ("plan_id",), min_val
     )
 
 
+def steps_to_run(
+    gated: DataFrame,
+    default_steps: Sequence[str],
+    *,
+    plan: Sequence[str] = ("plan_id",),
+    step_key: str = "step_order",
+    min_valid: int = MIN_VALID_STEPS,
+) -> DataFrame:
+    """The steps of each plan that will run: its valid ones, or the default plan where they are too few.
+
+    Default steps are numbered from 1 and marked ``is_default``.
+    """
+    plans = gated_plans(gated, plan=plan, min_valid=min_valid)
+    kept = lookup(gated.where("is_valid"), plans.where(~F.col("use_default_plan")).select(*plan), list(plan), "inner")
+    listed = F.array(*[F.struct(F.lit(i).cast("long").alias(step_key), F.lit(s).alias("step_id")) for i, s in enumerate(default_steps, 1)])
+    replaced = plans.where("use_default_plan").select(*plan, F.inline(listed)).withColumn("is_default", F.lit(True))
+    own = kept.select(*plan, F.col(step_key).cast("long").alias(step_key), "step_id", F.lit(False).alias("is_default"))
+    return own.unionByName(replaced)
+
+
 # ---------------------------------------------------------------------------
 # Identity of tables and files
 # ---------------------------------------------------------------------------
@@ -284,6 +309,20 @@ def table_digest(df: DataFrame, name: str = "table") -> DataFrame:
     )
 
 
+def text_digest(df: DataFrame, name: str = "table") -> DataFrame:
+    """Row count and an order-free sum of MD5 parts of each row's cells as text.
+
+    For columns of texts and whole numbers, whose text form other engines share, so
+    that a copy of a table elsewhere can be compared.
+    """
+    columns = sorted(df.columns)
+    cells = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in columns])
+    part = F.conv(F.substring(F.md5(cells), 1, 8), 16, 10).cast("long")
+    return df.agg(
+        F.lit(name).alias("table_id"), F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(part), F.lit(0)).alias("digest")
+    )
+
+
 def digest_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [table_digest(df, name) for name, df in tables.items()])
 
@@ -295,7 +334,3 @@ def same_figures(first: DataFrame, second: DataFrame, *, keys: Sequence[str], va
     return left.join(right, list(keys), "full_outer").select(
         *keys, "first", "second", F.col("first").eqNullSafe(F.col("second")).alias("is_same")
     )
-
-
-def is_reconciled(total: Column, parts: Column) -> Column:
-    return F.abs(total - parts) < RECONCILED_BELOW

@@ -6,11 +6,55 @@ library, so that ties agree.
 
 from __future__ import annotations
 
-from auditflow.operators import questions as q
-from auditflow.operators.ledger import EXCLUDED_STATUSES
 from auditflow.plans import methods
 from auditflow.plans.queries import BASELINE, CHANNELS, CURRENT, DIRTY_CUTOFF, EVENT_TRANSITIONS, SECRETS, TABLES
 
+# Trigger words, keywords and statuses, written out once more so that a slip in the library shows.
+class q:
+    UNANSWERABLE_TRIGGERS = (
+        "competitor", "competition", "inflation", "competitor price", "weather", "rating", "television", "external stockout",
+        "customer satisfaction", "nps", "competidor", "competencia", "inflación", "precio de la competencia", "clima",
+    )
+    NEW_ANALYSIS_TRIGGERS = (
+        "new analysis", "predictive model", "cluster", "clustering", "decision tree", "predict the future", "price optimization",
+        "price elasticity", "nuevo análisis", "modelo predictivo", "predecir",
+    )
+    RECALCULATE_TRIGGERS = (
+        "how much did", "how much was sold", "calculate", "recalculate", "filter by", "filtered by", "only in", "region",
+        "channel", "cuánto vendió", "cuanto vendio", "calcular", "recalcular", "si filtramos", "filtrar por", "sólo en",
+        "solo en", "región",
+    )
+    QUANTITY_PHRASES = (
+        "how much", "cuánto", "cuanto", "sales in", "ventas en",
+    )
+    UNANSWERABLE = "unanswerable_by_data"
+    NEW_ANALYSIS = "request_new_analysis"
+    RECALCULATE = "recalculate_with_filters"
+    EXPLAIN = "explain_existing_result"
+    REGION_KEYWORDS = {
+        "metropolitana": "Metropolitan",
+        "metropolitan": "Metropolitan",
+        "norte": "North",
+        "north": "North",
+        "centro": "Central",
+        "central": "Central",
+        "sur": "South",
+        "south": "South",
+    }
+    CHANNEL_KEYWORDS = {
+        "mayorista": "Wholesale / B2B",
+        "wholesale": "Wholesale / B2B",
+        "retail": "Retail / Stores",
+        "tiendas": "Retail / Stores",
+        "stores": "Retail / Stores",
+        "online": "Online / Direct",
+        "directo": "Online / Direct",
+        "direct": "Online / Direct",
+    }
+
+
+EXCLUDED_STATUSES = ("CANCELLED", "REFUNDED", "CANCELADO", "DEVUELTO",)
+
 
 def _list(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
@@ -207,13 +251,18 @@ def _members(source: str, dimensions: dict[str, str]) -> str:
     union = " UNION ALL ".join(parts)
     return f"""
 members AS ({union}),
-totals AS (SELECT dimension, sum(b) AS tb, sum(c) AS tc FROM members GROUP BY 1),
+base AS (
+  SELECT coalesce(sum(net_sales) FILTER (WHERE {_in_month(BASELINE)}), 0) AS tb,
+         coalesce(sum(net_sales) FILTER (WHERE {_in_month(CURRENT)}), 0) AS tc FROM prepared
+),
+totals AS (SELECT dimension, any_value(tb) AS tb, any_value(tc) AS tc, sum(c - b) AS spread FROM members, base GROUP BY 1),
 breakdown AS (
   SELECT m.dimension, dimension_value, 'net_sales' AS metric, '{BASELINE}' AS baseline_period, '{CURRENT}' AS current_period,
          {_round('b')} AS baseline_value, {_round('c')} AS current_value, {_round('c - b')} AS absolute_change,
          {_pct('c - b', 'b')} AS percentage_change, {_pct('c - b', 'tc - tb')} AS contribution_to_total_change,
          {_round('tb')} AS total_baseline, {_round('tc')} AS total_current, {_round('tc - tb')} AS total_change,
-         {_pct('tc - tb', 'tb')} AS total_percentage_change, 0.0::DOUBLE AS reconciliation_diff, TRUE AS is_reconciled
+         {_pct('tc - tb', 'tb')} AS total_percentage_change, {_round('abs(tc - tb - spread)', 4)} AS reconciliation_diff,
+         abs(tc - tb - spread) < 0.01 AS is_reconciled
   FROM members m JOIN totals t ON m.dimension = t.dimension
 )"""
 
@@ -523,6 +572,12 @@ _PIVOT = ", ".join(
     f"{_round(f'coalesce(sum(CAST(o_totalprice AS DECIMAL(18,4))) FILTER (WHERE o_orderpriority = {chr(39)}{c}{chr(39)}), 0)')} AS {c[2:].lower().replace(' ', '_')}"
     for c in CHANNELS
 )
+_PIVOT += ", " + ", ".join(
+    f"{_round(f'coalesce(sum(CAST(o_totalprice AS DECIMAL(18,4))) FILTER (WHERE {test}), 0)')} AS {name}"
+    for name, test in (
+        ("other", f"o_orderpriority <> '' AND o_orderpriority NOT IN ({_list(CHANNELS)})"), ("unclassified", "coalesce(o_orderpriority, '') = ''"),
+    )
+)
 
 
 def _match_rate(name: str, left: str, right: str, left_name: str, right_name: str) -> str:
@@ -639,12 +694,20 @@ FROM profile GROUP BY 1""",
     "duplicate_keys": f"WITH {DIRTY_CUSTOMERS} {DUPLICATES}",
     "status_issue": f"""WITH {DIRTY_ORDERS} SELECT *, 'CANCELLED: ' || CAST(affected_rows AS VARCHAR) AS evidence FROM ({STATUS_ISSUE})""",
     "quality_issues": f"WITH {DIRTY_ORDERS},{DIRTY_CUSTOMERS},{TEXT_TABLES},{_profiles(AUDIT_COLUMNS)} {ISSUES}",
-    "quality_issues_with_evidence": f"""WITH {DIRTY_ORDERS},{DIRTY_CUSTOMERS},
+    "quality_issues_with_evidence": f"""WITH {DIRTY_ORDERS},{DIRTY_CUSTOMERS},{TEXT_TABLES},{_profiles(AUDIT_COLUMNS)},
+issues AS ({ISSUES}),
 invalid AS (SELECT order_date AS v FROM parsed_orders WHERE order_date <> '' AND day IS NULL ORDER BY 1 LIMIT 3),
 repeated AS (SELECT customer_id AS v, count(*) AS n FROM dirty_customers GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, v LIMIT 3),
 orphaned AS (SELECT DISTINCT customer_id AS v FROM dirty_orders WHERE customer_id NOT IN (SELECT customer_id FROM dirty_customers) ORDER BY 1 LIMIT 3)
 SELECT 'INVALID_DATE_orders_order_date' AS id, (SELECT string_agg(v, '; ' ORDER BY v) FROM invalid) AS evidence
 UNION ALL SELECT 'DUP_KEY_customers_customer_id', (SELECT string_agg(v, '; ' ORDER BY n DESC, v) FROM repeated)
+UNION ALL SELECT 'M2M_orders_customers_customer_id', (SELECT string_agg(v, '; ' ORDER BY n DESC, v) FROM repeated)
+UNION ALL SELECT 'RETURNS_CANCELLATIONS_orders', 'CANCELLED: ' || CAST(affected_rows AS VARCHAR) FROM issues WHERE issue_type = 'returns_cancellations'
+UNION ALL SELECT id, (SELECT strftime(max(day), '%Y-%m') || ': ' || CAST(count(DISTINCT day) FILTER (WHERE date_trunc('month', day) = m) AS VARCHAR)
+    || ' of ' || CAST(day(last_day(max(day))) AS VARCHAR) || ' days' FROM parsed_orders, (SELECT date_trunc('month', max(day)) AS m FROM parsed_orders))
+  FROM issues WHERE issue_type = 'incomplete_period'
+UNION ALL SELECT 'LEADING_ZEROS_' || table_id || '_' || name, (SELECT string_agg(cell, '; ' ORDER BY cell) FROM
+    (SELECT DISTINCT cell FROM cells c WHERE c.table_id = p.table_id AND c.name = p.name AND cell <> '' ORDER BY 1 LIMIT 5)) FROM profile p WHERE has_leading_zeros
 UNION ALL SELECT 'ORPHAN_orders_customers_customer_id', (SELECT string_agg(v, '; ' ORDER BY v) FROM orphaned)""",
     "declared_issues": f"""WITH {SALES},{DIRTY_CUSTOMERS},{TEXT_TABLES},{_profiles(TEXT_COLUMNS)}
 {_issue('missing_values', 'warning', "'MISSING_VALUES_' || table_id || '_' || name", 'table_id', 'name', 'null_count', 'total_count',
@@ -653,10 +716,11 @@ UNION ALL {_issue('numeric_as_text', 'info', "'NUMERIC_AS_TEXT_' || table_id ||
                   'total_count', "profile WHERE column_role = 'numeric' AND table_id IN ('orders', 'parts')")}
 UNION ALL {_issue('granularity_mismatch', 'warning', "'GRANULARITY_MISMATCH_sales_order_id'", "'sales'", "'order_id'",
                   'sum(n) FILTER (WHERE n > 1)', 'sum(n)', '(SELECT order_id, count(*) AS n FROM sales GROUP BY 1)')}""",
-    "quality_report": f"""WITH {LAST_MONTH} SELECT CAST(CASE WHEN days < 15 AND days < day(last_day(m)) THEN 1 ELSE 0 END AS BIGINT) AS issue_count,
-  FALSE AS has_blocking_issues, (SELECT strftime(min(o_orderdate), '%Y-%m-%d') FROM orders) AS coverage_start,
-  (SELECT strftime(max(o_orderdate), '%Y-%m-%d') FROM orders) AS coverage_end, days < 15 AND days < day(last_day(m)) AS is_last_period_incomplete
-FROM last_month""",
+    "quality_report": f"""WITH {DIRTY_ORDERS},{DIRTY_CUSTOMERS},{TEXT_TABLES},{_profiles(AUDIT_COLUMNS)},
+issues AS (SELECT * FROM ({ISSUES}) WHERE affected_rows > 0)
+SELECT count(*) AS issue_count, coalesce(bool_or(severity = 'blocking'), FALSE) AS has_blocking_issues,
+       (SELECT strftime(min(day), '%Y-%m-%d') FROM parsed_orders) AS coverage_start, (SELECT strftime(max(day), '%Y-%m-%d') FROM parsed_orders) AS coverage_end,
+       coalesce(bool_or(issue_type = 'incomplete_period'), FALSE) AS is_last_period_incomplete FROM issues""",
     "finite_check": f"""WITH {FIGURES} SELECT result_id, 'Finite_Values_' || CAST(result_id AS VARCHAR) AS check_name, bad = 0 AS passed,
   CASE WHEN bad = 0 THEN 'info' ELSE 'blocking' END AS severity,
   CAST(bad AS VARCHAR) || ' of ' || CAST(figures AS VARCHAR) || ' figures are not finite.' AS evidence FROM finite""",
@@ -682,17 +746,28 @@ SELECT c.run_id, components, invalid_components, coalesce(card = chart, TRUE) AS
        invalid_components = 0 AND coalesce(card = chart, TRUE) AS is_dashboard_valid
 FROM counted c JOIN firsts f ON c.run_id = f.run_id""",
     "plan_gate": f"WITH {PLAN_STEPS} SELECT plan_id, step_order, step_id, rejection, rejection IS NULL AS is_valid FROM gated",
-    "plan_defaults": f"""WITH {PLAN_STEPS} SELECT plan_id, count(*) AS proposed_steps, count(*) FILTER (WHERE rejection IS NULL) AS valid_steps,
-  count(*) FILTER (WHERE rejection IS NULL) < 3 AS use_default_plan FROM gated GROUP BY 1""",
+    "plan_defaults": f"""WITH {PLAN_STEPS},
+plans AS (SELECT plan_id, count(*) FILTER (WHERE rejection IS NULL) < 3 AS use_default FROM gated GROUP BY 1)
+SELECT g.plan_id, step_order, step_id, FALSE AS is_default FROM gated g JOIN plans p ON g.plan_id = p.plan_id WHERE rejection IS NULL AND NOT use_default
+UNION ALL SELECT plan_id, CAST(d.n AS BIGINT), d.s, TRUE FROM plans, (VALUES (1, 'OP_01_METRIC_SUMMARY'), (2, 'OP_02_TIME_AGGREGATION'), (3, 'OP_03_PERIOD_COMPARISON'),
+  (4, 'OP_04_DIMENSION_BREAKDOWN_CHANNEL'), (5, 'OP_05_DIMENSION_BREAKDOWN_SEGMENT'), (6, 'OP_06_CUSTOMER_DYNAMICS'), (7, 'OP_07_BASELINE_FORECAST_EVAL')) d(n, s)
+WHERE use_default""",
     "citation_gate": f"""WITH {RUN_LOG} SELECT run_id, component_id, result_id,
   EXISTS (SELECT 1 FROM event_results r WHERE r.run_id = c.run_id AND r.result_id = c.result_id AND validation_status = 'approved') AS is_cited
 FROM components c""",
-    "rerun_identity": f"""WITH {WITH_CUSTOMERS},{_members('enriched', SEGMENT)} SELECT dimension, dimension_value, TRUE AS is_same FROM breakdown""",
+    "rerun_identity": f"""WITH {WITH_CUSTOMERS},{_members('enriched', SEGMENT)},
+digested AS (
+  SELECT *, md5(concat_ws('|', dimension, dimension_value, CAST(CAST(round(baseline_value * 100) AS BIGINT) AS VARCHAR),
+                          CAST(CAST(round(current_value * 100) AS BIGINT) AS VARCHAR), CAST(CAST(round(absolute_change * 100) AS BIGINT) AS VARCHAR))) AS d
+  FROM breakdown
+)
+SELECT dimension, dimension_value, baseline_value, current_value, absolute_change, d AS first_digest, d AS second_digest, d = d AS is_same FROM digested""",
     "top_driver": f"WITH {WITH_CUSTOMERS},{_members('enriched', {**CHANNEL, **SEGMENT})},{DRIVERS} SELECT * FROM drivers",
     "metric_cards": f"""WITH {WITH_CUSTOMERS},{_members('enriched', {**CHANNEL, **SEGMENT})},{DRIVERS},{COMPARISON}
 {COMPARISON_CARDS}
 UNION ALL SELECT 'CARD_TOP_' || upper(dimension), 'Top ' || dimension || ': ' || dimension_value, {_percent_text('contribution_to_total_change')},
-       'Accounts for ' || {_money('absolute_change')} || ' of the change', {_DIRECTION}, 'RES_BREAKDOWN_' || upper(dimension),
+       'Accounts for ' || {_money('absolute_change')} || ' of the change', {_DIRECTION},
+       CASE dimension WHEN 'channel' THEN 'RES_OP_04_DIMENSION_BREAKDOWN_CHANNEL' ELSE 'RES_OP_05_DIMENSION_BREAKDOWN_SEGMENT' END,
        baseline_period || ' vs ' || current_period FROM drivers""",
     "findings": f"""WITH {WITH_CUSTOMERS},{_members('enriched', {**CHANNEL, **SEGMENT})},{DRIVERS},{COMPARISON}
 SELECT 'FINDING_TOTAL_CHANGE' AS id, metric || CASE WHEN absolute_change < 0 THEN ' decreased' ELSE ' increased' END || ' by '
@@ -701,7 +776,7 @@ SELECT 'FINDING_TOTAL_CHANGE' AS id, metric || CASE WHEN absolute_change < 0 THE
        'RES_{methods.COMPARISON}' AS result_id, 'net_sales_delta' AS metric_name, absolute_change AS observed_value FROM comparison
 UNION ALL SELECT 'FINDING_TOP_' || upper(dimension), 'The largest change by ' || dimension || ' is ''' || dimension_value || ''' with '
        || format('{{:,.2f}}', absolute_change) || ' (' || {_percent_text('contribution_to_total_change')} || ' of the total change).',
-       'RES_{methods.BREAKDOWN_CHANNEL}', dimension || '_contribution', absolute_change FROM drivers""",
+       CASE dimension WHEN 'channel' THEN 'RES_OP_04_DIMENSION_BREAKDOWN_CHANNEL' ELSE 'RES_OP_05_DIMENSION_BREAKDOWN_SEGMENT' END, dimension || '_contribution', absolute_change FROM drivers""",
     "chart_datasets": f"WITH {CHARTS} SELECT * FROM charts",
     "chart_specs": f"""WITH {CHARTS} SELECT chart_id, measure, count(*) AS points, min(value) AS min_value, max(value) AS max_value
 FROM charts GROUP BY 1, 2""",
@@ -718,9 +793,9 @@ cards AS ({COMPARISON_CARDS}),
 last_step AS (SELECT arg_max(transformation_id, step_index) AS id FROM ledger)
 SELECT 'orders' AS node_id, 'raw_table' AS kind, CAST(NULL AS VARCHAR) AS parent_id, CAST(count(*) AS VARCHAR) AS detail FROM dirty_orders
 UNION ALL SELECT 'customers', 'raw_table', NULL, CAST(count(*) AS VARCHAR) FROM dirty_customers
-UNION ALL SELECT transformation_id, 'transformation', 'customers', CAST(rows_excluded AS VARCHAR) FROM ledger
+UNION ALL SELECT transformation_id, 'transformation', coalesce(lag(transformation_id) OVER (ORDER BY step_index), 'orders'), CAST(rows_excluded AS VARCHAR) FROM ledger
 UNION ALL SELECT 'TRF_JOIN_CUSTOMERS', 'join', (SELECT id FROM last_step), '1.0'
-UNION ALL SELECT result_id, 'result', (SELECT id FROM last_step), CASE WHEN is_reconciled THEN 'approved' ELSE 'rejected' END FROM reconciled
+UNION ALL SELECT result_id, 'result', 'TRF_JOIN_CUSTOMERS', CASE WHEN is_reconciled THEN 'approved' ELSE 'rejected' END FROM reconciled
 UNION ALL SELECT id, 'card', result_id, value FROM cards""",
     "question_router": f"""WITH {QUESTIONS},{_routed('questions')}
 SELECT question_id, query_type, matched_term, query_type = '{q.NEW_ANALYSIS}' AS requires_full_run FROM routed""",
@@ -728,7 +803,7 @@ SELECT question_id, query_type, matched_term, query_type = '{q.NEW_ANALYSIS}' AS
 found AS (SELECT question_id, {_first_contained(q.REGION_KEYWORDS)} AS r, {_first_contained(q.CHANNEL_KEYWORDS)} AS c
           FROM (SELECT *, lower(question) AS t FROM questions))
 SELECT question_id, r AS region_keyword, c AS channel_keyword, {_label('r', q.REGION_KEYWORDS)} AS region_label, {_label('c', q.CHANNEL_KEYWORDS)} AS channel_label FROM found""",
-    "filter_answers": f"""WITH {LABELLED},{CUSTOMER_QUESTIONS},{_routed('customer_questions')},
+    "filter_answers": f"""WITH {LABELLED},{QUESTIONS},{_routed('questions')},
 found AS (SELECT question_id, {_first_contained(q.REGION_KEYWORDS)} AS r, {_first_contained(q.CHANNEL_KEYWORDS)} AS c FROM routed WHERE query_type = '{q.RECALCULATE}'),
 named AS (SELECT *, {_label('r', q.REGION_KEYWORDS)} AS rl, {_label('c', q.CHANNEL_KEYWORDS)} AS cl FROM found),
 asked AS (SELECT DISTINCT r, rl, c FROM named),
@@ -737,6 +812,16 @@ answered AS (SELECT a.r, a.c, sum(net_sales) AS total, count(net_sales) AS n FRO
 SELECT question_id, CASE WHEN rl IS NULL AND cl IS NULL THEN 'No specific filters'
          ELSE concat_ws(', ', 'Region = ''' || rl || '''', 'Channel = ''' || cl || '''') END AS filter_or_condition,
        {_round('coalesce(total, 0)')} AS total_value, n AS row_count
+FROM named f JOIN answered a ON f.r IS NOT DISTINCT FROM a.r AND f.c IS NOT DISTINCT FROM a.c""",
+    "answer_citations": f"""WITH {LABELLED},{QUESTIONS},{_routed('questions')},
+found AS (SELECT question_id, {_first_contained(q.REGION_KEYWORDS)} AS r, {_first_contained(q.CHANNEL_KEYWORDS)} AS c FROM routed WHERE query_type = '{q.RECALCULATE}'),
+named AS (SELECT *, {_label('r', q.REGION_KEYWORDS)} AS rl, {_label('c', q.CHANNEL_KEYWORDS)} AS cl FROM found),
+asked AS (SELECT DISTINCT r, rl, c FROM named),
+answered AS (SELECT a.r, a.c, sum(net_sales) AS total, count(net_sales) AS n FROM asked a LEFT JOIN labelled s
+             ON (a.r IS NULL OR s.region = a.rl) AND (a.c IS NULL OR contains(lower(s.channel), a.c)) GROUP BY 1, 2)
+SELECT question_id, 'transformed_table' AS source_type, 'analytical_fact' AS source_name, CASE WHEN rl IS NULL AND cl IS NULL THEN 'No specific filters'
+         ELSE concat_ws(', ', 'Region = ''' || rl || '''', 'Channel = ''' || cl || '''') END AS filter_or_condition,
+       'RECALC_ON_DEMAND' AS result_id, 'Computed on ' || CAST(n AS VARCHAR) || ' prepared rows.' AS details
 FROM named f JOIN answered a ON f.r IS NOT DISTINCT FROM a.r AND f.c IS NOT DISTINCT FROM a.c""",
     "redact_text": _redact(),
     "truncate_text": """SELECT doc_id, length(text) > 15000 AS was_truncated,
@@ -760,6 +845,53 @@ QUALIFY row_number() OVER (PARTITION BY run_id, artifact_type ORDER BY current.c
     "call_log_percentiles": f"""WITH {RUN_LOG} SELECT stage AS caller_agent, CASE WHEN value > 30 THEN 'error' ELSE 'success' END AS status,
   quantile_disc(CAST(floor(value * 10) AS BIGINT), 0.5) AS p50_duration, quantile_disc(CAST(floor(value * 10) AS BIGINT), 0.95) AS p95_duration
 FROM run_log GROUP BY 1, 2""",
+    "question_notices": f"""WITH {QUESTIONS},{_routed('questions')}
+SELECT question_id, query_type, matched_term,
+       CASE query_type WHEN 'unanswerable_by_data' THEN 'The data of this project says nothing about ''' || matched_term || '''.'
+            ELSE 'This needs a new analysis: a plan, prepared variables and validation. Start a run for it.' END AS notice,
+       CASE query_type WHEN 'unanswerable_by_data' THEN 'No table holds ''' || matched_term || '''.' END AS data_limitation,
+       query_type = 'request_new_analysis' AS requires_full_run
+FROM routed WHERE query_type IN ('unanswerable_by_data', 'request_new_analysis')""",
+    "text_table_digest": " UNION ALL ".join(
+        f"""SELECT '{t}' AS table_id, count(*) AS row_count, coalesce(CAST(sum(('0x' || substr(md5(concat_ws('|', {', '.join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns)})), 1, 8))::BIGINT) AS BIGINT), 0) AS digest FROM {t}"""
+        for t, columns in (
+            ("documents", ("doc_id", "lang", "n_chars", "source", "text")), ("labels", ("doc_id", "quality", "toxic")), ("pages", ("html", "page_id", "url")),
+            ("conversations", ("conv_id", "role", "text", "turn")), ("benchmark", ("item_id", "text")),
+        )
+    ),
+    "chart_records": f"""WITH {WITH_CUSTOMERS},{_members('enriched', {**CHANNEL, **SEGMENT})},{TREND},{_dynamics('day = first_day')},{COMPARISON},
+parts AS (SELECT dimension, sum(CAST(absolute_change AS DECIMAL(28,4))) AS s FROM breakdown WHERE dimension <> 'segment' OR dimension_value <> 'BUILDING' GROUP BY 1),
+states AS (SELECT dimension, CASE WHEN abs(s - CAST(absolute_change AS DECIMAL(28,4))) <= 0.05 THEN 'approved' ELSE 'rejected' END AS status FROM parts, comparison)
+SELECT 'CHART_TIME_SERIES' AS chart_id, 'line' AS chart_type, 'RES_OP_02_TIME_AGGREGATION' AS result_id, 'net_sales' AS metric, 'closed history' AS period,
+       FALSE AS is_primary_objective, (SELECT 2 * count(*) FROM trend) AS points, NULL AS validation_status
+UNION ALL SELECT 'CHART_CUSTOMER_DYNAMICS', 'stacked_bar', 'RES_OP_06_CUSTOMER_DYNAMICS', 'net_sales', 'closed history', FALSE, (SELECT 2 * count(*) FROM dynamics), NULL
+UNION ALL SELECT 'CHART_' || upper(b.dimension), 'waterfall',
+       CASE b.dimension WHEN 'channel' THEN 'RES_OP_04_DIMENSION_BREAKDOWN_CHANNEL' ELSE 'RES_OP_05_DIMENSION_BREAKDOWN_SEGMENT' END, 'net_sales',
+       '{BASELINE} vs {CURRENT}', b.dimension = 'channel', count(*), any_value(status) FROM breakdown b JOIN states t ON b.dimension = t.dimension GROUP BY b.dimension""",
+    "artifact_json": """SELECT CAST(o_orderkey AS VARCHAR) AS artifact_id, 'RUN' AS run_id, 'Order' AS artifact_type,
+  '{"o_orderkey":' || CAST(o_orderkey AS VARCHAR) || ',"o_custkey":' || CAST(o_custkey AS VARCHAR) || ',"o_orderpriority":"' || o_orderpriority || '"}' AS data_json FROM orders""",
+    "page_fingerprints": """SELECT url AS path, regexp_extract(url, '([^/]+)$', 1) AS file_name, strlen(coalesce(html, '')) AS length, sha256(coalesce(html, '')) AS sha256 FROM pages""",
+    "page_admission": """SELECT path, file_name, length, CASE WHEN ext NOT IN ('.html', '') THEN 'Extension not allowed: ' || ext
+       WHEN length > 5000 THEN 'File exceeds 5000 bytes' END AS reject_reason
+FROM (SELECT *, lower(regexp_extract(file_name, '(\\.[^.]*)$', 1)) AS ext
+      FROM (SELECT url AS path, regexp_extract(url, '([^/]+)$', 1) AS file_name, strlen(coalesce(html, '')) AS length FROM pages))""",
+    "page_table_names": """SELECT url AS path, replace(lower(regexp_extract(regexp_extract(url, '([^/]+)$', 1), '([^/]+?)(\\.[^./]*)?$', 1)), ' ', '_') AS table_name FROM pages""",
+    "page_changes": """WITH earlier AS (SELECT 'page-' || CAST(page_id AS VARCHAR) AS path, sha256(coalesce(html, '')) AS h FROM pages),
+later AS (
+  SELECT 'page-' || CAST(page_id AS VARCHAR) AS path, sha256(coalesce(html, '') || CASE WHEN page_id % 5 = 0 THEN 'x' ELSE '' END) AS h FROM pages WHERE page_id % 7 <> 0
+  UNION ALL SELECT 'new-page-' || CAST(page_id AS VARCHAR), sha256(coalesce(html, '')) FROM pages WHERE page_id % 11 = 0
+)
+SELECT coalesce(e.path, l.path) AS path, CASE WHEN l.path IS NULL THEN 'missing' WHEN e.path IS NULL THEN 'new' WHEN e.h <> l.h THEN 'changed' ELSE 'unchanged' END AS state
+FROM earlier e FULL OUTER JOIN later l ON e.path = l.path""",
+    "empty_tables": """SELECT 'EMPTY_' || t AS id, 'empty_file' AS issue_type, 'blocking' AS severity, t AS table_id, CAST(NULL AS VARCHAR) AS "column",
+  CAST(0 AS BIGINT) AS affected_rows, CAST(0 AS BIGINT) AS total_rows, 100.0::DOUBLE AS affected_percentage
+FROM (SELECT 'stray_lines' AS t, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
+      UNION ALL SELECT 'lineitem', count(*) FROM lineitem) WHERE n = 0""",
+    "exclusion_samples": f"""WITH {DIRTY_ORDERS},
+flagged AS (SELECT order_id, CASE WHEN day IS NULL THEN 1 WHEN status = 'CANCELLED' THEN 2 WHEN day > DATE '{DIRTY_CUTOFF}' THEN 3 END AS step,
+                   CASE WHEN day IS NULL THEN order_date WHEN status = 'CANCELLED' THEN status ELSE strftime(day, '%Y-%m-%d') END AS detail FROM parsed_orders)
+SELECT step, CAST(row_number() OVER (PARTITION BY step ORDER BY order_id, detail) - 1 AS INTEGER) AS place, CAST(order_id AS VARCHAR) AS order_id, detail
+FROM flagged WHERE step IS NOT NULL QUALIFY row_number() OVER (PARTITION BY step ORDER BY order_id, detail) <= 3""",
     "table_manifest": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS row_count, (SELECT count(*) FROM (DESCRIBE SELECT * FROM {t})) AS column_count"
         for t in TABLES

@@ -6,10 +6,12 @@ Each takes a session and the folder of the tables, and reads whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from auditflow.functions import parsing, text
+from auditflow.functions.naming import table_name_of
 from auditflow.operators import joins, ledger, metrics, periods, profile, quality, questions, report, runlog, validate
 from auditflow.operators.joins import Link
 from auditflow.plans import methods, views
@@ -388,7 +390,7 @@ def quality_issues(spark, sf_dir):
 def quality_issues_with_evidence(spark, sf_dir):
     return quality.audit_tables(_audited(spark, sf_dir)).select(
         "id", F.concat_ws("; ", "evidence_samples").alias("evidence")
-    ).where(F.col("id").startswith("INVALID") | F.col("id").startswith("DUP") | F.col("id").startswith("ORPHAN"))
+    )
 
 
 @query
@@ -407,11 +409,8 @@ def declared_issues(spark, sf_dir):
 
 @query
 def quality_report(spark, sf_dir):
-    tables = {"orders": views.table(spark, sf_dir, "orders").withColumnRenamed("o_orderdate", "order_date")}
-    issues = quality.invalid_dates(tables["orders"], "orders", samples=0).unionByName(
-        quality.incomplete_last_period(tables["orders"], "orders", column="order_date")
-    )
-    rolled = quality.quality_report(issues, tables)
+    tables = _audited(spark, sf_dir)
+    rolled = quality.quality_report(quality.audit_tables(tables, samples=0), tables)
     return rolled.withColumns({"coverage_start": _iso("coverage_start"), "coverage_end": _iso("coverage_end")}).drop(
         "incomplete_period_details"
     )
@@ -517,17 +516,14 @@ def plan_gate(spark, sf_dir):
 
 @query
 def plan_defaults(spark, sf_dir):
-    return validate.gated_plans(_gated(spark, sf_dir))
+    """The steps that will run for each plan: its valid ones, or the default plan."""
+    return validate.steps_to_run(_gated(spark, sf_dir), methods.REGISTERED_STEPS)
 
 
 @query
 def citation_gate(spark, sf_dir):
     cited = views.event_components(spark, sf_dir).select("run_id", "component_id", "result_id")
-    results = views.event_results(spark, sf_dir)
-    keys = ["run_id", "result_id"]
-    return joins.cited_findings(cited, results, on=keys).withColumn("is_cited", F.lit(True)).unionByName(
-        joins.uncited_findings(cited, results, on=keys).withColumn("is_cited", F.lit(False))
-    )
+    return joins.with_citation(cited, views.event_results(spark, sf_dir), on=["run_id", "result_id"])
 
 
 @query
@@ -535,10 +531,26 @@ def rerun_identity(spark, sf_dir):
     """The same breakdown from rows in another order and partitioning."""
     rows = _with_customers(spark, sf_dir)
     first, second = _change(rows, "segment"), _change(rows.repartition(13, "order_id"), "segment")
-    compared = validate.same_figures(
-        first, second, keys=["dimension", "dimension_value"], values=["baseline_value", "current_value", "absolute_change"]
+    figures = ["baseline_value", "current_value", "absolute_change"]
+    compared = validate.same_figures(first, second, keys=["dimension", "dimension_value"], values=figures)
+
+    def digest(run: str) -> Column:
+        cents = [F.round(F.col(f"{run}.{c}") * 100).cast("long").cast("string") for c in figures]
+        return F.md5(F.concat_ws("|", "dimension", "dimension_value", *cents))
+
+    return compared.select(
+        "dimension", "dimension_value", *[F.col(f"second.{c}").alias(c) for c in figures], digest("first").alias("first_digest"),
+        digest("second").alias("second_digest"), "is_same",
     )
-    return compared.select("dimension", "dimension_value", "is_same")
+
+
+TEXT_TABLES = ("documents", "labels", "pages", "conversations", "benchmark")
+
+
+@query
+def text_table_digest(spark, sf_dir):
+    digests = [validate.text_digest(views.table(spark, sf_dir, t), t) for t in TEXT_TABLES]
+    return reduce(DataFrame.unionByName, digests)
 
 
 @query
@@ -558,14 +570,17 @@ def top_driver(spark, sf_dir):
     return _drivers(spark, sf_dir)
 
 
+DRIVER_RESULTS = {"channel": f"RES_{methods.BREAKDOWN_CHANNEL}", "segment": f"RES_{methods.BREAKDOWN_SEGMENT}"}
+
+
 @query
 def metric_cards(spark, sf_dir):
-    return report.metric_cards(_comparison(spark, sf_dir), _drivers(spark, sf_dir))
+    return report.metric_cards(_comparison(spark, sf_dir), _drivers(spark, sf_dir), driver_results=DRIVER_RESULTS)
 
 
 @query
 def findings(spark, sf_dir):
-    return report.findings(_comparison(spark, sf_dir), _drivers(spark, sf_dir))
+    return report.findings(_comparison(spark, sf_dir), _drivers(spark, sf_dir), driver_results=DRIVER_RESULTS)
 
 
 @query
@@ -580,6 +595,20 @@ def chart_specs(spark, sf_dir):
     return report.chart_specs(chart_datasets(spark, sf_dir))
 
 
+@query
+def chart_records(spark, sf_dir):
+    """Records of the charts with the status of their results; the segment breakdown lost a member on the way."""
+    breakdowns = _change_with_customers(spark, sf_dir, ["channel", "segment"])
+    results = breakdowns.withColumn("result_id", report._driver_result(DRIVER_RESULTS))
+    lossy = results.where((F.col("dimension") != "segment") | (F.col("dimension_value") != "BUILDING"))
+    checks = validate.reconciliation_checks(validate.reconcile(lossy, _comparison(spark, sf_dir)))
+    records = results.select("result_id").distinct().withColumn("warnings", F.array().cast("array<string>"))
+    charts = report.chart_records(
+        chart_datasets(spark, sf_dir), baseline=BASELINE, current=CURRENT, driver_results=DRIVER_RESULTS, primary="channel"
+    )
+    return report.with_status(charts, validate.result_statuses(records, checks))
+
+
 @query
 def provenance_ledger(spark, sf_dir):
     orders, customers = views.dirty_orders(spark, sf_dir), views.dirty_customers(spark, sf_dir)
@@ -591,6 +620,8 @@ def provenance_ledger(spark, sf_dir):
         orders, customers, "customer_id", metric="net_sales", deduplicated=True, left_table="orders", right_table="customers"
     )
     return report.provenance(
+        fact="orders",
+        joined=["customers"],
         sources=manifest.table_manifest({"orders": orders, "customers": customers}).withColumnRenamed("table_name", "table_id"),
         ledger=ledger.exclusion_ledger(_flagged(spark, sf_dir), cutoff=DIRTY_CUTOFF, samples=0),
         joins=joins.join_check(diagnostics),
@@ -616,12 +647,29 @@ def filter_extract(spark, sf_dir):
 
 @query
 def filter_answers(spark, sf_dir):
-    asked = questions.route_questions(views.customer_questions(spark, sf_dir), "question").where(
+    return _answers(spark, sf_dir).select("question_id", "filter_or_condition", "total_value", "row_count")
+
+
+def _answers(spark, sf_dir):
+    asked = questions.route_questions(views.questions(spark, sf_dir), "question").where(
         F.col("query_type") == questions.RECALCULATE
     )
     requests = questions.extract_filters(asked, "question")
-    answers = questions.answer_text(questions.answer_filters(requests, views.labelled_sales(spark, sf_dir), weight="lines"))
-    return answers.select("question_id", "filter_or_condition", "total_value", "row_count")
+    return questions.answer_text(questions.answer_filters(requests, views.labelled_sales(spark, sf_dir), weight="lines"))
+
+
+@query
+def answer_citations(spark, sf_dir):
+    return questions.citations(_answers(spark, sf_dir))
+
+
+@query
+def question_notices(spark, sf_dir):
+    """What is said to questions that no figure answers."""
+    routed = questions.answer_notices(questions.route_questions(views.questions(spark, sf_dir), "question"))
+    return routed.where(F.col("notice").isNotNull()).select(
+        "question_id", "query_type", "matched_term", "notice", "data_limitation", "requires_full_run"
+    )
 
 
 @query
@@ -685,29 +733,86 @@ def call_log_percentiles(spark, sf_dir):
     return runlog.call_log_rollup(views.event_calls(spark, sf_dir)).select("caller_agent", "status", "p50_duration", "p95_duration")
 
 
+@query
+def artifact_json(spark, sf_dir):
+    """Orders as JSON documents of an artifact store."""
+    orders = views.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    saved = store.as_artifacts(
+        orders, run_id="RUN", artifact_type="Order", artifact_id=F.col("o_orderkey").cast("string"), created_at=F.lit("2001-01-01").cast("timestamp")
+    )
+    return saved.select("artifact_id", "run_id", "artifact_type", "data_json")
+
+
+@query
+def page_fingerprints(spark, sf_dir):
+    return manifest.fingerprints(views.page_files(spark, sf_dir)).drop("no_hash_reason")
+
+
+@query
+def page_admission(spark, sf_dir):
+    """Pages as uploads: which names and sizes are turned away, and why."""
+    admitted = manifest.admission(views.page_files(spark, sf_dir), extensions=(".html", ""), max_bytes=5000)
+    return admitted.select("path", "file_name", "length", "reject_reason")
+
+
+@query
+def page_table_names(spark, sf_dir):
+    return views.page_files(spark, sf_dir).select("path", table_name_of(F.col("file_name")).alias("table_name"))
+
+
+@query
+def page_changes(spark, sf_dir):
+    then, now = views.page_versions(spark, sf_dir)
+    return manifest.file_changes(now, then).select("path", "state")
+
+
+@query
+def empty_tables(spark, sf_dir):
+    """Order lines of parts that do not exist, as a table: has it any rows?"""
+    lines, parts = views.table(spark, sf_dir, "lineitem"), views.table(spark, sf_dir, "part")
+    stray = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_anti")
+    found = quality.empty_table(stray, "stray_lines").unionByName(quality.empty_table(lines, "lineitem"))
+    return found.select(*ISSUE_COLUMNS)
+
+
+@query
+def exclusion_samples(spark, sf_dir):
+    kept = ledger.exclusion_samples(
+        _flagged(spark, sf_dir), key_col="order_id", detail_cols={1: "order_date", 2: "status", 3: ledger.CLEAN_DATE}, samples=3
+    )
+    detail = F.coalesce(*[F.col("sample").getItem(c) for c in ("order_date", "status", ledger.CLEAN_DATE)])
+    return kept.select(F.col(ledger.STEP).alias("step"), F.posexplode("exclusion_samples").alias("place", "sample")).select(
+        "step", "place", F.col("sample").getItem("order_id").alias("order_id"), detail.alias("detail")
+    )
+
+
 @query
 def table_manifest(spark, sf_dir):
     return manifest.table_manifest({t: views.table(spark, sf_dir, t) for t in TABLES})
 
 
-LARGEST_BINARY_FILE = 2**31 - 1  # one file is one row
 TABLE_IN_PATH = r"/([^/]+)\.parquet(/|$)"
 
 
 def _fingerprints(spark, sf_dir):
-    files = manifest.list_files(spark, sf_dir, recursive=True)
-    admitted = manifest.admission(files, extensions=(".parquet",), max_bytes=LARGEST_BINARY_FILE)
-    return manifest.fingerprints(admitted.where(F.col("reject_reason").isNull()))
+    return manifest.fingerprints(manifest.list_files(spark, sf_dir, recursive=True))
 
 
 @query
 def file_fingerprints(spark, sf_dir):
-    return _fingerprints(spark, sf_dir).select("file_name", "length", "sha256")
+    return _fingerprints(spark, sf_dir).select("file_name", "length", "sha256", "no_hash_reason")
 
 
 @query
 def file_manifest(spark, sf_dir):
-    named = _fingerprints(spark, sf_dir).withColumn("table_name", F.regexp_extract("path", TABLE_IN_PATH, 1))
-    return named.join(table_manifest(spark, sf_dir), "table_name").select(
-        "table_name", "file_name", "length", "sha256", "row_count", "column_count"
+    """Every file with its own rows; files that belong to no table have a reason instead."""
+    tables = {t: views.table(spark, sf_dir, t) for t in TABLES}
+    counts = reduce(DataFrame.unionByName, [
+        manifest.rows_per_file(df).withColumn("column_count", F.lit(len(df.columns)).cast("long")) for df in tables.values()
+    ])
+    name = F.regexp_extract("path", TABLE_IN_PATH, 1)
+    described = _fingerprints(spark, sf_dir).join(counts, "path", "left").withColumn("table_name", F.when(name != "", name))
+    admitted = manifest.admission(described, extensions=(".parquet",), max_bytes=manifest.LARGEST_BINARY_FILE)
+    return admitted.select(
+        "table_name", "file_name", "length", "sha256", "row_count", "column_count", F.coalesce("reject_reason", "no_hash_reason").alias("reject_reason")
     )

@@ -46,10 +46,26 @@ def admission(
     return files.withColumn("reject_reason", reason)
 
 
+LARGEST_BINARY_FILE = 2**31 - 1
+
+
 def fingerprints(files: DataFrame) -> DataFrame:
-    """SHA-256 per file. A file is one row, so this is for files up to 2 GB;
-    use ``validate.table_digest`` for the content of larger tables."""
-    return files.select("path", "file_name", "length", F.sha2("content", 256).alias("sha256"))
+    """SHA-256 per file, and why a file has none.
+
+    A file is one row, so its bytes are read only up to 2 GiB; larger ones stay in
+    the list without a hash. ``validate.table_digest`` covers the rows of any table.
+    """
+    readable = F.col("length") <= LARGEST_BINARY_FILE
+    reason = F.lit("Too large to be hashed as one row")
+    return (
+        files.where(readable).select("path", "file_name", "length", F.sha2("content", 256).alias("sha256"), F.lit(None).cast("string").alias("no_hash_reason"))
+        .unionByName(files.where(~readable).select("path", "file_name", "length", F.lit(None).cast("string").alias("sha256"), reason.alias("no_hash_reason")))
+    )
+
+
+def rows_per_file(df: DataFrame) -> DataFrame:
+    """Rows of a table read from files, by the file they lie in."""
+    return df.groupBy(source_path().alias("path")).agg(F.count(F.lit(1)).alias("row_count"))
 
 
 def csv_manifest(spark: SparkSession, path: str | Sequence[str], *, multiline: bool = False) -> DataFrame:

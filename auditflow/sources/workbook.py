@@ -100,10 +100,15 @@ def _in_batches(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def workbook_rows(spark: SparkSession, path: str, *, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Rows of all sheets of all workbooks under ``path``; cells are text by column letter."""
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).where(F.col("length") <= max_bytes)
-    )
+    """Rows of all sheets of all workbooks under ``path``; cells are text by column letter.
+
+    A workbook larger than ``max_bytes`` fails the read; ``manifest.admission`` names those beforehand.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+    too_large = F.col("length") > max_bytes
+    if not files.where(too_large).limit(1).isEmpty():
+        names = [r.path for r in files.where(too_large).select("path").limit(5).collect()]
+        raise ValueError(f"workbooks exceed {max_bytes} bytes: {names}")
     return files.select("path", "content").mapInPandas(_in_batches, ROWS_SCHEMA)
 
 
@@ -118,13 +123,19 @@ def sheet_table(rows: DataFrame, *, sheet: str | None = None, header_row: int =
     """One sheet (the first by default) as a text table. Reads one header row to name the columns.
 
     For several workbooks of one layout: the header of the first by path names the
-    columns of all.
+    columns, and a workbook whose header differs is an error.
     """
     wanted = rows.where(F.col("sheet_no") == 0) if sheet is None else rows.where(F.col("sheet") == sheet)
     header = wanted.where(F.col("row_no") == header_row).orderBy("path").select("cells").first()
     if header is None:
         raise ValueError(f"no header row in sheet {sheet or '(first)'}")
     letters = sorted(header.cells, key=lambda letter: (len(letter), letter))
+    expected = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(header.cells[k]).alias("value")) for k in sorted(letters)])
+    headers = wanted.where(F.col("row_no") == header_row)
+    differs = ~F.array_sort(F.map_entries("cells")).cast("array<struct<key:string,value:string>>").eqNullSafe(expected)
+    other = headers.where(differs).select("path").first()
+    if other is not None:
+        raise ValueError(f"the header of {other.path} differs from that of the first workbook")
     return wanted.where(F.col("row_no") > header_row).select(
         *[F.coalesce(F.col("cells")[letter], F.lit("")).alias(header.cells[letter]) for letter in letters]
     )

