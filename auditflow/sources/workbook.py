@@ -17,6 +17,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from auditflow.session import ship_package
 from auditflow.sources.manifest import MAX_FILE_BYTES
 
 ROWS_SCHEMA = "path string, sheet_no int, sheet string, row_no long, cells map<string,string>"
@@ -104,6 +105,7 @@ def workbook_rows(spark: SparkSession, path: str, *, max_bytes: int = MAX_FILE_B
 
     A workbook larger than ``max_bytes`` fails the read; ``manifest.admission`` names those beforehand.
     """
+    ship_package(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
     too_large = F.col("length") > max_bytes
     if not files.where(too_large).limit(1).isEmpty():
