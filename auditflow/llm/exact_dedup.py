@@ -125,8 +125,8 @@ def deduplicate(
     )
     bodies = keep(located.join(hits, ["file", "row"]), "dedup-bytes")
     staying = bodies.where("kept").select("digest", F.col("body").alias("kept_body"))
-    unequal = bodies.join(staying, "digest").where("body != kept_body")
-    single = keep(unequal.select("digest").distinct(), "dedup-collisions")
+    unequal = keep(bodies.join(staying, "digest").where("body != kept_body").select("digest"), "dedup-unequal")
+    single = keep(unequal.distinct(), "dedup-collisions")
 
     plain = members.select("digest", "doc_id", (-F.col("best.minus_id")).alias("keep_id"), "group_size", "kept", "text_sha256")
     if _any(single):  # a digest stands for several texts: group these by their bytes

@@ -27,6 +27,8 @@ CONFIDENCE = 0.97
 #: One labelled document in so many is kept for calibration.
 FOLDS = 5
 BINS, WIDEST = 256, 16.0
+#: Classes of size, by the number of different words, that are calibrated apart.
+SIZES = 10
 JOINT_BINS = 64
 
 _UPPER, _DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
@@ -47,21 +49,27 @@ def text_view(words: list[bytes], buckets: _TextBuckets) -> np.ndarray:
 
 
 def page_view(text: bytes, words: list[bytes], source: str | None, lang: str | None) -> np.ndarray:
-    """Buckets of the page's properties, sizes and shares in steps."""
+    """Buckets of the page's properties, sizes and shares in steps.
+
+    What a share says depends on the size (one capital is a lot of a short line), so the shape of
+    lines and characters is told apart by size class.
+    """
     size, n = max(1, len(text)), max(1, len(words))
+    size_class = min(5, size.bit_length() // 2)
 
-    def share(chars: bytes) -> int:
-        return round(40 * (1 - len(text.translate(None, chars)) / size))
+    def share(chars: bytes) -> str:
+        return f"{round(40 * (1 - len(text.translate(None, chars)) / size))}|{size_class}"
 
     different = len(set(words))
     values = {
         "source": source, "lang": lang, "size": round(2 * math.log2(size)), "lines": round(2 * math.log2(1 + text.count(b"\n"))),
-        "line_length": round(2 * math.log2(size / (1 + text.count(b"\n")))), "word_length": round(4 * math.log2(size / n)),
+        "line_length": f"{round(2 * math.log2(size / (1 + text.count(b'\n'))))}|{size_class}",
+        "word_length": f"{round(4 * math.log2(size / n))}|{size_class}",
         "upper": share(_UPPER), "digits": share(_DIGITS), "signs": share(_SIGNS),
         # How many words repeat depends on the length, so steps of both.
         "different": f"{round(20 * different / n)}|{round(math.log2(n))}",
-        "repeats": round(20 * sum(map(bytes.__eq__, words, words[1:])) / n),
-        "longest": round(2 * math.log2(1 + max(map(len, words), default=0))),
+        "repeats": f"{round(20 * sum(map(bytes.__eq__, words, words[1:])) / n)}|{size_class}",
+        "longest": f"{round(2 * math.log2(1 + max(map(len, words), default=0)))}|{size_class}",
     }
     return np.fromiter((zlib.crc32(f"{k}={v}".encode()) % PAGE_BUCKETS for k, v in values.items()), np.uint16)
 
@@ -83,7 +91,7 @@ class View:
 
     odds: np.ndarray
     slope: float = 1.0
-    shift: float = 0.0
+    shifts: np.ndarray | None = None  # by class of size: little text is little evidence, not evidence of a bad page
 
     def raw(self, rows: list[np.ndarray]) -> np.ndarray:
         """Sum over a document's buckets, divided by the root of their number."""
@@ -93,8 +101,13 @@ class View:
         total = np.bincount(owners, self.odds[flat], len(rows))
         return np.clip(total / np.sqrt(np.maximum(sizes, 1)), -WIDEST, WIDEST)
 
-    def logit(self, raw: np.ndarray) -> np.ndarray:
-        return np.clip(self.slope * raw + self.shift, -WIDEST, WIDEST)
+    def logit(self, rows: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+        shift = 0.0 if self.shifts is None else self.shifts[sizes]
+        return np.clip(self.slope * self.raw(rows) + shift, -WIDEST, WIDEST)
+
+
+def size_classes(texts: list[np.ndarray]) -> np.ndarray:
+    return np.fromiter((min(len(t).bit_length(), SIZES - 1) for t in texts), np.int64, len(texts))
 
 
 @dataclass
@@ -105,7 +118,8 @@ class QualityModel:
 
     def probabilities(self, texts: list[np.ndarray], pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By text, by page, and by both."""
-        t, p = self.text.logit(self.text.raw(texts)), self.page.logit(self.page.raw(pages))
+        sizes = size_classes(texts)
+        t, p = self.text.logit(texts, sizes), self.page.logit(pages, sizes)
         both = self.combined[0] * t + self.combined[1] * p + self.combined[2]
         return _probability(t), _probability(p), _probability(both)
 
@@ -114,14 +128,14 @@ def _probability(logit: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+def fit_logistic(x: np.ndarray, good: np.ndarray, bad: np.ndarray, pull: np.ndarray | float = 1e-2) -> np.ndarray:
     """Weights and shift of a logistic regression on counted points, with a weak pull to zero."""
     x = np.column_stack((x, np.ones(len(x))))
-    w, pull = np.zeros(x.shape[1]), 1e-2
+    w, pull = np.zeros(x.shape[1]), np.broadcast_to(pull, x.shape[1])
     for _ in range(100):
         p = _probability(x @ w)
         gradient = x.T @ (good - (good + bad) * p) - pull * w
-        step = np.linalg.solve((x * ((good + bad) * p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w)), gradient)
+        step = np.linalg.solve((x * ((good + bad) * p * (1 - p))[:, None]).T @ x + np.diag(pull), gradient)
         w = w + np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-9:
             break
@@ -187,41 +201,52 @@ def _learn(views: DataFrame, models: tuple[View, View] | None) -> tuple[View, Vi
     def count(total, texts, pages, label, calibrates):
         for_text, for_page = label.copy(), label.copy()
         if models is not None:
+            sizes = size_classes(texts)
             for target, view, rows in ((for_text, models[1], pages), (for_page, models[0], texts)):
-                p = _probability(view.logit(view.raw(rows)))
+                p = _probability(view.logit(rows, sizes))
                 free = label < 0
                 target[free & (p >= CONFIDENCE)] = 1
                 target[free & (p <= 1 - CONFIDENCE)] = 0
         for_text[calibrates] = for_page[calibrates] = -1
         _add(total, 0, texts, for_text, TEXT_BUCKETS)
         _add(total, TEXT_BUCKETS, pages, for_page, PAGE_BUCKETS)
+        for place, target in ((-2, for_text), (-1, for_page)):
+            total[place] += np.bincount(target[target >= 0], minlength=2)
 
-    counts = _summed(views, count, TEXT_BUCKETS + PAGE_BUCKETS).astype(float)
+    counts = _summed(views, count, TEXT_BUCKETS + PAGE_BUCKETS + 2).astype(float)
 
-    def odds(part: np.ndarray) -> View:
-        # One more document, spread over the classes as all are: an unseen bucket says nothing.
-        totals = np.maximum(part.sum(axis=0), 1)
-        share = np.log((part + totals / totals.sum()) / totals)
+    def odds(part: np.ndarray, documents: np.ndarray) -> View:
+        # Shares of documents that have a bucket. One more document, spread over the classes as all
+        # are, is added to each: an unseen bucket says nothing.
+        documents = np.maximum(documents, 1)
+        share = np.log((part + documents / documents.sum()) / documents)
         return View(share[:, 1] - share[:, 0])
 
-    return odds(counts[:TEXT_BUCKETS]), odds(counts[TEXT_BUCKETS:])
+    return odds(counts[:TEXT_BUCKETS], counts[-2]), odds(counts[TEXT_BUCKETS:-2], counts[-1])
 
 
 def _calibrate(views: DataFrame, models: tuple[View, View]) -> None:
-    """Fit slope and shift of both views on the fold that no model learned from."""
+    """Fit slope and shifts of both views on the fold that no model learned from."""
+    cells = BINS * SIZES
 
     def count(total, texts, pages, label, calibrates):
+        sizes = size_classes(texts)
         for i, (view, rows) in enumerate(((models[0], texts), (models[1], pages))):
-            np.add.at(total, (i * BINS + _bins(view.raw(rows)[calibrates], BINS), label[calibrates]), 1)
+            place = i * cells + sizes * BINS + _bins(view.raw(rows), BINS)
+            np.add.at(total, (place[calibrates], label[calibrates]), 1)
 
-    counts = _summed(views, count, 2 * BINS)
-    for view, part in zip(models, (counts[:BINS], counts[BINS:]), strict=True):
-        view.slope, view.shift = map(float, fit_logistic(_middles(BINS)[:, None], part[:, 1], part[:, 0]))
+    counts = _summed(views, count, 2 * cells)
+    points = np.column_stack((np.tile(_middles(BINS), SIZES), np.repeat(np.eye(SIZES), BINS, axis=0)))
+    pull = np.array([1e-2] + [0.3] * SIZES + [1e-2])  # a class with few documents stays near the common shift
+    for view, part in zip(models, (counts[:cells], counts[cells:]), strict=True):
+        weights = fit_logistic(points, part[:, 1], part[:, 0], pull)
+        view.slope, view.shifts = float(weights[0]), weights[1:-1] + weights[-1]
 
 
 def _combine(views: DataFrame, models: tuple[View, View]) -> tuple[float, float, float]:
     def count(total, texts, pages, label, calibrates):
-        t, p = (_bins(view.logit(view.raw(rows)), JOINT_BINS) for view, rows in ((models[0], texts), (models[1], pages)))
+        sizes = size_classes(texts)
+        t, p = (_bins(view.logit(rows, sizes), JOINT_BINS) for view, rows in ((models[0], texts), (models[1], pages)))
         np.add.at(total, ((t * JOINT_BINS + p)[calibrates], label[calibrates]), 1)
 
     counts = _summed(views, count, JOINT_BINS**2)
