@@ -52,7 +52,7 @@ def op1_license_scan(spark, sf_dir):
 
 @query
 def op2_substring_dedup(spark, sf_dir):
-    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
 @query

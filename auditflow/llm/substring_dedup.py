@@ -26,7 +26,6 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from auditflow.llm._store import keep
@@ -35,6 +34,8 @@ WINDOW = 50
 ANCHOR = 20
 #: UTF-8 bytes of a shard's texts, about; a task holds the texts of one shard.
 SHARD_BYTES = 4 << 20
+#: Texts that are hashed at a time.
+PIECE_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -45,16 +46,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
 class _Powers:
-    """Powers of a base modulo 2^64, as many as the longest text so far needs."""
+    """Powers of a base modulo 2^64, as many as the longest piece so far needs."""
 
     def __init__(self, base: int):
         self.base, self.values = base, np.ones(1, np.uint64)
@@ -68,33 +61,50 @@ class _Powers:
 
 
 class Blocks:
-    """Anchors and blocks of a text."""
+    """Anchors and blocks of texts, many texts at a time."""
 
     def __init__(self, window: int, anchor: int):
         self.window, self.anchor = window, anchor
-        self.hashes, self.up, self.down = _WordHashes(), _Powers(_BASE), _Powers(_INVERSE)
-
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Anchor hash, first word and number of words of every block."""
-        n = len(words)
-        if n < self.window:
+        self.up, self.down = _Powers(_BASE), _Powers(_INVERSE)
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        """Number of the text, anchor hash, digest, first word and number of words of every block."""
+        joined = [b" ".join(t.split()) for t in texts]
+        numbers = [i for i, t in enumerate(joined) if t]
+        data = b" ".join([joined[i] for i in numbers])
+        codes = np.frombuffer(data, np.uint8)
+        blanks = np.flatnonzero(codes == 32)
+        starts, ends = np.concatenate(([0], blanks + 1)), np.concatenate((blanks, [len(data)]))
+        n, width = len(starts), self.window - self.anchor + 1
+        if not data or n < self.window:
             none = np.zeros(0, np.int64)
-            return none, none, none
-        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, n)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * self.up.upto(n))))
-        grams = n - self.anchor + 1
-        value = _mixed((total[self.anchor :] - total[:grams]) * self.down.upto(grams))
-        width = self.window - self.anchor + 1
-        least, at, span = value, np.arange(grams), 1  # of the `span` grams from here, the last of the least
+            return none, none, [], none, none
+        sizes = np.array([joined[i].count(b" ") + 1 for i in numbers])
+        text_of, first_of = np.repeat(np.arange(len(numbers)), sizes), np.concatenate(([0], np.cumsum(sizes)[:-1]))
+
+        # A rolling hash of the bytes of each n-gram of words.
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * self.up.upto(len(data)))))
+        begins = starts[: n - self.anchor + 1]
+        value = _mixed((total[ends[self.anchor - 1 :]] - total[begins]) * self.down.upto(len(data))[begins])
+        # The last n-gram of the least hash in each window: upper half the hash, lower half the place from behind.
+        least = (value & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(value), 0, -1).astype(np.uint64)
+        span = 1
         while span < width:
             step = min(span, width - span)
-            later = least[step:] <= least[:-step]
-            at = np.where(later, at[step:], at[:-step])
-            least = np.where(later, least[step:], least[:-step])
+            least = np.minimum(least[step:], least[:-step])
             span += step
-        first = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
-        windows = np.diff(np.concatenate((first, [len(at)])))
-        return value[at[first]].view(np.int64), first, windows + self.window - 1
+        at = len(value) - (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        inside = np.flatnonzero(text_of[: len(at)] == text_of[self.window - 1 :])  # windows within one text
+        if not len(inside):
+            none = np.zeros(0, np.int64)
+            return none, none, [], none, none
+        change = np.concatenate(([0], np.flatnonzero(np.diff(at[inside])) + 1))
+        first, words = inside[change], np.diff(np.concatenate((change, [len(inside)]))) + self.window - 1
+        digests = [
+            hashlib.blake2b(data[a:z], digest_size=16).digest() for a, z in zip(starts[first].tolist(), ends[first + words - 1].tolist(), strict=True)
+        ]
+        texts_at = text_of[first]
+        return np.array(numbers)[texts_at], value[at[first]].view(np.int64), digests, first - first_of[texts_at], words
 
 
 def _joined(words: list[bytes]) -> tuple[bytes, list[int]]:
@@ -111,26 +121,29 @@ def census(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """(anchor, digest, doc_id, start, n) of every block of every document."""
     names = ["anchor", "digest", "doc_id", "start", "n"]
 
+    def found(blocks: Blocks, ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
+        number, anchors, digests, first, n = blocks.of(texts)
+        arrays = [
+            pa.array(anchors, pa.int64()), pa.array(digests, pa.binary()), pa.array(np.array(ids, np.int64)[number], pa.int64()),
+            pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)),
+        ]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = Blocks(window, anchor)
+        blocks, ids, texts, size = Blocks(window, anchor), [], [], 0
         for batch in batches:
-            for part in range(0, batch.num_rows, 500):
-                anchors, digests, ids, starts, sizes = [], [], [], [], []
-                for doc_id, text in zip(batch.column(0)[part : part + 500].to_pylist(), batch.column(1)[part : part + 500].cast(pa.binary())):
-                    words = (text.as_py() or b"").split()
-                    a, first, n = blocks.of(words)
-                    if doc_id is None or not len(a):
-                        continue
-                    joined, places = _joined(words)
-                    digests += [_digest(joined, places, f, k) for f, k in zip(first.tolist(), n.tolist())]
-                    for values, value in ((anchors, a), (ids, np.full(len(a), doc_id)), (starts, first), (sizes, n)):
-                        values.append(value)
-                if anchors:
-                    arrays = [
-                        pa.array(np.concatenate(anchors)), pa.array(digests, pa.binary()), pa.array(np.concatenate(ids)),
-                        pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(sizes).astype(np.int32)),
-                    ]
-                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+                text = text.as_py()
+                if doc_id is None or not text:
+                    continue
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text)
+                if size >= PIECE_BYTES:
+                    yield found(blocks, ids, texts)
+                    ids, texts, size = [], [], 0
+        if texts:
+            yield found(blocks, ids, texts)
 
     return docs.mapInArrow(rows, "anchor long, digest binary, doc_id long, start int, n int")
 
@@ -159,65 +172,83 @@ def _windows(window: int):
     return rows
 
 
+def _stretches(passages: Iterator[tuple[int, int, int, int]]) -> dict[int, list[tuple[int, int, int]]]:
+    """By document: maximal stretches (start, end, owner) of its overlapping or adjoining passages (doc, start, n, owner).
+
+    A text that has such a stretch has all passages in it, so it loses the whole of it if its
+    identifier is larger than those of all their owners.
+    """
+    out: dict[int, list[tuple[int, int, int]]] = {}
+    for doc_id, start, n, owner in sorted(passages):
+        found = out.setdefault(doc_id, [])
+        if found and start <= found[-1][1]:
+            first, end, most = found[-1]
+            found[-1] = (first, max(end, start + n), max(most, owner))
+        else:
+            found.append((start, start + n, owner))
+    return out
+
+
 def _automaton(docs: list[tuple[int | None, list[bytes]]], passages: Iterator[tuple[int, int, int, int]]):
-    """The automaton of the passages and the letter of each of their words; passages are (doc, start, n, least doc)."""
-    texts: dict[int, list[list[bytes]]] = {}
-    for doc_id, words in docs:
-        if doc_id is not None:
-            texts.setdefault(doc_id, []).append(words)
+    """The automaton of a shard's passages, and the letter of each of their words."""
     letters: dict[bytes, str] = {}
-    least: dict[str, int] = {}
-    for doc_id, start, n, owner in passages:
-        for words in texts.get(doc_id, ()):
-            phrase = words[start : start + n]
-            if len(phrase) < n:
-                continue
+    owners: dict[str, int] = {}
+    stretches = _stretches(passages)
+    for doc_id, words in docs:
+        for start, end, owner in stretches.get(doc_id, ()):
+            if end > len(words):
+                continue  # another row of a repeated identifier
+            phrase = words[start:end]
             for w in phrase:
                 if w not in letters:
                     letters[w] = chr(0x10000 + len(letters))
             key = "".join([letters[w] for w in phrase])
-            least[key] = min(owner, least.get(key, owner))
+            owners[key] = min(owner, owners.get(key, owner))
     machine = ahocorasick.Automaton()
-    for key, owner in least.items():
+    for key, owner in owners.items():
         machine.add_word(key, (len(key), owner))
-    if least:
+    if owners:
         machine.make_automaton()
-    return (machine if least else None), letters
+    return (machine if owners else None), letters
 
 
-def _located(docs: pa.Table, passages: pa.Table) -> pa.Table:
+def _located(with_text: bool):
     """Stream the texts of a shard through the automaton of its passages, and take out what is covered."""
-    ids = docs["doc_id"].to_pylist()
-    split = [(i, (t.as_py() or b"").split()) for i, t in zip(ids, docs["text"].cast(pa.binary()))]
-    columns = (passages[c].to_pylist() for c in ("doc_id", "start", "n", "owner"))
-    machine, letters = _automaton(split, zip(*columns))
-    totals, removed, hashes = [], [], []
-    for doc_id, words in split:
-        kept = words
-        if machine is not None and doc_id is not None and words:
-            cover = np.zeros(len(words) + 1, np.int32)
-            get = letters.get
-            for end, (n, owner) in machine.iter("".join([get(w, "\0") for w in words])):
-                if owner < doc_id:
-                    cover[end - n + 1] += 1
-                    cover[end + 1] -= 1
-            if cover.any():
-                kept = [w for w, c in zip(words, np.cumsum(cover).tolist()) if not c]
-        totals.append(len(words))
-        removed.append(len(words) - len(kept))
-        hashes.append((b" ".join(kept), len(kept)))
-    text = [h for h, _ in hashes]
-    return pa.table({
-        "doc_id": docs["doc_id"], "n_words": pa.array(totals, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
-        "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in text], pa.string()),
-        "kept_text": pa.array([t.decode() for t in text], pa.string()),
-    })
+
+    def rows(docs: pa.Table, passages: pa.Table) -> pa.Table:
+        split = [(i, (t.as_py() or b"").split()) for i, t in zip(docs["doc_id"].to_pylist(), docs["text"].cast(pa.binary()))]
+        columns = (passages[c].to_pylist() for c in ("doc_id", "start", "n", "owner"))
+        machine, letters = _automaton(split, zip(*columns))
+        removed, hashes, texts = [], [], []
+        for doc_id, words in split:
+            kept = words
+            if machine is not None and doc_id is not None and words:
+                cover = None
+                get = letters.get
+                for end, (n, owner) in machine.iter("".join([get(w, "\0") for w in words])):
+                    if owner < doc_id:
+                        cover = bytearray(len(words)) if cover is None else cover
+                        cover[end - n + 1 : end + 1] = b"\1" * n
+                if cover is not None:
+                    kept = [w for w, c in zip(words, cover) if not c]
+            removed.append(len(words) - len(kept))
+            text = b" ".join(kept)
+            hashes.append(hashlib.sha256(text).hexdigest())
+            texts.append(text.decode() if with_text else None)
+        out = {
+            "doc_id": docs["doc_id"], "n_words": pa.array([len(w) for _, w in split], pa.int64()),
+            "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(hashes, pa.string()),
+        }
+        return pa.table(out | ({"kept_text": pa.array(texts, pa.string())} if with_text else {}))
+
+    return rows
 
 
 def remove_repeats(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES
-) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept_text of every row.
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES,
+    with_text: bool = True,
+) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, ``with_text``, kept_text of every row.
 
     A word goes when a window of words that covers it also starts in a row with a smaller
     identifier, in the texts as given. Words are parted by ASCII blanks and unchanged. Null and
@@ -226,7 +257,7 @@ def remove_repeats(
     columns named are read; an empty table gives an empty one.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = census(docs, window, anchor)
+    blocks = keep(census(docs, window, anchor), "census")
     repeated = blocks.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     found = keep(blocks.join(keep(repeated, "anchors"), "anchor"), "blocks")
 
@@ -252,5 +283,5 @@ def remove_repeats(
     parts = single.join(first, "digest").where("doc_id > owner").select("doc_id", "start", F.lit(window).alias("n"), "owner")
 
     passages = whole.unionByName(parts).withColumn("shard", dealt).groupBy("shard")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    return texts.cogroup(passages).applyInArrow(_located, schema)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    return texts.cogroup(passages).applyInArrow(_located(with_text), schema)

@@ -54,10 +54,11 @@ def test_awkward_rows(spark, awkward, no_rows):
 def test_equal_windows_have_equal_anchors():
     blocks, words = Blocks(10, 4), prose(5, 300).encode().split()
     seen = {}
-    for shift in (0, 3):
-        text = [b"x"] * shift + words
-        for anchor, first, n in zip(*(a.tolist() for a in blocks.of(text))):
-            for p in range(first, first + n - 9):
-                if p >= shift:
-                    assert seen.setdefault(p - shift, anchor) == anchor
+    texts = [b" ".join([b"x"] * shift + words) for shift in (0, 3)]
+    number, anchors, _, firsts, sizes = blocks.of([texts[0], b"", b"too short", texts[1]])
+    for text, anchor, first, n in zip(number.tolist(), anchors.tolist(), firsts.tolist(), sizes.tolist()):
+        shift = {0: 0, 3: 3}[text]
+        for p in range(first, first + n - 9):
+            if p >= shift:
+                assert seen.setdefault(p - shift, anchor) == anchor
     assert len(seen) == 291
