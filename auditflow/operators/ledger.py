@@ -202,6 +202,34 @@ def exclusion_samples(flagged: DataFrame, *, key_col: str, detail_cols: dict[int
     return ranked.groupBy(STEP).agg(as_map.alias("exclusion_samples"))
 
 
+def join_steps(checks: DataFrame, raw: DataFrame, order: Sequence[str], *, first_index: int) -> DataFrame:
+    """Ledger records of safe joins: rows before and after, and dimension rows removed as duplicates.
+
+    ``checks`` are diagnostics of the joins as made, ``raw`` those to the dimensions as
+    they are; ``order`` lists the right tables in the order of the joins.
+    """
+    given = raw.groupBy("right_table").agg(F.max("right_rows").alias("given_rows"))
+    place = F.array_position(F.array(*[F.lit(t) for t in order]), F.col("right_table"))
+    joined = checks.join(given, "right_table", "left")
+    removed = F.coalesce("given_rows", "right_rows") - F.col("right_rows")
+    return conform(
+        joined.select(
+            (place + F.lit(first_index - 1)).cast("int").alias("step_index"),
+            F.concat(F.lit("TRF_JOIN_"), F.upper("right_table")).alias("transformation_id"),
+            F.lit("safe_left_join").alias("operation"),
+            F.array("left_key").alias("columns_affected"),
+            F.create_map(
+                F.lit("join_keys"), F.col("join_keys"), F.lit("right_table"), F.col("right_table"),
+                F.lit("duplicates_removed"), removed.cast(StringType()),
+            ).alias("parameters"),
+            F.col("left_rows").alias("rows_before"),
+            F.col("result_rows").alias("rows_after"),
+            F.lit(0).cast("long").alias("rows_excluded"),
+        ),
+        TRANSFORMATION,
+    )
+
+
 def exclusion_ledger(
     flagged: DataFrame,
     *,

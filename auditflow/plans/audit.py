@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auditflow.functions.naming import DATE_NAME_PARTS, KEY_NAME_PARTS, columns_with, first_with, pick_fact
 from auditflow.functions.parsing import fill_unknown_members
-from auditflow.operators import ledger, profile, quality, report, validate
+from auditflow.operators import ledger, metrics, profile, quality, report, validate
 from auditflow.operators.joins import Link, chain_checks, join_chain, join_check, link_diagnostics, relationship
 from auditflow.operators.periods import infer_cutoff
 from auditflow.plans import methods
 from auditflow.session import durable
+from auditflow.sources.manifest import table_manifest
 
 
 @dataclass
@@ -37,7 +38,11 @@ class AuditRun:
     report_status: DataFrame
     cards: DataFrame
     charts: DataFrame
-    findings: DataFrame
+    chart_records: DataFrame
+    findings: DataFrame | None
+    dashboard_checks: DataFrame
+    dashboard: DataFrame
+    provenance: DataFrame
 
 
 def run_audit(
@@ -52,6 +57,7 @@ def run_audit(
     metric: str = "net_sales",
     cutoff: date | str | None = None,
     samples: int = 3,
+    plan: Sequence[methods.Step] | None = None,
     keep_analytical: bool = False,
 ) -> AuditRun:
     """Audit, prepare, compute, validate and report.
@@ -60,9 +66,12 @@ def run_audit(
     Without ``cutoff`` one small job finds the last closed day of the fact, so that
     the cutoff is a literal in all plans that follow.
 
-    ``analytical`` feeds every metric. With ``keep_analytical`` it is computed once
-    into the shared checkpoint folder, which pays off when several parts of the run
-    are used; otherwise every part reads the source tables anew.
+    Of a given ``plan`` the admissible steps run, or the default plan if they are too
+    few (``methods.admitted``).
+
+    ``analytical`` feeds every metric. With ``keep_analytical`` it and all results are
+    computed once into the shared checkpoint folder, which pays off when several parts
+    of the run are used; otherwise every part reads the source tables anew.
     """
     fact = fact or pick_fact(list(tables))
     date_col = first_with(tables[fact].columns, DATE_NAME_PARTS)
@@ -84,8 +93,14 @@ def run_audit(
 
     joins = chain_checks(usable, tables, links, metric=metric, left_table=fact)
 
-    plan = methods.default_plan(baseline, current, metric=metric, dimensions=dimensions)
+    default = methods.default_plan(baseline, current, metric=metric, dimensions=dimensions)
+    plan = default if plan is None else methods.admitted(plan, analytical.columns, default)
+    needed = {methods.TREND, methods.COMPARISON, methods.DYNAMICS, methods.FORECAST}
+    if not needed <= {s.step_id for s in plan}:  # the report needs these
+        plan = [*plan, *[s for s in default if s.step_id in needed | {methods.SUMMARY} and s.step_id not in {p.step_id for p in plan}]]
     results = methods.run_plan(analytical, plan)
+    if keep_analytical:
+        results = {result_id: durable(df) for result_id, df in results.items()}
     records = methods.results_table(spark, plan, results)
     values = methods.result_values(plan, results)
 
@@ -98,8 +113,14 @@ def run_audit(
     eligibility = results[f"RES_{methods.FORECAST}"].withColumn("result_id", F.lit(f"RES_{methods.FORECAST}"))
 
     checks = validate.finite_checks(values).unionByName(validate.sample_size_checks(eligibility))
+    if any(c in tables[fact].columns for c in ledger.AMOUNT_COLUMNS):
+        # On the stored cells: the exact amounts that results are made of are always finite.
+        stored = ledger.amount_cast_counts(ledger.keep_usable(tables[fact], date_col=date_col, cutoff=cutoff))
+        checks = checks.unionByName(validate.source_amount_checks(records, stored))
     if breakdowns is not None:
-        checks = checks.unionByName(validate.reconciliation_checks(validate.reconcile(breakdowns, comparison)))
+        # The expected change comes from the fact before any join.
+        expected = metrics.period_comparison(usable, baseline=baseline, current=current, metric=metric)
+        checks = checks.unionByName(validate.reconciliation_checks(validate.reconcile(breakdowns, expected)))
     if joins is not None:
         checks = checks.unionByName(validate.join_safety_checks(joins))
     statuses = validate.result_statuses(records, checks)
@@ -108,17 +129,42 @@ def run_audit(
     driver_results = {s.parameters["dimensions"]: s.result_id for s in plan if s.category == "dimension_breakdown"}
     # Only what validation let through is shown.
     cards = validate_shown(report.metric_cards(comparison, drivers, driver_results=driver_results), statuses)
-    found = report.findings(comparison, drivers) if drivers is not None else None
-    charts = report.chart_datasets(
+    cards = report.with_status(cards, statuses)
+    found = report.findings(comparison, drivers, driver_results=driver_results) if drivers is not None else None
+    points = report.chart_datasets(
         results[f"RES_{methods.TREND}"], breakdowns, results[f"RES_{methods.DYNAMICS}"]
     )
+    described = report.chart_records(
+        points, baseline=baseline, current=current, driver_results=driver_results,
+        primary=dimensions[0] if dimensions else None, metric=metric,
+    )
+    shown = report.with_status(validate_shown(described, statuses), statuses)
+
+    def of_run(df: DataFrame) -> DataFrame:
+        return df.withColumn("run", F.lit(fact))
+
+    components = of_run(report.dashboard_components(cards, shown))
+    dashboard_checks = validate.presentation_checks(components, of_run(statuses), run=["run"])
+    dashboard = validate.presentation_status(dashboard_checks, validate.period_alignment(components, run=["run"]), run=["run"])
+
+    steps = ledger.exclusion_ledger(flagged, date_col=date_col, cutoff=cutoff)
+    joined = [link.dimension for link in links if link.dimension in tables] if joins is not None else []
+    manifested = table_manifest(tables).withColumnRenamed("table_name", "table_id")
+    way = report.provenance(
+        fact=fact, sources=manifested, ledger=steps, joins=joins, joined=list(dict.fromkeys(joined)), results=statuses, cards=cards
+    )
+    if joins is not None and diagnostics is not None:
+        # Exclusion steps are numbered from 1, one per rule.
+        rules = ledger.exclusion_rules(tables[fact], date_col=date_col, cutoff=cutoff)
+        made = ledger.join_steps(joins, diagnostics, list(dict.fromkeys(joined)), first_index=len(rules.tests(tables[fact])) + 1)
+        steps = steps.unionByName(made)
     return AuditRun(
         profile=profiled,
         table_profile=profile.table_profile(profiled, tables),
         issues=issues,
         quality_report=quality.quality_report(issues, tables),
         relationships=None if diagnostics is None else relationship(diagnostics),
-        ledger=ledger.exclusion_ledger(flagged, date_col=date_col, cutoff=cutoff),
+        ledger=steps,
         quarantine=ledger.quarantined_rows(flagged, cutoff=cutoff),
         join_checks=None if joins is None else join_check(joins),
         analytical=analytical,
@@ -128,8 +174,12 @@ def run_audit(
         checks=checks,
         report_status=validate.report_status(checks),
         cards=cards,
-        charts=charts,
+        charts=points.join(shown.select("chart_id"), "chart_id", "left_semi"),
+        chart_records=shown,
         findings=found if found is None else validate_shown(found, statuses),
+        dashboard_checks=dashboard_checks,
+        dashboard=dashboard,
+        provenance=way,
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from auditflow.operators import metrics
+from auditflow.operators.validate import MIN_VALID_STEPS
 from auditflow.records import ANALYSIS_RESULT, RESULT_VALUE, conform
 
 Method = Callable[..., DataFrame]
@@ -94,6 +95,25 @@ def default_plan(
     ]
 
 
+#: Parameters of a step that name columns.
+COLUMN_PARAMETERS = ("metric", "date_col", "dimensions", "customer_col", "dimension", "key")
+
+
+def admitted(steps: Sequence[Step], columns: Sequence[str], default: Sequence[Step]) -> list[Step]:
+    """The steps that may run: registered, over known columns, and after all they depend on.
+
+    The others are dropped; where fewer than three are left, the default plan runs.
+    A breakdown by a dimension that the table lacks may run, since it has one member.
+    """
+    known, kept = {c.lower() for c in columns}, []
+    for step in steps:
+        named = [v for k, v in step.parameters.items() if k in COLUMN_PARAMETERS and k != "dimensions" and isinstance(v, str)]
+        there = all(c.lower() in known for c in named)
+        if step.category in _METHODS and there and {f"RES_{d}" for d in step.depends_on} <= {s.result_id for s in kept}:
+            kept.append(step)
+    return kept if len(kept) >= MIN_VALID_STEPS else list(default)
+
+
 def run_plan(df: DataFrame, steps: Sequence[Step]) -> dict[str, DataFrame]:
     """Result id to result. A step whose method is unknown, or that comes before one it needs, is an error."""
     done: dict[str, DataFrame] = {}

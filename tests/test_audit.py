@@ -30,7 +30,12 @@ def run(spark, tables):
 
 
 def test_no_row_is_lost_or_repeated(run, tables):
-    steps = run.ledger.orderBy("step_index").collect()
+    everything = run.ledger.orderBy("step_index").collect()
+    steps = [s for s in everything if s.operation != "safe_left_join"]
+    made = everything[len(steps):]
+    assert [s.transformation_id for s in made] == ["TRF_JOIN_CUSTOMERS", "TRF_JOIN_PRODUCTS", "TRF_JOIN_CATEGORIES"]
+    assert {(s.rows_before, s.rows_after) for s in made} == {(steps[-1].rows_after, steps[-1].rows_after)}
+    assert [s.parameters["duplicates_removed"] for s in made] == ["1", "0", "0"]
     assert [s.operation for s in steps] == ["filter_invalid_dates", "filter_completed_orders", "filter_date_range"]
     assert steps[0].rows_before == tables["orders"].count() and steps[0].rows_excluded == 2
     assert run.analytical.count() == steps[-1].rows_after
@@ -63,6 +68,28 @@ def test_validation(run):
     assert run.report_status.first().overall_status == "approved_with_warnings"
     assert {r.passed for r in run.checks.collect()} == {True}
     assert run.cards.count() == 5 and run.charts.select("chart_id").distinct().count() == 4
+    assert run.dashboard.first().is_dashboard_valid and run.dashboard_checks.count() == 9
+    assert {r.chart_id: r.is_primary_objective for r in run.chart_records.collect()}["CHART_CHANNEL"]
+    parents = {r.node_id: r.parent_id for r in run.provenance.collect()}
+    assert parents["TRF_01_CLEAN_DATES"] == "orders" and parents["TRF_JOIN_CUSTOMERS"] == "TRF_03_CUTOFF_INCOMPLETE_PERIOD"
+    assert parents["TRF_JOIN_PRODUCTS"] == "TRF_JOIN_CUSTOMERS" and parents["RES_OP_03_PERIOD_COMPARISON"] == "TRF_JOIN_CATEGORIES"
+
+
+def test_an_infinite_stored_amount_rejects_all_results(spark, tables):
+    orders = tables["orders"].withColumn("net_sales", F.when(F.monotonically_increasing_id() == 0, "Infinity").otherwise(F.col("net_sales").cast("string")))
+    orders = orders.withColumn("order_date", F.lit("2026-03-10"))
+    bad = run_audit(spark, {"orders": orders}, baseline="2026-03", current="2026-05", links=[], dimensions=("channel",), cutoff="2026-05-31", samples=0)
+    assert {r.validation_status for r in bad.result_records.collect()} == {"rejected"}
+    assert bad.report_status.first().overall_status == "rejected"
+    assert bad.cards.count() == bad.charts.count() == bad.findings.count() == 0
+
+
+def test_plan_keeps_what_is_admissible(spark):
+    default = methods.default_plan("2026-03", "2026-05")
+    proposed = [*default[:4], methods.Step("X", "no_such_method"), methods.Step("Y", "metric_summary", {"metric": "no_column"})]
+    kept = methods.admitted(proposed, ["net_sales", "order_date_clean", "channel"], default)
+    assert [s.step_id for s in kept] == [s.step_id for s in default[:4]]
+    assert methods.admitted(proposed[4:], ["net_sales"], default) == default
 
 
 def test_quality(run):

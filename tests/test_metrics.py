@@ -154,5 +154,25 @@ def test_concentration_of_nothing(spark):
 def test_pivot_and_slices(facts):
     pivot = {r.period: r for r in m.month_pivot(facts, "channel", ["web", "shop"]).collect()}
     assert (pivot["2026-03"].web, pivot["2026-03"].shop, pivot["2026-05"].shop) == (130.0, 50.0, 0.0)
+    extra = facts.withColumn("channel", F.when(F.col("channel") == "shop", "zz").when(F.col("net_sales") > 100, None).otherwise(F.col("channel")))
+    months = m.month_pivot(extra, "channel", ["web"]).collect()
+    whole = {r.period: r.net_sales for r in m.monthly_trend(facts).collect()}
+    assert all(r.web + r.other + r.unclassified == pytest.approx(whole[r.period]) for r in months) and sum(r.other for r in months) > 0
     assert tuple(m.filtered_totals(facts, F.col("channel") == "web").first()) == (1139.0, 4)
     assert m.closed_months(facts, "2026-03", "2026-05").count() == 7
+
+
+def test_a_lost_or_repeated_row_is_not_reconciled(spark, facts):
+    whole = m._two_months(facts, "2026-03", "2026-05", "net_sales", "order_date_clean", [F.col("channel")])
+    for joined in (whole.where("channel <> 'shop'"), whole.unionByName(whole.where("channel = 'web'"))):
+        rows = m._decompose(joined, ["channel"], "2026-03", "2026-05", "net_sales", before_join=whole).collect()
+        assert {r.is_reconciled for r in rows} == {False} and rows[0].reconciliation_diff > 0
+    rows = m._decompose(whole, ["channel"], "2026-03", "2026-05", "net_sales", before_join=whole).collect()
+    assert {r.is_reconciled for r in rows} == {True}
+
+
+def test_dates_and_status_reach_the_scans(spark, sf_dir):
+    from auditflow.plans import views
+
+    plan = m.metric_summary(views.prepared_sales(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(o_orderdate," in plan and "EqualNullSafe(l_returnflag,R)" in plan

@@ -70,3 +70,16 @@ def test_call_log(spark):
     found = {x.status: x for x in r.call_log_rollup(calls).collect()}
     assert (found["success"].calls, found["success"].input_tokens, found["success"].output_tokens, found["success"].max_duration) == (2, 10, 3, 300)
     assert found["success"].p95_duration == 300
+
+
+def test_percentiles_are_exact_at_any_size(spark):
+    n = 200_001
+    calls = spark.range(n).selectExpr("'a' AS caller_agent", "CAST(NULL AS STRING) AS status", "1L AS input_tokens", "1L AS output_tokens", "id * 7919 % 200003 * 13 AS duration_ms")
+    row = r.call_log_rollup(calls).first()
+    durations = sorted(i * 7919 % 200003 * 13 for i in range(n))
+    assert (row.calls, row.p50_duration, row.p95_duration) == (n, durations[-(-n // 2) - 1], durations[-(-n * 95 // 100) - 1])
+
+
+def test_events_without_a_run_are_steps_of_one(spark, rows):
+    events = [(1, None, "UPLOADED", None), (2, None, "READY", None)]
+    assert rows(r.transition_violations(_log(spark, events)), "from_stage", "to_stage") == [("UPLOADED", "READY")]
