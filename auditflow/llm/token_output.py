@@ -11,6 +11,7 @@ any store it knows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -48,7 +49,6 @@ def unshuffle_planes(planes: list[bytes], n: int) -> np.ndarray:
     return np.ascontiguousarray(raw).view("<u4").reshape(-1)
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str):
     import os
 
@@ -58,27 +58,65 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Parts whose pieces can be counted without the library: printable ASCII and Latin letters that
+#: normalise and lower-case one by one. Special tokens are left to the library.
+_PLAIN = re.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-ÿ]+")
+#: Fixed value: how the vocabulary splits such a part, lower-cased, before merging.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
 class Encoder:
-    """Ids of a text, as little-endian 32-bit numbers.
+    """Ids of texts, as little-endian 32-bit numbers.
 
     The vocabulary drops white space and merges inside words only, so the ids of a text are those
-    of its parts between ASCII blanks, one after the other; frequent parts are encoded once.
+    of its parts between ASCII blanks, one after the other; each part is encoded once. The pieces
+    of new parts (words, digits, signs) are encoded together and told apart by the tokens that end one.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
-
-    def encode(self, text: str | None) -> bytes:
-        parts = (text or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
+        self.tokenizer, self.known, self.pieces = _tokenizer(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _learn(self, parts: list[str]) -> None:
+        lower = {p: p.lower() for p in parts if _PLAIN.fullmatch(p)}
+        words = {p: x for p, x in lower.items() if x.isalpha()}  # one piece
+        mixed = {p: tuple(_PIECES.findall(x)) for p, x in lower.items() if not x.isalpha()}
+        if len(self.pieces) > CACHED_WORDS:
+            self.pieces.clear()
+        new = [x for x in set(words.values()).union(*mixed.values()) if x not in self.pieces]
+        if new:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(new) and ends[-1] == len(ids):  # else each part is encoded alone
+                cuts, data = (ends * 4).tolist(), ids.tobytes()
+                self.pieces.update(zip(new, [data[a:z] for a, z in zip([0, *cuts], cuts)]))
+            else:
+                words = {p: x for p, x in words.items() if x in self.pieces}
+                mixed = {p: x for p, x in mixed.items() if all(y in self.pieces for y in x)}
+        get = self.pieces.__getitem__
+        self.known.update(zip(words, map(get, words.values())))
+        self.known.update((p, b"".join(map(get, x))) for p, x in mixed.items())
+        rest = [p for p in parts if p not in self.known]
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else (), strict=True):
+            self.known[p] = np.array(e.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = [(t or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for t in texts]
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
         known = self.known
-        new = [p for p in dict.fromkeys(parts) if p not in known]
+        new = [p for p in set().union(*split) if p not in known]
         if new:
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(parts))
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[p] for p in parts])
+            self._learn(new)
+        return [b"".join([known[p] for p in parts]) for parts in split]
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
 
 
 _ROW = (
@@ -116,16 +154,18 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
     end = np.array([end_id], "<u4").tobytes()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, segment, encoder = TaskContext.get().partitionId(), 0, Encoder(tokenizer_path)
+        part, segment, encoder = TaskContext.get().partitionId(), 0, _encoder(tokenizer_path)
         data, ids, total = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data.append(encoder.encode(text.as_py()) + end)
-                ids.append(doc_id)
-                total += len(data[-1]) // 4
-                if total >= SEGMENT_IDS:
-                    yield _segment_row(part, segment, data, ids, bits)
-                    data, ids, total, segment = [], [], 0, segment + 1
+            for at in range(0, batch.num_rows, 300):
+                some = batch.slice(at, 300)
+                for doc_id, coded in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
+                    data.append(coded + end)
+                    ids.append(doc_id)
+                    total += len(data[-1]) // 4
+                    if total >= SEGMENT_IDS:
+                        yield _segment_row(part, segment, data, ids, bits)
+                        data, ids, total, segment = [], [], 0, segment + 1
         if data:
             yield _segment_row(part, segment, data, ids, bits)
 
