@@ -41,6 +41,8 @@ HEADLINE = (
     "run_status",
     "redact_text",
     "table_digest",
+    "provenance_ledger",
+    "chart_datasets",
 )
 
 
