@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from auditflow.llm.mixing import OTHER, mix, poisson_count, uniform
+from auditflow.llm.mixing import OTHER, mix, poisson_count, repetitions, uniform
 
 
 @pytest.mark.parametrize("mean", [0.0, 0.3, 1.0, 7.5, 400.0])
@@ -41,3 +41,29 @@ def test_awkward_rows(awkward, no_rows):
 def test_only_spark_functions(awkward):
     plan = mix(awkward, {"src0": 1.0, OTHER: 1.0})._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas", "BroadcastNestedLoop"))
+
+
+def test_large_means_are_sums_of_draws(spark):
+    n, mean = 500, 1234.5
+    df = spark.range(n).select(repetitions(F.lit(mean), 1, F.col("id")).alias("k"))
+    average, spread = df.agg(F.avg("k"), F.var_samp("k")).first()
+    assert abs(average - mean) <= 5 * math.sqrt(mean / n) and abs(spread - mean) <= 0.25 * mean
+    # Where one draw is enough, another source's large rate changes nothing.
+    some = spark.range(100).select(repetitions(F.lit(3.0), 1, F.col("id")).alias("a"), poisson_count(uniform(1, F.col("id")), F.lit(3.0), 3.0).alias("b"))
+    assert some.where("a != b").isEmpty()
+
+
+def test_a_rare_source_reaches_its_weight(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, "rare").otherwise("big").alias("source"), F.lit("0123456789").alias("text"))
+    got = mix(docs, {"rare": 0.5, OTHER: 0.5}, total=240_000.0).cache()
+    counts = {r["source"]: r["count"] for r in got.groupBy("source").count().collect()}
+    assert abs(counts["rare"] - 12_000) < 600 and abs(counts["big"] - 12_000) < 600
+    rare = got.where("source = 'rare'")
+    assert rare.agg(F.min("copy"), F.max("copy"), F.count_distinct("copy")).first() == (0, counts["rare"] - 1, counts["rare"])
+    assert dict(got.dtypes)["copy"] == "int"
+
+
+def test_a_source_without_characters_is_mixed_by_rows(spark):
+    docs = spark.range(4_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 4).alias("source"), F.when(F.col("id") % 4 == 1, "").when(F.col("id") % 4 > 1, "0123456789").alias("text"))
+    got = {r["source"]: r["count"] for r in mix(docs, {"s0": 0.25, "s1": 0.25, OTHER: 0.5}).groupBy("source").count().collect()}
+    assert abs(got["s0"] - 1_000) < 150 and abs(got["s1"] - 1_000) < 150
