@@ -34,6 +34,8 @@ WINDOW = 50
 ANCHOR = 20
 #: UTF-8 bytes of a shard's texts, about; a task holds the texts of one shard.
 SHARD_BYTES = 4 << 20
+#: Copies of a row that are numbered at a time.
+COPY_BLOCK = 100_000
 #: Texts that are hashed at a time.
 PIECE_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -118,69 +120,70 @@ def _digest(joined: bytes, places: list[int], first: int, n: int) -> bytes:
 
 
 def census(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(anchor, digest, doc_id, start, n) of every block of every document."""
-    names = ["anchor", "digest", "doc_id", "start", "n"]
+    """(anchor, digest, doc_id, row_key, start, n) of every block of every document."""
+    names = ["anchor", "digest", "doc_id", "row_key", "start", "n"]
 
-    def found(blocks: Blocks, ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
+    def found(blocks: Blocks, ids: list[int], keys: list[int], texts: list[bytes]) -> pa.RecordBatch:
         number, anchors, digests, first, n = blocks.of(texts)
         arrays = [
             pa.array(anchors, pa.int64()), pa.array(digests, pa.binary()), pa.array(np.array(ids, np.int64)[number], pa.int64()),
-            pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)),
+            pa.array(np.array(keys, np.int64)[number], pa.int64()), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)),
         ]
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, ids, texts, size = Blocks(window, anchor), [], [], 0
+        blocks, ids, keys, texts, size = Blocks(window, anchor), [], [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+            for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
                 text = text.as_py()
                 if doc_id is None or not text:
                     continue
                 ids.append(doc_id)
+                keys.append(key)
                 texts.append(text)
                 size += len(text)
                 if size >= PIECE_BYTES:
-                    yield found(blocks, ids, texts)
-                    ids, texts, size = [], [], 0
+                    yield found(blocks, ids, keys, texts)
+                    ids, keys, texts, size = [], [], [], 0
         if texts:
-            yield found(blocks, ids, texts)
+            yield found(blocks, ids, keys, texts)
 
-    return docs.mapInArrow(rows, "anchor long, digest binary, doc_id long, start int, n int")
+    return docs.select("doc_id", "row_key", "text").mapInArrow(rows, "anchor long, digest binary, doc_id long, row_key long, start int, n int")
 
 
 def _windows(window: int):
     """Digests of all windows of the asked stretches, from the texts of a shard."""
 
     def rows(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        digests, ids, starts = [], [], []
+        digests, ids, keys, starts = [], [], [], []
         if asked.num_rows:
             wanted: dict[int, list[tuple[int, int]]] = {}
-            for doc_id, start, n in zip(asked["doc_id"].to_pylist(), asked["start"].to_pylist(), asked["n"].to_pylist()):
-                wanted.setdefault(doc_id, []).append((start, n))
-            for doc_id, text in zip(docs["doc_id"].to_pylist(), docs["text"].cast(pa.binary())):
-                words = (text.as_py() or b"").split() if doc_id in wanted else []
+            for key, start, n in zip(asked["row_key"].to_pylist(), asked["start"].to_pylist(), asked["n"].to_pylist()):
+                wanted.setdefault(key, []).append((start, n))
+            for doc_id, key, text in zip(docs["doc_id"].to_pylist(), docs["row_key"].to_pylist(), docs["text"].cast(pa.binary())):
+                words = (text.as_py() or b"").split() if key in wanted else []
                 joined, places = _joined(words) if words else (b"", [])
-                for start, n in wanted.get(doc_id, ()):
-                    if start + n > len(words):
-                        continue  # another row of a repeated identifier
+                for start, n in wanted.get(key, ()):
                     for first in range(start, start + n - window + 1):
                         digests.append(_digest(joined, places, first, window))
                         ids.append(doc_id)
+                        keys.append(key)
                         starts.append(first)
-        return pa.table({"digest": pa.array(digests, pa.binary()), "doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int32())})
+        columns = {"digest": pa.array(digests, pa.binary()), "doc_id": pa.array(ids, pa.int64()), "row_key": pa.array(keys, pa.int64())}
+        return pa.table(columns | {"start": pa.array(starts, pa.int32())})
 
     return rows
 
 
 def _stretches(passages: Iterator[tuple[int, int, int, int]]) -> dict[int, list[tuple[int, int, int]]]:
-    """By document: maximal stretches (start, end, owner) of its overlapping or adjoining passages (doc, start, n, owner).
+    """By row: maximal stretches (start, end, owner) of its overlapping or adjoining passages (row key, start, n, owner).
 
     A text that has such a stretch has all passages in it, so it loses the whole of it if its
     identifier is larger than those of all their owners.
     """
     out: dict[int, list[tuple[int, int, int]]] = {}
-    for doc_id, start, n, owner in sorted(passages):
-        found = out.setdefault(doc_id, [])
+    for key, start, n, owner in sorted(passages):
+        found = out.setdefault(key, [])
         if found and start <= found[-1][1]:
             first, end, most = found[-1]
             found[-1] = (first, max(end, start + n), max(most, owner))
@@ -189,15 +192,13 @@ def _stretches(passages: Iterator[tuple[int, int, int, int]]) -> dict[int, list[
     return out
 
 
-def _automaton(docs: list[tuple[int | None, list[bytes]]], passages: Iterator[tuple[int, int, int, int]]):
+def _automaton(docs: list[tuple[int, list[bytes]]], passages: Iterator[tuple[int, int, int, int]]):
     """The automaton of a shard's passages, and the letter of each of their words."""
     letters: dict[bytes, str] = {}
     owners: dict[str, int] = {}
     stretches = _stretches(passages)
-    for doc_id, words in docs:
-        for start, end, owner in stretches.get(doc_id, ()):
-            if end > len(words):
-                continue  # another row of a repeated identifier
+    for row_key, words in docs:
+        for start, end, owner in stretches.get(row_key, ()):
             phrase = words[start:end]
             for w in phrase:
                 if w not in letters:
@@ -217,8 +218,8 @@ def _located(with_text: bool):
 
     def rows(docs: pa.Table, passages: pa.Table) -> pa.Table:
         split = [(i, (t.as_py() or b"").split()) for i, t in zip(docs["doc_id"].to_pylist(), docs["text"].cast(pa.binary()))]
-        columns = (passages[c].to_pylist() for c in ("doc_id", "start", "n", "owner"))
-        machine, letters = _automaton(split, zip(*columns))
+        columns = (passages[c].to_pylist() for c in ("row_key", "start", "n", "owner"))
+        machine, letters = _automaton([(k, w) for k, (_, w) in zip(docs["row_key"].to_pylist(), split)], zip(*columns))
         removed, hashes, texts = [], [], []
         for doc_id, words in split:
             kept = words
@@ -236,7 +237,7 @@ def _located(with_text: bool):
             hashes.append(hashlib.sha256(text).hexdigest())
             texts.append(text.decode() if with_text else None)
         out = {
-            "doc_id": docs["doc_id"], "n_words": pa.array([len(w) for _, w in split], pa.int64()),
+            "doc_id": docs["doc_id"], "copies": docs["copies"], "n_words": pa.array([len(w) for _, w in split], pa.int64()),
             "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(hashes, pa.string()),
         }
         return pa.table(out | ({"kept_text": pa.array(texts, pa.string())} if with_text else {}))
@@ -253,35 +254,41 @@ def remove_repeats(
     A word goes when a window of words that covers it also starts in a row with a smaller
     identifier, in the texts as given. Words are parted by ASCII blanks and unchanged. Null and
     empty texts have no words. Rows without an identifier neither lose words nor take any from
-    others; rows that repeat an identifier don't count as smaller than each other. Only the two
-    columns named are read; an empty table gives an empty one.
+    others; rows that repeat an identifier don't count as smaller than each other, and keep their
+    own passages. Only the two columns named are read; an empty table gives an empty one.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # Equal rows have equal results, so one of them with a count is enough; it has a key of its own.
+    counted = docs.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    docs = keep(counted.withColumn("row_key", F.monotonically_increasing_id()), "different-rows")
     blocks = keep(census(docs, window, anchor), "census")
     repeated = blocks.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     found = keep(blocks.join(keep(repeated, "anchors"), "anchor"), "blocks")
 
     # One copy of each block: of the rows with the least identifier.
-    least = found.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "start", "n")).alias("first"))
+    least = found.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "row_key", "start", "n")).alias("first"))
     least = keep(least.select("anchor", "digest", "first.*"), "least-blocks")
     owners = least.select("anchor", "digest", F.col("doc_id").alias("owner"))
-    whole = found.join(owners, ["anchor", "digest"]).where("doc_id > owner").select("doc_id", "start", "n", "owner")
+    whole = found.join(owners, ["anchor", "digest"]).where("doc_id > owner").select("row_key", "start", "n", "owner")
 
     several = keep(least.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor"), "several-blocks")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
-    # Rows without an identifier are spread by their text.
-    dealt = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(shards))
-    dealt_docs = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), F.lit(shards))
-    texts = docs.withColumn("shard", dealt_docs).groupBy("shard")
-    asked = least.join(several, "anchor").select("doc_id", "start", "n").withColumn("shard", dealt).groupBy("shard")
-    single = keep(texts.cogroup(asked).applyInArrow(_windows(window), "digest binary, doc_id long, start int"), "windows")
+    dealt = F.pmod(F.xxhash64("row_key"), F.lit(shards))
+    texts = docs.withColumn("shard", dealt).groupBy("shard")
+    asked = least.join(several, "anchor").select("row_key", "start", "n").withColumn("shard", dealt).groupBy("shard")
+    single = keep(texts.cogroup(asked).applyInArrow(_windows(window), "digest binary, doc_id long, row_key long, start int"), "windows")
     first = keep(
         single.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("digest", "owner"),
         "least-windows",
     )
-    parts = single.join(first, "digest").where("doc_id > owner").select("doc_id", "start", F.lit(window).alias("n"), "owner")
+    parts = single.join(first, "digest").where("doc_id > owner").select("row_key", "start", F.lit(window).alias("n"), "owner")
 
     passages = whole.unionByName(parts).withColumn("shard", dealt).groupBy("shard")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return texts.cogroup(passages).applyInArrow(_located(with_text), schema)
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
+    schema = "doc_id long, copies long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    located = texts.cogroup(passages).applyInArrow(_located(with_text), schema)
+    # Every row again; in blocks, so that no array has all copies of a row.
+    first = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"), F.lit(COPY_BLOCK).cast("long")))
+    numbers = F.sequence(F.col("first"), F.least(F.col("copies"), F.col("first") + (COPY_BLOCK - 1)))
+    return located.withColumn("first", first).withColumn("copy", F.explode(numbers)).select(names)

@@ -62,3 +62,12 @@ def test_equal_windows_have_equal_anchors():
             if p >= shift:
                 assert seen.setdefault(p - shift, anchor) == anchor
     assert len(seen) == 291
+
+
+def test_rows_of_one_identifier_keep_their_own_passages(spark):
+    a, z = prose(61, 300), prose(62, 300)
+    rows = [(1, a), (5, a), (5, z), (5, z), (5, a), (None, a), (None, a), (None, None)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got.collect()), key=repr)
+    none = [(None, 300, 0, a)] * 2 + [(None, 0, 0, "")]
+    assert left == sorted([(1, 300, 0, a)] + [(5, 300, 300, "")] * 2 + [(5, 300, 0, z)] * 2 + none, key=repr)
