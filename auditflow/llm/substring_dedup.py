@@ -38,6 +38,10 @@ SHARD_BYTES = 4 << 20
 COPY_BLOCK = 100_000
 #: Texts that are hashed at a time.
 PIECE_BYTES = 1 << 18
+#: Words of a stretch of merged passages; the automaton's C code walks a key's letters recursively.
+STRETCH_WORDS = 10_000
+#: Code points that stand for words: all beyond the basic plane.
+LETTERS = range(0x10000, 0x110000)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -179,12 +183,13 @@ def _stretches(passages: Iterator[tuple[int, int, int, int]]) -> dict[int, list[
     """By row: maximal stretches (start, end, owner) of its overlapping or adjoining passages (row key, start, n, owner).
 
     A text that has such a stretch has all passages in it, so it loses the whole of it if its
-    identifier is larger than those of all their owners.
+    identifier is larger than those of all their owners. None is longer than ``STRETCH_WORDS``,
+    unless a passage is; a passage that would make it longer begins the next one.
     """
     out: dict[int, list[tuple[int, int, int]]] = {}
     for key, start, n, owner in sorted(passages):
         found = out.setdefault(key, [])
-        if found and start <= found[-1][1]:
+        if found and start <= found[-1][1] and start + n - found[-1][0] <= STRETCH_WORDS:
             first, end, most = found[-1]
             found[-1] = (first, max(end, start + n), max(most, owner))
         else:
@@ -192,42 +197,58 @@ def _stretches(passages: Iterator[tuple[int, int, int, int]]) -> dict[int, list[
     return out
 
 
-def _automaton(docs: list[tuple[int, list[bytes]]], passages: Iterator[tuple[int, int, int, int]]):
-    """The automaton of a shard's passages, and the letter of each of their words."""
-    letters: dict[bytes, str] = {}
-    owners: dict[str, int] = {}
+class _Letters(dict):
+    """The letters of each passage word: one code point, or, for more words than there are, two each.
+
+    Of two, the first is from the lower half of the code points and the second from the upper, so a
+    match never begins inside a word.
+    """
+
+    def __init__(self, words: set[bytes], points: range = LETTERS):
+        half = len(points) // 2
+        self.width = 1 if len(words) <= len(points) else 2
+        self.unknown = "\0" * self.width
+        if self.width == 1:
+            super().__init__(zip(words, map(chr, points)))
+        elif len(words) <= half * half:
+            super().__init__((w, chr(points[i // half]) + chr(points[half + i % half])) for i, w in enumerate(words))
+        else:
+            raise ValueError("more words than pairs of letters")
+
+
+def _automaton(docs: list[tuple[int, list[bytes]]], passages: Iterator[tuple[int, int, int, int]], points: range = LETTERS):
+    """The automaton of a shard's passages, and the letters of each of their words."""
     stretches = _stretches(passages)
-    for row_key, words in docs:
-        for start, end, owner in stretches.get(row_key, ()):
-            phrase = words[start:end]
-            for w in phrase:
-                if w not in letters:
-                    letters[w] = chr(0x10000 + len(letters))
-            key = "".join([letters[w] for w in phrase])
-            owners[key] = min(owner, owners.get(key, owner))
+    phrases = [(words[start:end], owner) for key, words in docs for start, end, owner in stretches.get(key, ())]
+    letters = _Letters({w for phrase, _ in phrases for w in phrase}, points)
+    owners: dict[str, int] = {}
+    for phrase, owner in phrases:
+        key = "".join([letters[w] for w in phrase])
+        owners[key] = min(owner, owners.get(key, owner))
     machine = ahocorasick.Automaton()
     for key, owner in owners.items():
-        machine.add_word(key, (len(key), owner))
+        machine.add_word(key, (len(key) // letters.width, owner))
     if owners:
         machine.make_automaton()
     return (machine if owners else None), letters
 
 
-def _located(with_text: bool):
+def _located(with_text: bool, points: range = LETTERS):
     """Stream the texts of a shard through the automaton of its passages, and take out what is covered."""
 
     def rows(docs: pa.Table, passages: pa.Table) -> pa.Table:
         split = [(i, (t.as_py() or b"").split()) for i, t in zip(docs["doc_id"].to_pylist(), docs["text"].cast(pa.binary()))]
         columns = (passages[c].to_pylist() for c in ("row_key", "start", "n", "owner"))
-        machine, letters = _automaton([(k, w) for k, (_, w) in zip(docs["row_key"].to_pylist(), split)], zip(*columns))
+        machine, letters = _automaton([(k, w) for k, (_, w) in zip(docs["row_key"].to_pylist(), split)], zip(*columns), points)
         removed, hashes, texts = [], [], []
         for doc_id, words in split:
             kept = words
             if machine is not None and doc_id is not None and words:
                 cover = None
-                get = letters.get
-                for end, (n, owner) in machine.iter("".join([get(w, "\0") for w in words])):
+                get, unknown, width = letters.get, letters.unknown, letters.width
+                for end, (n, owner) in machine.iter("".join([get(w, unknown) for w in words])):
                     if owner < doc_id:
+                        end //= width
                         cover = bytearray(len(words)) if cover is None else cover
                         cover[end - n + 1 : end + 1] = b"\1" * n
                 if cover is not None:

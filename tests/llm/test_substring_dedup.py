@@ -1,9 +1,10 @@
 import hashlib
 
+import pyarrow as pa
 import pytest
 
 from auditflow.llm.queries import QUERIES
-from auditflow.llm.substring_dedup import Blocks, remove_repeats
+from auditflow.llm.substring_dedup import LETTERS, Blocks, _located, remove_repeats
 from tests.llm.conftest import prose
 
 
@@ -71,3 +72,27 @@ def test_rows_of_one_identifier_keep_their_own_passages(spark):
     left = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got.collect()), key=repr)
     none = [(None, 300, 0, a)] * 2 + [(None, 0, 0, "")]
     assert left == sorted([(1, 300, 0, a)] + [(5, 300, 300, "")] * 2 + [(5, 300, 0, z)] * 2 + none, key=repr)
+
+
+def located(rows, passages, points=LETTERS):
+    """(n_removed, kept_text) of each text; rows are (doc_id, text), passages (row number, start, n, owner)."""
+    ids, texts = zip(*rows)
+    docs = pa.table({"doc_id": pa.array(ids, pa.int64()), "row_key": range(len(ids)), "text": texts, "copies": [1] * len(ids)})
+    asked = pa.table(dict(zip(("row_key", "start", "n", "owner"), zip(*passages))))
+    out = _located(True, points)(docs, asked)
+    return list(zip(out["n_removed"].to_pylist(), out["kept_text"].to_pylist()))
+
+
+def test_more_words_than_letters_are_located_all_the_same():
+    text = prose(71, 200)
+    rows = [(1, text), (5, f"new {text} end"), (7, " ".join(text.split()[1:])), (3, prose(72, 50))]
+    passages = [(1, 1, 200, 1), (2, 20, 60, 1)]
+    assert located(rows, passages, range(0x10000, 0x10000 + 60)) == located(rows, passages)
+    assert located(rows, passages)[1] == (200, "new end")
+
+
+def test_a_long_text_of_over_a_million_different_words():
+    words = [f"{i:x}" for i in range(len(LETTERS) + 1000)]
+    rows = [(1, "x y"), (5, " ".join(["new", *words, "end"]))]
+    passages = [(1, at, min(80, len(words) + 1 - at), 1) for at in range(1, len(words) + 1, 40)]
+    assert located(rows, passages) == [(0, "x y"), (len(words), "new end")]
