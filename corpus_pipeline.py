@@ -10,50 +10,80 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditflow.llm import decontaminate, mixing, near_text, quality, token_output
+from auditflow.llm import decontaminate, mixing, quality, simhash, token_output
 from auditflow.llm._store import keep
 from auditflow.llm.queries import WEIGHTS, tokenizer_path
 from auditflow.session import ship_package
 
 
-def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a ``row_key`` of each row, written once so that the keys stay."""
-    return keep(docs.withColumn("row_key", F.monotonically_increasing_id()), name)
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` with a number of each row, written once so that the numbers stay, and the number's column."""
+    key = _free(docs, "row_key")
+    return keep(docs.withColumn(key, F.monotonically_increasing_id()), name), key
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier accepts."""
+    """Documents that the co-trained classifier accepts.
+
+    Null and empty texts are scored like any other; rows are judged one by one, so repeated rows
+    and identifiers stay or go together. Without labels nothing is learned and the classifier's
+    own rule for that holds; no documents give none. Other columns pass through.
+    """
     return quality.accepted(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: texts linked by a similarity of 0.8 of their 5-word shingles.
+    """One row of each group of near-duplicates: fingerprints of 3-word shingles linked at two differing bits or fewer.
 
     It is the row of the least identifier; rows without one come last, and rows of one identifier
-    are ordered by their texts.
+    are ordered by their texts, equal rows arbitrarily. Null and blank texts have fingerprint zero
+    and are one group. No documents give none. Columns of any name pass through.
     """
-    rows = _numbered(docs, "near-rows")
-    groups = keep(near_text.near_groups(rows), "near-groups")
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text"), "row_key")
-    first = rows.select("row_key", place.alias("place")).join(groups, "row_key").groupBy("component").agg(F.min("place").alias("place"))
-    return rows.join(first.select("place.row_key"), "row_key", "left_semi").select(docs.columns)
+    rows, key = _numbered(docs, "near-rows")
+    groups = simhash.near_duplicates(rows, id_col=key, shingle=3).select(F.col("doc_id").alias(key), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text"), F.col(key).alias("key"))
+    first = rows.select(key, place.alias("place")).join(groups, key).groupBy("component_id").agg(F.min("place").alias("place"))
+    return rows.join(first.select(F.col("place.key").alias(key)), key, "left_semi").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth stands in the benchmark."""
-    rows = _numbered(docs, "decontamination-rows")
-    found = decontaminate.search(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row_key")
-    gone = found.where(decontaminate.contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("row_key"))
-    return rows.join(gone, "row_key", "left_anti").select(docs.columns)
+    """Documents of which less than a twentieth stands in the benchmark.
+
+    Null and empty texts have no words and stay, as everything does without a benchmark. Rows are
+    judged one by one, whatever their identifiers. Columns of any name pass through.
+    """
+    rows, key = _numbered(docs, "decontamination-rows")
+    found = decontaminate.search(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
+    gone = found.where(decontaminate.contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias(key))
+    return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources repeated or thinned to their target weights, in one global random order."""
-    return mixing.mix(docs, WEIGHTS, seed=42).select(docs.columns)
+    """Sources repeated or thinned to their target weights.
+
+    Null sources count as the rest. Rows without an identifier draw by their text. No documents
+    give none. Columns of any name pass through, also those that mixing itself adds.
+    """
+    own = {c: _free(docs, f"own_{c}") for c in docs.columns if c.lower() in ("copy", "shuffle_key")}
+    mixed = mixing.mix(docs.withColumnsRenamed(own), WEIGHTS, seed=42).drop("copy", "shuffle_key")
+    return mixed.withColumnsRenamed({v: k for k, v in own.items()}).select(docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in bit-plane files, and the index of documents read back from them."""
+    """Token ids in bit-plane files, and the index of documents read back from them.
+
+    Null texts have the end id only, rows without an identifier come first, and copies of a
+    document stand side by side: the files are in ascending order of identifier, as their reader
+    expects. No documents give empty files.
+    """
     return token_output.token_index(spark, token_output.write_tokens(docs, tokenizer_path()))
 
 
