@@ -56,3 +56,104 @@ WITH RECURSIVE weights(source, w) AS (
 )
 SELECT *, md5('order42|' || doc_id::VARCHAR || '|' || copy::VARCHAR) AS shuffle_key FROM copies
 """
+
+
+def _private() -> str:
+    """The patterns plainly; places from the stretches between matches; validators as lists of digits."""
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = (
+        f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse({digits}), i, 1)::INT "
+        f"ELSE substr(reverse({digits}), i, 1)::INT * 2 % 10 + substr(reverse({digits}), i, 1)::INT // 5 END)) % 10 = 0"
+    )
+    solid = "replace(m, ' ', '')"
+    codes = f"list_transform(string_split(substr({solid}, 5) || substr({solid}, 1, 4), ''), lambda c: CASE WHEN c < ':' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)"
+    mod97 = f"list_reduce(list_prepend(0, {codes}), lambda a, c: (CASE WHEN c < 10 THEN a * 10 + c ELSE a * 100 + c END) % 97) = 1"
+    cards, groups = "card|visa|master|credit|payment", "[0-9]{4}[ -]?"
+    kinds = [
+        # name, pattern, valid, score, context words, what they add, characters that must not touch the match
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", 90, "mail|contact", 10, None),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_max(list_transform(string_split(m, '.'), lambda x: x::HUGEINT)) <= 255", 60,
+         "address|host|server", 30, None),
+        ("card", r"[0-9]([\x20-]?[0-9])+", f"length({digits}) BETWEEN 14 AND 19 AND {luhn}", 80, cards, 20, None),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 10 AND 15", 70, "phone|tel|call|mobile|fax", 30, None),
+        ("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", f"length({solid}) BETWEEN 15 AND 34 AND {mod97}", 90,
+         "iban|account|bank", 10, "[A-Za-z0-9]"),
+        ("card_group", groups * 3 + "[0-9]{4}", f"regexp_matches(m, '^(?:4|5[1-5]|2[2-7]|6)') AND {luhn}", 70, cards, 20, "[0-9]"),
+        ("card_short", "[0-9]{13}", f"m LIKE '4%' AND {luhn}", 30, cards, 30, "[0-9]"),
+        ("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "NOT regexp_matches(m, '^(?:000|666|9)|-00-|-0000$')", 40, "ssn|social|security|tax", 50, "[0-9-]"),
+    ]
+    found = []
+    for rank, (name, pattern, valid, score, context, boost, bounds) in enumerate(kinds):
+        free = "true"
+        if bounds:
+            free = (
+                f"(i = 1 OR before <> '') AND NOT regexp_matches(before, '{bounds}$') AND (i = n OR behind <> '') AND NOT regexp_matches(behind, '^{bounds}')"
+            )
+        near = f"regexp_matches(right(before, 40) || ' ' || left(behind, 40), '(?i){context}')"
+        found.append(f"""
+  SELECT r, {rank} AS rank, '{name}' AS kind, place - length(m) AS s, place AS e, {score} + CASE WHEN {near} THEN {boost} ELSE 0 END AS score
+  FROM (
+    SELECT *, sum(length(before) + length(m)) OVER (PARTITION BY r ORDER BY i) AS place
+    FROM (
+      SELECT r, i, len(ms) AS n, ms[i] AS m, gaps[i] AS before, gaps[i + 1] AS behind
+      FROM (SELECT *, unnest(generate_series(1, len(ms))) AS i
+            FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gaps FROM d))
+    )
+  ) WHERE {valid} AND {free}""")
+    text = "kind || ':' || s::BIGINT || ':' || e::BIGINT"
+    counts = ", ".join(f"coalesce(count(kind) FILTER (WHERE kind = '{k[0]}'), 0) AS n_{k[0]}" for k in kinds[:4])
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), found AS ({" UNION ALL ".join(found)}
+), some AS (
+  SELECT * FROM found f
+  WHERE rank < 4 OR score >= 50 AND NOT (kind LIKE 'card\\_%' ESCAPE '\\' AND EXISTS (
+    SELECT 1 FROM found c WHERE c.r = f.r AND c.kind = 'card' AND c.s <= f.s AND f.e <= c.e))
+)
+SELECT any_value(doc_id) AS doc_id, {counts},
+       sha256(coalesce(string_agg({text}, ',' ORDER BY s, rank) FILTER (WHERE rank < 4), '')) AS base_sha256,
+       coalesce(string_agg({text}, ',' ORDER BY s, rank), '') AS spans,
+       coalesce(string_agg(score::VARCHAR, ',' ORDER BY s, rank), '') AS scores
+FROM d LEFT JOIN some USING (r) GROUP BY r
+"""
+
+
+ORACLE["op13_private_data"] = _private()
+
+# CRC-32 bit by bit: DuckDB has no function for it.
+_CRC32 = """xor(list_reduce(
+  list_prepend(4294967295::UBIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+  lambda a, x: list_reduce(list_prepend(xor(a, x), list_transform(range(8), lambda i: i::UBIGINT)),
+    lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::UBIGINT) ELSE r >> 1 END)), 4294967295::UBIGINT)"""
+
+ORACLE["op11_prefix_trie"] = f"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           sha256(length(coalesce(role, ''))::VARCHAR || ' ' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (SELECT c, n, {_CRC32} % 4 AS h FROM (SELECT c, count(*) AS n FROM t GROUP BY c)
+), rebuilt AS (
+  SELECT v.c, t.pos AS d, role, text FROM convs v JOIN t ON t.c = v.c - v.c % 20 AND t.pos <= v.h
+  UNION ALL
+  SELECT v.c, least(v.h::BIGINT, coalesce(b.n, 0)) + t.pos - v.h::BIGINT, role, text
+  FROM convs v JOIN t ON t.c = v.c AND t.pos > v.h LEFT JOIN convs b ON b.c = v.c - v.c % 20
+), named AS (
+  SELECT c, d, dense_rank() OVER (ORDER BY role, text) AS id,
+         len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS words
+  FROM rebuilt
+), prefixes AS (
+  SELECT c, d, words, array_agg(id) OVER (PARTITION BY c ORDER BY d) AS p, count(*) OVER (PARTITION BY c) AS turns FROM named
+  UNION ALL
+  SELECT c, 0, 0, []::BIGINT[], (SELECT count(*) FROM rebuilt r WHERE r.c = convs.c) FROM convs
+), nodes AS (
+  SELECT d, p, min(c) AS node, count(*) AS n_convs, any_value(words) AS words, max(turns) = d AS childless,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE turns = d), '')) AS ends
+  FROM prefixes GROUP BY d, p
+)
+SELECT v.node AS conv_id, v.d AS depth, any_value(u.node) FILTER (WHERE u.d = v.d - 1) AS parent_conv_id, v.n_convs,
+       count(*) FILTER (WHERE u.d = v.d + 1) AS n_children, count(*) FILTER (WHERE u.d >= v.d AND u.childless) AS n_leaves,
+       coalesce(sum((u.n_convs - 1) * u.words) FILTER (WHERE u.d >= v.d), 0)::BIGINT AS saved_tokens, v.ends AS ends_sha256
+FROM nodes v JOIN nodes u ON (u.d >= v.d AND u.p[1:v.d] = v.p) OR (u.d = v.d - 1 AND v.p[1:u.d] = u.p)
+GROUP BY v.node, v.d, v.p, v.n_convs, v.ends
+"""

@@ -7,7 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditflow.llm import decontaminate, exact_dedup, langid, license_scan, mixing, quality, simhash, substring_dedup, token_output, warc
+from auditflow.llm import (
+    decontaminate, exact_dedup, langid, license_scan, mixing, prefix_trie, private_data, quality, simhash, substring_dedup, token_output, warc,
+)
 from auditflow.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +98,13 @@ def op10_language_spans(spark, sf_dir):
 def op3_cotrained_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op13_private_data(spark, sf_dir):
+    return private_data.summary(private_data.find_private(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))

@@ -25,10 +25,10 @@ def ours(df):
     return sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["op8_exact_dedup", "op9_poisson_mixing", "op5_warc_archive"])
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, sf_dir, name):
     duck = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     df = QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
