@@ -105,7 +105,7 @@ def _private() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
 ), found AS ({" UNION ALL ".join(found)}
-), some AS (
+), wanted AS (
   SELECT * FROM found f
   WHERE rank < 4 OR score >= 50 AND NOT (kind LIKE 'card\\_%' ESCAPE '\\' AND EXISTS (
     SELECT 1 FROM found c WHERE c.r = f.r AND c.kind = 'card' AND c.s <= f.s AND f.e <= c.e))
@@ -114,7 +114,7 @@ SELECT any_value(doc_id) AS doc_id, {counts},
        sha256(coalesce(string_agg({text}, ',' ORDER BY s, rank) FILTER (WHERE rank < 4), '')) AS base_sha256,
        coalesce(string_agg({text}, ',' ORDER BY s, rank), '') AS spans,
        coalesce(string_agg(score::VARCHAR, ',' ORDER BY s, rank), '') AS scores
-FROM d LEFT JOIN some USING (r) GROUP BY r
+FROM d LEFT JOIN wanted USING (r) GROUP BY r
 """
 
 
@@ -157,3 +157,36 @@ SELECT v.node AS conv_id, v.d AS depth, any_value(u.node) FILTER (WHERE u.d = v.
 FROM nodes v JOIN nodes u ON (u.d >= v.d AND u.p[1:v.d] = v.p) OR (u.d = v.d - 1 AND v.p[1:u.d] = u.p)
 GROUP BY v.node, v.d, v.p, v.n_convs, v.ends
 """
+
+ORACLE["op12_collocations"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d
+), w AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces
+), f1 AS (SELECT lang, w1, count(*) AS f FROM (SELECT lang, unnest(ws) AS w1 FROM w) GROUP BY ALL
+), f2 AS (
+  SELECT lang, x.a AS w1, x.b AS w2, count(*) AS f
+  FROM (SELECT lang, unnest(list_transform(range(1, len(ws)), lambda i: {'a': ws[i], 'b': ws[i + 1]})) AS x FROM w) GROUP BY ALL
+), f3 AS (
+  SELECT lang, x.a AS w1, x.b AS w2, x.c AS w3, count(*) AS f
+  FROM (SELECT lang, unnest(list_transform(range(1, len(ws) - 1), lambda i: {'a': ws[i], 'b': ws[i + 1], 'c': ws[i + 2]})) AS x FROM w) GROUP BY ALL
+), totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang
+), three AS (
+  SELECT t.lang, t.w1, t.w2, t.w3, t.f AS a, x.f AS l1, yz.f AS r1, xy.f AS l2, z.f AS r2,
+         (1000000::HUGEINT * t.f * t.f) // (x.f::HUGEINT * yz.f) AS s1, (1000000::HUGEINT * t.f * t.f) // (xy.f::HUGEINT * z.f) AS s2
+  FROM f3 t JOIN f1 x ON x.lang = t.lang AND x.w1 = t.w1 JOIN f1 z ON z.lang = t.lang AND z.w1 = t.w3
+  JOIN f2 xy ON xy.lang = t.lang AND xy.w1 = t.w1 AND xy.w2 = t.w2 JOIN f2 yz ON yz.lang = t.lang AND yz.w1 = t.w2 AND yz.w2 = t.w3
+  WHERE t.f >= 10
+), candidates AS (
+  SELECT p.lang, p.w1 || ' ' || p.w2 AS phrase, p.f AS a, x.f AS l, y.f AS r, ((1000000::HUGEINT * p.f * p.f) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM f2 p JOIN f1 x ON x.lang = p.lang AND x.w1 = p.w1 JOIN f1 y ON y.lang = p.lang AND y.w1 = p.w2
+  WHERE p.f >= 10 AND NOT EXISTS (
+    SELECT 1 FROM three t WHERE t.lang = p.lang AND ((t.w1 = p.w1 AND t.w2 = p.w2) OR (t.w2 = p.w1 AND t.w3 = p.w2)) AND 100 * t.a >= 50 * p.f)
+  UNION ALL
+  SELECT lang, w1 || ' ' || w2 || ' ' || w3, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2)::BIGINT
+  FROM three
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM candidates
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auditflow.llm import (
-    decontaminate, exact_dedup, langid, license_scan, mixing, prefix_trie, private_data, quality, simhash, substring_dedup, token_output, warc,
+    collocations, decontaminate, exact_dedup, langid, license_scan, mixing, prefix_trie, private_data, quality, simhash, substring_dedup, token_output, warc,
 )
 from auditflow.session import ship_package
 
@@ -108,3 +108,8 @@ def op13_private_data(spark, sf_dir):
 @query
 def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
