@@ -128,9 +128,17 @@ def build_index(docs: DataFrame, allowed: np.ndarray, block_words: int = BLOCK_W
 GAP = 64
 
 
+def _from_rarest(lists: dict[str, np.ndarray], words: list[str]) -> list[int]:
+    """Places of a phrase's words, that of the rarest first."""
+    return sorted(range(len(words)), key=lambda i: (len(lists[words[i]]), i))
+
+
 def intersect(lists: dict[str, np.ndarray], words: list[str], slop: int = 0) -> np.ndarray:
-    """Places where a phrase begins: its words' lists moved back by their offsets, met from the rarest on."""
-    order = sorted(range(len(words)), key=lambda i: (len(lists[words[i]]), i))
+    """Places where a phrase begins: its words' lists moved back by their offsets, met from the rarest on.
+
+    With a slop a place is where the phrase would begin, seen from its rarest word.
+    """
+    order = _from_rarest(lists, words)
     starts = lists[words[order[0]]] - order[0]
     for i in order[1:]:
         if not len(starts):
@@ -147,40 +155,56 @@ def _places(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<i4").astype(np.int64)
 
 
+class _Block:
+    """The documents of a block, and where the asked phrases stand in them."""
+
+    def __init__(self, index: pa.Table, asked: pa.Table):
+        self.lists: dict[str, np.ndarray] = {}
+        for row in index.to_pylist():
+            if row["word"] is None:
+                self.ids, self.starts, self.sizes = row["ids"], _places(row["starts"]), _places(row["sizes"])
+            else:
+                self.lists[row["word"].decode()] = _places(row["places"])
+        self.asked = zip(asked["phrase"].to_pylist(), asked["item_ids"].to_pylist())
+
+    def matches(self, slop: int) -> Iterator[tuple[list[str], int, bool, np.ndarray, np.ndarray]]:
+        """Items, number of words, whether exact, numbers of the documents and starts inside them, of each phrase found.
+
+        The document is that of the rarest word: a near phrase may seem to begin before it.
+        """
+        for phrase, item_ids in self.asked:
+            words = phrase.split(" ")
+            if all(w in self.lists for w in words):
+                exact = intersect(self.lists, words)
+                rarest = _from_rarest(self.lists, words)[0]
+                near = np.setdiff1d(intersect(self.lists, words, slop), exact, assume_unique=True) if slop else exact[:0]
+                for found, whole in ((exact, True), (near, False)):
+                    if len(found):
+                        docs = np.searchsorted(self.starts, found + rarest, "right") - 1
+                        yield item_ids, len(words), whole, docs, np.maximum(found - self.starts[docs], 0)
+
+
 def _search(slop: int):
     def rows(index: pa.Table, asked: pa.Table) -> pa.Table:
-        """All matches in the documents of a block."""
+        """What is found in each document of a block."""
         out: list[list] = [[] for _ in range(5)]
         if index.num_rows:
-            lists: dict[str, np.ndarray] = {}
-            for block_row in index.to_pylist():
-                if block_row["word"] is None:
-                    head = block_row
-                else:
-                    lists[block_row["word"].decode()] = _places(block_row["places"])
-            ids, starts, sizes = head["ids"], _places(head["starts"]), _places(head["sizes"])
-            hits: list[list[tuple[int, int]]] = [[] for _ in ids]
-            items: list[set[str]] = [set() for _ in ids]
-            near: list[set[str]] = [set() for _ in ids]
-            for phrase, item_ids in zip(asked["phrase"].to_pylist(), asked["item_ids"].to_pylist()):
-                words = phrase.split(" ")
-                if not all(w in lists for w in words):
-                    continue
-                found = intersect(lists, words)
-                for place in found.tolist():
-                    at = int(np.searchsorted(starts, place, "right")) - 1
-                    hits[at].append((place - int(starts[at]), len(words)))
-                    items[at].update(item_ids)
-                if slop:
-                    for at in np.unique(np.searchsorted(starts, intersect(lists, words, slop), "right") - 1).tolist():
-                        near[max(at, 0)].update(item_ids)
-            for doc, doc_id in enumerate(ids):
-                cover = np.zeros(int(sizes[doc]) + 1, np.int32)
+            block = _Block(index, asked)
+            hits: list[list[tuple[int, int]]] = [[] for _ in block.ids]
+            items: list[set[str]] = [set() for _ in block.ids]
+            near: list[set[str]] = [set() for _ in block.ids]
+            for item_ids, n, exact, docs, starts in block.matches(slop):
+                for doc, start in zip(docs.tolist(), starts.tolist()):
+                    (items if exact else near)[doc].update(item_ids)
+                    if exact:
+                        hits[doc].append((start, n))
+            for doc, doc_id in enumerate(block.ids):
+                cover = np.zeros(int(block.sizes[doc]) + 1, np.int32)
                 for start, n in hits[doc]:
                     cover[start] += 1
                     cover[start + n] -= 1
                 n_hit = int((np.cumsum(cover[:-1]) > 0).sum()) if hits[doc] else 0
-                for values, value in zip(out, (doc_id, int(sizes[doc]), n_hit, sorted(items[doc]), len(near[doc] - items[doc]))):
+                for values, value in zip(out, (doc_id, int(block.sizes[doc]), n_hit, sorted(items[doc]), len(near[doc] - items[doc]))):
                     values.append(value)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64()]
         names = ["doc_id", "n_words", "n_hit", "item_ids", "n_near_items"]
@@ -189,23 +213,26 @@ def _search(slop: int):
     return rows
 
 
-def search(
-    docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    window: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS,
-) -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids and n_near_items of every row of ``docs``.
+def _matches(slop: int):
+    def rows(index: pa.Table, asked: pa.Table) -> pa.Table:
+        """Every match in a block."""
+        out: list[list] = [[] for _ in range(5)]
+        block = _Block(index, asked) if index.num_rows else None
+        for item_ids, n, exact, docs, starts in block.matches(slop) if block else ():
+            for doc, start in zip(docs.tolist(), starts.tolist()):
+                for item in item_ids:
+                    for values, value in zip(out, (block.ids[doc], item, start, n, exact)):
+                        values.append(value)
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+        return pa.table({n: pa.array(v, t) for n, v, t in zip(["doc_id", "item_id", "start", "n", "exact"], out, kinds)})
 
-    A phrase is ``window`` consecutive words of an item, or all words of a shorter one. ``n_hit``
-    counts the words inside any occurrence, ``item_ids`` lists (as sorted texts) the items that
-    have one, and ``n_near_items`` counts further items with a phrase whose words all stand within
-    ``slop`` places of where they should. Null and empty texts have no words; items without words
-    or identifier have no phrases. Repeated rows and identifiers keep their rows. Only the named
-    columns are read; with no documents the result is empty, with no items nothing is hit.
-    """
+    return rows
+
+
+def _asked_blocks(docs: DataFrame, items: DataFrame, window: int, slop: int, block_words: int) -> tuple[DataFrame, DataFrame]:
+    """The index of ``docs`` (id, text), and (block, phrase, item_ids): the blocks that have a phrase's rarest word."""
     if window + slop >= GAP:
         raise ValueError(f"window and slop must stay below {GAP} together")
-    docs = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    items = items.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("string"))
     pairs = keep(phrases_of(items, window), "phrases")
     index = keep(build_index(docs, word_filter(pairs), block_words), "postings")
 
@@ -218,7 +245,46 @@ def search(
         F.min(F.struct("n", "w")).alias("rarest"), F.count(F.when(F.col("n").isNull(), 1)).alias("absent")
     )
     seeds = keep(counted.where("absent = 0").select("phrase", F.col("rarest.w").alias("w")), "rarest-words")
-    asked = keep(seeds.join(postings.select("w", "block"), "w").select("block", "phrase"), "asked-blocks").join(phrases, "phrase")
+    return index, keep(seeds.join(postings.select("w", "block"), "w").select("block", "phrase"), "asked-blocks").join(phrases, "phrase")
+
+
+def _named(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
+    docs = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    return docs, items.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("string"))
+
+
+def matches(
+    docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    window: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """(doc_id, item_id, start, n, exact) of every place where a phrase of an item stands in a row of ``docs``.
+
+    ``start`` counts words from 0 and ``n`` is the phrase's number of words. A near match
+    (``exact`` false) has its words within ``slop`` places of where they should be, seen from the
+    rarest one; its start is where the phrase would begin, 0 at least. Phrases, nulls and empty
+    tables are as for ``search``; rows that repeat an identifier list their own matches.
+    """
+    docs, items = _named(docs, items, id_col, text_col, item_col, item_text_col)
+    index, asked = _asked_blocks(docs, items, window, slop, block_words)
+    schema = "doc_id long, item_id string, start long, n long, exact boolean"
+    return index.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_matches(slop), schema)
+
+
+def search(
+    docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    window: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """doc_id, n_words, n_hit, item_ids and n_near_items of every row of ``docs``.
+
+    A phrase is ``window`` consecutive words of an item, or all words of a shorter one. ``n_hit``
+    counts the words inside any occurrence, ``item_ids`` lists (as sorted texts) the items that
+    have one, and ``n_near_items`` counts further items with a phrase whose words all stand within
+    ``slop`` places of where they should. Null and empty texts have no words; items without words
+    or identifier have no phrases. Repeated rows and identifiers keep their rows. Only the named
+    columns are read; with no documents the result is empty, with no items nothing is hit.
+    """
+    docs, items = _named(docs, items, id_col, text_col, item_col, item_text_col)
+    index, asked = _asked_blocks(docs, items, window, slop, block_words)
     schema = "doc_id long, n_words long, n_hit long, item_ids array<string>, n_near_items long"
     return index.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_search(slop), schema)
 

@@ -161,6 +161,7 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
         came[t, :k] = now.argmax(axis=1)
         stays[t, :k] = now >= best
         np.maximum(now, best, out=now)
+        now -= best  # keeps the numbers small, so that they stay exact in texts of any length
         now += padded[t, :k]
     at = state.argmax(axis=1)
     path = np.zeros((longest, texts), np.int16)

@@ -15,7 +15,8 @@ one. The windows that share an anchor's place form a block.
 
 A window of a document that a smaller document also has lies in a block of its own document. If
 that block repeats a smaller one, the whole block is such a passage. If not, its windows are among
-those digested, and so is a copy of every other block of the anchor. So none is missed.
+those digested, and so is a copy of every other block of the anchor. Further copies of a digested
+block in the rows of the same identifier get the passages found in it. So none is missed.
 """
 
 from __future__ import annotations
@@ -159,7 +160,7 @@ def _windows(window: int):
     """Digests of all windows of the asked stretches, from the texts of a shard."""
 
     def rows(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        digests, ids, keys, starts = [], [], [], []
+        digests, ids, keys, starts, offsets = [], [], [], [], []
         if asked.num_rows:
             wanted: dict[int, list[tuple[int, int]]] = {}
             for key, start, n in zip(asked["row_key"].to_pylist(), asked["start"].to_pylist(), asked["n"].to_pylist()):
@@ -168,13 +169,14 @@ def _windows(window: int):
                 words = (text.as_py() or b"").split() if key in wanted else []
                 joined, places = _joined(words) if words else (b"", [])
                 for start, n in wanted.get(key, ()):
-                    for first in range(start, start + n - window + 1):
-                        digests.append(_digest(joined, places, first, window))
-                        ids.append(doc_id)
-                        keys.append(key)
-                        starts.append(first)
+                    windows = n - window + 1
+                    digests += [_digest(joined, places, first, window) for first in range(start, start + windows)]
+                    ids += [doc_id] * windows
+                    keys += [key] * windows
+                    starts += [start] * windows
+                    offsets += range(windows)
         columns = {"digest": pa.array(digests, pa.binary()), "doc_id": pa.array(ids, pa.int64()), "row_key": pa.array(keys, pa.int64())}
-        return pa.table(columns | {"start": pa.array(starts, pa.int32())})
+        return pa.table(columns | {"start": pa.array(starts, pa.int32()), "offset": pa.array(offsets, pa.int32())})
 
     return rows
 
@@ -297,15 +299,23 @@ def remove_repeats(
     shards = max(1, -(-size // shard_bytes))
     dealt = F.pmod(F.xxhash64("row_key"), F.lit(shards))
     texts = docs.withColumn("shard", dealt).groupBy("shard")
-    asked = least.join(several, "anchor").select("row_key", "start", "n").withColumn("shard", dealt).groupBy("shard")
-    single = keep(texts.cogroup(asked).applyInArrow(_windows(window), "digest binary, doc_id long, row_key long, start int"), "windows")
+    asked = keep(least.join(several, "anchor"), "asked-blocks")
+    cut = asked.select("row_key", "start", "n").withColumn("shard", dealt).groupBy("shard")
+    single = keep(texts.cogroup(cut).applyInArrow(_windows(window), "digest binary, doc_id long, row_key long, start int, offset int"), "windows")
     first = keep(
         single.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("digest", "owner"),
         "least-windows",
     )
-    parts = single.join(first, "digest").where("doc_id > owner").select("row_key", "start", F.lit(window).alias("n"), "owner")
-
-    passages = whole.unionByName(parts).withColumn("shard", dealt).groupBy("shard")
+    parts = keep(single.join(first, "digest").where("doc_id > owner").select("row_key", "start", "offset", "owner"), "window-passages")
+    # The same block elsewhere in the rows of that identifier has the same passages.
+    copy = asked.select("anchor", "digest", F.col("doc_id").alias("least_id"), F.col("row_key").alias("least_row"), F.col("start").alias("least_start"))
+    again = found.join(copy, ["anchor", "digest"]).where("doc_id = least_id and (row_key != least_row or start != least_start)")
+    again = again.select("row_key", "start", "least_row", "least_start")
+    others = again.alias("a").join(parts.alias("p"), F.expr("a.least_row = p.row_key and a.least_start = p.start"))
+    others = others.select("a.row_key", "a.start", "p.offset", "p.owner")
+    single_windows = parts.unionByName(others).select("row_key", (F.col("start") + F.col("offset")).alias("start"), F.lit(window).alias("n"), "owner")
+
+    passages = whole.unionByName(single_windows).withColumn("shard", dealt).groupBy("shard")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
     schema = "doc_id long, copies long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     located = texts.cogroup(passages).applyInArrow(_located(with_text), schema)

@@ -70,6 +70,32 @@ def test_proximity(spark):
         search(docs, items, slop=decontaminate.GAP)
 
 
+def test_a_near_phrase_belongs_to_the_document_of_its_words(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "one two")], "item_id long, text string")
+    # The rarest word, delta, stands one place early at the beginning of document 2.
+    rows = [(1, "alpha one"), (2, "alpha gamma beta delta one two"), (3, "beta delta alpha gamma"), (4, "gamma alpha beta"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["n_hit"], r["n_near_items"]) for r in search(docs, items, slop=1).collect()}
+    assert got == {1: (0, 0), 2: (2, 1), 3: (0, 0), 4: (0, 0), 5: (0, 0)}
+    early = spark.createDataFrame([(1, "x x x"), (2, "beta gamma delta alpha"), (3, "y")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"]: r["n_near_items"] for r in search(early, items, slop=3).collect()} == {1: 0, 2: 1, 3: 0}
+    found = [tuple(r) for r in decontaminate.matches(early, items, slop=3).collect()]
+    assert [(d, i, n, e) for d, i, _, n, e in found] == [(2, "1", 4, False)]
+
+
+@pytest.mark.parametrize("block_words", [40, 500_000])
+def test_matches_are_all_places(spark, block_words):
+    items = [(1, "stone3 river1"), (2, "x y"), (3, "stone3 river1 stone3"), (4, "x y")]
+    rows = [(1, "stone3 river1 stone3 river1"), (2, "x y x"), (2, "q x y"), (None, "x y"), (5, "")] + [(10 + i, "x") for i in range(30)]
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, decontaminate.matches(docs, table, block_words=block_words).collect()), key=repr)
+    expected = [
+        (i, str(k), p, len(t.split()), True) for i, text in rows for k, t in items for p in range(len(text.split())) if text.split()[p : p + len(t.split())] == t.split()
+    ]
+    assert got == sorted(expected, key=repr)
+    assert decontaminate.matches(docs.where("false"), table).count() == 0
+
+
 def test_lists_meet_at_the_moved_places():
     lists = {"a": np.array([0, 5, 9]), "b": np.array([1, 7, 10]), "c": np.array([2, 3, 11])}
     assert intersect(lists, ["a", "b", "c"]).tolist() == [0, 9]

@@ -27,6 +27,18 @@ def test_viterbi_finds_the_best_path(seed):
         assert len(path) == len(scores) and abs(value(path.tolist()) - best) < 1e-4
 
 
+def test_viterbi_stays_exact_in_long_texts():
+    """A short outlier changes nothing behind it, after however many words."""
+    n = 1_500_000
+    scores = np.tile(np.array([[-2.0, -9.0]], np.float32), (n, 1))
+    scores[-1000:-997] = [-9.0, -2.0]
+    scores[1000:1100] = [-9.0, -2.0]
+    (path,) = langid.viterbi([scores], 20.0)
+    assert path[1000:1100].all() and path.sum() == 103 - 3 * (path[-1000:-997] == 0).all()
+    (short,) = langid.viterbi([scores[-5000:]], 20.0)
+    assert (path[-4000:] == short[-4000:]).all()
+
+
 LINES = {
     "en": "the children were walking along the river while their mother was reading the newspaper in the garden with a friend",
     "de": "die kinder gingen am fluss entlang während ihre mutter mit einer freundin im garten die zeitung gelesen hat und dann schlief",

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pyarrow as pa
 import pytest
@@ -45,6 +46,23 @@ def test_short_windows_over_many_unequal_blocks(spark, seed):
     assert ours(got) == plain(rows, 8)
 
 
+def repeated_segments(seed, n, window, ids):
+    """Texts made of few segments, which stand several times in a text, too."""
+    pick = random.Random(seed)
+    segments = [prose(1000 * seed + i, pick.randrange(window // 2, 2 * window)) for i in range(12)]
+    return [(ids(i), " ".join(pick.choice(segments) for _ in range(pick.randrange(1, 9)))) for i in range(n)]
+
+
+@pytest.mark.parametrize("window,n", [(8, 80), (50, 60)])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_segments_repeated_inside_texts(spark, window, n, repeated):
+    tables = [repeated_segments(seed, n, window, (lambda i: i % 17) if repeated else (lambda i: i)) for seed in range(10)]
+    for rows in tables:
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+        got = remove_repeats(df, window=window, anchor=window // 3, shard_bytes=20_000) if window == 8 else remove_repeats(df)
+        assert ours(got) == plain(rows, window)
+
+
 def test_awkward_rows(spark, awkward, no_rows):
     rows = [tuple(r) for r in awkward.select("doc_id", "text").collect()]
     got = remove_repeats(awkward)
