@@ -26,7 +26,9 @@ from auditflow.llm._store import new_folder
 
 CHUNK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 20
-#: Entries of the table from a word to its ids that a task holds.
+#: Characters of texts that are cut into pieces together.
+STRETCH = 1 << 21
+#: Entries of a generation of the table from a piece to its ids; a task holds two.
 CACHED_WORDS = 400_000
 
 
@@ -58,59 +60,192 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: Parts whose pieces can be counted without the library: printable ASCII and Latin letters that
-#: normalise and lower-case one by one. Special tokens are left to the library.
-_PLAIN = re.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-ÿ]+")
-#: Fixed value: how the vocabulary splits such a part, lower-cased, before merging.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Texts whose pieces can be told without the library: printable ASCII and Latin letters that
+#: normalise and lower-case one by one, and blanks. Special tokens are left to the library.
+_PLAIN = re.compile(r"[ \t\n\r!-~À-ÖØ-öø-ÿ]*")
+#: Fixed value: how the vocabulary splits such a text, lower-cased, before merging.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+
+
+#: Kinds of bytes of a plain text, lower-cased: blanks, letters (all beyond ASCII, too), digits, signs.
+_KINDS = np.full(256, 3, np.uint8)
+_KINDS[[9, 10, 13, 32]], _KINDS[97:123], _KINDS[128:], _KINDS[48:58] = 0, 1, 1, 2
+#: Bytes of a piece that are compared as numbers, eight at a time.
+_LANES = 4
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _is_plain(text: str) -> bool:
+    return _PLAIN.fullmatch(text) is not None and "<|" not in text
+
+
+def _stretches(text: str) -> Iterator[str]:
+    """A text in stretches, cut at blanks."""
+    at = 0
+    while len(text) - at > STRETCH:
+        cut = text.rfind(" ", at + 1, at + STRETCH)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:] if at else text
+
+
+def _pieces_of(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray] | None:
+    """The different pieces of plain texts without apostrophes, which one stands where, and the text of each place.
+
+    Pieces are told apart by all their bytes, taken as numbers. None if a piece has too many.
+    """
+    data = b"\n".join(texts)
+    codes = np.frombuffer(data, np.uint8)
+    kinds = _KINDS[codes]
+    new = np.ones(len(kinds), bool)
+    new[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == 2)
+    last = np.ones(len(kinds), bool)
+    last[:-1] = new[1:]
+    starts, ends = np.flatnonzero(new & (kinds > 0)), np.flatnonzero(last & (kinds > 0)) + 1
+    sizes = ends - starts
+    if not len(starts) or sizes.max() > 8 * _LANES:
+        return None if len(starts) else ([], starts, starts)
+    padded = np.concatenate((codes, np.zeros(8 * _LANES + 8, np.uint8)))
+    eight = np.ndarray(len(codes) + 8 * _LANES, "<u8", padded, strides=(1,))  # the number at every byte
+    lanes = [eight[starts] & _MASKS[np.minimum(sizes, 8)]]
+    mixed = lanes[0] * np.uint64(0x9E3779B97F4A7C15)
+    for lane in range(1, (int(sizes.max()) + 7) // 8):
+        lanes.append(eight[starts + 8 * lane] & _MASKS[np.clip(sizes - 8 * lane, 0, 8)])
+        mixed = (mixed ^ (mixed >> np.uint64(31)) ^ lanes[-1]) * np.uint64(0xBF58476D1CE4E5B9)
+    _, first, which = np.unique(mixed, return_index=True, return_inverse=True)
+    if any((lane != lane[first][which]).any() for lane in lanes):
+        return None  # different pieces were mixed to one number
+    words = [data[a:z].decode() for a, z in zip(starts[first].tolist(), ends[first].tolist())]
+    behind = np.cumsum([len(t) + 1 for t in texts])
+    return words, which, np.searchsorted(behind, starts, "right")
+
+
+class _Known:
+    """Ids by word in two generations: what was not met since the last change is forgotten, the rest stays."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def grow_old(self) -> None:
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+
+    def missing(self, words: set[str]) -> list[str]:
+        """Words that have no ids yet; those of the older generation come over."""
+        old, out = self.old, []
+        for word in words.difference(self.young):
+            ids = old.get(word)
+            if ids is None:
+                out.append(word)
+            else:
+                self.young[word] = ids
+        return out
 
 
 class Encoder:
     """Ids of texts, as little-endian 32-bit numbers.
 
-    The vocabulary drops white space and merges inside words only, so the ids of a text are those
-    of its parts between ASCII blanks, one after the other; each part is encoded once. The pieces
-    of new parts (words, digits, signs) are encoded together and told apart by the tokens that end one.
+    The vocabulary drops white space and merges inside pieces (words, digits, signs) only, so the
+    ids of a text are those of its pieces, one after the other, and each piece is encoded once. New
+    pieces of many texts are encoded together and told apart by the tokens that end one. Plain texts
+    are cut into pieces as arrays of bytes; those with an apostrophe, which begins pieces of its own,
+    by a pattern. A text with other characters is cut at ASCII blanks, and its parts that have them
+    are encoded whole.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known, self.pieces = _tokenizer(path), {}, {}
+        self.tokenizer, self.pieces, self.parts = _tokenizer(path), _Known(CACHED_WORDS), _Known(CACHED_WORDS // 10)
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _learn(self, parts: list[str]) -> None:
-        lower = {p: p.lower() for p in parts if _PLAIN.fullmatch(p)}
-        words = {p: x for p, x in lower.items() if x.isalpha()}  # one piece
-        mixed = {p: tuple(_PIECES.findall(x)) for p, x in lower.items() if not x.isalpha()}
-        if len(self.pieces) > CACHED_WORDS:
-            self.pieces.clear()
-        new = [x for x in set(words.values()).union(*mixed.values()) if x not in self.pieces]
-        if new:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(new) and ends[-1] == len(ids):  # else each part is encoded alone
-                cuts, data = (ends * 4).tolist(), ids.tobytes()
-                self.pieces.update(zip(new, [data[a:z] for a, z in zip([0, *cuts], cuts)]))
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) == len(new) and ends[-1] == len(ids):
+            cuts, data = (ends * 4).tolist(), ids.tobytes()
+            coded = [data[a:z] for a, z in zip([0, *cuts], cuts)]
+        else:
+            coded = self._alone(new)
+        self.pieces.young.update(zip(new, coded, strict=True))
+
+    def _odd(self, text: str) -> list[str | tuple[str]]:
+        """Pieces of a text with other characters; a part that has them is a tuple."""
+        out: list[str | tuple[str]] = []
+        for part in text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" "):
+            if _is_plain(part):
+                out += _PIECES.findall(part.lower())
             else:
-                words = {p: x for p, x in words.items() if x in self.pieces}
-                mixed = {p: x for p, x in mixed.items() if all(y in self.pieces for y in x)}
-        get = self.pieces.__getitem__
-        self.known.update(zip(words, map(get, words.values())))
-        self.known.update((p, b"".join(map(get, x))) for p, x in mixed.items())
-        rest = [p for p in parts if p not in self.known]
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else (), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
+                out.append((part,))
+        return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        known = self.known
-        new = [p for p in set().union(*split) if p not in known]
-        if new:
+    def _ids_of(self, words: set[str]) -> dict[str, bytes]:
+        if new := self.pieces.missing(words):
             self._learn(new)
-        return [b"".join([known[p] for p in parts]) for parts in split]
+        return self.pieces.young
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts."""
+        found = _pieces_of([t.lower().encode() for t in texts])
+        if found is None:
+            return self._others(texts) if len(texts) == 1 else [x for t in texts for x in self._plain([t])]
+        words, which, text_of = found
+        known = self._ids_of(set(words))
+        coded = [known[w] for w in words]
+        ids, sizes = np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        begins = np.cumsum(sizes) - sizes
+        n = sizes[which]
+        upto = np.cumsum(n)
+        out = ids[np.repeat(begins[which] - upto + n, n) + np.arange(n.sum())].tobytes()
+        cuts = np.concatenate(([0], upto))[np.searchsorted(text_of, np.arange(len(texts) + 1))] * 4
+        return [out[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+    def _others(self, texts: list[str]) -> list[bytes]:
+        """Ids of any texts."""
+        split = [_PIECES.findall(t.lower()) if _is_plain(t) else self._odd(t) for t in texts]
+        words = set().union(*split)
+        odd = {x for x in words if isinstance(x, tuple)}
+        words -= odd
+        known = self._ids_of(words)
+        if odd:
+            if rest := self.parts.missing({x[0] for x in odd}):
+                self.parts.young.update(zip(rest, self._alone(rest), strict=True))
+            known = {**{w: known[w] for w in words}, **{x: self.parts.young[x[0]] for x in odd}}
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        out: list[list[bytes]] = [[] for _ in texts]
+        plain: list[tuple[int, str]] = []
+
+        def flush() -> None:
+            self.pieces.grow_old()
+            for (i, _), ids in zip(plain, self._plain([t for _, t in plain]), strict=True):
+                out[i].append(ids)
+            plain.clear()
+
+        size = 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if "'" in text or not _is_plain(text):
+                self.pieces.grow_old()
+                self.parts.grow_old()
+                out[i] = self._others([text])
+                continue
+            for stretch in _stretches(text):
+                plain.append((i, stretch))
+                size += len(stretch)
+                if size >= STRETCH:
+                    flush()
+                    size = 0
+        if plain:
+            flush()
+        return [b"".join(ids) for ids in out]
 
 
 @lru_cache(maxsize=2)
@@ -157,8 +292,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
         part, segment, encoder = TaskContext.get().partitionId(), 0, _encoder(tokenizer_path)
         data, ids, total = [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 300):
-                some = batch.slice(at, 300)
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
                 for doc_id, coded in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
                     data.append(coded + end)
                     ids.append(doc_id)

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -32,6 +33,22 @@ def test_parts_between_blanks_encode_alone(text):
     assert np.frombuffer(Encoder(tokenizer_path()).encode([text])[0], "<u4").tolist() == ids
 
 
+def test_pieces_of_plain_texts(monkeypatch):
+    """Many texts at once, cut into stretches, with long pieces and pieces that differ late."""
+    pick = random.Random(4)
+    letters = "abÀÿéß019 \t\n.,-!&ZÖ"
+    texts = ["".join(pick.choice(letters) for _ in range(pick.randrange(200))) for _ in range(300)]
+    texts += ["x" * n + c for n in (7, 8, 9, 15, 16, 31, 32, 33, 500) for c in "ab."] + ["", " ", None, "=" * 90, "it's", "don't 'start", "日本 a,b", "a" * 40 + " b c"]
+    library = Tokenizer.from_file(tokenizer_path())
+    expected = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for stretch in (1 << 21, 100, 7):
+        monkeypatch.setattr(token_output, "STRETCH", stretch)
+        encoder = Encoder(tokenizer_path())
+        encoder.pieces.size = 50  # generations change all the time
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == expected
+
+
 @pytest.mark.parametrize("bits", [False, True])
 @pytest.mark.parametrize("n", [1, 7, 8, 65_536])
 def test_planes_round_trip(bits, n):
