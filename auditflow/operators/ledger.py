@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from datetime import date
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 from pyspark.sql.types import DateType, DoubleType, FloatType, IntegerType, StringType
 
 from auditflow.functions.naming import DATE_NAME_PARTS, first_with, status_column
@@ -156,6 +156,14 @@ def _is_unreadable(df: DataFrame, name: str) -> Column:
     return too_large & ~_is_non_finite(df, name)
 
 
+def _cell_tests(df: DataFrame, name: str) -> dict[str, Column]:
+    return {
+        "missing_cells": is_missing(F.col(f"`{name}`").cast(StringType())),
+        "unreadable_cells": _is_unreadable(df, name),
+        "non_finite_cells": _is_non_finite(df, name),
+    }
+
+
 def amount_cast_counts(df: DataFrame, amount_cols: Sequence[str] = AMOUNT_COLUMNS) -> DataFrame:
     """Per amount column: cells that are missing, unreadable or not finite.
 
@@ -164,13 +172,7 @@ def amount_cast_counts(df: DataFrame, amount_cols: Sequence[str] = AMOUNT_COLUMN
     """
     present = [c for c in amount_cols if c in df.columns]
     counts = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.count_if(is_missing(F.col(f"`{c}`").cast(StringType()))).alias("missing_cells"),
-            F.count_if(_is_unreadable(df, c)).alias("unreadable_cells"),
-            F.count_if(_is_non_finite(df, c)).alias("non_finite_cells"),
-        )
-        for c in present
+        F.struct(F.lit(c).alias("column"), *[F.count_if(test).alias(name) for name, test in _cell_tests(df, c).items()]) for c in present
     ]
     if not counts:
         raise ValueError(f"none of {list(amount_cols)} is a column of the table")
@@ -245,32 +247,46 @@ def exclusion_ledger(
     recorded only if it excluded something.
     """
     source_cols = [c for c in flagged.columns if c not in (CLEAN_DATE, STEP)]
-    date_col = date_col or first_with(source_cols, DATE_NAME_PARTS)
-    status_col = status_col or status_column(source_cols)
-    key_col = key_col or source_cols[0]
+    steps = _steps(source_cols, date_col, status_col, cutoff)
+    if not steps:
+        return conform(flagged.sparkSession.range(0), TRANSFORMATION)
+    counts = flagged.agg(*[c.alias(name) for name, c in _step_counts(steps).items()])
+    sampled = exclusion_samples(flagged, key_col=key_col or source_cols[0], detail_cols=_details(steps), samples=samples) if samples else None
+    return _ledger(counts, steps, cutoff, sampled)
+
+
+_Step = tuple[int, str, str, str]
 
-    steps: list[tuple[int, str, str, str]] = []
+
+def _steps(columns: Sequence[str], date_col: str | None, status_col: str | None, cutoff: Cutoff) -> list[_Step]:
+    """Step, identifier, operation and column of every rule, in order."""
+    date_col = date_col or first_with(columns, DATE_NAME_PARTS)
+    status_col = status_col or status_column(columns)
+    steps: list[_Step] = []
     if date_col:
         steps.append((INVALID_DATE, "TRF_01_CLEAN_DATES", "filter_invalid_dates", date_col))
     if status_col:
         steps.append((EXCLUDED_STATUS, "TRF_02_FILTER_STATUS", "filter_completed_orders", status_col))
     if date_col and cutoff is not None:
         steps.append((AFTER_CUTOFF, "TRF_03_CUTOFF_INCOMPLETE_PERIOD", "filter_date_range", CLEAN_DATE))
+    return steps
 
-    if not steps:
-        return conform(flagged.sparkSession.range(0), TRANSFORMATION)
 
-    def excluded(step: int) -> str:
-        return f"excluded_{step}"
+def _details(steps: Sequence[_Step]) -> dict[int, str]:
+    return {step: column for step, _, _, column in steps}
 
-    counts = flagged.agg(
-        F.count(F.lit(1)).alias("total"),
-        *[F.count_if(F.col(STEP) == step).alias(excluded(step)) for step, *_ in steps],
-    )
+
+def _step_counts(steps: Sequence[_Step]) -> dict[str, Column]:
+    """Aggregates over flagged rows: all of them, and those that each step excludes."""
+    return {"total": F.count(F.lit(1)), **{f"excluded_{step}": F.count_if(F.col(STEP) == step) for step, *_ in steps}}
+
+
+def _ledger(counts: DataFrame, steps: Sequence[_Step], cutoff: Cutoff, sampled: DataFrame | None) -> DataFrame:
+    """Ledger records from one row with ``_step_counts``."""
     before = F.col("total")
     records = []
     for index, (step, transformation_id, operation, column) in enumerate(steps, start=1):
-        after = before - F.col(excluded(step))
+        excluded = F.col(f"excluded_{step}")
         records.append(
             F.struct(
                 F.lit(step).alias(STEP),
@@ -280,19 +296,82 @@ def exclusion_ledger(
                 F.array(F.lit(column)).alias("columns_affected"),
                 F.create_map(F.lit("column"), F.lit(column)).alias("parameters"),
                 before.alias("rows_before"),
-                after.alias("rows_after"),
-                F.col(excluded(step)).alias("rows_excluded"),
+                (before - excluded).alias("rows_after"),
+                excluded.alias("rows_excluded"),
             )
         )
-        before = after
+        before = before - excluded
     ledger = (
         counts.select(F.inline(F.array(*records)))
         .where((F.col(STEP) != AFTER_CUTOFF) | (F.col("rows_excluded") > 0))
         .withColumn(REASON, _reason(cutoff))
     )
-    if samples:
-        detail_cols = {step: column for step, _, _, column in steps}
-        sampled = exclusion_samples(flagged, key_col=key_col, detail_cols=detail_cols, samples=samples)
+    if sampled is not None:
         # At most one row per step on either side.
         ledger = ledger.join(F.broadcast(sampled), STEP, "left")
     return conform(ledger, TRANSFORMATION)
+
+
+# ---------------------------------------------------------------------------
+# Ledger of the pass that writes
+# ---------------------------------------------------------------------------
+OUTCOME = "outcome"
+KEPT = 0
+
+
+class Written(NamedTuple):
+    """A fact as stored, and what was counted while it was written."""
+
+    usable: DataFrame
+    quarantine: DataFrame
+    ledger: DataFrame
+    amount_counts: DataFrame | None
+
+
+def write_with_ledger(
+    fact: DataFrame, path: str, *, amount_cols: Sequence[str] = AMOUNT_COLUMNS, key_col: str | None = None, samples: int = 5, **rules
+) -> Written:
+    """Store usable and excluded rows in one pass over the fact, and count in the same pass.
+
+    Rows are written as they are, with the clean date, under ``outcome=0`` (usable) or the number
+    of the step that excludes them, so either part is read without the other. Steps and the cells of
+    amount columns are counted by an ``Observation`` on the rows being written: the fact is read
+    once, and the figures are those of the very rows that were stored. Tasks that run again count
+    once, as the write is the last stage of its job. Samples are read from the excluded part alone.
+
+    ``amount_counts`` is over usable rows, None without amount columns. ``rules`` are those of
+    ``exclusion_rules``. Runs the write when called.
+    """
+    spark = fact.sparkSession
+    cutoff = rules.get("cutoff")
+    steps = _steps(fact.columns, rules.get("date_col"), rules.get("status_col"), cutoff)
+    flagged = flag_exclusions(fact, **rules)
+    counts = _step_counts(steps)
+    amounts = [c for c in amount_cols if c in fact.columns]
+    cells = {
+        (c, name): F.count_if(F.col(STEP).isNull() & test).alias(f"{name}_{i}") for i, c in enumerate(amounts) for name, test in _cell_tests(fact, c).items()
+    }
+    seen = Observation()
+    # Counted before the partition column is made, which the writer takes out of the rows.
+    observed = flagged.observe(seen, *[c.alias(name) for name, c in counts.items()], *cells.values())
+    stored = observed.withColumn(OUTCOME, F.coalesce(STEP, F.lit(KEPT))).drop(STEP)
+    stored.write.partitionBy(OUTCOME).parquet(path)
+    found = seen.get
+
+    read = spark.read.schema(stored.schema).parquet(path)
+    excluded = read.where(F.col(OUTCOME) != KEPT).withColumnRenamed(OUTCOME, STEP)
+    one = spark.range(1).select(*[F.lit(found[name]).cast("long").alias(name) for name in counts])
+    sampled = None
+    if samples and steps:
+        sampled = exclusion_samples(excluded, key_col=key_col or fact.columns[0], detail_cols=_details(steps), samples=samples)
+    counted = None
+    if amounts:
+        names = ("missing_cells", "unreadable_cells", "non_finite_cells")
+        rows = [(c, *[found[f"{name}_{i}"] for name in names]) for i, c in enumerate(amounts)]
+        counted = spark.createDataFrame(rows, "column string, " + ", ".join(f"{n} long" for n in names))
+    return Written(
+        usable=read.where(F.col(OUTCOME) == KEPT).drop(OUTCOME),
+        quarantine=excluded.withColumn(REASON, _reason(cutoff)),
+        ledger=_ledger(one, steps, cutoff, sampled) if steps else conform(spark.range(0), TRANSFORMATION),
+        amount_counts=counted,
+    )

@@ -59,6 +59,7 @@ def run_audit(
     samples: int = 3,
     plan: Sequence[methods.Step] | None = None,
     keep_analytical: bool = False,
+    store_in: str | None = None,
 ) -> AuditRun:
     """Audit, prepare, compute, validate and report.
 
@@ -72,6 +73,10 @@ def run_audit(
     ``analytical`` feeds every metric. With ``keep_analytical`` it and all results are
     computed once into the shared checkpoint folder, which pays off when several parts
     of the run are used; otherwise every part reads the source tables anew.
+
+    ``store_in`` names a new folder for the fact: usable and excluded rows are written there in
+    one pass, which also counts the ledger and the cells of amounts; all that follows reads the
+    stored rows.
     """
     fact = fact or pick_fact(list(tables))
     date_col = first_with(tables[fact].columns, DATE_NAME_PARTS)
@@ -85,8 +90,19 @@ def run_audit(
     diagnostics = link_diagnostics(tables, [(_owner(fact, tables, links, link), link) for link in links])
     issues = quality.audit_tables(tables, profile=profiled, samples=samples)
 
-    flagged = ledger.flag_exclusions(tables[fact], date_col=date_col, cutoff=cutoff)
-    usable = ledger.with_amounts(ledger.keep_usable(tables[fact], date_col=date_col, cutoff=cutoff))
+    if store_in:
+        written = ledger.write_with_ledger(tables[fact], store_in, date_col=date_col, cutoff=cutoff)
+    else:
+        flagged = ledger.flag_exclusions(tables[fact], date_col=date_col, cutoff=cutoff)
+        kept = ledger.keep_usable(tables[fact], date_col=date_col, cutoff=cutoff)
+        has_amounts = any(c in tables[fact].columns for c in ledger.AMOUNT_COLUMNS)
+        written = ledger.Written(
+            usable=kept,
+            quarantine=ledger.quarantined_rows(flagged, cutoff=cutoff),
+            ledger=ledger.exclusion_ledger(flagged, date_col=date_col, cutoff=cutoff),
+            amount_counts=ledger.amount_cast_counts(kept) if has_amounts else None,
+        )
+    usable = ledger.with_amounts(written.usable)
     analytical = fill_unknown_members(join_chain(usable, tables, links))
     if keep_analytical:
         analytical = durable(analytical)
@@ -113,10 +129,9 @@ def run_audit(
     eligibility = results[f"RES_{methods.FORECAST}"].withColumn("result_id", F.lit(f"RES_{methods.FORECAST}"))
 
     checks = validate.finite_checks(values).unionByName(validate.sample_size_checks(eligibility))
-    if any(c in tables[fact].columns for c in ledger.AMOUNT_COLUMNS):
+    if written.amount_counts is not None:
         # On the stored cells: the exact amounts that results are made of are always finite.
-        stored = ledger.amount_cast_counts(ledger.keep_usable(tables[fact], date_col=date_col, cutoff=cutoff))
-        checks = checks.unionByName(validate.source_amount_checks(records, stored))
+        checks = checks.unionByName(validate.source_amount_checks(records, written.amount_counts))
     if breakdowns is not None:
         # The expected change comes from the fact before any join.
         expected = metrics.period_comparison(usable, baseline=baseline, current=current, metric=metric)
@@ -147,7 +162,7 @@ def run_audit(
     dashboard_checks = validate.presentation_checks(components, of_run(statuses), run=["run"])
     dashboard = validate.presentation_status(dashboard_checks, validate.period_alignment(components, run=["run"]), run=["run"])
 
-    steps = ledger.exclusion_ledger(flagged, date_col=date_col, cutoff=cutoff)
+    steps = written.ledger
     joined = [link.dimension for link in links if link.dimension in tables] if joins is not None else []
     manifested = table_manifest(tables).withColumnRenamed("table_name", "table_id")
     way = report.provenance(
@@ -165,7 +180,7 @@ def run_audit(
         quality_report=quality.quality_report(issues, tables),
         relationships=None if diagnostics is None else relationship(diagnostics),
         ledger=steps,
-        quarantine=ledger.quarantined_rows(flagged, cutoff=cutoff),
+        quarantine=written.quarantine,
         join_checks=None if joins is None else join_check(joins),
         analytical=analytical,
         results=results,

@@ -644,6 +644,24 @@ SELECT order_id, n AS amount, coalesce(n, 0.0) AS amount_or_zero,
     "amount_cast_counts": f"""WITH {UNTIDY} SELECT 'amount' AS "column", count(*) FILTER (WHERE amount = '') AS missing_cells,
   count(*) FILTER (WHERE amount <> '' AND NOT {IS_NUMBER}) AS unreadable_cells, count(*) FILTER (WHERE amount = 'NaN') AS non_finite_cells FROM untidy""",
     "exclusion_ledger": f"WITH {DIRTY_ORDERS},{LEDGER} SELECT * FROM ledger",
+    "written_ledger": f"""WITH {DIRTY_ORDERS},{LEDGER},
+excluded AS (
+  SELECT order_id, CASE WHEN day IS NULL THEN 1 WHEN status = 'CANCELLED' THEN 2 WHEN day > DATE '{DIRTY_CUTOFF}' THEN 3 END AS step_index,
+         CASE WHEN day IS NULL THEN order_date WHEN status = 'CANCELLED' THEN status ELSE strftime(day, '%Y-%m-%d') END AS detail FROM parsed_orders
+),
+samples AS (
+  SELECT step_index, string_agg(order_id || '=' || detail, '; ' ORDER BY order_id) AS samples
+  FROM (SELECT *, row_number() OVER (PARTITION BY step_index ORDER BY order_id) AS place FROM excluded WHERE step_index IS NOT NULL)
+  WHERE place <= 5 GROUP BY step_index
+)
+SELECT ledger.*, coalesce(samples, '') AS samples FROM ledger LEFT JOIN samples USING (step_index)""",
+    "written_rows": f"""WITH {DIRTY_ORDERS}
+SELECT CASE WHEN day IS NULL THEN 'Date is missing or not a date' WHEN status = 'CANCELLED' THEN 'Status is excluded'
+            WHEN day > DATE '{DIRTY_CUTOFF}' THEN 'After the cutoff ({DIRTY_CUTOFF})' ELSE 'usable' END AS outcome,
+       count(*) AS orders, CAST(sum(net_sales) AS DOUBLE) AS net_sales FROM parsed_orders GROUP BY 1""",
+    "written_amount_counts": f"""WITH {UNTIDY} SELECT 'amount' AS "column", count(*) FILTER (WHERE amount = '') AS missing_cells,
+  count(*) FILTER (WHERE amount <> '' AND NOT {IS_NUMBER}) AS unreadable_cells, count(*) FILTER (WHERE amount = 'NaN') AS non_finite_cells
+FROM untidy WHERE regexp_matches(order_date, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') AND try_strptime(order_date, '%Y-%m-%d') IS NOT NULL""",
     "quarantine_rows": f"""WITH {DIRTY_ORDERS}
 SELECT order_id, order_date, status, CASE WHEN day IS NULL THEN 'Date is missing or not a date' WHEN status = 'CANCELLED' THEN 'Status is excluded'
        ELSE 'After the cutoff ({DIRTY_CUTOFF})' END AS exclusion_reason

@@ -15,6 +15,7 @@ from auditflow.functions.naming import table_name_of
 from auditflow.operators import joins, ledger, metrics, periods, profile, quality, questions, report, runlog, validate
 from auditflow.operators.joins import Link
 from auditflow.plans import methods, views
+from auditflow.session import shared_folder
 from auditflow.sources import manifest, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,6 +204,38 @@ def quarantine_rows(spark, sf_dir):
     )
 
 
+def _written(spark, sf_dir) -> ledger.Written:
+    return ledger.write_with_ledger(
+        views.dirty_orders(spark, sf_dir), shared_folder(spark, "orders"), cutoff=DIRTY_CUTOFF, amount_cols=["net_sales"]
+    )
+
+
+@query
+def written_ledger(spark, sf_dir):
+    """The ledger counted while the rows were stored, with the smallest excluded rows of each step."""
+    named = F.transform("exclusion_samples", lambda s: F.concat(s["order_id"], F.lit("="), F.array_join(F.map_values(F.map_filter(s, lambda k, _: k != "order_id")), "")))
+    return _written(spark, sf_dir).ledger.select(
+        "step_index", "transformation_id", "operation", "rows_before", "rows_after", "rows_excluded", "exclusion_reason",
+        F.array_join(named, "; ").alias("samples"),
+    )
+
+
+@query
+def written_rows(spark, sf_dir):
+    """Rows and sales of the stored usable part and of each excluded part."""
+    written = _written(spark, sf_dir)
+    kept = written.usable.select(F.lit("usable").alias("outcome"), "net_sales")
+    both = kept.unionByName(written.quarantine.select(F.col("exclusion_reason").alias("outcome"), "net_sales"))
+    return both.groupBy("outcome").agg(F.count(F.lit(1)).alias("orders"), F.sum("net_sales").cast("double").alias("net_sales"))
+
+
+@query
+def written_amount_counts(spark, sf_dir):
+    """Cells of the stored amounts of usable rows, counted while they were stored."""
+    untidy = views.untidy_amounts(spark, sf_dir)
+    return ledger.write_with_ledger(untidy, shared_folder(spark, "amounts"), amount_cols=["amount"], samples=0).amount_counts
+
+
 @query
 def incomplete_period(spark, sf_dir):
     last = periods.incomplete_period(views.table(spark, sf_dir, "orders"), "o_orderdate")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -30,17 +31,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     that setting gets a folder of its own; elsewhere a missing one is an error,
     since a machine-local folder would be lost with its executor.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_auditflow_folder", None)
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="auditflow-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
+        # The setting itself can't be changed in a running session, so the folder is kept beside it.
+        configured = context._auditflow_folder = tempfile.mkdtemp(prefix="auditflow-checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(configured)
     return configured
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and read it from there.
 

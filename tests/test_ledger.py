@@ -103,3 +103,34 @@ def test_lazy_cutoff(spark, rows):
     df = spark.createDataFrame([("O1", "2026-05-01"), ("O2", "2026-06-01")], "id string, order_date string")
     lazy = periods.incomplete_period(df, "order_date").select("cutoff").scalar()
     assert rows(ledger.keep_usable(df, cutoff=lazy), "id") == [("O1",)]
+
+
+def test_written_parts_and_figures_come_from_one_pass(spark, orders, rows, tmp_path):
+    """One job reads the fact once, stores both parts and counts; figures equal those of separate passes."""
+    cutoff = date(2026, 5, 31)
+    context, group = spark.sparkContext, "written-in-one-pass"
+    source = str(tmp_path / "fact")
+    orders.repartition(3).write.parquet(source)
+    fact = spark.read.parquet(source)
+    context.setJobGroup(group, "write")
+    written = ledger.write_with_ledger(fact, str(tmp_path / "out"), cutoff=cutoff)
+    jobs = context.statusTracker().getJobIdsForGroup(group)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) == 1
+    flagged = ledger.flag_exclusions(fact, cutoff=cutoff)
+    assert rows(written.usable) == rows(ledger.clean_rows(flagged))
+    assert rows(written.quarantine.select("order_id", "exclusion_reason")) == rows(ledger.quarantined_rows(flagged, cutoff=cutoff), "order_id", "exclusion_reason")
+    assert rows(written.ledger) == rows(ledger.exclusion_ledger(flagged, cutoff=cutoff))
+    assert rows(written.amount_counts) == rows(ledger.amount_cast_counts(ledger.keep_usable(fact, cutoff=cutoff)))
+    # The parts are read without each other and without the fact.
+    plan = written.quarantine._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and source not in plan
+    assert source not in written.ledger._jdf.queryExecution().toString()
+
+
+def test_written_without_rows_or_rules(spark, orders, tmp_path):
+    none = ledger.write_with_ledger(orders.where("false"), str(tmp_path / "none"), cutoff="2026-05-31")
+    assert none.usable.count() == none.quarantine.count() == 0
+    assert [(r.rows_before, r.rows_excluded) for r in none.ledger.orderBy("step_index").collect()] == [(0, 0), (0, 0)]
+    plain = ledger.write_with_ledger(orders.select("order_id"), str(tmp_path / "plain"))
+    assert plain.ledger.count() == 0 and plain.amount_counts is None and plain.usable.count() == len(ORDERS)
