@@ -105,6 +105,7 @@ def join_diagnostics(
         total(F.when(orphan, left_n)).alias("orphans_left"),
         total(F.when(has_right, one)).alias("right_keys"),
         total(F.when(has_right & ~has_left, one)).alias("orphans_right"),
+        total(F.when(has_right & (right_n > 1), right_n)).alias("right_repeated_rows"),
         F.coalesce(F.max(F.when(has_right, right_n)), zero).alias("max_rows_per_key"),
         amount(F.col("metric")).alias("metric_before"),
         amount(F.col("metric") * matches).alias("metric_after"),
@@ -413,6 +414,34 @@ def link_diagnostics(
     return reduce(DataFrame.unionByName, rows) if rows else None
 
 
+def link_samples(tables: Mapping[str, DataFrame], links: Sequence[tuple[str, Link]], k: int) -> DataFrame | None:
+    """Per link, the ``k`` smallest orphan keys and the ``k`` most frequent repeated keys of the dimension.
+
+    Ranked before the shuffle as well, so a task sends ``k`` keys of each kind.
+    """
+    rows = []
+    for left, link in links:
+        profile = key_profile(tables[left], tables[link.dimension], link.left_key, link.right_key)
+        key = F.coalesce(F.col("left_value").cast(StringType()), F.col("right_value").cast(StringType())).alias("key")
+        orphan = F.struct(F.lit("orphan").alias("kind"), F.lit(0).cast("long").alias("weight"), key)
+        repeated = F.struct(F.lit("repeated").alias("kind"), (-F.col("right_n")).alias("weight"), key)
+        kinds = F.array(
+            F.when(F.col("left_value").isNotNull() & F.col("right_value").isNull(), orphan),
+            F.when(F.col("right_value").isNotNull() & (F.col("right_n") > 1), repeated),
+        )
+        found = profile.select(F.explode(F.array_compact(kinds)).alias("s")).select("s.*")
+        place = F.row_number().over(Window.partitionBy("kind").orderBy("weight", "key"))
+        found = found.withColumn("place", place).where(F.col("place") <= k)
+
+        def keys_of(kind: str) -> Column:
+            packed = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("place", "key"))))  # noqa: B023
+            return F.transform(packed, lambda s: s["key"]).alias(f"{kind}_samples")
+
+        names = {"left_table": left, "right_table": link.dimension, "left_key": link.left_key, "right_key": link.right_key}
+        rows.append(found.agg(keys_of("orphan"), keys_of("repeated")).withColumns({c: F.lit(v) for c, v in names.items()}))
+    return reduce(DataFrame.unionByName, rows) if rows else None
+
+
 def infer_relationships(tables: Mapping[str, DataFrame], *, between_dimensions: bool = False) -> DataFrame | None:
     """Relationship records for all candidate links between the tables."""
     found = link_diagnostics(tables, candidate_links(tables, between_dimensions=between_dimensions))

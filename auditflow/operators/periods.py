@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from auditflow.functions.parsing import as_date, month_key
 
@@ -32,18 +32,13 @@ def incomplete_period(
     count of distinct days is needed.
     """
     dated = df.select(as_date(df, date_col).alias("day"))
-    months = dated.groupBy(F.trunc("day", "MM").alias("month")).agg(
-        F.bit_count(F.expr("bit_or(shiftleft(1L, dayofmonth(day)))")).cast("long").alias("days_recorded"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    last = F.max_by(F.struct("month", "days_recorded", "n"), F.col("month"))
-    picked = months.agg(last.alias("last"), F.sum("n").alias("total_rows"))
-    days_in_month = F.dayofmonth(F.last_day("last.month"))
-    incomplete = (F.col("last.days_recorded") < min_days) & (F.col("last.days_recorded") < days_in_month)
+    months = dated.groupBy(F.trunc("day", "MM").alias("month")).agg(month_days("day").alias("days"), F.count(F.lit(1)).alias("n"))
+    picked = months.agg(last_month().alias("last"), F.sum("n").alias("total_rows"))
+    incomplete = is_incomplete(F.col("last"), min_days)
     return picked.where(F.col("last").isNotNull()).select(
         month_key(F.col("last.month")).alias("last_month"),
-        F.col("last.days_recorded").alias("days_recorded"),
-        days_in_month.cast("long").alias("days_in_month"),
+        days_recorded(F.col("last")).alias("days_recorded"),
+        days_in_month(F.col("last")).alias("days_in_month"),
         F.col("last.n").alias("rows_in_month"),
         F.col("total_rows"),
         incomplete.alias("is_incomplete"),
@@ -51,6 +46,28 @@ def incomplete_period(
     )
 
 
+def month_days(day: str) -> Column:
+    """Aggregate: the days of a month that have rows, as bits of one number."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.dayofmonth(day)))
+
+
+def last_month() -> Column:
+    """Aggregate over months (month, days, n): the last one that is known."""
+    return F.max_by(F.struct("month", "days", "n"), F.col("month"))
+
+
+def days_recorded(last: Column) -> Column:
+    return F.bit_count(last["days"]).cast("long")
+
+
+def days_in_month(last: Column) -> Column:
+    return F.dayofmonth(F.last_day(last["month"])).cast("long")
+
+
+def is_incomplete(last: Column, min_days: int) -> Column:
+    return (days_recorded(last) < min_days) & (days_recorded(last) < days_in_month(last))
+
+
 def infer_cutoff(df: DataFrame, date_col: str, *, min_days: int = MIN_DAYS_IN_LAST_MONTH) -> date | None:
     """The cutoff as a Python date. Runs a job which returns a single row.
 

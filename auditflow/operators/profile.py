@@ -127,12 +127,14 @@ def column_profile(
 def smallest_values(cells: DataFrame, k: int) -> DataFrame:
     """The ``k`` smallest distinct non-missing values per column.
 
-    Ranked before the shuffle as well: a task sends the first ``k`` values of each
-    column, not every distinct cell.
+    Equal cells are reduced to one before values are ranked, and ranked before the
+    shuffle as well: a task sends the first ``k`` values of each column, however
+    many rows have them.
     """
-    rank = F.dense_rank().over(Window.partitionBy("name").orderBy("cell"))
-    few = cells.where(~is_missing(F.col("cell"))).withColumn("rank", rank).where(F.col("rank") <= k)
-    return few.groupBy("name").agg(F.sort_array(F.collect_set("cell")).alias("sample_values"))
+    values = cells.where(~is_missing(F.col("cell"))).groupBy("name", "cell").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("name").orderBy("cell"))
+    few = values.withColumn("place", place).where(F.col("place") <= k)
+    return few.groupBy("name").agg(F.sort_array(F.collect_list("cell")).alias("sample_values"))
 
 
 def profile_tables(tables: Mapping[str, DataFrame], **options) -> DataFrame:

@@ -18,10 +18,12 @@ from auditflow.functions.naming import (
     is_keyed_dimension_name,
     status_column,
 )
-from auditflow.functions.parsing import DATE_FORMATS, as_date, is_missing, percent, round_to
-from auditflow.operators.joins import candidate_links, link_diagnostics, orphan_keys
+from auditflow.functions.parsing import DATE_FORMATS, as_date, is_missing, month_key, percent, round_to
+from auditflow.operators.joins import candidate_links, link_diagnostics, link_samples
 from auditflow.operators.ledger import EXCLUDED_STATUSES
-from auditflow.operators.periods import MIN_DAYS_IN_LAST_MONTH, incomplete_period
+from auditflow.operators.periods import (
+    MIN_DAYS_IN_LAST_MONTH, days_in_month, days_recorded, incomplete_period, is_incomplete, last_month, month_days,
+)
 from auditflow.operators.profile import profile_tables
 from auditflow.records import QUALITY_ISSUE, QUALITY_REPORT, conform
 
@@ -30,8 +32,7 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-def _issues(
-    rows: DataFrame,
+def _fields(
     *,
     issue_type: str,
     severity: str,
@@ -44,28 +45,41 @@ def _issues(
     samples: Column | None = None,
     percentage: Column | None = None,
     prefix: str | None = None,
-    id_parts: Sequence[Column] | None = None,
-) -> DataFrame:
+    id_parts: Sequence[Column | str] | None = None,
+) -> list[Column]:
+    """The fields of an issue record."""
+
     def lit(value: Column | str | None) -> Column:
         return value if isinstance(value, Column) else F.lit(value).cast("string")
 
-    parts = id_parts if id_parts is not None else [lit(table_id), lit(column)]
-    return conform(
-        rows.select(
-            F.concat_ws("_", F.lit(prefix or issue_type.upper()), *parts).alias("id"),
-            F.lit(issue_type).alias("issue_type"),
-            F.lit(severity).alias("severity"),
-            lit(table_id).alias("table_id"),
-            lit(column).alias("column"),
-            affected.cast("long").alias("affected_rows"),
-            total.cast("long").alias("total_rows"),
-            (percentage if percentage is not None else percent(affected, total)).alias("affected_percentage"),
-            (samples if samples is not None else F.array().cast("array<string>")).alias("evidence_samples"),
-            lit(description).alias("description"),
-            lit(action).alias("recommended_action"),
-        ),
-        QUALITY_ISSUE,
-    )
+    parts = [lit(p) for p in (id_parts if id_parts is not None else (table_id, column))]
+    return [
+        F.concat_ws("_", F.lit(prefix or issue_type.upper()), *parts).alias("id"),
+        F.lit(issue_type).alias("issue_type"),
+        F.lit(severity).alias("severity"),
+        lit(table_id).alias("table_id"),
+        lit(column).alias("column"),
+        affected.cast("long").alias("affected_rows"),
+        total.cast("long").alias("total_rows"),
+        (percentage if percentage is not None else percent(affected, total)).alias("affected_percentage"),
+        (samples if samples is not None else F.array().cast("array<string>")).alias("evidence_samples"),
+        lit(description).alias("description"),
+        lit(action).alias("recommended_action"),
+    ]
+
+
+def _issues(rows: DataFrame, **fields) -> DataFrame:
+    return conform(rows.select(*_fields(**fields)), QUALITY_ISSUE)
+
+
+def _found(when: Column, **fields) -> Column:
+    """An issue as a value, null if the condition doesn't hold."""
+    return F.when(when, F.struct(*_fields(**fields)))
+
+
+def _inlined(rows: DataFrame, found: Sequence[Column]) -> DataFrame:
+    """The issues that are found in each row of figures, without reading the row's source again."""
+    return conform(rows.select(F.inline(F.array_compact(F.array(*found)))), QUALITY_ISSUE)
 
 
 def empty_table(df: DataFrame, table_id: str) -> DataFrame:
@@ -215,6 +229,81 @@ def returns_and_cancellations(
     )
 
 
+# ---------------------------------------------------------------------------
+# All checks of one table in one pass
+# ---------------------------------------------------------------------------
+def table_checks(
+    df: DataFrame, table_id: str, *, date_formats: Sequence[str] = DATE_FORMATS, statuses: Sequence[str] = EXCLUDED_STATUSES,
+    min_days: int = MIN_DAYS_IN_LAST_MONTH, samples: int = 3,
+) -> DataFrame:
+    """Issues of a table that rows alone show: no rows, invalid dates, an incomplete last month, excluded statuses.
+
+    One pass: rows are summed up per month of the (first) date column, and the months to one row of
+    figures, from which issue rows are made. Gives what ``empty_table``, ``invalid_dates``,
+    ``incomplete_last_period`` and ``returns_and_cancellations`` give one by one. Evidence of
+    invalid dates takes a pass of its own, further date columns of a fact one each.
+    """
+    dates, status = columns_with(df.columns, DATE_NAME_PARTS), status_column(df.columns)
+    invalid = {c: ~is_missing(F.col(f"`{c}`").cast("string")) & as_date(df, c, date_formats).isNull() for c in dates}
+    day = as_date(df, dates[0], date_formats) if dates and is_fact_name(table_id) else F.lit(None).cast("date")
+    counted = {f"invalid_{i}": F.count_if(test) for i, test in enumerate(invalid.values())}
+    if status:
+        counted |= {f"status_{i}": F.count_if(F.col(f"`{status}`") == s) for i, s in enumerate(statuses)}
+    months = df.withColumn("_day", day).groupBy(F.trunc("_day", "MM").alias("month")).agg(
+        month_days("_day").alias("days"), F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in counted.items()]
+    )
+    zero = F.lit(0).cast("long")
+    figures = months.agg(
+        last_month().alias("last"), F.coalesce(F.sum("n"), zero).alias("total"), *[F.coalesce(F.sum(name), zero).alias(name) for name in counted]
+    )
+    found, total = [], F.col("total")
+
+    def add(when: Column, **fields) -> None:
+        found.append(_found(when, table_id=table_id, total=fields.pop("total", total), **fields))
+
+    add(
+        total == 0, issue_type="empty_file", severity="blocking", column=None, affected=zero, total=zero, percentage=F.lit(100.0),
+        description=f"{table_id} has no rows.", action="Provide rows for this table.", prefix="EMPTY",
+    )
+    for i, c in enumerate(dates):
+        affected = F.col(f"invalid_{i}")
+        evidence = _invalid_cells(df, c, invalid[c], samples)
+        add(
+            affected > 0, issue_type="invalid_date", severity="warning", column=c, affected=affected, samples=evidence,
+            description=_text(c, f" of {table_id} has ", affected, " filled cells that are not a date."),
+            action="Leave these rows out of monthly figures; the ledger records them.",
+        )
+    if dates and is_fact_name(table_id):
+        last = F.col("last")
+        month, recorded = month_key(last["month"]), days_recorded(last)
+        add(
+            last.isNotNull() & is_incomplete(last, min_days), issue_type="incomplete_period", severity="warning", column=dates[0], affected=last["n"],
+            samples=F.array(_text(month, ": ", recorded, " of ", days_in_month(last), " days")),
+            description=_text("The last month ", month, " has rows on ", recorded, " days only, so it is not comparable."),
+            action="Compare closed full months only.",
+        )
+    if status:
+        each = [F.when(F.col(f"status_{i}") > 0, F.struct((-F.col(f"status_{i}")).alias("rank"), F.lit(s).alias("status"))) for i, s in enumerate(statuses)]
+        affected = reduce(Column.__add__, [F.col(f"status_{i}") for i in range(len(statuses))])
+        listed = F.transform(F.sort_array(F.array_compact(F.array(*each))), lambda s: F.concat(s["status"], F.lit(": "), (-s["rank"]).cast("string")))
+        add(
+            affected > 0, issue_type="returns_cancellations", severity="info", column=status, affected=affected, samples=listed,
+            description=_text(affected, " rows are cancelled or refunded."), action="Leave them out of sales figures.", id_parts=[table_id],
+        )
+    issues = _inlined(figures, found)
+    for c in dates[1:] if is_fact_name(table_id) else ():
+        issues = issues.unionByName(incomplete_last_period(df, table_id, column=c, min_days=min_days))
+    return issues
+
+
+def _invalid_cells(df: DataFrame, name: str, invalid: Column, k: int) -> Column | None:
+    """The smallest invalid cells of a date column."""
+    if not k:
+        return None
+    few = df.where(invalid).select(F.col(f"`{name}`").cast("string").alias("cell")).orderBy("cell").limit(k)
+    return few.agg(F.sort_array(F.collect_list("cell")).alias("samples")).scalar()
+
+
 # ---------------------------------------------------------------------------
 # From column profiles
 # ---------------------------------------------------------------------------
@@ -293,9 +382,8 @@ def granularity_mismatch(df: DataFrame, table_id: str, *, key: str | None = None
 # ---------------------------------------------------------------------------
 # From join diagnostics
 # ---------------------------------------------------------------------------
-def orphan_records(diagnostics: DataFrame, *, samples: Column | None = None) -> DataFrame:
-    return _issues(
-        diagnostics.where(F.col("orphans_left") > 0),
+def _orphan_fields(samples: Column | None) -> dict:
+    return dict(
         issue_type="orphan_records",
         severity="warning",
         table_id=F.col("left_table"),
@@ -312,15 +400,13 @@ def orphan_records(diagnostics: DataFrame, *, samples: Column | None = None) ->
     )
 
 
-def many_to_many(diagnostics: DataFrame, *, samples: Column | None = None) -> DataFrame:
-    affected = F.col("right_rows") - F.col("right_keys")
-    return _issues(
-        diagnostics.where(F.col("cardinality") == "many_to_many"),
+def _many_to_many_fields(samples: Column | None) -> dict:
+    return dict(
         issue_type="many_to_many",
         severity="warning",
         table_id=F.col("right_table"),
         column=F.col("right_key"),
-        affected=affected,
+        affected=F.col("right_rows") - F.col("right_keys"),
         total=F.col("right_rows"),
         samples=samples,
         description=_text(
@@ -332,6 +418,49 @@ def many_to_many(diagnostics: DataFrame, *, samples: Column | None = None) -> Da
     )
 
 
+def _repeated_fields(samples: Column | None) -> dict:
+    """As ``duplicate_keys``: the diagnostics of a link to a key count the same rows."""
+    return dict(
+        issue_type="duplicate_keys",
+        severity="warning",
+        table_id=F.col("right_table"),
+        column=F.col("right_key"),
+        affected=F.col("right_repeated_rows"),
+        total=F.col("right_rows"),
+        samples=samples,
+        description=_text(F.col("right_key"), " should identify a row of ", F.col("right_table"), ", but repeats."),
+        action="Reduce the dimension to one row per key before joining it.",
+        prefix="DUP_KEY",
+    )
+
+
+def orphan_records(diagnostics: DataFrame, *, samples: Column | None = None) -> DataFrame:
+    return _issues(diagnostics.where(F.col("orphans_left") > 0), **_orphan_fields(samples))
+
+
+def many_to_many(diagnostics: DataFrame, *, samples: Column | None = None) -> DataFrame:
+    return _issues(diagnostics.where(F.col("cardinality") == "many_to_many"), **_many_to_many_fields(samples))
+
+
+def link_issues(diagnostics: DataFrame, *, identifying: Sequence[tuple[str, str, str]] = (), with_samples: bool = False) -> DataFrame:
+    """Orphans, many-to-many links and repeated keys from one reading of the diagnostics.
+
+    ``identifying`` lists links (left table, right table, right key) whose key should identify a row;
+    ``with_samples`` takes the evidence from the columns of ``joins.link_samples``.
+    """
+    orphans, repeated = (F.col("orphan_samples"), F.col("repeated_samples")) if with_samples else (None, None)
+    names = [F.col(c) for c in ("left_table", "right_table", "right_key")]
+    identifies = reduce(Column.__or__, [reduce(Column.__and__, [c == v for c, v in zip(names, link)]) for link in identifying], F.lit(False))
+    return _inlined(
+        diagnostics,
+        [
+            _found(F.col("orphans_left") > 0, **_orphan_fields(orphans)),
+            _found(F.col("cardinality") == "many_to_many", **_many_to_many_fields(repeated)),
+            _found(identifies & (F.col("right_repeated_rows") > 0), **_repeated_fields(repeated)),
+        ],
+    )
+
+
 # ---------------------------------------------------------------------------
 # Whole audit
 # ---------------------------------------------------------------------------
@@ -345,6 +474,10 @@ def audit_tables(
 ) -> DataFrame:
     """Issue records of all checks over a set of tables.
 
+    A table is read once for the checks of its rows, once for its profile, and once
+    per key that links it to another; the last pass serves repeated keys, orphans and
+    many-to-many links alike. Evidence samples take passes of their own.
+
     ``declared_checks`` adds missing values, numbers stored as text and repeated
     fact keys, which an audit does not report by default.
     """
@@ -353,14 +486,16 @@ def audit_tables(
     if diagnostics is None:
         diagnostics = link_diagnostics(tables, links)
     found: list[DataFrame | None] = []
+    linked = {(link.dimension, link.right_key): left for left, link in reversed(links)}
+    identifying = []
     for table_id, df in tables.items():
-        found.append(empty_table(df, table_id))
-        if is_keyed_dimension_name(table_id):
-            found.append(duplicate_keys(df, table_id, samples=samples))
-        found.append(invalid_dates(df, table_id, samples=samples))
-        if is_fact_name(table_id):
-            found += [incomplete_last_period(df, table_id, column=c) for c in columns_with(df.columns, DATE_NAME_PARTS)]
-        found.append(returns_and_cancellations(df, table_id))
+        found.append(table_checks(df, table_id, samples=samples))
+        key = first_with(df.columns, ("id",))
+        if is_keyed_dimension_name(table_id) and key is not None:
+            if diagnostics is not None and (table_id, key) in linked:
+                identifying.append((linked[table_id, key], table_id, key))
+            else:
+                found.append(duplicate_keys(df, table_id, key=key, samples=samples))
         if declared_checks and is_fact_name(table_id):
             found.append(granularity_mismatch(df, table_id, samples=samples))
     found.append(leading_zeros(profile))
@@ -368,42 +503,13 @@ def audit_tables(
         text = {t: [f.name for f in df.schema if f.dataType.simpleString() == "string"] for t, df in tables.items()}
         found += [missing_values(profile), numeric_as_text(profile, text)]
     if diagnostics is not None:
-        found += [
-            orphan_records(diagnostics, samples=_orphan_samples(tables, links, samples)),
-            many_to_many(diagnostics, samples=_repeated_samples(tables, links, samples)),
-        ]
+        sampled = link_samples(tables, links, samples) if samples else None
+        if sampled is not None:  # one row per link
+            diagnostics = diagnostics.join(F.broadcast(sampled), ["left_table", "right_table", "left_key", "right_key"], "left")
+        found.append(link_issues(diagnostics, identifying=identifying, with_samples=sampled is not None))
     return reduce(DataFrame.unionByName, [f for f in found if f is not None])
 
 
-def _orphan_samples(tables: Mapping[str, DataFrame], links, k: int) -> Column | None:
-    if not k:
-        return None
-    samples = F.array().cast("array<string>")
-    for left, link in links:
-        few = (
-            orphan_keys(tables[left], tables[link.dimension], link.left_key, link.right_key)
-            .select(F.col("orphan_key").cast("string").alias("key"))
-            .orderBy("key")
-            .limit(k)
-        )
-        here = (
-            (F.col("left_table") == left) & (F.col("right_table") == link.dimension) & (F.col("left_key") == link.left_key)
-        )
-        samples = F.when(here, few.agg(F.sort_array(F.collect_list("key")).alias("samples")).scalar()).otherwise(samples)
-    return samples
-
-
-def _repeated_samples(tables: Mapping[str, DataFrame], links, k: int) -> Column | None:
-    if not k:
-        return None
-    samples = F.array().cast("array<string>")
-    for right, key in sorted({(link.dimension, link.right_key) for _, link in links}):
-        repeated = key_counts(tables[right], key).where((F.col("n") > 1) & F.col("key").isNotNull())
-        here = (F.col("right_table") == right) & (F.col("right_key") == key)
-        samples = F.when(here, _samples_of(repeated, k)).otherwise(samples)
-    return samples
-
-
 def quality_report(issues: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row for the whole audit: blocking issues, time coverage, incomplete last period."""
     dated = [

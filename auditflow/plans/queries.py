@@ -380,6 +380,13 @@ def column_profile(spark, sf_dir):
     return _profile(spark, sf_dir).withColumns({**rounded, **days}).drop("sample_values")
 
 
+@query
+def column_samples(spark, sf_dir):
+    """The smallest values of each column, as its profile shows them."""
+    found = profile.profile_tables(_text_tables(spark, sf_dir), samples=4)
+    return found.select("table_id", "name", F.array_join("sample_values", "|").alias("samples"))
+
+
 @query
 def table_profiles(spark, sf_dir):
     rolled = profile.table_profile(_profile(spark, sf_dir), _text_tables(spark, sf_dir))

@@ -96,3 +96,37 @@ def test_table_profile(tables):
     assert (found["orders"].row_count, found["orders"].column_count, found["orders"].source) == (4, 4, "orders.csv")
     assert found["orders"].id_columns == ["customer_id", "order_id"]
     assert found["customers"].row_semantic_meaning.startswith("Customer dimension")
+
+
+def test_an_audit_reads_a_table_twice_and_once_per_key(spark, sf_dir):
+    """One pass for the rows, one for the profile, one for the keys of each side of a link."""
+    from auditflow.plans.queries import QUERIES
+
+    plan = QUERIES["quality_issues"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 3 * 2 + 2
+
+
+def test_checks_of_one_pass_equal_the_single_ones(spark, rows):
+    cells = [
+        ("O1", "2026-01-10", "COMPLETED", "x"), ("O2", "2026-02-30", "CANCELLED", "y"), ("O3", "", "REFUNDED", None), ("O4", "nope", "CANCELLED", "z"),
+        ("O5", "2026-05-01", None, "2026-01-01"), ("O6", "2026-05-02", "SHIPPED", ""), ("O7", None, "CANCELADO", "bad"),
+    ]
+    full = spark.createDataFrame(cells, "order_id string, order_date string, status string, ship_date string")
+    for df in (full, full.where("false"), full.drop("order_date", "ship_date"), full.drop("status"), full.where("order_date = 'nope'")):
+        for table_id in ("orders", "customers"):
+            single = quality.empty_table(df, table_id)
+            dates = [c for c in ("order_date", "ship_date") if c in df.columns]
+            parts = [quality.invalid_dates(df, table_id), quality.returns_and_cancellations(df, table_id)]
+            if table_id == "orders":
+                parts += [quality.incomplete_last_period(df, table_id, column=c) for c in dates]
+            for part in parts:
+                single = single if part is None else single.unionByName(part)
+            assert rows(quality.table_checks(df, table_id)) == rows(single)
+
+
+def test_a_column_of_few_values_sends_each_once(spark):
+    from auditflow.operators.profile import as_cells, smallest_values
+
+    df = spark.range(5000).selectExpr("cast(id % 3 as string) as flag", "cast(id as string) as number", "cast(null as string) as nothing")
+    found = {r["name"]: r["sample_values"] for r in smallest_values(as_cells(df), 5).collect()}
+    assert found == {"flag": ["0", "1", "2"], "number": ["0", "1", "10", "100", "1000"]}
