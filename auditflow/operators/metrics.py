@@ -278,19 +278,16 @@ def forecast_eligibility(
     return row.withColumn("eligible", eligible).withColumn("reason", F.when(~eligible, reason))
 
 
-def _rank_buckets(values: DataFrame, per_bucket: int) -> list:
-    """Cut points that split the distinct values into even buckets, largest first.
+def _ranged(values: DataFrame, per_range: int) -> DataFrame:
+    """``values`` (distinct ``value``) with the number of their ``bucket``: ranges from the largest value down.
 
-    Runs jobs that return one number and one value per ``per_bucket`` distinct
-    values. They enter the plan as literals: every branch and every retry then sees
-    the same buckets.
+    Spark cuts the ranges by a sample of the values, about ``per_range`` in each. The numbers are
+    those of the partitions, stored once in the shared checkpoint folder, so every branch and every
+    retry sees the same ones. One job counts the values.
     """
-    buckets = -(-values.count() // per_bucket)
-    if buckets < 2:
-        return []
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = values.agg(F.percentile_approx("value", shares, 100 * buckets).alias("cuts")).first().cuts
-    return sorted(set(cuts or []), reverse=True)
+    ranges = max(1, -(-values.count() // per_range))
+    parted = values.repartitionByRange(ranges, F.desc("value"))
+    return durable(parted.withColumn("bucket", F.spark_partition_id()))
 
 
 def concentration(
@@ -309,20 +306,16 @@ def concentration(
     keys before it hold less than ``a_share`` percent of the total, in B below
     ``b_share``, else in C.
 
-    A running total over all keys would be one task. Here the distinct values are
-    cut into even buckets of ``per_bucket``; each runs its own total, on top of the
-    total of the buckets before it. Ties are one row at that stage, so they cannot
-    fill a bucket. The sums per key are computed once, into the shared checkpoint
-    folder, when this is called; so are the cut points.
+    A running total over all keys would be one task. It is a prefix sum over ranges
+    instead: distinct values are parted into ranges of about ``per_bucket``, each range
+    is summed up, the sums before a range are its offset, and each runs its own total on
+    top of that. Ties are one row at that stage, so they cannot fill a range. The plan
+    has the same size for any number of values. The sums per key and the ranges are
+    computed into the shared checkpoint folder when this is called.
     """
     per_key = durable(df.groupBy(F.col(f"`{key}`").alias("key")).agg(F.sum(as_amount(df, metric)).alias("value")))
     values = per_key.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    cuts = _rank_buckets(values, per_bucket)
-    value_type = values.schema["value"].dataType
-    # As many cut points as are larger: values at or above the first cut are in bucket 0.
-    above = F.filter(F.array(*[F.lit(c).cast(value_type) for c in cuts]), lambda c: c > F.col("value"))
-    bucket = F.size(above) if cuts else F.lit(0)
-    weighted = values.select("value", "n", (F.col("value") * F.col("n")).cast("decimal(38,4)").alias("amount"), bucket.alias("bucket"))
+    weighted = _ranged(values, per_bucket).withColumn("amount", (F.col("value") * F.col("n")).cast("decimal(38,4)"))
 
     # One row per bucket from here to `offsets`, so these windows are short.
     bucket_totals = weighted.groupBy("bucket").agg(F.sum("amount").alias("amount"))

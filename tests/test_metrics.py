@@ -145,6 +145,17 @@ def test_concentration_with_ties(spark, salt_over, per_bucket):
         assert abs(r.cumulative_share - share) < 0.002 and r.abc_class == abc_class
 
 
+def test_concentration_is_a_prefix_sum_whose_plan_does_not_grow(spark):
+    def curve(n, per_bucket):
+        df = spark.range(n).selectExpr("concat('c', id) as customer_id", "cast((id * 7919) % 1009 + id / 1000 as decimal(18,4)) as net_sales")
+        return m.concentration(df, "customer_id", per_bucket=per_bucket, salt_over=10**9)
+
+    sizes = [len(curve(n, 40)._jdf.queryExecution().optimizedPlan().toString().splitlines()) for n in (50, 4000)]
+    assert sizes[0] == sizes[1]
+    whole, cut = (sorted(map(tuple, curve(4000, p).collect())) for p in (10**9, 40))
+    assert whole == cut
+
+
 def test_concentration_of_nothing(spark):
     zero = spark.createDataFrame([("a", Decimal(0)), ("b", Decimal(0))], "customer_id string, net_sales decimal(18,4)")
     assert {(r.share, r.cumulative_share) for r in m.concentration(zero, "customer_id").collect()} == {(0.0, 0.0)}
