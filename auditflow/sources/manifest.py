@@ -53,7 +53,7 @@ def fingerprints(files: DataFrame) -> DataFrame:
     """SHA-256 per file, and why a file has none.
 
     A file is one row, so its bytes are read only up to 2 GiB; larger ones stay in
-    the list without a hash. ``validate.table_digest`` covers the rows of any table.
+    the list without a hash. ``blocks.file_digests`` has a digest for files of any size.
     """
     readable = F.col("length") <= LARGEST_BINARY_FILE
     reason = F.lit("Too large to be hashed as one row")
@@ -70,17 +70,13 @@ def rows_per_file(df: DataFrame) -> DataFrame:
 
 def csv_manifest(spark: SparkSession, path: str | Sequence[str], *, multiline: bool = False) -> DataFrame:
     """Per CSV file: table name, rows, columns, length and fingerprint."""
-    files = list_files(spark, path)
-    header = F.substring_index(F.substring_index(F.decode("content", "UTF-8"), "\n", 1), "\r", 1)
-    fields = F.size(F.split(header, ',(?=(?:[^"]*"[^"]*")*[^"]*$)'))
-    described = files.select(
-        "path",
-        "file_name",
-        "length",
-        table_name_of(F.col("file_name")).alias("table_name"),
-        F.sha2("content", 256).alias("sha256"),
-        fields.cast("long").alias("column_count"),
-    )
+    files = fingerprints(list_files(spark, path))
+    # The first line of a file, as a row whose block begins at 0: no file is read whole for it.
+    lines = spark.read.text(path).select(source_path().alias("path"), "value", F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("place"))
+    header = F.substring_index(F.min_by("value", "place"), "\r", 1)
+    headers = lines.where("at = 0").groupBy("path").agg(F.size(F.split(header, ',(?=(?:[^"]*"[^"]*")*[^"]*$)')).cast("long").alias("column_count"))
+    named = files.select("path", "file_name", "length", table_name_of(F.col("file_name")).alias("table_name"), "sha256")
+    described = named.join(headers, "path", "left").withColumn("column_count", F.coalesce("column_count", F.lit(1).cast("long")))
     records = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
     counts = (
         records.schema(text_schema(["first"])).csv(path)
