@@ -7,7 +7,7 @@ library, so that ties agree.
 from __future__ import annotations
 
 from auditflow.plans import methods
-from auditflow.plans.queries import BASELINE, CHANNELS, CURRENT, DIRTY_CUTOFF, EVENT_TRANSITIONS, SECRETS, TABLES
+from auditflow.plans.queries import BASELINE, CHANNELS, CURRENT, DIRTY_CUTOFF, EVENT_TRANSITIONS, PLAN_DEPENDENCIES, SECRETS, TABLES
 
 # Trigger words, keywords and statuses, written out once more so that a slip in the library shows.
 class q:
@@ -613,6 +613,24 @@ charts AS (
 
 _MOMENT = "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')"
 
+LINEAGE = f"""{WITH_CUSTOMERS},{_members('enriched', {**CHANNEL, **SEGMENT, **REGION})},{COMPARISON},{RECONCILED},{DIRTY_ORDERS},{DIRTY_CUSTOMERS},{LEDGER},
+cards AS (SELECT id, result_id FROM ({COMPARISON_CARDS}) UNION ALL
+          SELECT DISTINCT 'CARD_TOP_' || upper(dimension), CASE dimension WHEN 'channel' THEN 'RES_CHANNEL_PARTIAL' ELSE 'RES_' || upper(dimension) END FROM breakdown),
+nodes AS (
+  SELECT 'orders' AS node_id, 'raw_table' AS kind, CAST(NULL AS VARCHAR) AS parent_id, '' AS detail
+  UNION ALL SELECT 'customers', 'raw_table', NULL, ''
+  UNION ALL SELECT transformation_id, 'transformation', coalesce(lag(transformation_id) OVER (ORDER BY step_index), 'orders'), '' FROM ledger
+  UNION ALL SELECT 'TRF_JOIN_CUSTOMERS', 'join', (SELECT arg_max(transformation_id, step_index) FROM ledger), ''
+  UNION ALL SELECT result_id, 'result', 'TRF_JOIN_CUSTOMERS', CASE WHEN is_reconciled THEN 'approved' ELSE 'rejected' END FROM reconciled
+  UNION ALL SELECT id, 'card', result_id, '' FROM cards
+),
+edges AS (SELECT node_id, parent_id FROM nodes WHERE parent_id IS NOT NULL UNION ALL SELECT 'TRF_JOIN_CUSTOMERS', 'customers'),
+above(node, ancestor, distance) AS (
+  SELECT node_id, parent_id, 1 FROM edges UNION ALL SELECT a.node, e.parent_id, a.distance + 1 FROM above a JOIN edges e ON e.node_id = a.ancestor
+)"""
+
+PLAN_EDGES = ", ".join(f"('{step}', '{other}')" for step, others in PLAN_DEPENDENCIES.items() for other in others)
+
 ORACLE: dict[str, str] = {
     "metric_summary": f"""WITH {PREPARED}
 SELECT {_round('sum(net_sales)')} AS net_sales, {_round('sum(gross_sales)')} AS gross_sales, CAST(sum(units) AS BIGINT) AS total_units,
@@ -808,6 +826,30 @@ UNION ALL SELECT 'RES_ORDERS', 'Forecast_Sample_Size_Audit', TRUE, 'warning', re
   'Multiplication factor ' || CAST(multiplication_factor AS VARCHAR) AS evidence FROM ({_join_check(rows)})"""
         for name, rows in (("raw_customers", "dirty_customers"), ("customers", "(SELECT DISTINCT customer_id FROM dirty_customers)"))
     ),
+    "lineage_sources": f"""WITH RECURSIVE {LINEAGE}
+SELECT node AS node_id, kind, max(distance)::BIGINT AS steps, string_agg(DISTINCT ancestor, ',' ORDER BY ancestor) AS raw_tables
+FROM above JOIN nodes ON node_id = node WHERE ancestor IN ('orders', 'customers') GROUP BY 1, 2""",
+    "lineage_impact": f"""WITH RECURSIVE {LINEAGE},
+causes AS (
+  SELECT node_id AS cause, 'rejected_result' AS cause_kind FROM nodes WHERE kind = 'result' AND detail = 'rejected'
+  UNION ALL SELECT 'customers', 'changed_table' WHERE (SELECT count(*) FROM dirty_customers) <> (SELECT count(*) FROM customer)
+  UNION ALL SELECT 'orders', 'changed_table' WHERE (SELECT count(*) FROM dirty_orders) <> (SELECT count(*) FROM orders)
+)
+SELECT DISTINCT cause, cause_kind, node_id, kind FROM above JOIN causes ON ancestor = cause JOIN nodes ON node_id = node WHERE kind IN ('result', 'card')""",
+    "plan_steps_to_run": f"""WITH RECURSIVE {PLAN_STEPS},
+edges(step_id, depends_on) AS (VALUES {PLAN_EDGES}),
+above(node, ancestor, distance) AS (
+  SELECT step_id, depends_on, 1 FROM edges UNION ALL SELECT a.node, e.depends_on, a.distance + 1 FROM above a JOIN edges e ON e.step_id = a.ancestor
+),
+required AS (SELECT node AS step_id, max(distance) AS level, list_distinct(list(ancestor)) AS required FROM above GROUP BY 1),
+present AS (SELECT plan_id, list_distinct(list(step_id)) AS present FROM gated WHERE rejection IS NULL GROUP BY 1),
+lacking AS (
+  SELECT g.*, coalesce(level, 0)::BIGINT AS level,
+         list_sort(list_filter(coalesce(required, []), lambda s: NOT list_contains(coalesce(present, []), s))) AS lacking
+  FROM gated g LEFT JOIN required r ON r.step_id = g.step_id LEFT JOIN present p ON p.plan_id = g.plan_id
+)
+SELECT plan_id, step_order, step_id, level, coalesce(rejection, CASE WHEN len(lacking) > 0 THEN 'missing_dependency' END) AS rejection,
+       array_to_string(lacking, ',') AS lacking, rejection IS NULL AND len(lacking) = 0 AS runs FROM lacking""",
     "provenance_ledger": f"""WITH {WITH_CUSTOMERS},{_members('enriched', {**CHANNEL, **SEGMENT, **REGION})},{COMPARISON},{RECONCILED},{DIRTY_ORDERS},{DIRTY_CUSTOMERS},{LEDGER},
 cards AS ({COMPARISON_CARDS}),
 last_step AS (SELECT arg_max(transformation_id, step_index) AS id FROM ledger)

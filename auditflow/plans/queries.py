@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from auditflow.functions import parsing, text
 from auditflow.functions.naming import table_name_of
-from auditflow.operators import joins, ledger, metrics, periods, profile, quality, questions, report, runlog, validate
+from auditflow.operators import joins, ledger, lineage, metrics, periods, profile, quality, questions, report, runlog, validate
 from auditflow.operators.joins import Link
 from auditflow.plans import methods, views
-from auditflow.session import shared_folder
+from auditflow.session import durable, shared_folder
 from auditflow.sources import manifest, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,13 @@ EVENT_TRANSITIONS = {
     "purchase": ("view",),
     "error": (),
 }
+# What a step builds on.
+PLAN_DEPENDENCIES = {
+    methods.SUMMARY: [],
+    methods.TREND: [methods.SUMMARY],
+    methods.COMPARISON: [methods.TREND],
+    methods.BREAKDOWN_CHANNEL: [methods.COMPARISON, methods.SUMMARY],
+}
 ISSUE_COLUMNS = ("id", "issue_type", "severity", "table_id", "column", "affected_rows", "total_rows", "affected_percentage")
 
 QUERIES: dict[str, Query] = {}
@@ -554,6 +561,14 @@ def plan_gate(spark, sf_dir):
     return _gated(spark, sf_dir)
 
 
+@query
+def plan_steps_to_run(spark, sf_dir):
+    """Steps of each plan with what they need: one goes when a step below it is absent or rejected."""
+    edges = [(step, other) for step, others in PLAN_DEPENDENCIES.items() for other in (others or [None])]
+    dependencies = spark.createDataFrame(edges, "step_id string, depends_on string")
+    return lineage.with_dependencies(_gated(spark, sf_dir), dependencies)
+
+
 @query
 def plan_defaults(spark, sf_dir):
     """The steps that will run for each plan: its valid ones, or the default plan."""
@@ -649,12 +664,11 @@ def chart_records(spark, sf_dir):
     return report.with_status(charts, validate.result_statuses(records, checks))
 
 
-@query
-def provenance_ledger(spark, sf_dir):
+def _provenance(spark, sf_dir, breakdowns: DataFrame, comparison: DataFrame, cards: DataFrame) -> DataFrame:
     orders, customers = views.dirty_orders(spark, sf_dir), views.dirty_customers(spark, sf_dir)
     statuses = validate.result_statuses(
-        _breakdown_results(spark, sf_dir).groupBy("result_id").agg(F.array().cast("array<string>").alias("warnings")),
-        validate.reconciliation_checks(validate.reconcile(_breakdown_results(spark, sf_dir), _comparison(spark, sf_dir))),
+        breakdowns.groupBy("result_id").agg(F.array().cast("array<string>").alias("warnings")),
+        validate.reconciliation_checks(validate.reconcile(breakdowns, comparison)),
     )
     diagnostics = joins.join_diagnostics(
         orders, customers, "customer_id", metric="net_sales", deduplicated=True, left_table="orders", right_table="customers"
@@ -666,10 +680,45 @@ def provenance_ledger(spark, sf_dir):
         ledger=ledger.exclusion_ledger(_flagged(spark, sf_dir), cutoff=DIRTY_CUTOFF, samples=0),
         joins=joins.join_check(diagnostics),
         results=statuses,
-        cards=report.metric_cards(_comparison(spark, sf_dir)),
+        cards=cards,
     )
 
 
+@query
+def provenance_ledger(spark, sf_dir):
+    # A few rows each, used several times: the sales are joined once.
+    breakdowns, comparison = durable(_breakdown_results(spark, sf_dir)), durable(_comparison(spark, sf_dir))
+    return _provenance(spark, sf_dir, breakdowns, comparison, report.metric_cards(comparison))
+
+
+def _lineage_nodes(spark, sf_dir) -> DataFrame:
+    """Provenance in which the card of the top channel cites a result that lost a member."""
+    breakdowns, comparison = durable(_breakdown_results(spark, sf_dir)), durable(_comparison(spark, sf_dir))
+    drivers = report.top_driver(breakdowns.where("result_id != 'RES_CHANNEL_PARTIAL'"))
+    cited = {"channel": "RES_CHANNEL_PARTIAL", "segment": "RES_SEGMENT", "region": "RES_REGION"}
+    return durable(_provenance(spark, sf_dir, breakdowns, comparison, report.metric_cards(comparison, drivers, driver_results=cited)))
+
+
+@query
+def lineage_sources(spark, sf_dir):
+    """The raw tables behind every step, join, result and card."""
+    found = lineage.raw_sources(_lineage_nodes(spark, sf_dir))
+    return found.withColumn("raw_tables", F.array_join("raw_tables", ","))
+
+
+@query
+def lineage_impact(spark, sf_dir):
+    """What a rejected result, or a table whose rows are not those of the stored one, makes invalid."""
+    def sized(tables):
+        found = manifest.table_manifest(tables)
+        return found.select(F.col("table_name").alias("path"), F.sha2(F.col("row_count").cast("string"), 256).alias("sha256"))
+
+    stored = sized({"orders": views.table(spark, sf_dir, "orders"), "customers": views.table(spark, sf_dir, "customer")})
+    now = sized({"orders": views.dirty_orders(spark, sf_dir), "customers": views.dirty_customers(spark, sf_dir)})
+    changed = manifest.file_changes(now, stored).where("state != 'unchanged'").select(F.col("path").alias("table_id"))
+    return lineage.impact(_lineage_nodes(spark, sf_dir), changed)
+
+
 # ---------------------------------------------------------------------------
 # Questions and texts
 # ---------------------------------------------------------------------------
