@@ -75,3 +75,66 @@ def test_awkward_rows(spark, model, awkward, no_rows):
     assert langid.label(no_rows, model).count() == 0
     nothing = langid.train(no_rows)
     assert {r["lang_pred"] for r in langid.label(awkward, nothing).collect()} == {"und"}
+
+
+def plain_grams(word):
+    out, padded = [], b" " + word + b" "
+    for order in langid.ORDERS:
+        for at in range(len(padded) - order + 1):
+            code = 0
+            for byte in padded[at : at + order]:
+                code = (code * 257 + byte) % 2**32
+            out.append((code + order) * 2654435761 % 2**32 >> 17)
+    return out
+
+
+def plain_model(rows):
+    """Languages, log-probabilities of buckets, and admitted scripts, from (lang, text)."""
+    languages = sorted({lang for lang, _ in rows})
+    counts, scripts = np.zeros((langid.BUCKETS, len(languages))), np.zeros((len(langid.SCRIPT_NAMES), len(languages)))
+    for lang, text in rows:
+        for word in langid.words_of(text):
+            scripts[langid.script_of(word), languages.index(lang)] += 1
+            for bucket in plain_grams(word):
+                counts[bucket, languages.index(lang)] += 1
+    logs = np.log((counts + 0.5) / (counts + 0.5).sum(axis=0)) / len(langid.ORDERS)
+    admitted = scripts >= 0.01 * np.maximum(scripts.sum(axis=0), 1)
+    admitted[~admitted.any(axis=1)] = True
+    return languages, logs, admitted
+
+
+def plain_path(scores, penalty):
+    best, ways = list(scores[0]), []
+    for row in scores[1:]:
+        top = max(range(len(best)), key=lambda k: best[k])
+        ways.append([k if best[k] >= best[top] - penalty else top for k in range(len(best))])
+        best = [max(best[k], best[top] - penalty) + row[k] for k in range(len(best))]
+    at = max(range(len(best)), key=lambda k: best[k])
+    path = [at]
+    for way in reversed(ways):
+        at = way[at]
+        path.append(at)
+    return path[::-1]
+
+
+def test_model_and_labels_match_plain_versions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    learned = docs.where(~langid.held_out()).where("text is not null and lang is not null").collect()
+    languages, logs, admitted = plain_model([(r["lang"], r["text"]) for r in learned])
+    model = langid.train(docs.where(~langid.held_out()))
+    assert model.languages == languages and (model.admitted == admitted).all()
+    assert np.allclose(model.logs, logs, atol=1e-5)
+    found = {r["doc_id"]: r for r in langid.label(docs, model).collect()}
+    cache = {}
+    for r in docs.collect():
+        words, got = langid.words_of(r["text"] or ""), found[r["doc_id"]]
+        if not words:
+            assert got["lang_pred"] == "und"
+            continue
+        for w in words:
+            if w not in cache:
+                cache[w] = logs[plain_grams(w)].sum(axis=0) - np.where(admitted[langid.script_of(w)], 0, 1e4)
+        path = plain_path([cache[w] for w in words], langid.SWITCH_PENALTY)
+        shares = [sum(len(w) for w, p in zip(words, path) if p == k) for k in range(len(languages))]
+        assert got["lang_pred"] == languages[int(np.argmax(shares))] and abs(got["score"] - max(shares) / sum(shares)) < 1e-9
+        assert [languages[p] for p in path] == [s["lang"] for s in got["spans"] for _ in range(s["start"], s["end"])]

@@ -1,3 +1,5 @@
+import random
+import pytest
 import re
 
 from auditflow.llm import license_scan
@@ -65,3 +67,63 @@ def test_awkward_rows(awkward, no_rows):
     rows = scan_licenses(awkward).collect()
     assert len(rows) == awkward.count() and all(r["n_base"] == 0 for r in rows)
     assert scan_licenses(no_rows).count() == 0
+
+
+def plain_spans(scanner, words, templates):
+    """Every longest match found by trying all places of all templates, then chained template by template."""
+    coded = [[scanner.ids.get(w, 0) for w in license_scan.words_of(t.encode())] for t, _ in templates]
+    ids = [scanner.ids.get(w, 0) for w in words]
+
+    def ending(i, t, place):
+        n = 0
+        while n <= i and n <= place and ids[i - n] == coded[t][place - n] and ids[i - n]:
+            n += 1
+        return n
+
+    lengths = [{(t, p): ending(i, t, p) for t, c in enumerate(coded) for p in range(len(c))} for i in range(len(ids))]
+    phrases = [[scanner.ids[w] for w in license_scan.words_of(x.encode())] for x, _ in license_scan.PHRASES]
+    best = []
+    for i in range(len(ids)):
+        whole = [max((n for n in range(1, i + 2) if any(p[k : k + n] == ids[i - n + 1 : i + 1] for k in range(len(p)))), default=0) for p in phrases]
+        best.append(max([*lengths[i].values(), *whole], default=0))
+    spans = []
+    for t, sequence in enumerate(coded):
+        chain = None
+        for i, n in enumerate(best):
+            if n < scanner.min_match or (i + 1 < len(best) and best[i + 1] > n):
+                continue
+            places = sorted(p for p in range(len(sequence)) if lengths[i][t, p] == n)
+            if not places:
+                continue
+            start, end = i + 1 - n, i + 1
+            if chain is not None:
+                first, so_far, at, covered = chain
+                ahead = [p for p in places if p > at]
+                if ahead and start - so_far <= scanner.max_gap:
+                    new = min(ahead[0] - at, end - max(start, so_far), n)
+                    if new > 0:
+                        chain = (first, end, ahead[0], covered + new)
+                    continue
+                spans.append((t, *chain))
+            chain = (start, end, places[0], n)
+        if chain is not None:
+            spans.append((t, *chain))
+    kept = [(t, a, b, covered / len(coded[t])) for t, a, b, _, covered in spans if covered >= scanner.min_coverage * len(coded[t])]
+    return sorted(kept, key=lambda s: (s[1], s[2], s[0]))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_chains_match_a_quadratic_version(seed):
+    """Texts made of damaged templates, repeated and mixed with other words."""
+    pick, templates = random.Random(seed), license_scan.TEMPLATES
+    scanner = license_scan.Scanner()
+    for _ in range(25):
+        words = []
+        for _ in range(pick.randrange(1, 4)):
+            part = license_scan.words_of(pick.choice(templates)[0].encode())
+            cut = pick.randrange(len(part))
+            damaged = [w for w in part[: cut + 8] if pick.random() > 0.04]
+            damaged.insert(pick.randrange(len(damaged) + 1), b"other")
+            words += damaged + [b"noise"] * pick.randrange(15)
+        got = [(s.template, s.start, s.end, s.coverage) for s in scanner.scan(words)[1]]
+        assert got == plain_spans(scanner, words, templates)

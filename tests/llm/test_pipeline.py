@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from auditflow.llm import quality
 from auditflow.llm._store import keep
 from auditflow.llm.queries import WEIGHTS
@@ -73,3 +74,30 @@ def test_stages_match_plain_versions(spark, sf_dir):
 
 def test_run_is_the_stages_in_order(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+NAMES = ("row_key", "row_key_", "component_id", "key", "place", "copy", "shuffle_key", "own_copy", "fingerprint", "doc", "Copy_", "part", "segment")
+
+
+def test_stages_bear_awkward_rows_and_any_names(spark, sf_dir, awkward):
+    """Nulls, blanks, long and repeated texts, shared identifiers, and columns named as the stages' own."""
+    docs = awkward.select("*", *(F.lit("own").alias(n) for n in NAMES if n != "copy"))
+    stages = dict(corpus_pipeline.STAGES)
+    for name in list(stages)[:-1]:
+        out = stages[name](spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert {r[n] for r in rows for n in NAMES if n != "copy"} <= {"own"} and {r["copy"] for r in rows} <= {"clash"}, name
+        given = {(r["doc_id"], r["text"], r["source"]) for r in docs.collect()}
+        assert {(r["doc_id"], r["text"], r["source"]) for r in rows} <= given and rows, name
+    tokens = stages["token_output"](spark, docs, sf_dir).collect()
+    assert len(tokens) == docs.count()
+    single = stages["simhash_near_dedup"](spark, docs, sf_dir).collect()
+    # Blank and null texts are one group, whose least identifier is 4; equal texts leave one row, too.
+    assert sorted(r["doc_id"] for r in single if not (r["text"] or "").split()) == [4]
+    assert len({r["text"] for r in single}) == len(single)
+
+
+def test_stages_of_no_documents(spark, sf_dir, no_rows):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_rows, sf_dir).count() == 0, name
