@@ -82,3 +82,57 @@ def newest(df: DataFrame, *, by: str = "created_at", tie: str | None = None, lim
     order = [F.desc(by)] + ([F.col(tie)] if tie else [])
     ordered = df.orderBy(*order)
     return ordered if limit is None else ordered.limit(limit)
+
+
+# ---------------------------------------------------------------------------
+# Artifacts as a base and what came since
+# ---------------------------------------------------------------------------
+def write_base(artifacts: DataFrame, table: str, *, buckets: int = 64) -> None:
+    """Store the current version of each artifact as a table, bucketed and sorted by artifact_id.
+
+    The table must not exist: a base is never changed, a later one takes its place.
+    """
+    current = conform(current_artifacts(artifacts), ARTIFACT)
+    current.write.format("parquet").bucketBy(buckets, "artifact_id").sortBy("artifact_id").mode("errorifexists").saveAsTable(table)
+
+
+def append_delta(artifacts: DataFrame, delta: str) -> None:
+    """Save artifacts after the base was written; the base is not touched."""
+    conform(artifacts, ARTIFACT).write.mode("append").parquet(delta)
+
+
+def merged_artifacts(spark: SparkSession, table: str, delta: str | None) -> DataFrame:
+    """The current version of each artifact: the newer of base and delta.
+
+    The delta is reduced to one row per artifact and dealt into the buckets of the base, which is
+    read bucket by bucket and neither shuffled nor aggregated. Equal to ``current_artifacts``
+    over everything ever saved.
+    """
+    base = spark.table(table)
+    if delta is None:
+        return base
+    described = spark.sql(f"DESCRIBE EXTENDED {table}").where("col_name = 'Num Buckets'").first()
+    dealt = conform(spark.read.schema(ARTIFACT).parquet(delta), ARTIFACT).repartition(int(described["data_type"]), "artifact_id")
+    came = current_artifacts(dealt)
+    names = [c for c in base.columns if c != "artifact_id"]
+
+    def version(side: str) -> Column:
+        order = [c for c in ("created_at", "data_json") if c in names]
+        fields = [F.col(f"{side}.{c}") for c in [*order, *[n for n in names if n not in order]]]
+        return F.when(F.col(f"{side}.artifact_id").isNotNull(), F.struct(*fields))
+
+    # The newer one by time, then content; a side that lacks the artifact is null and loses.
+    both = base.alias("base").join(came.alias("came").hint("merge"), F.col("base.artifact_id") == F.col("came.artifact_id"), "full_outer")
+    newer = both.select(
+        F.coalesce("base.artifact_id", "came.artifact_id").alias("artifact_id"), F.greatest(version("base"), version("came")).alias("row")
+    )
+    return conform(newer.select("artifact_id", "row.*"), ARTIFACT)
+
+
+def compact(spark: SparkSession, table: str, delta: str, into: str, *, buckets: int = 64) -> None:
+    """Write base and delta as a new base; afterwards ``into`` alone is current.
+
+    Merged rows keep the buckets of the old base, if ``buckets`` is the same.
+    """
+    merged = merged_artifacts(spark, table, delta)
+    merged.write.format("parquet").bucketBy(buckets, "artifact_id").sortBy("artifact_id").mode("errorifexists").saveAsTable(into)
