@@ -286,13 +286,16 @@ def safe_left_join(
     keep: str = "first",
     null_safe: bool = False,
     salt_over: int | None = None,
+    keep_partitioning: bool = False,
 ) -> DataFrame:
     """Left join to a dimension reduced to one row per key: no fact row is lost or repeated.
 
     Spark broadcasts the dimension if its size allows, else it sorts and merges,
     and splits skewed partitions of the fact at run time (see ``splittable``).
     ``salt_over`` spreads keys with more rows than that explicitly, see
-    ``salted_lookup``.
+    ``salted_lookup``. ``keep_partitioning`` is for a fact that already lies by the key,
+    as a table bucketed by it into at least ``spark.sql.shuffle.partitions`` buckets: the
+    fact isn't shuffled, and skewed keys aren't split.
     """
     right_key = right_key or left_key
     unique = prefix_clashes(deduplicate(dim, right_key, order_by=order_by, keep=keep), fact.columns, dim_name, right_key)
@@ -308,7 +311,10 @@ def safe_left_join(
         )
     keyed = unique.withColumnRenamed(right_key, "_key")
     left, right = F.col(f"`{left_key}`"), F.col("_key")
-    same = left.eqNullSafe(right) if null_safe else splittable([left], [right])
+    if null_safe:
+        same = left.eqNullSafe(right)
+    else:
+        same = left == right if keep_partitioning else splittable([left], [right])
     joined = fact.join(keyed, same, "left")
     if right_key != left_key and right_key not in fact.columns:
         return joined.withColumnRenamed("_key", right_key)
@@ -321,17 +327,20 @@ def join_chain(
     links: Sequence[Link],
     *,
     order_by: Mapping[str, Sequence[str]] | None = None,
+    lies_by: str | None = None,
 ) -> DataFrame:
     """Safe joins in the given order; a link whose table or key is absent is skipped.
 
-    A later link may start from a column that an earlier dimension brought in.
+    A later link may start from a column that an earlier dimension brought in. Joins by
+    ``lies_by``, the key that the fact is bucketed by, leave it where it lies if they come
+    first (``keep_partitioning`` of ``safe_left_join``).
     """
-    for _, joined in _joined_so_far(fact, tables, links, order_by):
+    for _, joined in _joined_so_far(fact, tables, links, order_by, lies_by):
         fact = joined
     return fact
 
 
-def _joined_so_far(fact, tables, links, order_by=None):
+def _joined_so_far(fact, tables, links, order_by=None, lies_by=None):
     """Each link that applies, with the fact before it and after it."""
     for link in links:
         dim = tables.get(link.dimension)
@@ -345,6 +354,7 @@ def _joined_so_far(fact, tables, links, order_by=None):
             link.right_key,
             dim_name=link.dimension,
             order_by=(order_by or {}).get(link.dimension),
+            keep_partitioning=link.left_key == lies_by,
         )
         yield (link, before), fact
 

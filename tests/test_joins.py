@@ -170,3 +170,29 @@ def test_adaptive_execution_can_split_a_hot_key(spark, large_table_settings):
     plan = joined.select("id", "payload", "v")
     plan.collect()
     assert "SortMergeJoin(skew=true)" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_fact_bucketed_by_the_key_is_not_shuffled(spark, sf_dir):
+    """Neither by the first join nor by the second; the result is that of any other join."""
+    from auditflow.plans import views
+
+    facts = views.dirty_orders(spark, sf_dir)
+    tables = {"customers": views.dirty_customers(spark, sf_dir), "others": views.dirty_customers(spark, sf_dir)}
+    links = [joins.Link("customer_id", "customers", "customer_id"), joins.Link("customer_id", "others", "customer_id")]
+    name, limit = "facts_by_customer", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    facts.write.bucketBy(8, "customer_id").mode("overwrite").saveAsTable(name)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = spark.table(name)
+        plans = {}
+        for lies_by in (None, "customer_id"):
+            joined = joins.join_chain(stored, tables, links, lies_by=lies_by)
+            plans[lies_by] = joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+            assert joined.count() == facts.count()
+        # One exchange of each dimension, for its own grouping.
+        assert plans["customer_id"].count("Exchange") == 2 < plans[None].count("Exchange")
+        ours, plain = (sorted(map(tuple, df.collect()), key=repr) for df in (joined, joins.join_chain(facts, tables, links)))
+        assert ours == plain
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
