@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from auditflow.functions.parsing import as_amount, month_key, round_amount
@@ -60,6 +60,68 @@ def closed_month_trend(days: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------------------
+# Closed days whose late rows are kept
+# ---------------------------------------------------------------------------
+_ROWS = "net_sales decimal(38,4), batch long, late boolean, day date"
+_DAYS = "day date, net_sales decimal(38,4), order_count long, batch long"
+_MARKS = "closed date, seen date, batch long"
+
+
+def write_closed_days(
+    stream: DataFrame, folder: str, checkpoint: str, *, time_col: str, delay_days: int = 1, metric: str = "net_sales", available_now: bool = False
+) -> StreamingQuery:
+    """Totals per day as ``closed_days`` emits them, with the rows that came too late kept beside them.
+
+    A day is closed once a row more than ``delay_days`` later has arrived; its total is written
+    to ``days``, and never again. Every arriving row goes to ``rows``, marked late if its day was
+    closed by an earlier batch. A batch that runs again overwrites its own folders only and judges by
+    earlier batches only, so it writes the same. Only the days being closed are read again.
+    Rows without a readable time are left out.
+    """
+
+    def close(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+
+        def stored(name: str, schema: str) -> DataFrame:
+            return spark.read.schema(schema).parquet(f"{folder}/{name}")
+
+        def write(df: DataFrame, name: str, *by: str) -> None:
+            df.write.mode("overwrite").partitionBy(*by).parquet(f"{folder}/{name}/batch={batch_id}")
+
+        first = batch_id == 0
+        before = (None, None) if first else stored("marks", _MARKS).where(F.col("batch") < batch_id).agg(F.max("closed"), F.max("seen")).first()
+        closed = F.lit(before[0]).cast("date")
+        rows = batch.select(F.to_date(F.col(time_col)).alias("day"), as_amount(batch, metric).cast("decimal(38,4)").alias("net_sales")).where("day is not null")
+        write(rows.withColumn("late", F.coalesce(F.col("day") <= closed, F.lit(False))), "rows", "late", "day")
+        arrived = stored("rows", _ROWS).where(F.col("batch") <= batch_id)
+        seen = F.greatest(F.lit(before[1]).cast("date"), arrived.where(F.col("batch") == batch_id).agg(F.max("day")).scalar())
+        mark = spark.range(1).select(F.greatest(closed, F.date_sub(seen, delay_days + 1)).alias("closed"), seen.alias("seen"))
+        write(mark, "marks")
+        now = mark.first()["closed"]
+        due = arrived.where(~F.col("late") & (F.col("day") <= F.lit(now)) & (closed.isNull() | (F.col("day") > closed)))
+        write(due.groupBy("day").agg(F.sum("net_sales").cast("decimal(38,4)").alias("net_sales"), F.count(F.lit(1)).alias("order_count")), "days")
+
+    writer = stream.writeStream.foreachBatch(close).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_closed_days(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(_DAYS).parquet(f"{folder}/days").drop("batch")
+
+
+def late_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """(day, net_sales, batch) of rows whose day was closed when they came."""
+    return spark.read.schema(_ROWS).parquet(f"{folder}/rows").where("late").drop("late")
+
+
+def month_corrections(late: DataFrame) -> DataFrame:
+    """What late rows add to each month that they belong to."""
+    return late.groupBy(month_key(F.trunc("day", "MM")).alias("period")).agg(
+        round_amount(F.sum("net_sales")).alias("net_sales"), F.count(F.lit(1)).alias("order_count")
+    )
+
+
 def join_dimension(stream: DataFrame, dim: DataFrame, left_key: str, right_key: str | None = None, **options) -> DataFrame:
     """Safe left join of arriving rows to a static dimension with one row per key."""
     return safe_left_join(stream, dim, left_key, right_key, **options)

@@ -61,3 +61,29 @@ def test_stream_static_join(spark, tmp_path):
     )
     query.awaitTermination(120)
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("order_id", "name").collect()) == [("O1", "first"), ("O2", None)]
+
+
+def test_closed_months_and_corrections_make_the_trend(spark, sf_dir, tmp_path):
+    """Orders arrive by date, a tenth of them much later."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("order_ts"), F.col("o_totalprice").alias("net_sales"))
+    when = F.when(F.col("o_orderkey") % 10 == 3, F.add_months("order_ts", 9)).otherwise(F.col("order_ts").cast("date"))
+    arriving = orders.withColumn("year", F.year(when))
+    years = [r[0] for r in arriving.select("year").distinct().orderBy("year").collect()]
+    source, folder, schema = str(tmp_path / "in"), str(tmp_path / "out"), "order_ts timestamp, net_sales double"
+    for i, year in enumerate(years):
+        arriving.where(F.col("year") == year).select("order_ts", "net_sales").coalesce(1).write.parquet(f"{source}/b{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
+    for _ in range(2):  # started again, it adds nothing
+        query = audits.write_closed_days(stream, folder, str(tmp_path / "ck"), time_col="order_ts", available_now=True)
+        query.awaitTermination(240)
+        assert query.exception() is None
+    days, late = audits.read_closed_days(spark, folder), audits.late_rows(spark, folder)
+    assert days.groupBy("day").count().where("count > 1").count() == 0 and late.count() > 0
+    trend = {r.period: (r.net_sales, r.order_count) for r in audits.closed_month_trend(days).collect()}
+    more = {r.period: (r.net_sales, r.order_count) for r in audits.month_corrections(late).collect()}
+    plain = orders.groupBy(F.date_format("order_ts", "yyyy-MM").alias("p")).agg(F.sum(F.col("net_sales").cast("decimal(18,4)")).cast("double").alias("v"), F.count(F.lit(1)).alias("n"))
+    expected = {r.p: (r.v, r.n) for r in plain.collect()}
+    assert len(trend) > 20
+    for period in trend:
+        value, n = (a + b for a, b in zip(trend[period], more.get(period, (0, 0))))
+        assert n == expected[period][1] and value == pytest.approx(expected[period][0], abs=0.02)
