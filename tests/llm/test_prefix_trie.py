@@ -98,20 +98,19 @@ def test_no_rows(spark):
 
 
 def test_colliding_fingerprints_are_found_and_another_base_is_taken(spark, monkeypatch):
-    rows = talks(7, 40)
-    real = trie._base
-    tried = []
+    rows = [*talks(7, 40), (200, 0, "user", "a"), (200, 1, "user", "b"), (220, 0, "user", "b"), (220, 1, "user", "a")]
+    real, tried = trie._base, []
 
-    def first_is_zero(attempt):
+    def first_is_one(attempt):
         tried.append(attempt)
-        return 0 if attempt == 0 else real(attempt)  # with base 0 a product is its last turn
+        return 1 if attempt == 0 else real(attempt)  # with base 1 the order of turns doesn't count
 
-    monkeypatch.setattr(trie, "_base", first_is_zero)
-    monkeypatch.setattr(trie, "_number", lambda x: int.from_bytes(x or b"", "big") % 2)  # and turns are a bit
+    monkeypatch.setattr(trie, "_base", first_is_one)
     with pytest.raises(ValueError, match="collided"):
         trie.prefix_trie(frame(spark, rows), attempts=1)
-    monkeypatch.setattr(trie, "_number", lambda x: int.from_bytes(x or b"", "big"))
+    tried.clear()
     assert ours(trie.prefix_trie(frame(spark, rows))) == plain(rows)
+    assert set(tried) == {0, 1}
 
 
 def test_query_on_the_given_table(spark, sf_dir):
