@@ -22,10 +22,12 @@ def plain(rows, least=10, top=2000):
                     key = (lang, tuple(words[i : i + k]))
                     counts[key] = counts.get(key, 0) + 1
     found = {k: a for k, a in counts.items() if len(k[1]) > 1 and a >= least}
-    out = []
+    out, longest = [], {}
+    for (lang, q), b in found.items():
+        for inner in (q[:-1], q[1:]) if len(q) == 3 else ():
+            longest[lang, inner] = max(b, longest.get((lang, inner), 0))
     for (lang, p), a in found.items():
-        longer = [b for (x, q), b in found.items() if x == lang and len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q)))]
-        if any(100 * b >= 50 * a for b in longer):
+        if 100 * longest.get((lang, p), 0) >= 50 * a:
             continue
         cuts = [(counts[lang, p[:k]], counts[lang, p[k:]]) for k in range(1, len(p))]
         score, k = min((1_000_000 * a * a // (left * right), k) for k, (left, right) in enumerate(cuts))
