@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from auditflow.functions.naming import DATE_NAME_PARTS, ID_NAME_PARTS, display_title, has_part, row_meaning
 from auditflow.functions.parsing import (
@@ -23,10 +23,16 @@ CATEGORICAL_BELOW = 50
 DATES_NEEDED_WITHOUT_NAME = 5
 
 
-def as_cells(df: DataFrame) -> DataFrame:
-    """The table in long form: one row per cell, with the column's name."""
-    text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
-    return text.unpivot([], [F.col(f"`{c}`") for c in text.columns], "name", "cell")
+def as_cells(df: DataFrame, part: Column | None = None) -> DataFrame:
+    """The table in long form: one row per cell, with the column's name and, if asked for, its row's ``part``."""
+    columns = [F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]
+    if part is None:
+        return df.select(*columns).unpivot([], [F.col(f"`{c}`") for c in df.columns], "name", "cell")
+    tag = "part"
+    while tag in {c.lower() for c in df.columns}:
+        tag = f"_{tag}"
+    tagged = df.select(part.cast("string").alias(tag), *columns)
+    return tagged.unpivot([tag], [F.col(f"`{c}`") for c in df.columns], "name", "cell").withColumnRenamed(tag, "part")
 
 
 def _named_like(name: Column, columns: Sequence[str], parts: Sequence[str]) -> Column:
@@ -75,8 +81,23 @@ def column_profile(
         F.min("day").alias("min_date"),
         F.max("day").alias("max_date"),
     )
+    profile = described(df.sparkSession, stats, columns, table_id, id_columns)
+    if samples:
+        profile = with_samples(profile, smallest_values(cells, samples))
+    return conform(profile, COLUMN_PROFILE)
+
+
+def with_samples(profile: DataFrame, values: DataFrame) -> DataFrame:
+    joined = profile.join(values, "name", "left")
+    return joined.withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))
+
+
+def described(
+    spark: SparkSession, stats: DataFrame, columns: Sequence[str], table_id: str, id_columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Statistics per column with the type and role that follow from them."""
     # One row per column of the table, also if the table has no rows.
-    names = df.sparkSession.range(1).select(
+    names = spark.range(1).select(
         F.inline(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("name")) for i, c in enumerate(columns)]))
     )
     name = F.col("name")
@@ -108,7 +129,7 @@ def column_profile(
         .when(F.col("unique_count") < CATEGORICAL_BELOW, "categorical")
     )
     null_count = F.col("total_count") - F.col("present_count")
-    profile = profile.withColumns(
+    return profile.withColumns(
         {
             "table_id": F.lit(table_id),
             "column_role": role,
@@ -118,10 +139,6 @@ def column_profile(
             **{c: F.when(kind == "date", F.col(c)) for c in ("min_date", "max_date")},
         }
     )
-    if samples:
-        profile = profile.join(smallest_values(cells, samples), "name", "left")
-        profile = profile.withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))
-    return conform(profile, COLUMN_PROFILE)
 
 
 def smallest_values(cells: DataFrame, k: int) -> DataFrame:

@@ -715,6 +715,9 @@ UNION ALL {_match_rate('c', '', '', 'order_headers', 'order_lines')}""",
     "column_profile": f"WITH {DIRTY_CUSTOMERS},{TEXT_TABLES},{_profiles(TEXT_COLUMNS)} SELECT * FROM profile",
     "column_samples": f"""WITH {DIRTY_CUSTOMERS},{TEXT_TABLES},{_profiles(TEXT_COLUMNS)}
 SELECT table_id, name, coalesce(array_to_string(list_sort(list_distinct(list(v)))[1:4], '|'), '') AS samples FROM typed GROUP BY 1, 2""",
+    "merged_profile": f"""WITH {DIRTY_CUSTOMERS},{TEXT_TABLES},{_profiles(TEXT_COLUMNS)},
+firsts AS (SELECT table_id, name, coalesce(array_to_string(list_sort(list_distinct(list(v)))[1:4], '|'), '') AS samples FROM typed GROUP BY 1, 2)
+SELECT profile.*, samples FROM profile JOIN firsts USING (table_id, name)""",
     "table_profiles": f"""WITH {DIRTY_CUSTOMERS},{TEXT_TABLES},{_profiles(TEXT_COLUMNS)}
 SELECT table_id, upper(table_id[1]) || table_id[2:] AS display_name, max(total_count) AS row_count, count(*) AS column_count,
        CASE table_id WHEN 'orders' THEN 'Sales fact: a row is an order or an order line'

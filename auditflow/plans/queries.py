@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from auditflow.functions import parsing, text
 from auditflow.functions.naming import table_name_of
-from auditflow.operators import joins, ledger, lineage, metrics, periods, profile, quality, questions, report, runlog, validate
+from auditflow.operators import joins, ledger, lineage, metrics, periods, profile, profile_state, quality, questions, report, runlog, validate
 from auditflow.operators.joins import Link
 from auditflow.plans import methods, views
 from auditflow.session import durable, shared_folder
@@ -382,9 +382,27 @@ def _profile(spark, sf_dir):
 
 @query
 def column_profile(spark, sf_dir):
+    return _readable(_profile(spark, sf_dir)).drop("sample_values")
+
+
+def _readable(profiled):
     rounded = {c: F.round(c, 2) for c in ("min_num", "max_num", "mean_value", "std_dev")}
-    days = {c: _iso(c) for c in ("min_date", "max_date")}
-    return _profile(spark, sf_dir).withColumns({**rounded, **days}).drop("sample_values")
+    return profiled.withColumns({**rounded, **{c: _iso(c) for c in ("min_date", "max_date")}})
+
+
+@query
+def merged_profile(spark, sf_dir):
+    """Profiles from stored states: orders by month, some months delivered twice, customers by segment, parts by size."""
+    parts = {"orders": F.left("order_date", F.lit(7)), "customers": F.col("segment"), "parts": F.col("size")}
+    merged = []
+    for table_id, df in _text_tables(spark, sf_dir).items():
+        folder = shared_folder(spark, f"profile-{table_id}")
+        profile_state.add_load(df, folder, "load-1", part=parts[table_id])
+        if table_id == "orders":
+            profile_state.add_load(df.where(F.col("order_date") >= CURRENT), folder, "load-2", part=parts[table_id])
+        merged.append(profile_state.merged_profile(spark, folder, table_id, df.columns, samples=4))
+    whole = _readable(reduce(DataFrame.unionByName, merged))
+    return whole.withColumn("samples", F.array_join("sample_values", "|")).drop("sample_values")
 
 
 @query
