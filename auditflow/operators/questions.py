@@ -266,13 +266,14 @@ def answer_filters(
 
 # Where a figure under filters comes from.
 FIGURE_SOURCE, FIGURE_TABLE, FIGURE_RESULT = "transformed_table", "analytical_fact", "RECALC_ON_DEMAND"
+STEP_SOURCE = "analytic_step"
 
 
 def answer_notices(routed: DataFrame) -> DataFrame:
     """Add to routed questions what can be said without a figure: answer, limitation and the need of a full run.
 
     Questions that ask for a figure under filters, and those about existing
-    results, have no notice here; see ``answer_filters`` and ``citations``.
+    results, have no notice here; see ``answer_filters`` and ``explain_results``.
     """
     kind, term = F.col("query_type"), F.col("matched_term")
     answer = F.when(kind == UNANSWERABLE, F.concat(F.lit("The data of this project says nothing about '"), term, F.lit("'."))).when(
@@ -282,6 +283,51 @@ def answer_notices(routed: DataFrame) -> DataFrame:
     return routed.withColumns({"notice": answer, "data_limitation": limitation, "requires_full_run": kind == NEW_ANALYSIS})
 
 
+NOTHING_VALIDATED = "No validated result answers this yet. Start a run first."
+
+
+def shown_findings(findings: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Findings that may be cited: they hold a figure, and their result is approved, if with warnings."""
+    approved = statuses.where(F.col("validation_status").isin("approved", "approved_with_warnings"))
+    held = findings.where(F.col("observed_value").isNotNull())
+    return held.join(approved.select("result_id", "validation_status"), "result_id")
+
+
+def explain_results(routed: DataFrame, findings: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Answer the routed questions about existing results: ``answer_text`` and ``cited_results``.
+
+    The answer states what validated results hold, by result, and cites each of them once. A finding
+    without a figure, or of a rejected or unknown result, is neither stated nor cited; if none is left
+    the answer says so and cites nothing. Other kinds of questions are left out.
+    """
+    said = F.sort_array(F.collect_list(F.struct("result_id", "id", "claim")))
+    told = shown_findings(findings, statuses).agg(said.alias("said")).select(
+        F.lit(EXPLAIN).alias("query_type"),
+        F.concat(F.lit("From validated results: "), F.array_join("said.claim", " ")).alias("_told"),
+        F.array_distinct("said.result_id").alias("cited_results"),
+    )
+    # One row, whatever the number of questions: findings are one per dimension and one for the total.
+    answered = routed.where(F.col("query_type") == EXPLAIN).join(F.broadcast(told), "query_type", "left")
+    some = F.size("cited_results") > 0
+    return answered.withColumn("answer_text", F.when(some, F.col("_told")).otherwise(NOTHING_VALIDATED)).drop("_told")
+
+
+def explanation_citations(explained: DataFrame, findings: DataFrame, statuses: DataFrame, *, key: str = "question_id") -> DataFrame:
+    """A citation record for each result that an answer of ``explain_results`` cites."""
+    claims = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "claim"))), lambda c: c["claim"]), " ")
+    results = shown_findings(findings, statuses).groupBy("result_id", "validation_status").agg(claims.alias("details"))
+    cited = explained.select(key, F.explode("cited_results").alias("result_id")).join(F.broadcast(results), "result_id")
+    cited = cited.select(
+        key,
+        F.lit(STEP_SOURCE).alias("source_type"),
+        F.regexp_replace("result_id", "^RES_", "").alias("source_name"),
+        F.concat(F.lit("Validation: "), F.col("validation_status")).alias("filter_or_condition"),
+        "result_id",
+        "details",
+    )
+    return cited.select(key, *[F.col(f.name).cast(f.dataType) for f in CITATION.fields])
+
+
 def citations(answers: DataFrame, *, key: str = "question_id") -> DataFrame:
     """A citation record for each answered figure (output of ``answer_text``)."""
     cited = answers.select(

@@ -631,6 +631,21 @@ above(node, ancestor, distance) AS (
 
 PLAN_EDGES = ", ".join(f"('{step}', '{other}')" for step, others in PLAN_DEPENDENCIES.items() for other in others)
 
+def _findings(driver_result: str) -> str:
+    return f"""SELECT 'FINDING_TOTAL_CHANGE' AS id, metric || CASE WHEN absolute_change < 0 THEN ' decreased' ELSE ' increased' END || ' by '
+       || format('{{:,.2f}}', abs(absolute_change)) || ' (' || {_percent_text('percentage_change')} || ') between ' || baseline_period || ' ('
+       || format('{{:,.2f}}', baseline_value) || ') and ' || current_period || ' (' || format('{{:,.2f}}', current_value) || ').' AS claim,
+       'RES_{methods.COMPARISON}' AS result_id, 'net_sales_delta' AS metric_name, absolute_change AS observed_value FROM comparison
+UNION ALL SELECT 'FINDING_TOP_' || upper(dimension), 'The largest change by ' || dimension || ' is ''' || dimension_value || ''' with '
+       || format('{{:,.2f}}', absolute_change) || ' (' || {_percent_text('contribution_to_total_change')} || ' of the total change).',
+       {driver_result}, dimension || '_contribution', absolute_change FROM drivers"""
+
+
+EXPLAINED = f"""{WITH_CUSTOMERS},{_members('enriched', {**CHANNEL, **SEGMENT, **REGION})},{DRIVERS},{COMPARISON},{RECONCILED},{QUESTIONS},{_routed('questions')},
+found AS ({_findings("CASE dimension WHEN 'channel' THEN 'RES_CHANNEL_PARTIAL' ELSE 'RES_' || upper(dimension) END")}),
+shown AS (SELECT * FROM found WHERE observed_value IS NOT NULL AND result_id NOT IN (SELECT result_id FROM reconciled WHERE NOT is_reconciled))"""
+
+
 ORACLE: dict[str, str] = {
     "metric_summary": f"""WITH {PREPARED}
 SELECT {_round('sum(net_sales)')} AS net_sales, {_round('sum(gross_sales)')} AS gross_sales, CAST(sum(units) AS BIGINT) AS total_units,
@@ -811,13 +826,7 @@ UNION ALL SELECT 'CARD_TOP_' || upper(dimension), 'Top ' || dimension || ': ' ||
        CASE dimension WHEN 'channel' THEN 'RES_OP_04_DIMENSION_BREAKDOWN_CHANNEL' ELSE 'RES_OP_05_DIMENSION_BREAKDOWN_SEGMENT' END,
        baseline_period || ' vs ' || current_period FROM drivers""",
     "findings": f"""WITH {WITH_CUSTOMERS},{_members('enriched', {**CHANNEL, **SEGMENT})},{DRIVERS},{COMPARISON}
-SELECT 'FINDING_TOTAL_CHANGE' AS id, metric || CASE WHEN absolute_change < 0 THEN ' decreased' ELSE ' increased' END || ' by '
-       || format('{{:,.2f}}', abs(absolute_change)) || ' (' || {_percent_text('percentage_change')} || ') between ' || baseline_period || ' ('
-       || format('{{:,.2f}}', baseline_value) || ') and ' || current_period || ' (' || format('{{:,.2f}}', current_value) || ').' AS claim,
-       'RES_{methods.COMPARISON}' AS result_id, 'net_sales_delta' AS metric_name, absolute_change AS observed_value FROM comparison
-UNION ALL SELECT 'FINDING_TOP_' || upper(dimension), 'The largest change by ' || dimension || ' is ''' || dimension_value || ''' with '
-       || format('{{:,.2f}}', absolute_change) || ' (' || {_percent_text('contribution_to_total_change')} || ' of the total change).',
-       CASE dimension WHEN 'channel' THEN 'RES_OP_04_DIMENSION_BREAKDOWN_CHANNEL' ELSE 'RES_OP_05_DIMENSION_BREAKDOWN_SEGMENT' END, dimension || '_contribution', absolute_change FROM drivers""",
+{_findings("CASE dimension WHEN 'channel' THEN 'RES_OP_04_DIMENSION_BREAKDOWN_CHANNEL' ELSE 'RES_OP_05_DIMENSION_BREAKDOWN_SEGMENT' END")}""",
     "chart_datasets": f"WITH {CHARTS} SELECT * FROM charts",
     "chart_specs": f"""WITH {CHARTS} SELECT chart_id, measure, count(*) AS points, min(value) AS min_value, max(value) AS max_value
 FROM charts GROUP BY 1, 2""",
@@ -917,6 +926,14 @@ SELECT question_id, query_type, matched_term,
        CASE query_type WHEN 'unanswerable_by_data' THEN 'No table holds ''' || matched_term || '''.' END AS data_limitation,
        query_type = 'request_new_analysis' AS requires_full_run
 FROM routed WHERE query_type IN ('unanswerable_by_data', 'request_new_analysis')""",
+    "explained_questions": f"""WITH {EXPLAINED}
+SELECT question_id, coalesce((SELECT 'From validated results: ' || string_agg(claim, ' ' ORDER BY result_id, id) FROM shown), 'No validated result answers this yet. Start a run first.') AS answer_text,
+       coalesce((SELECT string_agg(result_id, ',' ORDER BY result_id) FROM (SELECT DISTINCT result_id FROM shown)), '') AS cited_results
+FROM routed WHERE query_type = '{q.EXPLAIN}'""",
+    "explanation_citations": f"""WITH {EXPLAINED},
+results AS (SELECT result_id, string_agg(claim, ' ' ORDER BY id) AS details FROM shown GROUP BY 1)
+SELECT question_id, 'analytic_step' AS source_type, substr(result_id, 5) AS source_name, 'Validation: approved' AS filter_or_condition, result_id, details
+FROM routed, results WHERE query_type = '{q.EXPLAIN}'""",
     "text_table_digest": " UNION ALL ".join(
         f"""SELECT '{t}' AS table_id, count(*) AS row_count, coalesce(CAST(sum(('0x' || substr(md5(concat_ws('|', {', '.join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns)})), 1, 8))::BIGINT) AS BIGINT), 0) AS digest FROM {t}"""
         for t, columns in (

@@ -779,6 +779,34 @@ def question_notices(spark, sf_dir):
     )
 
 
+def _findings_and_statuses(spark, sf_dir):
+    """Findings of which the one by channel cites a result that lost a member, and the status of each result."""
+    breakdowns, comparison = durable(_breakdown_results(spark, sf_dir)), durable(_comparison(spark, sf_dir))
+    drivers = report.top_driver(breakdowns.where("result_id != 'RES_CHANNEL_PARTIAL'"))
+    cited = {"channel": "RES_CHANNEL_PARTIAL", "segment": "RES_SEGMENT", "region": "RES_REGION"}
+    none = F.array().cast("array<string>").alias("warnings")
+    records = breakdowns.select("result_id").distinct().unionByName(comparison.select(F.lit(f"RES_{methods.COMPARISON}").alias("result_id")))
+    statuses = validate.result_statuses(
+        records.select("result_id", none), validate.reconciliation_checks(validate.reconcile(breakdowns, comparison))
+    )
+    return durable(report.findings(comparison, drivers, driver_results=cited)), durable(statuses)
+
+
+@query
+def explained_questions(spark, sf_dir):
+    """Answers to questions about existing results, from validated ones only."""
+    routed = questions.route_questions(views.questions(spark, sf_dir), "question")
+    answers = questions.explain_results(routed, *_findings_and_statuses(spark, sf_dir))
+    return answers.select("question_id", "answer_text", F.array_join("cited_results", ",").alias("cited_results"))
+
+
+@query
+def explanation_citations(spark, sf_dir):
+    routed = questions.route_questions(views.questions(spark, sf_dir), "question")
+    found = _findings_and_statuses(spark, sf_dir)
+    return questions.explanation_citations(questions.explain_results(routed, *found), *found)
+
+
 @query
 def redact_text(spark, sf_dir):
     cleaned = text.redact_text(views.table(spark, sf_dir, "documents"), ["text"], SECRETS)

@@ -100,3 +100,39 @@ def test_cube_equals_single_slices(fact):
 def test_unknown_filter_column_is_an_error(spark, fact):
     with pytest.raises(ValueError):
         q.filter_cube(fact.drop("region"))
+
+
+FINDINGS = "id string, claim string, result_id string, observed_value double"
+STATUSES = "result_id string, validation_status string"
+
+
+def test_explanations_state_and_cite_validated_results_only(spark):
+    asked = spark.createDataFrame([("a", "Why did sales fall?"), ("b", "Run a clustering"), ("c", None)], "question_id string, text string")
+    routed = q.route_questions(asked, "text")
+    found = spark.createDataFrame(
+        [("F2", "Two.", "RES_B", 2.0), ("F1", "One.", "RES_A", 1.0), ("F3", "Also two.", "RES_B", 3.0), ("F4", "Wrong.", "RES_C", 4.0),
+         ("F5", "Empty.", "RES_D", None), ("F6", "Unknown.", "RES_E", 6.0)],
+        FINDINGS,
+    )
+    statuses = spark.createDataFrame(
+        [("RES_A", "approved"), ("RES_B", "approved_with_warnings"), ("RES_C", "rejected"), ("RES_D", "approved")], STATUSES
+    )
+    answers = q.explain_results(routed, found, statuses)
+    assert {(r.question_id, r.answer_text, tuple(r.cited_results)) for r in answers.collect()} == {
+        (k, "From validated results: One. Two. Also two.", ("RES_A", "RES_B")) for k in "ac"
+    }
+    cited = q.explanation_citations(answers, found, statuses).orderBy("question_id", "result_id").collect()
+    assert [(r.question_id, r.source_name, r.filter_or_condition, r.details) for r in cited] == [
+        (k, *rest) for k in "ac" for rest in [("A", "Validation: approved", "One."), ("B", "Validation: approved_with_warnings", "Two. Also two.")]
+    ]
+
+
+def test_explanations_without_a_result_cite_nothing(spark):
+    asked = spark.createDataFrame([("a", "Why did sales fall?")], "question_id string, text string")
+    routed = q.route_questions(asked, "text")
+    found = spark.createDataFrame([("F5", "Empty.", "RES_D", None)], FINDINGS)
+    statuses = spark.createDataFrame([("RES_D", "approved")], STATUSES)
+    for findings in (found, found.limit(0)):
+        answers = q.explain_results(routed, findings, statuses)
+        assert answers.first().answer_text == q.NOTHING_VALIDATED
+        assert q.explanation_citations(answers, findings, statuses).count() == 0
