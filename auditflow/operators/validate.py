@@ -118,6 +118,21 @@ def source_amount_checks(results: DataFrame, cast_counts: DataFrame) -> DataFram
     )
 
 
+def source_file_checks(results: DataFrame, changes: DataFrame) -> DataFrame:
+    """Whether the files behind the results are those of their manifest; a changed or missing one rejects all of them.
+
+    ``changes`` comes from ``manifest.file_changes``. A new file is no error: no earlier result rests on it.
+    """
+    altered = F.col("state").isin("changed", "missing")
+    counted = results.select("result_id").withColumns(
+        {"altered": changes.agg(F.count_if(altered)).scalar(), "files": changes.agg(F.count(F.lit(1))).scalar()}
+    )
+    return _checks(
+        counted, RESULT_KEY, F.concat(F.lit("Source_Files_"), F.col("result_id")), F.col("altered") == 0, "blocking",
+        F.format_string("%d of %d files are changed or missing.", "altered", "files"),
+    )
+
+
 def join_safety_checks(diagnostics: DataFrame) -> DataFrame:
     """One check per join; these belong to the run, not to a single result."""
     return diagnostics.select(

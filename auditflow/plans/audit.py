@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from auditflow.functions.naming import DATE_NAME_PARTS, KEY_NAME_PARTS, columns_with, first_with, pick_fact
 from auditflow.functions.parsing import fill_unknown_members
@@ -14,8 +15,9 @@ from auditflow.operators import ledger, metrics, profile, quality, report, valid
 from auditflow.operators.joins import Link, chain_checks, join_chain, join_check, link_diagnostics, relationship
 from auditflow.operators.periods import infer_cutoff
 from auditflow.plans import methods
+from auditflow.records import RUN_EVENT, conform
 from auditflow.session import durable
-from auditflow.sources.manifest import table_manifest
+from auditflow.sources.manifest import file_changes, table_manifest
 
 
 @dataclass
@@ -43,6 +45,47 @@ class AuditRun:
     dashboard_checks: DataFrame
     dashboard: DataFrame
     provenance: DataFrame
+    file_changes: DataFrame | None = None
+
+    def events(self, run_id: str, *, at: Column | None = None, first_event: int = 1) -> DataFrame:
+        """The run as ``RUN_EVENT`` rows, one per stage it went through, numbered from ``first_event``.
+
+        A run whose results are rejected fails after validation; one whose dashboard isn't valid
+        fails while it is built. Each event holds counts of what its stage made. All have the time ``at``
+        (default: when they are computed). Computes the report status and the dashboard's. ``runlog`` and ``streaming.runs`` read them like any log.
+        """
+        # One row each, used by several events: computed once.
+        status = durable(self.report_status.select("overall_status", "failed_checks"))
+        dashboard = durable(self.dashboard.select("is_dashboard_valid"))
+        failed = status.where("failed_checks > 0")
+        rejected, approved = F.col("overall_status") == "rejected", F.col("overall_status") != "rejected"
+        went_on = status.select(approved).scalar()
+        stages = [
+            ("UPLOADED", "Tables read", self.table_profile.agg(F.count(F.lit(1)).alias("tables"), F.sum("row_count").alias("rows"))),
+            ("PROFILED", "Tables profiled and checked", self.issues.agg(F.count(F.lit(1)).alias("issues"))),
+            ("PLAN_READY", "Plan ready", self.result_records.agg(F.count(F.lit(1)).alias("steps"))),
+            ("PREPARING", "Fact prepared", self.ledger.agg(F.count(F.lit(1)).alias("steps"), F.sum("rows_excluded").alias("rows_excluded"))),
+            ("ANALYZING", "Results computed", self.result_values.agg(F.count(F.lit(1)).alias("figures"))),
+            ("VALIDATING", "Results checked", self.checks.agg(F.count(F.lit(1)).alias("checks"))),
+            ("FAILED", "Results rejected", failed.where(rejected)),
+            ("VALIDATED", "Results approved", status.where(approved)),
+            ("BUILDING_DASHBOARD", "Components built", self.cards.agg(F.count(F.lit(1)).alias("cards")).where(went_on)),
+            ("FAILED", "Dashboard not valid", dashboard.where("NOT is_dashboard_valid").where(went_on)),
+            ("READY", "Dashboard ready", dashboard.where("is_dashboard_valid").where(went_on)),
+        ]
+        made = [
+            counts.select(
+                F.lit(first_event + i).cast("long").alias("event_id"),
+                F.lit(run_id).alias("run_id"),
+                F.lit(stage).alias("stage"),
+                F.lit("ERROR" if stage == "FAILED" else "INFO").alias("level"),
+                F.lit(message).alias("message"),
+                F.to_json(F.struct("*")).alias("metadata_json"),
+                (F.current_timestamp() if at is None else at).alias("created_at"),
+            )
+            for i, (stage, message, counts) in enumerate(stages)
+        ]
+        return conform(reduce(DataFrame.unionByName, made), RUN_EVENT)
 
 
 def run_audit(
@@ -60,6 +103,8 @@ def run_audit(
     plan: Sequence[methods.Step] | None = None,
     keep_analytical: bool = False,
     store_in: str | None = None,
+    files: DataFrame | None = None,
+    files_before: DataFrame | None = None,
 ) -> AuditRun:
     """Audit, prepare, compute, validate and report.
 
@@ -77,6 +122,9 @@ def run_audit(
     ``store_in`` names a new folder for the fact: usable and excluded rows are written there in
     one pass, which also counts the ledger and the cells of amounts; all that follows reads the
     stored rows.
+
+    ``files`` and ``files_before`` are fingerprints (path, sha256) of the source files now and as they
+    were admitted; if one of them changed or is missing, all results are rejected.
     """
     fact = fact or pick_fact(list(tables))
     date_col = first_with(tables[fact].columns, DATE_NAME_PARTS)
@@ -132,6 +180,10 @@ def run_audit(
     if written.amount_counts is not None:
         # On the stored cells: the exact amounts that results are made of are always finite.
         checks = checks.unionByName(validate.source_amount_checks(records, written.amount_counts))
+    changes = None
+    if files is not None and files_before is not None:
+        changes = file_changes(files, files_before)
+        checks = checks.unionByName(validate.source_file_checks(records, changes))
     if breakdowns is not None:
         # The expected change comes from the fact before any join.
         expected = metrics.period_comparison(usable, baseline=baseline, current=current, metric=metric)
@@ -195,6 +247,7 @@ def run_audit(
         dashboard_checks=dashboard_checks,
         dashboard=dashboard,
         provenance=way,
+        file_changes=changes,
     )
 
 

@@ -1,12 +1,17 @@
 """A whole run over the generated fixture, against its truth."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from auditflow.operators import runlog, validate
 from auditflow.operators.joins import Link
 from auditflow.plans import methods
 from auditflow.plans.audit import run_audit
+from auditflow.session import durable
 from auditflow.sources import fixture
+from auditflow.sources.manifest import file_changes
 
 
 @pytest.fixture(scope="module")
@@ -84,6 +89,47 @@ def test_an_infinite_stored_amount_rejects_all_results(spark, tables):
     assert bad.cards.count() == bad.charts.count() == bad.findings.count() == 0
 
 
+def test_a_run_has_events_like_any_log(run):
+    events = durable(run.events("R-1", at=F.lit("2026-06-01 10:00:00").cast("timestamp"), first_event=100))
+    rows = events.orderBy("event_id").collect()
+    assert [r.stage for r in rows] == [
+        "UPLOADED", "PROFILED", "PLAN_READY", "PREPARING", "ANALYZING", "VALIDATING", "VALIDATED", "BUILDING_DASHBOARD", "READY"
+    ]
+    assert [r.event_id for r in rows] == sorted({r.event_id for r in rows}) and rows[0].event_id == 100
+    excluded = json.loads(rows[3].metadata_json)["rows_excluded"]
+    assert excluded == run.quarantine.count() and json.loads(rows[-1].metadata_json) == {"is_dashboard_valid": True}
+    assert runlog.transition_violations(events).count() == 0
+    status = runlog.run_status(events).first()
+    assert (status.status, status.repair_attempts, status.events) == ("READY", 0, 9)
+
+
+def test_a_changed_file_rejects_the_run(spark, tables):
+    def files(*pairs):
+        return spark.createDataFrame(pairs, "path string, sha256 string")
+
+    before = files(("orders.csv", "a"), ("customers.csv", "b"))
+    results = spark.createDataFrame([("RES_1",), ("RES_2",)], "result_id string")
+    states = [
+        (files(("orders.csv", "a"), ("customers.csv", "b"), ("products.csv", "c")), 0),
+        (files(("orders.csv", "a"), ("customers.csv", "x")), 1),
+        (files(("orders.csv", "a")), 1),
+        (files(("other.csv", "a")), 2),
+    ]
+    for now, altered in states:
+        checks = validate.source_file_checks(results, file_changes(now, before)).collect()
+        assert [(r.passed, r.evidence.split()[0]) for r in checks] == [(altered == 0, str(altered))] * 2
+    bad = run_audit(
+        spark, {"orders": tables["orders"]}, baseline="2026-03", current="2026-05", links=[], dimensions=("channel",),
+        cutoff="2026-05-31", samples=0, keep_analytical=True, files=states[1][0], files_before=before,
+    )
+    assert {r.path: r.state for r in bad.file_changes.collect()} == {"orders.csv": "unchanged", "customers.csv": "changed"}
+    assert {r.validation_status for r in bad.result_records.collect()} == {"rejected"}
+    events = bad.events("R-2").withColumn("failure_reason", F.when(F.col("stage") == "FAILED", F.col("message")))
+    events = durable(events)
+    assert [r.stage for r in events.orderBy("event_id").collect()][-2:] == ["VALIDATING", "FAILED"]
+    assert runlog.transition_violations(events).count() == runlog.misleading_failures(runlog.run_status(events)).count() == 0
+
+
 def test_plan_keeps_what_is_admissible(spark):
     default = methods.default_plan("2026-03", "2026-05")
     proposed = [*default[:4], methods.Step("X", "no_such_method"), methods.Step("Y", "metric_summary", {"metric": "no_column"})]
