@@ -930,7 +930,7 @@ TABLE_IN_PATH = r"/([^/]+)\.parquet(/|$)"
 
 
 def _fingerprints(spark, sf_dir):
-    return manifest.fingerprints(manifest.list_files(spark, sf_dir, recursive=True))
+    return manifest.file_fingerprints(spark, sf_dir, recursive=True)
 
 
 @query

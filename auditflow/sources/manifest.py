@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from auditflow.functions.naming import table_name_of
+from auditflow.sources import ranges
 from auditflow.sources.csvtext import text_schema
 
 # What may be ingested.
@@ -47,13 +48,15 @@ def admission(
 
 
 LARGEST_BINARY_FILE = 2**31 - 1
+#: Larger files are hashed by byte ranges.
+ONE_ROW_BYTES = 256 * 1024 * 1024
 
 
 def fingerprints(files: DataFrame) -> DataFrame:
     """SHA-256 per file, and why a file has none.
 
     A file is one row, so its bytes are read only up to 2 GiB; larger ones stay in
-    the list without a hash. ``blocks.file_digests`` has a digest for files of any size.
+    the list without a hash. ``file_fingerprints`` hashes files of any size.
     """
     readable = F.col("length") <= LARGEST_BINARY_FILE
     reason = F.lit("Too large to be hashed as one row")
@@ -63,6 +66,24 @@ def fingerprints(files: DataFrame) -> DataFrame:
     )
 
 
+def file_fingerprints(spark: SparkSession, path: str | Sequence[str], *, recursive: bool = False, one_row_bytes: int = ONE_ROW_BYTES) -> DataFrame:
+    """``fingerprints`` of the files at a path; no task reads a large file whole.
+
+    Files above ``one_row_bytes`` are listed and hashed by ranges when this is called, at any size
+    (see ``ranges``). Those that Hadoop does not give out by ranges, such as ``.gz``, stay one row.
+    """
+    files = list_files(spark, path, recursive=recursive)
+    small, whole = F.col("length") <= one_row_bytes, F.col("file_name").rlike(ranges.NOT_BY_RANGES)
+    found = files.where(~small & ~whole).select("path", "file_name", "length").collect() if ranges.available() else []
+    if not found:
+        return fingerprints(files)
+    range_bytes = 1 << min(ranges.RANGE_BYTES, one_row_bytes).bit_length() - 1
+    hashes = ranges.sha256_by_ranges(spark, list({r.path: r.length for r in found}.items()), range_bytes=range_bytes)
+    # Apart, so that the length and the name reach the listing and nothing else is read.
+    one_row = fingerprints(files.where(small)).unionByName(fingerprints(files.where(~small & whole)))
+    return one_row.unionByName(spark.createDataFrame([(*r, hashes[r.path], None) for r in found], one_row.schema))
+
+
 def rows_per_file(df: DataFrame) -> DataFrame:
     """Rows of a table read from files, by the file they lie in."""
     return df.groupBy(source_path().alias("path")).agg(F.count(F.lit(1)).alias("row_count"))
@@ -70,7 +91,7 @@ def rows_per_file(df: DataFrame) -> DataFrame:
 
 def csv_manifest(spark: SparkSession, path: str | Sequence[str], *, multiline: bool = False) -> DataFrame:
     """Per CSV file: table name, rows, columns, length and fingerprint."""
-    files = fingerprints(list_files(spark, path))
+    files = file_fingerprints(spark, path)
     # The first line of a file, as a row whose block begins at 0: no file is read whole for it.
     lines = spark.read.text(path).select(source_path().alias("path"), "value", F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("place"))
     header = F.substring_index(F.min_by("value", "place"), "\r", 1)
