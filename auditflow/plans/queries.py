@@ -947,7 +947,7 @@ def file_manifest(spark, sf_dir):
     ])
     name = F.regexp_extract("path", TABLE_IN_PATH, 1)
     described = _fingerprints(spark, sf_dir).join(counts, "path", "left").withColumn("table_name", F.when(name != "", name))
-    admitted = manifest.admission(described, extensions=(".parquet",), max_bytes=manifest.LARGEST_BINARY_FILE)
+    admitted = manifest.admission(described, extensions=(".parquet",), max_bytes=None)
     return admitted.select(
         "table_name", "file_name", "length", "sha256", "row_count", "column_count", F.coalesce("reject_reason", "no_hash_reason").alias("reject_reason")
     )

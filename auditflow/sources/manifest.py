@@ -37,13 +37,13 @@ def list_files(spark: SparkSession, path: str | Sequence[str], *, recursive: boo
 
 
 def admission(
-    files: DataFrame, *, extensions: Sequence[str] = ALLOWED_EXTENSIONS, max_bytes: int = MAX_FILE_BYTES
+    files: DataFrame, *, extensions: Sequence[str] = ALLOWED_EXTENSIONS, max_bytes: int | None = MAX_FILE_BYTES
 ) -> DataFrame:
-    """Add why a file is turned away, or null."""
+    """Add why a file is turned away, or null. Without ``max_bytes`` any size is admitted."""
     extension = F.lower(F.regexp_extract("file_name", r"(\.[^.]*)$", 1))
-    reason = F.when(~extension.isin(*extensions), F.concat(F.lit("Extension not allowed: "), extension)).when(
-        F.col("length") > max_bytes, F.lit(f"File exceeds {max_bytes} bytes")
-    )
+    reason = F.when(~extension.isin(*extensions), F.concat(F.lit("Extension not allowed: "), extension))
+    if max_bytes is not None:
+        reason = reason.when(F.col("length") > max_bytes, F.lit(f"File exceeds {max_bytes} bytes"))
     return files.withColumn("reject_reason", reason)
 
 

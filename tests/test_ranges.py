@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import shutil
 
 import pytest
 
+from auditflow.plans import queries
 from auditflow.sources import manifest, ranges
 
 RANGE, LAST = 1024, 64
@@ -65,6 +67,25 @@ def test_no_task_reads_more_than_a_range(spark, tmp_path, monkeypatch):
     assert [start for start, _ in seen] == [0] + [end for _, end in seen[:-1]] and seen[-1][1] == 10_000
 
 
+def test_file_manifest_hashes_large_tables(spark, sf_dir, tmp_path, monkeypatch):
+    """With bounds as small as these tables: files above them have a hash, their rows and no reason."""
+    for table in queries.TABLES:
+        shutil.copy(f"{sf_dir}/{table}.parquet", tmp_path)
+    (tmp_path / "note.txt").write_text("no table")
+    monkeypatch.setitem(manifest.file_fingerprints.__kwdefaults__, "one_row_bytes", 64 << 10)
+    monkeypatch.setattr(manifest, "LARGEST_BINARY_FILE", 100_000)
+    got = {r.file_name: r for r in queries.QUERIES["file_manifest"](spark, str(tmp_path)).collect()}
+    assert set(got) == {f"{t}.parquet" for t in queries.TABLES} | {"note.txt"}
+    assert any(r.length > 100_000 for r in got.values())
+    for name, r in got.items():
+        assert r.sha256 == hashlib.sha256((tmp_path / name).read_bytes()).hexdigest()
+        table = name.removesuffix(".parquet")
+        if table != name:
+            assert (r.table_name, r.row_count, r.reject_reason) == (table, spark.read.parquet(str(tmp_path / name)).count(), None)
+        else:
+            assert (r.table_name, r.row_count, r.reject_reason) == (None, None, "Extension not allowed: .txt")
+
+
 def test_csv_manifest_hashes_large_files(spark, tmp_path, monkeypatch):
     (tmp_path / "orders.csv").write_text("a,b\n" + "1,2\n" * 20_000)
     monkeypatch.setitem(manifest.file_fingerprints.__kwdefaults__, "one_row_bytes", 16 << 10)
